@@ -27,7 +27,9 @@ def _let(value: Column, body) -> Column:
 
 
 def _repeat_words(words: Column, n: int = WINDOW) -> Column:
-    """Words inside windows of ``n`` words that occur twice or more in the array."""
+    """Words inside windows of ``n`` words (8) that occur twice or more in the array."""
+    if n != 8:
+        raise ValueError("three doublings name windows of 8 words")
 
     def covered(hashes: Column) -> Column:
         def marked(pairs: Column) -> Column:
@@ -50,9 +52,14 @@ def _repeat_words(words: Column, n: int = WINDOW) -> Column:
         pairs = F.transform(hashes, lambda h, k: F.struct(h.alias("h"), k.alias("p")))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_let(F.array_sort(pairs), marked))
 
+    def doubled(h: Column, step: int) -> Column:
+        """Names of twice as many words: each name with the one ``step`` places on."""
+        count = F.size(h) - step
+        return F.zip_with(F.slice(h, F.lit(1), count), F.slice(h, F.lit(1 + step), count), lambda a, b: F.xxhash64(a, b))
+
     def windows(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda k: F.xxhash64(F.slice(w, k, F.lit(n))))
-        return F.when(F.size(w) <= n, F.lit(0)).otherwise(_let(hashes, covered))
+        named = F.transform(w, lambda x: F.xxhash64(x))
+        return F.when(F.size(w) <= n, F.lit(0)).otherwise(_let(named, lambda a: _let(doubled(a, 1), lambda b: _let(doubled(b, 2), lambda c: _let(doubled(c, 4), covered)))))
 
     return _let(words, windows)
 
