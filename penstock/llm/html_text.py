@@ -26,6 +26,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style template noscript head title svg math iframe object audio video canvas select datalist".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl table figure".split())
+#: Elements that stay in an open head; anything else ends it.
+HEAD = frozenset("base link meta noscript script style template title".split())
 #: An opening tag closes these open elements, unless one of the second set stands between.
 IMPLIED = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select"),
@@ -60,9 +62,17 @@ class TreeBuilder(HTMLParser):
                     return self._close(tags, stops)
                 return
 
+    def _leave_head(self) -> None:
+        if self.open[-1].tag == "head":
+            self.open.pop()
+
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
+            if tag == "body":
+                self._close({"head"}, set())
             return
+        if tag not in HEAD:
+            self._leave_head()
         values = {k: v or "" for k, v in attrs}
         if tag in IMPLIED:
             tags, stops = IMPLIED[tag]
@@ -87,6 +97,8 @@ class TreeBuilder(HTMLParser):
         self._close({tag}, {"td", "th", "table"} - {tag} if tag not in ("tr", "tbody", "thead", "tfoot", "table") else {"table"} - {tag})
 
     def handle_data(self, data):
+        if data.strip():
+            self._leave_head()
         self.open[-1].children.append(data)
 
 
@@ -168,9 +180,10 @@ class Renderer:
             elif child.hidden:
                 continue
             elif child.tag == "tr":
-                cells = [x for x in child.children if isinstance(x, Node) and x.tag in ("td", "th") and not x.hidden]
+                cells = [(x.tag, render(x)) for x in child.children if isinstance(x, Node) and not x.hidden]
                 rest += [x for x in child.children if isinstance(x, str)]
-                rows.append([render(x).split("\n") for x in cells])
+                # what stands in a row outside of its cells is a cell, if it shows anything
+                rows.append([text.split("\n") for tag, text in cells if text or tag in ("td", "th")])
             elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
                 todo += reversed(child.children)
             else:

@@ -198,6 +198,7 @@ def test_warc_filters_are_pushed(spark, edge_dir):
     [
         (None, ""), ("<p>a<p>b", "a\n\nb"), ("<ul><li>x<li>y<ul><li>z</ul></ul>end", "- x\n- y\n  - z\n\nend"), ("<ol start=3><li>x</li><li>y</ol>", "3. x\n4. y"),
         ("<table><tr><th>a<th>bb<tr><td>ccc<td>d</table>", "a    bb\nccc  d"), ("a<script>x</script><span hidden>y</span> <b>c</b><p style='display:none'>z</p>", "a c"), ("<pre>  k\n   l</pre>", "  k\n   l"), ("&lt;a&gt;<br>b", "<a>\nb"), ("<div>" * 1000 + "deep", "deep"),
+        ("<head><title>t</title><body>a", "a"), ("<head><meta charset=x><p>a", "a"), ("<head><script>x</script>a<head>b", "ab"), ("<table><tr><b>x</b><td>y</td></tr></table>", "x  y"), ("<table><tr><form></form><td>y</td></tr></table>", "y"),
     ],
 )
 def test_html(html, text):
