@@ -108,8 +108,8 @@ class Codec:
             pieces = self.cut(text) if text else []
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            known, new = self.known, set(pieces)
-            new.difference_update(known)
+            known = self.known
+            new = set(pieces).difference(known)  # looks up the pieces; difference_update would walk all that is known
             if new:
                 learnt = self._learn(new)
                 known.update((p, i) for p, i in learnt.items() if len(p) <= LONGEST)
