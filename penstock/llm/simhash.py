@@ -73,7 +73,7 @@ def _flip(point: Column, place: Column) -> Column:
 
 
 def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b) with a < b: all pairs of the distinct fingerprints ``fps`` (fp) at ``threshold`` or fewer differing bits."""
+    """(a, b) with a < b: all pairs of the distinct fingerprints ``fps`` (fp) at ``threshold`` or fewer differing bits, each four times at most."""
     if not 0 <= threshold <= 3:
         raise ValueError("two halves cover 3 differing bits at most")
     halves = F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))
@@ -88,7 +88,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     near = near.select(F.col("half").alias("h2"), F.col("fp").alias("b"), _flip(_flip(F.col("point"), F.col("i")), other).alias("at"))
     close = (F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= threshold)
     found = home.join(near, (F.col("half") == F.col("h2")) & (F.col("anchor") == F.col("at")) & close)
-    return found.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
+    return found.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b"))
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
