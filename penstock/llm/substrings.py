@@ -32,6 +32,8 @@ from .common import BATCH_BYTES, arrow_map, materialise, words_of
 WINDOW, CAP, ROUNDS, MARGIN = 50, 5, 4, 2 + 2 + 4 + 5 + 5
 #: Words whose hashes a worker remembers: a bound on memory only.
 REMEMBERED = 500_000
+#: Windows after which a batch of candidates goes out.
+MOST_ROWS = 1 << 17
 _known: dict[bytes, int] = {}
 _M1, _M2, _ODD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(33)
@@ -117,16 +119,29 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text, shared symbols) to (key, at, hash) of the windows that a shared symbol stands for."""
+    """(key, text, shared symbols) to (key, at, hash) of the windows that a shared symbol stands for, many documents to a batch."""
+
+    def made(keys: pa.Array, rows: list[int], at: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
+        owner = np.repeat(np.array(rows, np.int64), [len(x) for x in at])
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(hashes))], names=["key", "at", "hash"])
+
     for batch in batches:
+        held, rows, ats, parts = 0, [], [], []
         for k in range(batch.num_rows):
             names = names_of(words_of(batch.column(1)[k].as_py()))
             shared = np.asarray(batch.column(2)[k].values, np.int64).view(np.uint64)
             at = np.flatnonzero(np.isin(designated(names), shared))
             hashes = window_hashes(names)[at].view(np.int64)
-            for begin in range(0, len(at), 1 << 18):
-                part = slice(begin, begin + (1 << 18))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(at[part]))), pa.array(at[part].astype(np.int32)), pa.array(hashes[part])], names=["key", "at", "hash"])
+            for begin in range(0, len(at), MOST_ROWS):
+                rows.append(k)
+                ats.append(at[begin : begin + MOST_ROWS])
+                parts.append(hashes[begin : begin + MOST_ROWS])
+                held += len(ats[-1])
+                if held >= MOST_ROWS:
+                    yield made(batch.column(0), rows, ats, parts)
+                    held, rows, ats, parts = 0, [], [], []
+        if rows:
+            yield made(batch.column(0), rows, ats, parts)
 
 
 def repeated_windows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
