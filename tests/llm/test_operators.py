@@ -245,3 +245,34 @@ def test_pipeline(spark, at):
         assert d.columns == P.COLUMNS
     assert {r["doc_id"] for r in d.select("doc_id").collect()} <= rows.keys()
     assert langid.fit(d.limit(0)).languages == []
+
+
+def test_near_duplicate_stage(spark, at):
+    import corpus_pipeline as P
+
+    d = spark.read.parquet(f"{at}/documents.parquet")
+    base = [f"v{k}" for k in range(100)]
+    planted = [(10**6 + 100 * g + k, " ".join(f"{'x' if j in range(50, 50 + k * g) else ''}{w}{g}" for j, w in enumerate(base)), "en", "a", 1) for g in range(1, 4) for k in range(8)]
+    d = d.unionByName(spark.createDataFrame(planted, SCHEMA)).cache()
+    rows, sets, root = {r["doc_id"]: r["text"] for r in d.collect()}, {}, {}
+    for k, t in rows.items():
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[k] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w)
+    keys = sorted(rows)
+    root = {k: k for k in keys}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    missed = 0
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            both = len(sets[a] & sets[b]) if sets[a] else 0
+            if sets[a] == sets[b] or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+                missed += (simhash.fingerprint(rows[a]) ^ simhash.fingerprint(rows[b])).bit_count() > 3
+    got = [r["doc_id"] for r in P.near_duplicate_stage(spark, d, at).collect()]
+    assert missed and sorted(got) == [k for k in keys if find(k) == k]
