@@ -276,3 +276,18 @@ def test_near_duplicate_stage(spark, at):
                 missed += (simhash.fingerprint(rows[a]) ^ simhash.fingerprint(rows[b])).bit_count() > 3
     got = [r["doc_id"] for r in P.near_duplicate_stage(spark, d, at).collect()]
     assert missed and sorted(got) == [k for k in keys if find(k) == k]
+
+
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as P
+
+    text = lambda k: " ".join(f"n{k}y{j}" for j in range(30))
+    rows = [(None, text(0), "en", "a", 1), (None, text(0), "en", "a", 1), (None, text(1), "en", None, 1), (7, text(2), "en", "a", 1), (7, text(2), "en", "a", 1), (7, text(2), "en", "a", 1), (8, text(2), "en", "b", 1), (9, text(3), "en", "b", 1), (9, text(4), "en", "a", 1), (10, text(4), "en", "b", 1)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = P.near_duplicate_stage(spark, d, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["7", "9", "None", "None", "None"]
+    copies = {(r["doc_id"], r["source"]): r["copies"] for r in mixing.mix(d).collect()}
+    want = Counter()
+    for r in rows:
+        want[r] += copies[r[0], r[3]]
+    assert Counter(map(tuple, P.mixing_stage(spark, d, str(tmp_path)).collect())) == +want and any(k[0] is None for k in +want) and any(k[0] == 7 for k in +want)
