@@ -2,7 +2,8 @@
 
 All visible text comes out: blocks stand on lines of their own, paragraphs and headings with a blank line between,
 list items get a bullet or number and an indent per level, table cells are padded to aligned columns, and
-preformatted text keeps its white space.
+preformatted text keeps its white space. Options and SVG texts stand on lines of their own; text that only screen
+readers pass over comes out. Style sheets and labels in attributes are not read.
 
 Defined cases: null and empty pages give an empty text; unclosed and misnested tags are closed by the tree
 builder; nesting deeper than DEPTH goes on flat at that depth; repeated rows give equal results; an empty table
@@ -23,7 +24,9 @@ from .common import arrow_map
 
 #: Elements by how they are laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript head title svg math iframe object audio video canvas select datalist".split())
+HIDDEN = frozenset("script style template noscript head title iframe object audio video canvas datalist defs symbol desc metadata annotation annotation-xml".split())
+#: Inline elements whose contents stand on a line of their own.
+LINE = frozenset("option text".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl table figure".split())
 #: Elements that stay in an open head; anything else ends it.
@@ -79,7 +82,7 @@ class TreeBuilder(HTMLParser):
             self._close(set(tags.split()), set(stops.split()))
         elif tag in BLOCK:
             self._close({"p"}, {"table", "td", "th", "li", "div", "button"})
-        hidden = tag in HIDDEN or "hidden" in values or values.get("aria-hidden") == "true" or bool(_invisible.search(values.get("style", "")))
+        hidden = tag in HIDDEN or "hidden" in values or bool(_invisible.search(values.get("style", "")))
         start = int(values["start"]) if values.get("start", "").isascii() and values.get("start", "").isdigit() and len(values["start"]) < 9 else 1
         node = Node(tag, hidden, start)
         self.open[-1].children.append(node)
@@ -153,7 +156,7 @@ class Renderer:
                 self.node(child)
                 self.block(child.tag in SPACED and not nested)
                 self.lead = outer
-            elif child.tag in BLOCK:
+            elif child.tag in BLOCK or child.tag in LINE:
                 self.block(child.tag in SPACED)
                 self.node(child)
                 self.block(child.tag in SPACED)

@@ -291,3 +291,14 @@ def test_stages_with_null_and_repeated_ids(spark, tmp_path):
     for r in rows:
         want[r] += copies[r[0], r[3]]
     assert Counter(map(tuple, P.mixing_stage(spark, d, str(tmp_path)).collect())) == +want and any(k[0] is None for k in +want) and any(k[0] == 7 for k in +want)
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("a <span aria-hidden=true>b</span> c", "a b c"), ("<p>x <math><mi>y</mi><mo>=</mo><mn>2</mn><annotation>y = 2</annotation></math> z", "x y=2 z"),
+        ("a<svg><title>t</title><defs><text>d</text></defs><path d='M0'/><text>b</text><text>c</text></svg>e", "a\nb\nc\ne"), ("<p>a<select><option>b<option selected>c</select>d", "a\nb\nc\nd"),
+    ],
+)
+def test_html_shows_all_that_is_visible(html, text):
+    assert html_text.html_to_text(html) == text
