@@ -143,9 +143,11 @@ def list_array(lists: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, offsets: bool = False) -> DataFrame:
     """Encode every whole text: (id, ids array<int>), with ``decode`` also (decoded binary), read back from the ids.
 
+    With ``offsets`` also (begins array<int>, ends array<int>): each token's characters of the text.
+
     One narrow pass without a shuffle; a worker holds the vocabulary, its remembered pieces and one batch.
     """
 
@@ -159,11 +161,14 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_i
                 out = [keys.slice(begin, upto - begin), list_array(lists)]
                 if decode:
                     out.append(pa.array([it.decode(x) for x in lists], pa.binary()))
-                return pa.RecordBatch.from_arrays(out, names=["key", "ids", "decoded"][: len(out)])
+                if offsets:
+                    spans = [it.offsets(x, texts[begin + k] or "") for k, x in enumerate(lists)]
+                    out += [list_array([[p[side] for p in x] for x in spans]) for side in (0, 1)]
+                return pa.RecordBatch.from_arrays(out, names=["key", "ids", *["decoded"] * decode, *["begins", "ends"] * offsets])
 
             for k, ids in enumerate(it.encode(texts)):
                 lists.append(ids)
-                size += 8 * len(ids)
+                size += 8 * len(ids) * (1 + 2 * offsets)
                 if size > BATCH_BYTES:
                     yield flush(k + 1, begin, lists)
                     begin, size, lists = k + 1, 0, []
@@ -172,7 +177,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_i
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    out = arrow_map(rows, run, f"key {kind}, ids array<int>" + ", decoded binary" * decode)
+    out = arrow_map(rows, run, f"key {kind}, ids array<int>" + ", decoded binary" * decode + ", begins array<int>, ends array<int>" * offsets)
     return out.withColumnRenamed("key", id_col)
 
 

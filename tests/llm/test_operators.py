@@ -302,3 +302,23 @@ def test_stages_with_null_and_repeated_ids(spark, tmp_path):
 )
 def test_html_shows_all_that_is_visible(html, text):
     assert html_text.html_to_text(html) == text
+
+
+def test_encode_gives_offsets(spark):
+    import public_tokenizers as P
+
+    texts = {1: "Ñandú été 🙂🦜 ꙮ a", 2: None, 3: "", 4: "plain words, twice"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    path, split = str(P.path("byte_bpe_50k.tiktoken")), 0
+    it = bpe.codec(path, P.PATTERN)
+    for r in bpe.encode(df, path, P.PATTERN, decode=True, offsets=True).collect():
+        text, at = texts[r["doc_id"]] or "", 0
+        assert len(r["ids"]) == len(r["begins"]) == len(r["ends"]) and bytes(r["decoded"]) == text.encode()
+        for i, begin, end in zip(r["ids"], r["begins"], r["ends"]):
+            token = it.decode([i])
+            lead = len(text[:begin].encode())
+            # the least run of whole characters that holds the token's bytes
+            assert lead <= at < lead + len(text[begin].encode()) and len(text[: end - 1].encode()) < at + len(token) <= len(text[:end].encode())
+            split += text[begin:end].encode() != token
+            at += len(token)
+    assert split
