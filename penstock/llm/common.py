@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -37,28 +38,50 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for table in tables:
+        delete(table.sparkSession, table.written_to)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch unless the session already has a lower bound."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+_held: list[str] = []
+
+
+def hold(table: DataFrame) -> DataFrame:
+    """A materialised table that a lazy result still reads; ``release`` deletes it once that result has been written."""
+    _held.append(table.written_to)
+    return table
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all held tables. To be called when the results that read them have been written, as between stages of a pipeline."""
+    while _held:
+        delete(spark, _held.pop())
+    free_shuffles(spark)
+
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a frame of few partitions over more, so that one long file does not hold all the work."""
-    return df
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of jobs that have ended: it acts when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes of an Arrow batch unless the session already has a lower bound: Spark has no narrower scope for it."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < size(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -70,18 +93,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(sizes: list[int], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Cut consecutive rows into runs of about ``most`` bytes; one row larger than that stands alone."""
-    begin, total = 0, 0
-    for k, size in enumerate(sizes):
-        if k > begin and total + size > most:
-            yield begin, k
-            begin, total = k, 0
-        total += size
-    if begin < len(sizes):
-        yield begin, len(sizes)
-
-
 def open_fs(uri: str):
     """(pyarrow file system, path) of a URI such as file:, hdfs: or s3:; a plain path is local."""
     from pyarrow import fs
