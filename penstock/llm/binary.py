@@ -1,13 +1,14 @@
 """Token ids as raw shards with a minimal perfect hash index.
 
 A shard is a file of little-endian ids, 2 bytes each where the vocabulary allows and else 4, documents in key order.
-The index is cut into parts by a hash of the key. A part has a displacement for each bucket of keys that sends its n
-keys to n slots without a collision; a slot holds the key's fingerprint, shard, first byte and ids. A lookup reads
-one displacement and one slot; an unknown key is recognised by its fingerprint.
+The index is cut into parts by a hash of the document's name: its key and a hash of its text. A part has a
+displacement for each bucket of names that sends its n names to n slots without a collision; a slot holds the name's
+fingerprint, shard, first byte and ids. A lookup reads one displacement and one slot; an unknown name is recognised by
+its fingerprint.
 
 Defined cases: null and empty texts are a document of the end id alone; null keys stand first and are addressed like
-any key; repeated keys keep one slot each row, told apart by their ordinal; an empty table has no shards; other
-columns are not carried.
+any key; rows of one key are told apart by their texts; rows of equal key and text are written each, and the index
+gives the first of them for all; an empty table has no shards; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -15,24 +16,25 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import arrow_map, fresh_folder, materialise, open_fs
+from .common import arrow_map, discard, fresh_folder, materialise, open_fs
 
-#: Documents of an index part, keys of a displacement bucket, bytes read at a time from a shard.
-PART, BUCKET, READ = 50_000, 4, 8 << 20
+#: Documents of an index part, keys of a displacement bucket, bytes read at a time from a shard, displacements tried.
+PART, BUCKET, READ, TRIES = 50_000, 4, 8 << 20, 1 << 20
 SLOT = np.dtype([("mark", "<u8"), ("shard", "<i4"), ("offset", "<i8"), ("n", "<i8")])
 
 
-def _hashes(key: str) -> tuple[int, int]:
-    data = key.encode("utf-8", "surrogatepass")
-    return xxhash.xxh64_intdigest(data, 1), xxhash.xxh64_intdigest(data, 2)
+def _hashes(names: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    data = [n.encode("utf-8", "surrogatepass") for n in names]
+    return tuple(np.array([xxhash.xxh64_intdigest(x, 2 * seed + k) for x in data], np.uint64) for k in (0, 1))
 
 
 def _slot(h: np.ndarray, displacement: np.ndarray, n: int) -> np.ndarray:
@@ -40,8 +42,8 @@ def _slot(h: np.ndarray, displacement: np.ndarray, n: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) % np.uint64(n)
 
 
-def perfect_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(displacements, slot of each hash) for distinct 64-bit hashes: largest buckets first."""
+def perfect_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(displacements, slot of each hash) of 64-bit hashes, largest buckets first; None if two are equal or TRIES don't do."""
     n = len(h)
     count = max(1, n // BUCKET)
     bucket = ((h >> np.uint64(33)) % np.uint64(count)).astype(np.int64)
@@ -55,6 +57,8 @@ def perfect_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         base = 0
         while True:  # a block of displacements at a time
+            if base > TRIES:
+                return None
             tries = np.arange(base, base + 64, dtype=np.uint64)
             slots = _slot(h[rows][None, :], tries[:, None], n).astype(np.int64)
             free = ~taken[slots].any(axis=1)
@@ -74,30 +78,51 @@ class IndexPart:
     """One part of the index, as read from its file."""
 
     def __init__(self, data: bytes):
-        n, count = (int(x) for x in np.frombuffer(data, "<i8", 2))
-        self.shift = np.frombuffer(data, "<u4", count, 16)
-        self.slots = np.frombuffer(data, SLOT, n, 16 + 4 * count)
+        n, count, self.seed = (int(x) for x in np.frombuffer(data, "<i8", 3))
+        self.shift = np.frombuffer(data, "<u4", count, 24)
+        self.slots = np.frombuffer(data, SLOT, n, 24 + 4 * count)
 
-    def find(self, key: str) -> tuple[int, int, int] | None:
-        """(shard, first byte, ids) of a key; None if the part has no such key."""
-        h, mark = _hashes(key)
+    def find(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(slots, whether the part has the name) of the names."""
         if not len(self.slots):
-            return None
-        b = (h >> 33) % len(self.shift)
-        slot = self.slots[int(_slot(np.array([h], np.uint64), self.shift[b : b + 1].astype(np.uint64), len(self.slots))[0])]
-        return (int(slot["shard"]), int(slot["offset"]), int(slot["n"])) if int(slot["mark"]) == mark else None
+            return np.zeros(len(names), SLOT), np.zeros(len(names), bool)
+        h, mark = _hashes(names, self.seed)
+        shift = self.shift[((h >> np.uint64(33)) % np.uint64(len(self.shift))).astype(np.int64)].astype(np.uint64)
+        found = self.slots[_slot(h, shift, len(self.slots)).astype(np.int64)]
+        return found, found["mark"] == mark
+
+
+def index_bytes(names: list[str], shard: np.ndarray, offset: np.ndarray, n: np.ndarray) -> bytes:
+    """A part of distinct names; hashes of another seed where those of one cannot be told apart."""
+    seed = 0
+    while True:
+        h, mark = _hashes(names, seed)
+        if made := perfect_hash(h):
+            break
+        seed += 1
+    shift, slot = made
+    slots = np.zeros(len(names), SLOT)
+    slots["mark"][slot], slots["shard"][slot], slots["offset"][slot], slots["n"][slot] = mark, shard, offset, n
+    return np.array([len(names), len(shift), seed], "<i8").tobytes() + shift.astype("<u4").tobytes() + slots.tobytes()
+
+
+def name_of(key: Column, text: Column) -> Column:
+    """A document as the index addresses it; a null key is a name that no other key has."""
+    return F.concat_ws("#", F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.lit("null")), F.hex(F.xxhash64(F.coalesce(text, F.lit("")))))
+
 
+@dataclass
+class Index:
+    """parts: how many; files: (part, index_path); shards: (shard, path, start)."""
 
-def index_bytes(keys: list[str], shard: np.ndarray, offset: np.ndarray, n: np.ndarray) -> bytes:
-    pairs = np.array([_hashes(k) for k in keys], np.uint64).reshape(-1, 2)
-    shift, slot = perfect_hash(pairs[:, 0])
-    slots = np.zeros(len(keys), SLOT)
-    slots["mark"][slot], slots["shard"][slot], slots["offset"][slot], slots["n"][slot] = pairs[:, 1], shard, offset, n
-    return np.array([len(keys), len(shift)], "<i8").tobytes() + shift.astype("<u4").tobytes() + slots.tobytes()
+    parts: int
+    files: DataFrame
+    shards: DataFrame
+    width: int
 
 
-def write_shards(df: DataFrame, vocabulary: str, pattern: str, *, end_id: int = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
-    """Encode and write ``df``; (key, ordinal, path, shard, offset, n) of the documents, in a written table, and the folder.
+def write_shards(df: DataFrame, vocabulary: str, pattern: str, *, end_id: int = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode and write ``df``: (key, name, path, offset, n) of the documents, in a written table.
 
     Texts, not ids, are dealt by ranges of the key. A task's file has a name of its own, so a task that runs twice
     leaves a file that no row names.
@@ -107,96 +132,92 @@ def write_shards(df: DataFrame, vocabulary: str, pattern: str, *, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it, out, offset = codec(vocabulary, pattern), None, 0
+        if len(it.bytes_of) > 1 << 8 * width:
+            raise ValueError("ids need a width of 4")
+        same, end = it.kind.itemsize == width, np.array([end_id], f"<u{width}").tobytes()
         fs, base = open_fs(folder)
-        name = f"{base}/{uuid.uuid4().hex}.ids"
+        path = f"{base}/{uuid.uuid4().hex}.ids"
         try:
             for batch in batches:
                 if out is None:
                     fs.create_dir(base, recursive=True)
-                    out = fs.open_output_stream(name)
+                    out = fs.open_output_stream(path)
                 begins, counts = [], []
-                for ids in it.encode(batch.column(1).to_pylist()):
-                    data = np.array([*ids, end_id], f"<u{width}")
-                    if width == 2 and ids and max(ids) > 0xFFFF:
-                        raise ValueError("ids need a width of 4")
-                    out.write(data.tobytes())
+                for packed in it.encode(batch.column(2).to_pylist()):
+                    data = (packed if same else it.ids(packed).astype(f"<u{width}").tobytes()) + end
+                    out.write(data)
                     begins.append(offset)
-                    counts.append(len(data))
-                    offset += width * len(data)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(begins), pa.string()), pa.array(begins, pa.int64()), pa.array(counts, pa.int64())], names=["key", "path", "offset", "n"])
+                    counts.append(len(data) // width)
+                    offset += len(data)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([path] * len(begins), pa.string()), pa.array(begins, pa.int64()), pa.array(counts, pa.int64())], names=["key", "name", "path", "offset", "n"])
         finally:
             if out is not None:
                 out.close()
 
-    rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).alias("key"), name_of(F.col(id_col), F.col(text_col)).alias("name"), F.col(text_col).alias("text"))
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(parts, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())
-    return materialise(arrow_map(dealt, run, f"key {kind}, path string, offset long, n long"), "written"), folder
+    order = F.col("key").asc_nulls_first(), F.col("name").asc()
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return materialise(arrow_map(dealt, run, f"key {kind}, name string, path string, offset long, n long"), "written")
 
 
-def write_index(written: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(index parts: part, path; shards: shard, path, start) of written documents. One row per shard reaches the driver."""
+def write_index(written: DataFrame, *, width: int = 2) -> Index:
+    """The index of written documents. One row per shard reaches the driver."""
     spark = written.sparkSession
-    shards = written.groupBy("path").agg(F.sum("n").alias("total"), F.min("key").alias("least"), F.max(F.col("key").isNull().cast("int")).alias("has_null")).collect()
-    order = sorted(shards, key=lambda r: (not r["has_null"], r["least"] is not None, r["least"] if r["least"] is not None else 0))
+    shards = written.groupBy("path").agg(F.sum("n").alias("total"), F.min(F.struct(F.col("key").isNotNull().alias("a"), F.col("key").alias("b"), F.col("name").alias("c"))).alias("least"))
     rows, start = [], 0
-    for k, r in enumerate(order):
+    for k, r in enumerate(shards.orderBy("least").select("path", "total").collect()):
         rows.append((k, r["path"], start))
         start += r["total"]
     table = materialise(spark.createDataFrame(rows, "shard int, path string, start long"), "shards")
-    count = written.count()
-    parts, folder = max(1, -(-count // PART)), fresh_folder(spark, "index")
+    # rows of one name have the same ids: the first stands for all
+    one = written.join(table, "path").groupBy("name").agg(F.min(F.struct("shard", "offset", "n")).alias("x"))
+    one = materialise(one.select("name", "x.shard", "x.offset", "x.n"), "one")
+    parts, folder = max(1, -(-one.count() // PART)), fresh_folder(spark, "index")
 
-    def build(key, pdf):
-        pdf = pdf.sort_values(["shard", "offset"], kind="stable")
-        names = [f"{a}#{b}" for a, b in zip(pdf["name"].to_numpy(object), pdf.groupby("name").cumcount())]
+    def build(got: pa.Table) -> pa.Table:
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
         path = f"{base}/{uuid.uuid4().hex}.idx"
         with fs.open_output_stream(path) as out:
-            out.write(index_bytes(names, pdf["shard"].to_numpy(), pdf["offset"].to_numpy(), pdf["n"].to_numpy()))
-        import pandas as pd
+            out.write(index_bytes(got["name"].to_pylist(), *(got[c].to_numpy() for c in ("shard", "offset", "n"))))
+        return pa.table({"part": got["part"].slice(0, 1), "index_path": pa.array([path])})
 
-        return pd.DataFrame({"part": [key[0]], "index_path": [path]})
+    files = materialise(one.withColumn("part", part_of("name", parts)).groupBy("part").applyInArrow(build, "part int, index_path string"), "index-parts")
+    discard(one)
+    return Index(parts, files, table, width)
 
-    rows = written.join(table, "path").select(name_of("key").alias("name"), "shard", "offset", "n").withColumn("part", part_of("name", parts))
-    index = materialise(rows.groupBy("part").applyInPandas(build, "part int, index_path string"), "index-parts")
-    return index, table
 
-
-def name_of(key: str):
-    """A key as the index addresses it; null is a name that no other key has."""
-    return F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("null"))
-
-
-def part_of(name: str, parts: int):
+def part_of(name: str, parts: int) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")
 
 
-def read_back(keys: DataFrame, index: DataFrame, shards: DataFrame, *, width: int = 2, id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of each key, by keyed access: part, slot, fingerprint, then the shard's bytes.
+def read_back(keys: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of each row, by keyed access: part, slot, fingerprint, then the shard's bytes.
 
-    Keys meet their part first, then narrow (shard, offset) rows are dealt by shard, which is read once forwards.
-    ``start`` counts the ids before the document: those of earlier shards and those before it in its own.
+    Distinct names meet their part, then narrow (shard, offset) rows are dealt by place; each is read once, and rows
+    of one name share the result. A name that the index doesn't have is an error. ``start`` counts the ids before the
+    document: those of earlier shards and those before it in its own.
     """
-    kind = keys.schema[id_col].dataType.simpleString()
-    parts = index.agg(F.max("part")).first()[0]
-    parts = (parts or 0) + 1
-    named = keys.select(F.col(id_col).alias("key"), name_of(id_col).alias("name"))
-    named = named.withColumn("ordinal", F.row_number().over(Window.partitionBy("name").orderBy("name")) - 1).withColumn("part", part_of("name", parts))
-
-    def look(key, pdf):
-        fs, path = open_fs(pdf["index_path"].iloc[0])
+    width = index.width
+    named = keys.select(F.col(id_col), name_of(F.col(id_col), F.col(text_col)).alias("__name"))
+    named = materialise(named, "names-of")
+    wanted = named.select(F.col("__name").alias("name")).distinct().withColumn("part", part_of("name", index.parts))
+
+    def look(got: pa.Table) -> pa.Table:
+        path = got["index_path"][0].as_py()
+        if path is None:
+            raise KeyError(f"the index has no part for {got['name'][0].as_py()!r}")
+        fs, path = open_fs(path)
         with fs.open_input_stream(path) as f:
             part = IndexPart(f.read())
-        found = [part.find(f"{a}#{b}") for a, b in zip(pdf["name"], pdf["ordinal"])]
-        import pandas as pd
-
-        out = pd.DataFrame({"key": pdf["key"], "shard": [x[0] for x in found], "offset": [x[1] for x in found], "n": [x[2] for x in found]})
-        return out
+        slots, there = part.find(got["name"].to_pylist())
+        if not there.all():
+            raise KeyError(f"the index does not have {got['name'][int(np.flatnonzero(~there)[0])].as_py()!r}")
+        return pa.table({"name": got["name"], **{c: pa.array(slots[c]) for c in ("shard", "offset", "n")}})
 
-    at = named.join(index, "part").groupBy("part").applyInPandas(look, f"key {kind}, shard int, offset long, n long")
-    placed = at.join(shards, "shard").repartition("path").sortWithinPartitions("path", "offset")
+    at = wanted.join(index.files, "part", "left").groupBy("part").applyInArrow(look, "name string, shard int, offset long, n long")
+    placed = at.join(index.shards, "shard").repartition("path", F.floor(F.col("offset") / READ)).sortWithinPartitions("path", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, f = None, None
@@ -209,10 +230,14 @@ def read_back(keys: DataFrame, index: DataFrame, shards: DataFrame, *, width: in
                 crc, left, place = 0, n * width, offset
                 while left:
                     data = f.read_at(min(left, READ), place)
+                    if not data:
+                        raise EOFError(f"{path} ends before byte {place + left}")
                     crc = zlib.crc32(np.frombuffer(data, f"<u{width}").astype("<u4").tobytes(), crc)
                     left, place = left - len(data), place + len(data)
                 crcs.append(crc)
                 starts.append(start + offset // width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.int64()), batch.column(3), pa.array(crcs, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.int64()), batch.column(3), pa.array(crcs, pa.int64())], names=["name", "start", "n_tokens", "ids_crc32"])
 
-    return arrow_map(placed.select("key", "path", "offset", "n", "start"), read, f"key {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", id_col)
+    found = arrow_map(placed.select("name", "path", "offset", "n", "start"), read, "name string, start long, n_tokens long, ids_crc32 long")
+    found = materialise(found, "found")
+    return named.join(found, F.col("__name") == F.col("name")).select(id_col, "start", "n_tokens", "ids_crc32")

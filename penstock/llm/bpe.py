@@ -13,9 +13,9 @@ carried, so their names cannot clash; an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 from .common import BATCH_BYTES, arrow_map
 
 #: Pieces that a worker remembers, and the longest piece that it remembers: a bound on its memory only.
-REMEMBERED, LONGEST = 250_000, 40
+REMEMBERED, LONGEST = 300_000, 40
+#: Fixed value: the pattern of the published 50k vocabularies.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A space that no visible character follows.
+_unspaced = re.compile(r" (?:\s|\Z)").search
 
 
 @lru_cache(maxsize=1)
@@ -84,7 +88,10 @@ def tokenizer_of_json(path: str):
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary: texts are cut by ``pattern``, each distinct piece is encoded once."""
+    """Encoder and decoder of one vocabulary: texts are cut by ``pattern``, each distinct piece is encoded once.
+
+    Ids are handled packed, little-endian, in 2 bytes where the vocabulary allows and else 4.
+    """
 
     def __init__(self, path: str, pattern: str):
         import os
@@ -92,41 +99,65 @@ class Codec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = tokenizer_of_json(path) if path.endswith(".json") else tokenizer_of_ranks(path)
         self.cut = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        # with this pattern a space before a visible character begins a piece, and no piece looks past its own end into one
+        self.spaced = pattern == SPACED
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         back = {c: b for b, c in enumerate(byte_characters())}
-        self.bytes_of: dict[int, bytes] = {}
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        self.kind = np.dtype("<u2" if len(self.bytes_of) <= 1 << 16 else "<u4")
 
-    def _learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         new = list(pieces)
-        return {p: tuple(e.ids) for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """The ids of each text."""
+        return {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
+
+    def _whole(self, text: str) -> bytes:
+        pieces, known = self.cut(text), self.pieces
+        new = set(pieces).difference(known)  # looks up the pieces; difference_update would walk all that is known
+        if new:
+            if len(known) > REMEMBERED:
+                known.clear()
+                new = set(pieces)
+            learnt = self._learn(new)
+            known.update((p, i) for p, i in learnt.items() if len(p) <= LONGEST)
+            known = {p: learnt[p] if p in learnt else known[p] for p in set(pieces)}
+        return b"".join(map(known.__getitem__, pieces))
+
+    def _by_chunks(self, text: str) -> bytes:
+        """Cut at single spaces before the pattern cuts: each chunk but the first has its space in front."""
+        first, *rest = text.split(" ")
+        known = self.chunks
+        new = set(rest).difference(known)
+        if new:
+            if len(known) > REMEMBERED:
+                known.clear()
+                new = set(rest)
+            learnt = {c: self._whole(" " + c) for c in new}
+            known.update((c, i) for c, i in learnt.items() if len(c) <= LONGEST)
+            known = {c: learnt[c] if c in learnt else known[c] for c in set(rest)}
+        return self._whole(first) + b"".join(map(known.__getitem__, rest))
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The packed ids of each text."""
         for text in texts:
-            pieces = self.cut(text) if text else []
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            known = self.known
-            new = set(pieces).difference(known)  # looks up the pieces; difference_update would walk all that is known
-            if new:
-                learnt = self._learn(new)
-                known.update((p, i) for p, i in learnt.items() if len(p) <= LONGEST)
-                if len(learnt) > REMEMBERED or any(len(p) > LONGEST for p in new):
-                    known = {**{p: known[p] for p in set(pieces) if p in known}, **learnt}
-            yield list(chain.from_iterable(map(known.__getitem__, pieces)))
-
-    def decode(self, ids: list[int]) -> bytes:
+            yield b"" if not text else self._by_chunks(text) if self.spaced and not _unspaced(text) else self._whole(text)
+
+    def ids(self, packed: bytes) -> np.ndarray:
+        return np.frombuffer(packed, self.kind)
+
+    def decode(self, ids) -> bytes:
         """The bytes of the ids; joined first, so characters split over tokens come out whole."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def offsets(self, ids: list[int], text: str) -> list[tuple[int, int]]:
+    def offsets(self, ids: np.ndarray, text: str) -> list[tuple[int, int]]:
         """(begin, end) of each token in characters of the text; part of a character counts as the character."""
         size = np.array([len(c.encode("utf-8", "surrogatepass")) for c in text], np.int64)
         owner = np.repeat(np.arange(len(text)), size)
-        ends = np.cumsum([len(self.bytes_of[i]) for i in ids]) if ids else np.zeros(0, np.int64)
-        begins = np.concatenate([[0], ends[:-1]]) if ids else ends
+        ends = np.cumsum([len(self.bytes_of[i]) for i in ids]) if len(ids) else np.zeros(0, np.int64)
+        begins = np.concatenate([[0], ends[:-1]]) if len(ids) else ends
         return [(int(owner[a]), int(owner[b - 1]) + 1) for a, b in zip(begins, ends, strict=True)]
 
 
@@ -136,10 +167,10 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def list_array(lists: list[list[int]]) -> pa.Array:
+def list_array(lists: list) -> pa.Array:
     offsets = np.zeros(len(lists) + 1, np.int32)
     np.cumsum([len(x) for x in lists], out=offsets[1:])
-    values = np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1]))
+    values = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
@@ -155,18 +186,19 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_i
         it = codec(vocabulary, pattern)
         for batch in batches:
             keys, texts, begin, size = batch.column(0), batch.column(1).to_pylist(), 0, 0
-            lists: list[list[int]] = []
+            lists: list[np.ndarray] = []
 
-            def flush(upto: int, begin: int, lists: list[list[int]]) -> pa.RecordBatch:
+            def flush(upto: int, begin: int, lists: list[np.ndarray]) -> pa.RecordBatch:
                 out = [keys.slice(begin, upto - begin), list_array(lists)]
                 if decode:
-                    out.append(pa.array([it.decode(x) for x in lists], pa.binary()))
+                    out.append(pa.array([it.decode(x.tolist()) for x in lists], pa.binary()))
                 if offsets:
                     spans = [it.offsets(x, texts[begin + k] or "") for k, x in enumerate(lists)]
-                    out += [list_array([[p[side] for p in x] for x in spans]) for side in (0, 1)]
+                    out += [list_array([np.array([p[side] for p in x], np.int32) for x in spans]) for side in (0, 1)]
                 return pa.RecordBatch.from_arrays(out, names=["key", "ids", *["decoded"] * decode, *["begins", "ends"] * offsets])
 
-            for k, ids in enumerate(it.encode(texts)):
+            for k, packed in enumerate(it.encode(texts)):
+                ids = it.ids(packed)
                 lists.append(ids)
                 size += 8 * len(ids) * (1 + 2 * offsets)
                 if size > BATCH_BYTES:

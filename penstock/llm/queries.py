@@ -21,9 +21,8 @@ def op1_bpe(spark, sf_dir):
 
 def op2_token_ids(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    written, _ = binary.write_shards(docs, *_tokenizer("byte_bpe_50k.json"))
-    index, shards = binary.write_index(written)
-    return binary.read_back(docs, index, shards)
+    written = binary.write_shards(docs, *_tokenizer("byte_bpe_50k.json"))
+    return binary.read_back(docs, binary.write_index(written))
 
 
 def op3_langid(spark, sf_dir):
