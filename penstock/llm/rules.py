@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialise, n_words_column
+from .common import SPACES, hold, materialise, n_words_column
 
 #: Words of a repeat window, least words, largest percentage of repeated words, and the rate above which a host goes.
 WINDOW, LEAST_WORDS, MOST_REPEATED, HOST_RATE = 8, 20, 30, 0.85
@@ -105,7 +105,7 @@ def quality_rules(df: DataFrame, *, text_col: str = "text", host_col: str = "sou
     knows, meet them again.
     """
     counted = base_counts(df, text_col=text_col)
-    counted = materialise(counted if keep_text else counted.drop(text_col), "counted")
+    counted = hold(materialise(counted if keep_text else counted.drop(text_col), "counted"))
     bad = materialise(host_verdicts(counted, host_col=host_col).filter(~F.col("host_kept")).select(F.col("host").alias("__host"), F.lit(True).alias("__bad")), "bad-hosts")
     joined = counted.join(bad, counted[host_col].eqNullSafe(bad["__host"]), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("__bad").isNull()).drop("__host", "__bad")

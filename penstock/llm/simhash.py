@@ -46,6 +46,14 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the 64-bit hashes."""
+    ones = np.zeros(64, np.int64)
+    for begin in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[begin : begin + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long) of every whole text: one narrow pass."""
 

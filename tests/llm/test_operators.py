@@ -68,10 +68,48 @@ def test_op2(spark, at):
         start += len(ids)
 
 
-def test_index_finds_all_keys_and_no_other():
-    keys = [f"k{k}" for k in range(3000)]
-    part = binary.IndexPart(binary.index_bytes(keys, np.arange(3000), np.arange(3000) * 2, np.arange(3000) + 1))
-    assert all(part.find(x) == (k, 2 * k, k + 1) for k, x in enumerate(keys)) and part.find("other") is None
+def test_index_finds_all_names_and_no_other(monkeypatch):
+    names = [f"k{k}" for k in range(3000)]
+    part = binary.IndexPart(binary.index_bytes(names, np.arange(3000), np.arange(3000) * 2, np.arange(3000) + 1))
+    slots, there = part.find(names)
+    assert there.all() and [tuple(x)[1:] for x in slots] == [(k, 2 * k, k + 1) for k in range(3000)] and not part.find(["other"])[1].any()
+    plain = binary._hashes
+    # two names with one hash under the first seed: another seed is taken
+    monkeypatch.setattr(binary, "_hashes", lambda names, seed: (plain(names, seed)[0] * np.uint64(seed > 0), plain(names, seed)[1]))
+    monkeypatch.setattr(binary, "TRIES", 1 << 14)
+    part = binary.IndexPart(binary.index_bytes(names[:50], *[np.arange(50)] * 3))
+    assert part.seed == 1 and part.find(names[:50])[1].all()
+
+
+def test_shards_with_null_and_repeated_ids(spark, monkeypatch):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(binary, "PART", 2)
+    big = 1152921504606846977
+    rows = [(None, "null one"), (None, "null two"), (big, "x y"), (big, "x y"), (5, "five"), (5, None), (5, "")] + [(k, f"text {k}") for k in range(6, 10)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = binary.read_back(df, binary.write_index(binary.write_shards(df, str(P.path("byte_bpe_50k.json")), P.PATTERN))).collect()
+    it = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    crc = lambda t: zlib.crc32(np.array([*it.encode(t or "").ids, 0], "<u4").tobytes())
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == Counter((k, crc(t)) for k, t in rows)
+    assert all(r["start"] < 6 for r in got if r["doc_id"] is None) and max(r["start"] for r in got) == next(r["start"] for r in got if r["doc_id"] == big)
+
+
+def test_chunks_encode_like_whole_texts():
+    import public_tokenizers as P
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    it = bpe.codec(str(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    assert it.spaced
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.text(st.sampled_from("a1'st. \n\t\x1c\u00a0\u3000é🙂"), max_size=12))
+    def same(text):
+        assert next(it.encode([text])) == it._whole(text)
+
+    same()
 
 
 def test_op3(spark, at):
@@ -113,13 +151,16 @@ def test_op5(spark, at):
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()), r["doc_id"]
 
 
-def test_designated_symbols_depend_on_the_window_alone():
+def test_windows_are_filed_by_their_words_alone():
     rng = np.random.default_rng(1)
     for trial in range(300):
         names = substrings._mixed(rng.integers(0, [2, 3, 1000][trial % 3], 50).astype(np.uint64) + np.uint64(7))
-        around = [substrings._mixed(rng.integers(0, 3, 40).astype(np.uint64) + np.uint64(7)) for _ in range(4)]
-        a, b = (substrings.designated(np.concatenate([x, names, y]))[len(x)] for x, y in (around[:2], around[2:]))
-        assert a == b
+        around = [substrings._mixed(rng.integers(0, 3, rng.integers(1, 40)).astype(np.uint64) + np.uint64(7)) for _ in range(4)]
+        found = set()
+        for x, y in (around[:2], around[2:]):
+            _, of, name = substrings.filed([around[0][:50].repeat(50), np.concatenate([x, names, y])])
+            found.add(int(name[of[len(around[0]) * 50 - 49 + len(x)]]))
+        assert len(found) == 1
 
 
 def test_op6(spark, at):
