@@ -13,9 +13,9 @@ carried, so their names cannot clash; an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,9 @@ from pyspark.sql import functions as F
 from .common import BATCH_BYTES, arrow_map
 
 #: Pieces that a worker remembers, and the longest piece that it remembers: a bound on its memory only.
-REMEMBERED, LONGEST = 300_000, 40
-#: Fixed value: the pattern of the published 50k vocabularies.
-SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A space that no visible character follows.
-_unspaced = re.compile(r" (?:\s|\Z)").search
+REMEMBERED, LONGEST = 400_000, 40
+#: Characters of texts whose new pieces are encoded together.
+GROUP = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -99,10 +97,7 @@ class Codec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = tokenizer_of_json(path) if path.endswith(".json") else tokenizer_of_ranks(path)
         self.cut = regex.compile(pattern).findall
-        # with this pattern a space before a visible character begins a piece, and no piece looks past its own end into one
-        self.spaced = pattern == SPACED
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         back = {c: b for b, c in enumerate(byte_characters())}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
@@ -110,40 +105,36 @@ class Codec:
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.kind = np.dtype("<u2" if len(self.bytes_of) <= 1 << 16 else "<u4")
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode the pieces in one call and remember the packed ids of each."""
         new = list(pieces)
-        return {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-
-    def _whole(self, text: str) -> bytes:
-        pieces, known = self.cut(text), self.pieces
-        new = set(pieces).difference(known)  # looks up the pieces; difference_update would walk all that is known
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = set(pieces)
-            learnt = self._learn(new)
-            known.update((p, i) for p, i in learnt.items() if len(p) <= LONGEST)
-            known = {p: learnt[p] if p in learnt else known[p] for p in set(pieces)}
-        return b"".join(map(known.__getitem__, pieces))
-
-    def _by_chunks(self, text: str) -> bytes:
-        """Cut at single spaces before the pattern cuts: each chunk but the first has its space in front."""
-        first, *rest = text.split(" ")
-        known = self.chunks
-        new = set(rest).difference(known)
+        made = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+        packed, size = np.array(made.ids, self.kind).tobytes(), self.kind.itemsize
+        ends = (np.cumsum(np.bincount(made.word_ids, minlength=len(new))) * size).tolist()
+        self.known.update((p, packed[a:b]) for p, a, b in zip(new, [0, *ends], ends))
+
+    def _group(self, texts: list[str | None]) -> Iterator[bytes]:
+        cuts = [self.cut(t) if t else () for t in texts]
+        new = set(chain.from_iterable(cuts)).difference(self.known)  # looks up the pieces; difference_update would walk all that is known
         if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = set(rest)
-            learnt = {c: self._whole(" " + c) for c in new}
-            known.update((c, i) for c, i in learnt.items() if len(c) <= LONGEST)
-            known = {c: learnt[c] if c in learnt else known[c] for c in set(rest)}
-        return self._whole(first) + b"".join(map(known.__getitem__, rest))
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+                new = set(chain.from_iterable(cuts))
+            self._learn(new)
+        for cut in cuts:
+            yield b"".join(map(self.known.__getitem__, cut))
+        for p in new:
+            if len(p) > LONGEST:
+                del self.known[p]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The packed ids of each text."""
-        for text in texts:
-            yield b"" if not text else self._by_chunks(text) if self.spaced and not _unspaced(text) else self._whole(text)
+        """The packed ids of each text; new pieces are encoded in groups of about GROUP characters of text."""
+        begin, size = 0, 0
+        for k, text in enumerate(texts):
+            size += len(text or "")
+            if size > GROUP or k + 1 == len(texts):
+                yield from self._group(texts[begin : k + 1])
+                begin, size = k + 1, 0
 
     def ids(self, packed: bytes) -> np.ndarray:
         return np.frombuffer(packed, self.kind)

@@ -96,18 +96,22 @@ def test_shards_with_null_and_repeated_ids(spark, monkeypatch):
     assert all(r["start"] < 6 for r in got if r["doc_id"] is None) and max(r["start"] for r in got) == next(r["start"] for r in got if r["doc_id"] == big)
 
 
-def test_chunks_encode_like_whole_texts():
+def test_groups_encode_like_single_texts(monkeypatch):
     import public_tokenizers as P
+    import tiktoken
     from hypothesis import given, settings
     from hypothesis import strategies as st
 
-    it = bpe.codec(str(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
-    assert it.spaced
+    path = str(P.path("byte_bpe_50k.tiktoken"))
+    want = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    it = bpe.Codec(path, P.PATTERN)
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    monkeypatch.setattr(bpe, "GROUP", 15)
 
-    @settings(max_examples=400, deadline=None)
-    @given(st.text(st.sampled_from("a1'st. \n\t\x1c\u00a0\u3000é🙂"), max_size=12))
-    def same(text):
-        assert next(it.encode([text])) == it._whole(text)
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.text(st.sampled_from("a1'st. \n\t\x1c\u00a0\u3000é🙂"), max_size=60), max_size=4))
+    def same(texts):
+        assert [it.ids(x).tolist() for x in it.encode(texts)] == [want.encode_ordinary(t) for t in texts]
 
     same()
 
