@@ -1,15 +1,103 @@
-"""Cross-source reconciliation: spread statistics and agreement classes."""
+"""Cross-source reconciliation: spread, classes, causes, comparisons and parity reports."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key with two or more values: n, mean, population cv and class. A cv of zero is in no class, edges close on the right."""
-    out = df.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high")).filter("n >= 2")
-    cv = F.col("sd") / F.nullif(F.col("mean"), F.lit(0.0)) * 100
-    out = out.withColumn("cv", cv)
-    bucket = F.when(F.col("cv") <= 0, None).when(F.col("cv") <= 10, "agree").when(F.col("cv") <= 25, "moderate").when(F.col("cv") <= 50, "divergent").when(F.col("cv") > 50, "major")
-    return out.withColumn("agreement", bucket)
+def bucket_right(value: Column, edges: list[float], labels: list[str]) -> Column:
+    """Classes (edge, next edge]; the last is open. A value at or below the first edge is in none."""
+    out = F.when(value > edges[-1], labels[-1])
+    for k in range(len(edges) - 2, -1, -1):
+        out = F.when((value > edges[k]) & (value <= edges[k + 1]), labels[k]).otherwise(out)
+    return out
+
+
+def bucket_left(value: Column, edges: list[float], labels: list[str]) -> Column:
+    """Classes [edge, next edge): ``labels`` has one more, the first, for what is below the first edge."""
+    out = F.when(value >= edges[-1], labels[-1])
+    for edge, label in list(zip(edges, labels))[::-1]:
+        out = F.when(value < edge, label).otherwise(out)
+    return out
+
+
+#: Classes of the coefficient of variation in percent.
+CV_EDGES, CV_LABELS = [0.0, 10.0, 25.0, 50.0, 100.0], ["<10% agree", "10-25% moderate", "25-50% divergent", "50-100% major", ">100% conflict"]
+
+
+def variance(df: DataFrame, *, key: str = "pwsid", threshold: float = 25.0) -> DataFrame:
+    """Per key with two sources or more: spread, cv in percent (population), sources, causes and class.
+
+    ``df`` has key, source, bill, vintage and flags (array<string>). A mean of zero or less has a cv of zero, which is
+    in no class. One aggregate: sources and flags of a key are sets of a few names.
+    """
+    rows = df.filter("bill is not null")
+    has = lambda text: F.max(F.exists("flags", lambda f: f.contains(text)))
+    out = rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_records"), F.avg("bill").alias("mean"), F.min("bill").alias("low"), F.max("bill").alias("high"), F.stddev_pop("bill").alias("sd"), F.array_sort(F.collect_set("source")).alias("names"),
+        F.max(F.size("flags") > 0).alias("has_quality_flags"), has("ear_tier_limit_inflated").alias("ear"), has("bill_suspiciously_high").alias("combined"), has("stale_vintage").alias("stale"), has("bill_suspiciously_low").alias("odd"),
+        (F.datediff(F.max("vintage"), F.min("vintage")) / 365.25).alias("years"),
+    )
+    out = out.filter(F.size("names") > 1).withColumn("cv", F.when(F.col("mean") > 0, F.col("sd") / F.col("mean") * 100).otherwise(0.0))
+    found = [F.when(F.col(c), label) for c, label in (("ear", "eAR_tier_inflation"), ("combined", "possible_combined_charges"), ("stale", "stale_vintage"), ("odd", "data_quality_low"))]
+    found.append(F.when(F.col("years") > 3, F.concat(F.lit("vintage_gap_"), F.bround("years", 0).cast("int").cast("string"), F.lit("yr"))))
+    causes = F.concat_ws("; ", *found)
+    causes = F.when(causes != "", causes).when(F.col("cv") > threshold, "unexplained").otherwise("within_tolerance")
+    return out.select(
+        key, F.size("names").alias("n_sources"), F.array_join("names", ", ").alias("sources"), "n_records", F.round("mean", 2).alias("mean_bill"), F.round("low", 2).alias("min_bill"), F.round("high", 2).alias("max_bill"), F.round(F.col("high") - F.col("low"), 2).alias("spread"),
+        F.round("cv", 1).alias("cv_pct"), "has_quality_flags", causes.alias("divergence_causes"),
+    ).withColumn("class", bucket_right(F.col("cv_pct"), CV_EDGES, CV_LABELS))
+
+
+def tag_counts(df: DataFrame, tags: Column) -> DataFrame:
+    """(tag, n) of an array column."""
+    return df.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def combined_suspects(df: DataFrame, *, key: str = "pwsid", scraped: str = "scraped_llm", reasonable: float = 500.0) -> DataFrame:
+    """Keys whose scraped bill is above 40 and above 1.5 times the median of the other sources' reasonable bills."""
+    own, other = F.col("source") == scraped, F.col("source") != scraped
+    out = df.filter("bill is not null").groupBy(key).agg(F.min_by("bill", F.when(own, F.col("id"))).alias("scraped_bill"), F.percentile(F.when(other & (F.col("bill") < reasonable), F.col("bill")), F.lit(0.5)).alias("other_median"))
+    out = out.filter((F.col("scraped_bill") > 1.5 * F.col("other_median")) & (F.col("scraped_bill") > 40))
+    return out.withColumn("ratio", F.round(F.col("scraped_bill") / F.col("other_median"), 2))
+
+
+def overlap(df: DataFrame, left: Column, right: Column, *, key: str = "pwsid") -> DataFrame:
+    """(key, a, b, pct_diff, abs_diff): the first bills of two sources of a key, in one aggregate in place of a self join."""
+    first = lambda c: F.min_by("bill", F.when(c & F.col("bill").isNotNull(), F.col("id")))
+    out = df.groupBy(key).agg(first(left).alias("a"), first(right).alias("b")).filter("a > 0 and b is not null")
+    return out.withColumn("pct_diff", (F.col("b") - F.col("a")) / F.col("a") * 100).withColumn("abs_diff", F.abs("pct_diff"))
+
+
+def agreement_report(pairs: DataFrame, *by: str) -> DataFrame:
+    """Per group: n, median difference, counts in left-closed classes, direction of the large ones."""
+    count = lambda lo, hi: F.count_if((F.col("abs_diff") >= lo) & (F.col("abs_diff") < hi))
+    return pairs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile("pct_diff", F.lit(0.5)).alias("median_diff"), count(0, 10).alias("lt10"), count(10, 25).alias("b10_25"), count(25, 50).alias("b25_50"), count(50, float("inf")).alias("gt50"),
+        F.count_if((F.col("abs_diff") >= 50) & (F.col("pct_diff") > 0)).alias("higher"), F.avg("a").alias("avg_a"), F.avg("b").alias("avg_b"),
+    )
+
+
+def compare_runs(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, outcome): recovered, improved, degraded or unchanged values from one run to the next."""
+    b, a = before.select(key, F.col(value).alias("__old")), after.select(key, F.col(value).alias("__new"))
+    old, new = F.col("__old"), F.col("__new")
+    outcome = F.when(old.isNull() & new.isNotNull(), "recovered").when(new > old, "improved").when((new < old) | (old.isNotNull() & new.isNull()), "degraded").otherwise("unchanged")
+    return b.join(a, key).select(key, outcome.alias("outcome"))
+
+
+def parity(a: DataFrame, b: DataFrame, by: str, key: str) -> DataFrame:
+    """(by, rows and keys of both tables, gap): a full outer join of two counts; a missing side counts zero."""
+    count = lambda df, side: df.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias(f"rows_{side}"), F.count_distinct(key).alias(f"keys_{side}"))
+    out = count(a, "a").join(count(b, "b"), "__by", "full").fillna(0)
+    return out.withColumnRenamed("__by", by).withColumn("gap", F.col("rows_a") - F.col("rows_b"))
+
+
+def error_classes(pairs: DataFrame) -> DataFrame:
+    """One row: how many pairs (a, b, b20, structure) fall into each class of disagreement."""
+    a, b, diff = F.col("a"), F.col("b"), F.abs(F.col("b") - F.col("a")) / F.nullif(F.col("a"), F.lit(0.0)) * 100
+    return pairs.agg(
+        F.count_if(diff >= 400).alias("factor"), F.count_if(F.coalesce(a, F.lit(0.0)).eqNullSafe(0.0) & (b > 5)).alias("missing"), F.count_if((a > 500) & (b < 100)).alias("high_low"),
+        F.count_if(F.col("structure").isin("flat", "uniform") & (F.col("b20") / F.nullif(b, F.lit(0.0)) > 2.5)).alias("steep"), F.count_if(b > 200).alias("large"),
+    )

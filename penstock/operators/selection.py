@@ -1,21 +1,61 @@
-"""Best-estimate selection and status derivation."""
+"""Selection: source priorities, comparable bills, the best estimate of a key, one row per key."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def priority_of(source: Column, exact: dict[str, int], prefixes: list[tuple[str, int]], fallback: int = 5) -> Column:
+@dataclass(frozen=True)
+class Priorities:
+    """What ranks sources: exact names, then prefixes in order, then a fallback; anchors and tolerance by state."""
+
+    exact: dict[str, int]
+    prefixes: tuple[tuple[str, int], ...] = ()
+    fallback: int = 5
+    tiers: dict[str, str] = field(default_factory=dict)
+    prefix_tiers: tuple[tuple[str, str], ...] = ()
+    fallback_tier: str = "free"
+    anchors: dict[str, tuple[tuple[str, ...], float]] = field(default_factory=dict)
+
+
+#: The published configuration, in short.
+PUBLISHED = Priorities(
+    exact={"scraped_llm": 1, "swrcb_ear_2022": 3, "swrcb_ear_2021": 4, "swrcb_ear_2020": 6, "efc_nc_2025": 3, "duke_nieps_10state": 8},
+    prefixes=(("efc_", 3), ("swrcb_", 3)),
+    tiers={"scraped_llm": "premium", "duke_nieps_10state": "reference"},
+    prefix_tiers=(("efc_", "free"), ("swrcb_", "free")),
+    anchors={"CA": (("swrcb_ear_2022", "swrcb_ear_2021"), 0.25)},
+)
+
+
+def resolve(source: Column, exact: dict, prefixes, fallback) -> Column:
     """Exact name, then the first prefix that fits, then the fallback: one expression, no join."""
     out = F.lit(fallback)
-    for prefix, p in reversed(prefixes):
-        out = F.when(source.startswith(prefix), p).otherwise(out)
-    for name, p in exact.items():
-        out = F.when(source == name, p).otherwise(out)
+    for prefix, value in reversed(tuple(prefixes)):
+        out = F.when(source.startswith(prefix), value).otherwise(out)
+    for name, value in exact.items():
+        out = F.when(source == name, value).otherwise(out)
     return out
 
 
+def priority_of(source: Column, exact: dict[str, int], prefixes, fallback: int = 5) -> Column:
+    return resolve(source, exact, prefixes, fallback)
+
+
+def comparable_bill(b10: Column, b9: Column, b12: Column, b6: Column | None = None) -> Column:
+    """The bill at 10 CCF, else between 9 and 12, else at 12, else (where given) at 6; only positive bills count."""
+    good = lambda b: F.when((b > 0) & ~F.isnan(b), b)
+    steps = [good(b10), F.round(good(b9) + (good(b12) - good(b9)) / 3.0, 2), good(b12)]
+    return F.coalesce(*steps, *([good(b6)] if b6 is not None else []))
+
+
+def comparable_method(b10: Column, b9: Column, b12: Column) -> Column:
+    return F.when(b10 > 0, "10ccf").when((b9 > 0) & (b12 > 0), "interp_10").when(b12 > 0, "12ccf")
+
+
 def best_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in ``order``, which should be total. A min_by aggregate: partial before the shuffle."""
     names = [c for c in df.columns if c not in keys]
@@ -23,13 +63,99 @@ def best_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return picked.select(*keys, *[F.col(f"__best.`{c}`").alias(c) for c in names])
 
 
-def with_anchor(df: DataFrame, key: str, value: str, is_anchor: Column, tolerance: float = 0.25) -> DataFrame:
-    """Each row's deviation from its key's anchor value, and whether it is within ``tolerance``."""
-    out = df.withColumn("anchor", F.max(F.when(is_anchor, F.col(value))).over(Window.partitionBy(key)))
-    gap = F.abs(F.col(value) - F.col("anchor")) / F.nullif(F.col("anchor"), F.lit(0.0))
-    return out.withColumn("anchor_gap", gap).withColumn("agrees", gap <= tolerance)
+def top_by(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
+    """The first ``n`` rows of each key with their ranks from 1."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
+
+
+def best_estimate(rates: DataFrame, config: Priorities = PUBLISHED) -> DataFrame:
+    """One row per pwsid: the comparable bill of the source of the best priority, with anchor, confidence and notes.
+
+    ``rates`` has id, pwsid, state_code, source, bill_6ccf, bill_9ccf, bill_10ccf, bill_12ccf, confidence and
+    vintage_date. Equal priorities go by source, then the later vintage, then id. One aggregate, one shuffle; keys
+    without a comparable bill keep a row of confidence ``none``.
+    """
+    bill = comparable_bill(F.col("bill_10ccf"), F.col("bill_9ccf"), F.col("bill_12ccf"), F.col("bill_6ccf"))
+    low = (F.col("source") == "scraped_llm") & (F.col("confidence") == "low")
+    base = resolve(F.col("source"), config.exact, config.prefixes, config.fallback)
+    rank, tolerance = F.lit(None).cast("int"), F.lit(0.25)
+    for state, (sources, most) in config.anchors.items():
+        for k, source in enumerate(sources):
+            rank = F.when((F.col("state_code") == state) & (F.col("source") == source), k).otherwise(rank)
+        tolerance = F.when(F.col("state_code") == state, most).otherwise(tolerance)
+    rows = rates.withColumn("comp", bill).withColumn("priority", F.when(low, F.greatest(base, F.lit(6))).otherwise(base)).withColumn("anchor_rank", F.when(F.col("comp").isNotNull(), rank))
+    order = F.struct("priority", "source", F.coalesce(F.datediff(F.lit("9999-12-31"), "vintage_date"), F.lit(1 << 30)), "id")
+    best = F.struct("source", "comp", "priority", "confidence", "vintage_date", "bill_10ccf", "bill_6ccf", "bill_12ccf")
+    out = rows.groupBy("pwsid").agg(
+        F.min_by("state_code", "id").alias("state_code"),
+        F.min_by(best, F.when(F.col("comp").isNotNull(), order)).alias("best"),
+        F.min_by(F.struct("source", "comp"), F.when(F.col("anchor_rank").isNotNull(), F.struct("anchor_rank", "id"))).alias("anchor"),
+        F.size(F.collect_set("source")).alias("n_sources"),
+    )
+    diff = F.abs(F.col("best.comp") - F.col("anchor.comp")) / F.col("anchor.comp")
+    share = F.concat(F.lit(" ("), F.bround(diff * 100, 0).cast("int").cast("string"), F.lit("% diff)"))
+    notes = (
+        F.when(F.col("best").isNull(), "no comparable bill from any source")
+        .when(F.col("best.source") != "scraped_llm", "")
+        .when(F.col("best.confidence") == "low", "low_confidence")
+        .when(F.col("anchor").isNull(), "no_anchor_available")
+        .when(diff <= tolerance, F.concat(F.lit("anchor_agrees"), share))
+        .otherwise(F.concat(F.lit("anchor_diverges_qa_flag"), share))
+    )
+    source = F.col("best.source")
+    confidence = (
+        F.when(F.col("best").isNull(), "none")
+        .when((F.col("best.priority") == 0) | source.startswith("swrcb_ear") | source.startswith("efc_"), "high")
+        .when(source == "owrs", "medium")
+        .when(F.col("best.confidence") == "low", "low")
+        .otherwise("medium")
+    )
+    return out.select(
+        "pwsid", "state_code", source.alias("selected_source"), F.round("best.comp", 2).alias("bill_estimate_10ccf"), F.col("best.bill_10ccf").alias("bill_10ccf"), F.col("best.bill_6ccf").alias("bill_6ccf"), F.col("best.bill_12ccf").alias("bill_12ccf"),
+        F.col("best.vintage_date").alias("vintage_date"), "n_sources", F.col("anchor.source").alias("anchor_source"), F.col("anchor.comp").alias("anchor_bill"), confidence.alias("confidence"), notes.alias("selection_notes"),
+    )
+
+
+def anchored_estimate(rates: DataFrame, anchor: str, candidate: str, tolerance: float = 0.25) -> DataFrame:
+    """The older rule: a candidate source wins where it agrees with its key's anchor, or there is no anchor; else the anchor wins."""
+    bill = comparable_bill(F.col("bill_10ccf"), F.col("bill_9ccf"), F.col("bill_12ccf"), F.col("bill_6ccf"))
+    rows = rates.withColumn("comp", bill).filter("comp is not null")
+    first = lambda s: F.min_by("comp", F.when(F.col("source") == s, F.col("id")))
+    out = rows.groupBy("pwsid").agg(first(anchor).alias("anchor"), first(candidate).alias("candidate"))
+    agrees = F.abs(F.col("candidate") - F.col("anchor")) / F.col("anchor") <= tolerance
+    wins = F.col("candidate").isNotNull() & (F.col("anchor").isNull() | agrees)
+    picked = F.when(wins, F.lit(candidate)).when(F.col("anchor").isNotNull(), F.lit(anchor))
+    return out.select("pwsid", picked.alias("source"), F.when(wins, F.col("candidate")).otherwise(F.col("anchor")).alias("bill")).filter("source is not null")
+
+
+def scrape_status(registry: DataFrame, keys: DataFrame, key: str = "pwsid") -> DataFrame:
+    """``keys`` (key, scrape_status) with the status by the registry; later rules win over earlier ones.
+
+    ``registry``: key, status, last_parse_result, last_fetch_at, last_http_status. A success gives succeeded; without
+    one, a fetch with an HTTP status gives attempted_failed; a pending URL and no fetch at all give url_discovered; no
+    entry gives not_attempted; entries that fit no rule leave the old status.
+    """
+    any_of = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    seen = registry.groupBy(F.col(key).alias("__key")).agg(
+        any_of(F.col("last_parse_result") == "success").alias("success"), any_of(F.col("last_fetch_at").isNotNull() & F.col("last_http_status").isNotNull()).alias("answered"),
+        any_of(F.col("status") == "pending").alias("pending"), any_of(F.col("last_fetch_at").isNotNull()).alias("fetched"),
+    )
+    status = F.when(F.col("__key").isNull(), "not_attempted").when(F.col("pending") & ~F.col("fetched"), "url_discovered").when(F.col("success"), "succeeded").when(F.col("answered"), "attempted_failed").otherwise(F.col("scrape_status"))
+    return keys.join(seen, keys[key] == F.col("__key"), "left").withColumn("scrape_status", status).select(*keys.columns)
+
+
+def most_complete(df: DataFrame, keys: list[str], columns: list[str], then: list[Column]) -> DataFrame:
+    """One row per key: that with the most non-null ``columns``; ties by ``then``."""
+    filled = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
+    return best_by(df, keys, [(-filled).alias("filled"), *then])
+
+
+def highest_category(categories: Column, order: list[str]) -> Column:
+    """Of an array of categories the first in ``order``; null if none is in it."""
+    return F.get(F.array_intersect(F.array(*[F.lit(c) for c in order]), categories), F.lit(0))
 
 
-def scrape_status(pending: Column, fetched: Column, succeeded: Column, failed: Column, old: Column) -> Column:
-    """Status by the last rule that applies: found and not fetched, then succeeded, then failed, else the old one."""
-    return F.when(pending & ~fetched, "url_discovered").when(succeeded, "succeeded").when(failed, "failed").otherwise(F.coalesce(old, F.lit("not_attempted")))
+def meter_row(meters: Column, wanted: float = 0.625) -> Column:
+    """Of array<struct<size,amount>> the first of about the wanted size, else the smallest."""
+    near = F.filter(meters, lambda m: F.abs(m["size"] - wanted) < 0.001)
+    return F.coalesce(F.get(near, F.lit(0)), F.array_min(F.filter(meters, lambda m: m["size"].isNotNull())))
