@@ -3,7 +3,8 @@
 An n-gram belongs to a language if its share of that language's n-grams reaches a floor and half of its largest
 share in any language; shares sum to one, so a language has at most 1 / FLOOR n-grams whatever the corpus. The
 bit-sliced Bloom filter is one array of bitmasks: k positions of an n-gram, ANDed, give all the languages that have
-it. A document's count of each language is corrected for that language's rate of false positives.
+it; more than 64 languages take several words a position. A document's count of each language is corrected for that
+language's rate of false positives.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; null languages are not learned from;
 ties go to the language that comes first by code point; repeated rows count each; with no labelled row every text
@@ -21,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise
+from .common import arrow_map, discard, materialise
 
 #: Least share of an n-gram in its language, share of its largest share, characters of an n-gram, filter positions.
 FLOOR, RELATIVE, GRAM, PROBES = 5e-5, 0.5, 3, 4
-#: Characters handled at a time, and languages that a mask can hold.
-BLOCK, MOST_LANGUAGES = 1 << 18, 64
+#: Characters handled at a time, and languages of a mask's word.
+BLOCK, WORD = 1 << 18, 64
 _letter = regex.compile(r"\p{L}")
 _other = regex.compile(r"[^\p{L}\p{M}]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -48,31 +49,47 @@ def grams(text: str | None) -> Iterator[np.ndarray]:
 
 @dataclass
 class Filters:
-    """languages by code point; bits: a mask for each position; rates: false positives of each language."""
+    """languages by code point; bits: a mask of one or more words for each position; rates: false positives of each language."""
 
     languages: list[str]
     bits: np.ndarray
     rates: np.ndarray
 
     def masks(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), ~np.uint64(0))
+        """For each key the words of its mask: all languages that have it, and some by chance."""
+        out = np.full((len(keys), self.bits.shape[1]), ~np.uint64(0))
         for place in places(keys, len(self.bits)):
             out &= self.bits[place]
         return out
 
+    def has(self, masks: np.ndarray, k: int) -> np.ndarray:
+        return masks[:, k // WORD] & np.uint64(1 << k % WORD) != 0
+
     def predict(self, text: str | None) -> tuple[str, float]:
         n, hits = 0, np.zeros(len(self.languages))
         for keys in grams(text):
             found = self.masks(keys)
             n += len(keys)
-            hits += [np.count_nonzero(found & np.uint64(1 << k)) for k in range(len(hits))]
+            hits += [np.count_nonzero(self.has(found, k)) for k in range(len(hits))]
         if not n or not len(hits):
             return "und", 0.0
-        share = np.clip((hits / n - self.rates) / (1 - self.rates), 0, 1)
+        share = np.clip((hits / n - self.rates) / np.maximum(1 - self.rates, 1e-9), 0, 1)
         best = int(share.argmax())
         return self.languages[best], float(share[best] / share.sum()) if share.sum() > 0 else 0.0
 
 
+def build(languages: list[str], keys: np.ndarray, lang: np.ndarray) -> Filters:
+    """Filters of (key, place of its language) pairs: 12 positions or more for each n-gram of the largest language."""
+    size = 1 << max(10, (12 * int(np.bincount(lang).max())).bit_length()) if len(keys) else 1024
+    words = max(1, -(-len(languages) // WORD))
+    bits = np.zeros((size, words), np.uint64)
+    for place in places(keys, size):
+        np.bitwise_or.at(bits, (place, lang // WORD), np.uint64(1) << (lang % WORD).astype(np.uint64))
+    made = Filters(languages, bits, np.zeros(len(languages)))
+    made.rates = np.array([np.count_nonzero(made.has(bits, k)) / size for k in range(len(languages))]) ** PROBES
+    return made
+
+
 def places(keys: np.ndarray, size: int) -> Iterator[np.ndarray]:
     mixed = (keys ^ (keys >> np.uint64(31))) * _A
     step = ((mixed ^ (mixed >> np.uint64(29))) * _B) | np.uint64(1)
@@ -102,27 +119,19 @@ def count_grams(df: DataFrame, *, text_col: str, lang_col: str) -> DataFrame:
     return arrow_map(rows, run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Filters:
-    """Filters of all rows of ``df``. The driver gets at most 1 / FLOOR n-grams of each of at most 64 languages."""
+def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", floor: float = FLOOR, relative: float = RELATIVE) -> Filters:
+    """Filters of all rows of ``df``. The driver gets at most 1 / ``floor`` n-grams of each language."""
     counts = materialise(count_grams(df, text_col=text_col, lang_col=lang_col), "grams")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"a mask holds {MOST_LANGUAGES} languages; there are {len(totals)}")
-    languages = sorted(totals)
-    if not languages:
-        return Filters([], np.zeros(1, np.uint64), np.zeros(0))
-    total = F.create_map(*[F.lit(x) for kv in totals.items() for x in kv])
-    shares = counts.select("lang", "key", (F.col("n") / total[F.col("lang")]).alias("share")).filter(F.col("share") >= FLOOR)
+    sums = materialise(counts.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
+    shares = counts.join(sums.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l")).select("lang", "key", (F.col("n") / F.col("total")).alias("share")).filter(F.col("share") >= floor)
     best = shares.groupBy("key").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "share")).alias("all"))
-    kept = best.select("key", F.explode(F.transform(F.filter("all", lambda x: x["share"] >= RELATIVE * F.col("most")), lambda x: x["lang"])).alias("lang"))
+    kept = best.select("key", F.explode(F.transform(F.filter("all", lambda x: x["share"] >= relative * F.col("most")), lambda x: x["lang"])).alias("lang"))
+    languages = sorted(r["lang"] for r in sums.select("lang").collect())
     pairs = kept.toArrow()
-    keys, lang = pairs["key"].to_numpy().view(np.uint64), np.array([languages.index(x) for x in pairs["lang"].to_pylist()], np.uint64)
-    size = 1 << max(10, (12 * int(np.bincount(lang.astype(np.int64)).max())).bit_length()) if len(keys) else 1024
-    bits = np.zeros(size, np.uint64)
-    for place in places(keys, size):
-        np.bitwise_or.at(bits, place, np.uint64(1) << lang)
-    fill = np.array([np.count_nonzero(bits & np.uint64(1 << k)) / size for k in range(len(languages))])
-    return Filters(languages, bits, fill**PROBES)
+    place = {x: k for k, x in enumerate(languages)}
+    keys, lang = pairs["key"].to_numpy().view(np.uint64), np.array([place[x] for x in pairs["lang"].to_pylist()], np.int64)
+    discard(counts)
+    return build(languages, keys, lang)
 
 
 def identify(df: DataFrame, filters: Filters, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

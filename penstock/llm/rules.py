@@ -1,10 +1,13 @@
 """Host-level quality rules in DataFrame functions only.
 
-Each document gets base counts; failures are summed by host, each host's failure rate is shrunk towards a
-beta prior fitted to all hosts by moments, and hosts whose shrunk rate is above a threshold lose all their
-documents.
-
-Defined cases: null and empty texts have zero words and fail the base rule; a null host is a host of its own;
+Each document gets base counts and fails rules of its own: few words, repeated windows (these two are the base
+rule), many symbols, repeated lines. Failures are summed by host and rule; for each rule a host's failure rate is
+shrunk towards a beta prior that is fitted to all hosts by moments. A host loses all its documents if by its shrunk
+rate, less one standard deviation of its own beta distribution, most of them fail one and the same rule, and if the
+rate is unlike the other hosts': above the prior's mean by a factor of TIMES.
+
+Defined cases: a host of few documents stays near the prior; hosts that all fail alike are not unlike each other and
+stay; null and empty texts have zero words and fail the base rule; a null host is a host of its own;
 repeated rows count each; an empty table gives an empty table; columns of the input are kept unless named like
 one of COUNTS, base_failed or kept, which are replaced.
 """
@@ -16,8 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, hold, materialise, n_words_column
 
-#: Words of a repeat window, least words, largest percentage of repeated words, and the rate above which a host goes.
-WINDOW, LEAST_WORDS, MOST_REPEATED, HOST_RATE = 8, 20, 30, 0.85
+#: Words of a repeat window, least words, largest percentage of repeated words, of symbols by words, of repeated lines.
+WINDOW, LEAST_WORDS, MOST_REPEATED, MOST_SYMBOLS, MOST_DUP_LINES = 8, 20, 30, 10, 30
+#: Shrunk rate above which a host goes, and multiple of the prior's mean that it must exceed as well.
+HOST_RATE, TIMES = 0.5, 1.5
+RULES = ("few_words", "repeats", "symbols", "dup_lines")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -76,26 +82,43 @@ def base_counts(df: DataFrame, *, text_col: str = "text") -> DataFrame:
         "n_dup_lines": _let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long"),
         "n_repeat_words": _repeat_words(words).cast("long"),
     }
-    out = df.withColumns(made)
+    out = df.withColumns(made).withColumn("__lines", F.size(lines).cast("long"))
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def host_verdicts(counted: DataFrame, *, host_col: str = "source", most: float = HOST_RATE) -> DataFrame:
-    """One row per host: host, n, failed, rate (shrunk by the empirical beta prior), host_kept.
+def failures() -> dict[str, Column]:
+    """Whether a counted document fails each of RULES."""
+    return {
+        "few_words": F.col("n_words") < LEAST_WORDS,
+        "repeats": 100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"),
+        "symbols": 100 * F.col("n_symbols") > MOST_SYMBOLS * F.col("n_words"),
+        "dup_lines": 100 * F.col("n_dup_lines") > MOST_DUP_LINES * F.col("__lines"),
+    }
+
+
+def host_verdicts(counted: DataFrame, *, host_col: str = "source", most: float = HOST_RATE, times: float = TIMES) -> DataFrame:
+    """One row per host: host, n, a failure count and a shrunk rate by rule, host_kept.
 
-    The prior is two numbers made from all hosts. With hosts of one rate it is as strong as the mean host.
+    A prior is two numbers a rule, made from all hosts. With hosts of one rate it is as strong as the mean host.
     """
-    hosts = counted.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    fails = failures()
+    hosts = counted.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(r) for r, c in fails.items()])
     hosts = materialise(hosts, "hosts")
-    rate = F.col("failed") / F.col("n")
-    got = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg("n").alias("n"), F.avg(1 / F.col("n")).alias("inv")).first()
-    m, n = got["m"] or 0.0, got["n"] or 1.0
-    # the variance between hosts is what sampling of each host's documents does not explain
-    between = (got["v"] or 0.0) - m * (1 - m) * (got["inv"] or 0.0)
-    strength = min(n, m * (1 - m) / between - 1) if between > 0 and 0 < m < 1 else n
-    strength = max(strength, 1.0)
-    shrunk = (F.col("failed") + m * strength) / (F.col("n") + strength)
-    return hosts.withColumn("rate", shrunk).withColumn("host_kept", shrunk <= most)
+    rate = lambda r: F.col(r) / F.col("n")
+    moments = [x for r in fails for x in (F.avg(rate(r)).alias(f"m_{r}"), F.var_pop(rate(r)).alias(f"v_{r}"))]
+    got = hosts.agg(F.avg("n").alias("n"), F.avg(1 / F.col("n")).alias("inv"), *moments).first()
+    n, kept, out = got["n"] or 1.0, F.lit(True), hosts
+    for r in fails:
+        m = got[f"m_{r}"] or 0.0
+        # the variance between hosts is what sampling of each host's documents does not explain
+        between = (got[f"v_{r}"] or 0.0) - m * (1 - m) * (got["inv"] or 0.0)
+        strength = min(n, m * (1 - m) / between - 1) if between > 0 and 0 < m < 1 else n
+        strength = max(strength, 1.0)
+        shrunk = (F.col(r) + m * strength) / (F.col("n") + strength)
+        out = out.withColumn(f"rate_{r}", shrunk)
+        sure = shrunk - F.sqrt(shrunk * (1 - shrunk) / (F.col("n") + strength + 1))
+        kept = kept & ~((sure > most) & (shrunk > times * m))
+    return out.withColumn("host_kept", kept)
 
 
 def quality_rules(df: DataFrame, *, text_col: str = "text", host_col: str = "source", keep_text: bool = False) -> DataFrame:
@@ -108,4 +131,4 @@ def quality_rules(df: DataFrame, *, text_col: str = "text", host_col: str = "sou
     counted = hold(materialise(counted if keep_text else counted.drop(text_col), "counted"))
     bad = materialise(host_verdicts(counted, host_col=host_col).filter(~F.col("host_kept")).select(F.col("host").alias("__host"), F.lit(True).alias("__bad")), "bad-hosts")
     joined = counted.join(bad, counted[host_col].eqNullSafe(bad["__host"]), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("__bad").isNull()).drop("__host", "__bad")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.col("__bad").isNull()).drop("__host", "__bad", "__lines")

@@ -367,3 +367,45 @@ def test_encode_gives_offsets(spark):
             split += text[begin:end].encode() != token
             at += len(token)
     assert split
+
+
+def test_op6_hosts(spark):
+    good, bad = " ".join(f"good{k}" for k in range(30)), "bad words"
+    hosts = {"spam": [bad] * 30 + [good], "fair": [good] * 30 + [bad] * 2, "symbols": [good + " # $ % & # $ %"] * 25 + [good] * 2, "one": [bad], None: [good] * 10, "plain": [good] * 40}
+    rows = [(10 * k + h, t, s) for h, (s, texts) in enumerate(hosts.items()) for k, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, s, "x", 1) for i, t, s in rows], "doc_id long, text string, source string, __host string, rate long")
+    got = {(r["doc_id"], r["source"]): (r["base_failed"], r["kept"]) for r in rules.quality_rules(df).collect()}
+    for i, t, s in rows:
+        assert got[i, s] == (t == bad, t != bad and s not in ("spam", "symbols")), (i, t, s)
+    table = {r["host"]: r for r in rules.host_verdicts(rules.base_counts(df)).collect()}
+    # by hand: moments of the hosts' rates, and the shrunk rate of one host
+    rates = [30 / 31, 2 / 32, 0, 1, 0, 0]
+    m, inv, n = np.mean(rates), np.mean([1 / 31, 1 / 32, 1 / 27, 1, 1 / 10, 1 / 40]), np.mean([31, 32, 27, 1, 10, 40])
+    between = np.var(rates) - m * (1 - m) * inv
+    strength = max(1.0, min(n, m * (1 - m) / between - 1) if between > 0 else n)
+    assert table["one"]["rate_few_words"] == pytest.approx((1 + m * strength) / (1 + strength)) and table["one"]["host_kept"] and not table["spam"]["host_kept"]
+
+
+def test_op3_masks_and_rates(spark):
+    rng = np.random.default_rng(4)
+    languages = [f"l{k:03d}" for k in range(150)]
+    sets = [rng.integers(1, 1 << 60, 300).astype(np.uint64) for _ in languages]
+    sets[149][:50] = sets[3][:50]
+    made = langid.build(languages, np.concatenate(sets), np.repeat(np.arange(150), 300))
+    for k in (0, 3, 63, 64, 127, 128, 149):
+        assert made.has(made.masks(sets[k]), k).all()
+    assert made.has(made.masks(sets[3][:50]), 149).all()
+    fresh = rng.integers(1, 1 << 60, 200_000).astype(np.uint64)
+    assert np.count_nonzero(made.has(made.masks(fresh), 149)) / len(fresh) == pytest.approx(made.rates[149], abs=2e-3)
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}q " * 20, f"l{k:03d}") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, langid.fit(df)).collect()}
+    assert got == {k: lang for k, _, lang in rows}
+
+
+def test_op3_grams():
+    text, want = "Ab, ñ1", []
+    for word in ("ab", "ñ"):
+        w = f" {word} "
+        want += [sum(ord(c) << 21 * (2 - j) for j, c in enumerate(w[i : i + 3])) for i in range(len(w) - 2)]
+    assert np.concatenate(list(langid.grams(text))).tolist() == want and list(langid.grams("1 !")) == []
