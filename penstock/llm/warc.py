@@ -1,17 +1,20 @@
 """WARC archives: a writer over Arrow batches and a PySpark Python data source that reads them.
 
-The reader plans one partition per archive file, takes equality filters on record_type, record_id and target_uri
-before any payload is decoded, and leaves payloads out (option payload=false) for header-only scans. Each record is
-a gzip member of its own.
+The reader plans one partition per archive file and takes equality, membership and prefix predicates on the record
+type and the other header fields. Each record is a gzip member of its own, whose header says in an extra field (sl)
+how long the member is: a record's headers are inflated first, and of a record that isn't wanted nothing else is read
+or inflated. The option payload=false leaves all payloads undecoded. Members without the field, as other tools write
+them, are inflated to find their end.
 
 Defined cases: null html is an empty payload; null ids and urls are headers left out; equal payloads under the
 least size stand alone; repeated ids are separate records; an empty table writes no file; other columns are not
-carried.
+carried; an archive that ends within a record is an error.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,12 +22,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith
 
 from .common import arrow_map, fresh_folder, materialise, open_fs
 
 #: Least bytes of a payload that later copies revisit; bytes of an archive file after which another is begun.
 LEAST_REVISIT, FILE_BYTES = 1000, 128 << 20
+#: Bytes read at a time from an archive, and inflated at a time until the headers are there.
+READ, HEAD = 1 << 20, 512
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, headers map<string,string>, payload binary"
 FIELDS = ("record_type", "record_id", "target_uri", "refers_to", "payload_digest", "payload_bytes")
 
@@ -38,8 +43,16 @@ def record(kind: str, page: str | None, uri: str | None, digest: str, size: int,
     if refers is not None:
         lines += [f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
-    made = zlib.compressobj(3, zlib.DEFLATED, 31)
-    return made.compress("\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + payload + b"\r\n\r\n") + made.flush()
+    return member("\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + payload + b"\r\n\r\n")
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member with its own length and that of its data in an extra field; a length over 4 GB is written as 0, unknown."""
+    made = zlib.compressobj(3, zlib.DEFLATED, -15)
+    body = made.compress(data) + made.flush()
+    total = 10 + 2 + 12 + len(body) + 8
+    extra = b"sl" + struct.pack("<HII", 8, total if total < 1 << 32 else 0, len(data) & 0xFFFFFFFF)
+    return b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
 def decide(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -86,41 +99,62 @@ def write_warc(df: DataFrame, **columns: str) -> tuple[str, DataFrame]:
     return folder, materialise(arrow_map(rows, run, "path string, records long"), "archives")
 
 
-def members(stream, payload: bool = True, wanted=lambda head: True) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, payload) of the records of an archive; a record that isn't wanted, and its payload, is skipped."""
-    buffer, ended = bytearray(), False
-
-    def fill(inflate) -> bytes:
-        nonlocal buffer, ended
-        if not buffer and not ended:
-            buffer += (got := stream.read(1 << 20))
-            ended = not got
-        out = inflate.decompress(bytes(buffer))
-        buffer = bytearray(inflate.unused_data)
-        return out
-
-    while True:
-        if not buffer:
-            buffer += stream.read(1 << 20)
-            if not buffer:
-                return
-        inflate, data = zlib.decompressobj(31), bytearray()
+class _Window:
+    """A moving window on a file: bytes at a place, read READ or more at a time."""
+
+    def __init__(self, file):
+        self.file, self.size, self.at, self.data = file, file.size(), 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        """Up to ``n`` bytes from ``at``; fewer at the end of the file."""
+        if not (self.at <= at and at + n <= self.at + len(self.data)) and self.at + len(self.data) < self.size or at < self.at:
+            self.at, self.data = at, self.file.read_at(max(n, READ), at)
+        return self.data[at - self.at : at - self.at + n]
+
+
+def _length(head: bytes) -> int:
+    """The length that a gzip header names in an extra field sl; 0 if it doesn't."""
+    if len(head) < 24 or not head[3] & 4:
+        return 0
+    at, end = 12, 12 + struct.unpack_from("<H", head, 10)[0]
+    while at + 4 <= min(end, len(head)):
+        size = struct.unpack_from("<H", head, at + 2)[0]
+        if head[at : at + 2] == b"sl" and size == 8 and at + 12 <= len(head):
+            return struct.unpack_from("<I", head, at + 4)[0]
+        at += 4 + size
+    return 0
+
+
+def members(file, payload: bool = True, wanted=lambda head: True) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers, payload) of the wanted records of an archive; of others only the headers are inflated."""
+    window, at = _Window(file), 0
+    while at < window.size:
+        inflate, data, fed = zlib.decompressobj(31), b"", at
+        length = _length(window.get(at, 64))
         while b"\r\n\r\n" not in data and not inflate.eof:
-            data += fill(inflate)
-            if ended and not inflate.eof:
+            piece = window.get(fed, HEAD)
+            if not piece:
                 raise EOFError("an archive ends within a record")
-        head, _, rest = bytes(data).partition(b"\r\n\r\n")
+            data += inflate.decompress(piece)
+            fed += len(piece)
+        head, _, rest = data.partition(b"\r\n\r\n")
         headers = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:] if ": " in x)
         take = wanted(headers)
-        keep = bytearray(rest) if take and payload else None
-        while not inflate.eof:
-            more = fill(inflate)
-            if ended and not inflate.eof:
-                raise EOFError("an archive ends within a record")
-            if keep is not None:
-                keep += more
+        parts = [rest] if take and payload else None
+        if parts is not None or not length:
+            while not inflate.eof:
+                piece = window.get(fed, READ if not length else max(1, min(READ, at + length - fed)))
+                if not piece:
+                    raise EOFError("an archive ends within a record")
+                more = inflate.decompress(piece)
+                fed += len(piece)
+                if parts is not None:
+                    parts.append(more)
+        at = at + length if length else fed - len(inflate.unused_data)
+        if at > window.size:
+            raise EOFError("an archive ends within a record")
         if take:
-            yield headers, bytes(keep[: int(headers["Content-Length"])]) if keep is not None else None
+            yield headers, b"".join(parts)[: int(headers["Content-Length"])] if parts is not None else None
 
 
 def _value(head: dict[str, str], field: str):
@@ -139,29 +173,48 @@ class _Part(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], payload: bool):
-        self.paths, self.payload, self.equal = paths, payload, {}
+    def __init__(self, options: dict[str, str]):
+        self.paths = [p for p in options.get("paths", options.get("path", "")).split("\n") if p]
+        self.manifest, self.payload = options.get("manifest"), options.get("payload", "true").lower() != "false"
+        self.tests: list[tuple[str, str, tuple]] = []
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] in FIELDS and f.attribute[0] not in self.equal:
-                self.equal[f.attribute[0]] = f.value
+            known = len(getattr(f, "attribute", ())) == 1 and f.attribute[0] in FIELDS
+            if known and isinstance(f, EqualTo) and f.value is not None:
+                self.tests.append((f.attribute[0], "in", (f.value,)))
+            elif known and isinstance(f, In):
+                self.tests.append((f.attribute[0], "in", tuple(f.value)))
+            elif known and isinstance(f, StringStartsWith):
+                self.tests.append((f.attribute[0], "starts", (f.value,)))
             else:
                 yield f
 
     def partitions(self):
-        return [_Part(p) for p in self.paths]
+        paths = self.paths
+        if self.manifest:  # a Parquet table with a column path, as write_warc leaves it
+            import pyarrow.dataset as ds
+
+            fs, folder = open_fs(self.manifest)
+            paths = [*paths, *ds.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["path"])["path"].to_pylist()]
+        return [_Part(p) for p in paths]
+
+    def _wanted(self, head: dict[str, str]) -> bool:
+        for field, how, values in self.tests:
+            value = _value(head, field)
+            if value is None or not (value in values if how == "in" else value.startswith(values)):
+                return False
+        return True
 
     def read(self, partition):
         fs, path = open_fs(partition.path)
-        wanted = lambda head: all(_value(head, k) == v for k, v in self.equal.items())
-        with fs.open_input_stream(path, compression=None) as stream:
-            for head, payload in members(stream, self.payload, wanted):
+        with fs.open_input_file(path) as file:
+            for head, payload in members(file, self.payload, self._wanted):
                 yield (*(_value(head, k) for k in FIELDS), head, payload)
 
 
 class WarcSource(DataSource):
-    """spark.read.format("warc").option("paths", newline-separated files).load(); payload=false leaves payloads out."""
+    """spark.read.format("warc") with option manifest (a table of paths) or paths (one a line); payload=false leaves payloads out."""
 
     @classmethod
     def name(cls) -> str:
@@ -171,14 +224,14 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        paths = [p for p in self.options.get("paths", self.options.get("path", "")).split("\n") if p]
-        return _Reader(paths, self.options.get("payload", "true").lower() != "false")
+        return _Reader(dict(self.options))
 
 
-def read_warc(spark, paths: list[str], payload: bool = True) -> DataFrame:
+def read_warc(spark, files: DataFrame, payload: bool = True) -> DataFrame:
+    """The records of the archives that a written table (path) names. Spark pushes filters into Python sources only with a setting on."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").option("paths", "\n".join(paths)).option("payload", str(payload).lower()).load()
+    return spark.read.format("warc").option("manifest", files.written_to).option("payload", str(payload).lower()).load()
 
 
 def round_trip(df: DataFrame, **columns: str) -> DataFrame:
@@ -188,16 +241,11 @@ def round_trip(df: DataFrame, **columns: str) -> DataFrame:
     """
     kind = df.schema[columns.get("id_col", "page_id")].dataType.simpleString()
     _, files = write_warc(df, **columns)
-    paths = [r["path"] for r in files.select("path").distinct().collect()]
-    if not paths:
+    if files.isEmpty():
         return df.sparkSession.createDataFrame([], f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
-    back = read_warc(df.sparkSession, paths)
-    page = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1)
-    whole = F.col("record_type") == "response"
-    return back.select(
-        F.nullif(page("record_id"), F.lit("")).cast(kind).alias("page_id"),
-        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(whole, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        F.nullif(page("refers_to"), F.lit("")).cast(kind).alias("refers_to"),
-    )
+    page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast(kind)
+    # payloads of responses are decoded; of revisits the headers alone
+    whole = read_warc(df.sparkSession, files).filter("record_type = 'response'")
+    whole = whole.select(page("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+    again = read_warc(df.sparkSession, files, payload=False).filter("record_type = 'revisit'")
+    return whole.unionByName(again.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")))

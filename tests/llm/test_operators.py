@@ -233,11 +233,39 @@ def test_op8(spark, at):
 
 def test_warc_filters_are_pushed(spark, edge_dir):
     _, files = warc.write_warc(spark.read.parquet(f"{edge_dir}/pages.parquet"))
-    back = warc.read_warc(spark, [r["path"] for r in files.collect()], payload=False)
+    back = warc.read_warc(spark, files, payload=False)
     assert {r["record_id"] for r in back.filter("record_type = 'revisit'").collect()} == {"<urn:page:2>", "<urn:page:3>"}
+    assert {r["record_id"] for r in back.filter("target_uri in ('v', 'x') and record_type like 'resp%'").collect()} == {"<urn:page:4>", "<urn:page:5>"}
     assert all(r["payload"] is None for r in back.collect())
 
 
+def test_warc_reads_only_what_is_wanted():
+    import gzip
+
+    class File:
+        def __init__(self, data):
+            self.data, self.read = data, 0
+
+        def size(self):
+            return len(self.data)
+
+        def read_at(self, n, at):
+            self.read += n
+            return self.data[at : at + n]
+
+    noise = np.random.default_rng(1).integers(0, 256, 3 << 20, np.uint8).tobytes()
+    rows = [warc.record("response" if k % 10 else "revisit", str(k), None, "ab" * 20, len(noise), None if k % 10 else "1", noise if k % 10 else b"") for k in range(20)]
+    for data in (b"".join(rows), b"".join(gzip.compress(gzip.decompress(r)) for r in rows)):
+        file = File(data)
+        assert [(h["WARC-Record-ID"], p) for h, p in warc.members(file, wanted=lambda h: h["WARC-Type"] == "revisit")] == [("<urn:page:0>", b""), ("<urn:page:10>", b"")]
+        skipped = file.read
+        assert [p for _, p in warc.members(File(data))] == [noise if k % 10 else b"" for k in range(20)]
+        with pytest.raises((EOFError, zlib.error)):
+            list(warc.members(File(data[:-9])))
+        if data == b"".join(rows):
+            assert skipped < len(data) / 2
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
