@@ -58,7 +58,8 @@ def op9_html(spark, sf_dir):
 
 
 def op10_media(spark, sf_dir):
-    return media.summaries(media.store(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    return media.summaries(media.write_features(media.store(docs)), docs.schema["doc_id"].dataType.simpleString())
 
 
 def pipeline(spark, sf_dir):

@@ -296,8 +296,59 @@ def test_blocks_do_not_change_features(monkeypatch):
 
 
 def test_tensors_have_one_shape(spark, edge_dir):
-    rows = media.features(media.store(spark.read.parquet(f"{edge_dir}/documents.parquet"))).collect()
-    assert {len(r["tensor"]) for r in rows} == {media.TENSOR * media.MEL} and all(r["begin_s"] < r["end_s"] for r in rows)
+    d = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    files = media.write_features(media.store(d)).collect()
+    found = {}
+    for r in files:
+        for batch in media.read_features(r["path"]):
+            assert batch.schema.field("tensor").type == media.tensor_type() and (batch.column("begin_s").to_numpy() < batch.column("end_s").to_numpy()).all()
+            for k, part, frames, t in zip(batch.column("key").to_pylist(), batch.column("part").to_pylist(), batch.column("frames").to_pylist(), batch.column("tensor").to_numpy_ndarray()):
+                assert t.shape == (media.TENSOR, media.MEL) and not t[frames:].any()
+                found.setdefault(k, []).append((part, t[:frames]))
+    for r in d.collect():
+        data = (r["text"] or "").encode()
+        want = np.concatenate([media.in_steps(b) for b in media.log_mel(data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data)))])
+        assert [p for p, _ in found[r["doc_id"]]] == list(range(len(found[r["doc_id"]]))) and np.array_equal(np.concatenate([t for _, t in found[r["doc_id"]]]), want)
+
+
+@pytest.mark.parametrize(("rate", "to"), [(16_000, 8_000), (8_000, 16_000), (44_100, 16_000), (3, 2), (2, 3), (5, 1)])
+def test_resampling_by_hand(rate, to):
+    g = np.gcd(rate, to)
+    up, down = to // g, rate // g
+    x, low = np.random.default_rng(2).normal(size=97).astype(np.float32), media.low_pass(up, down)
+    wide = np.zeros(len(x) * up)
+    wide[::up] = x
+    full = np.convolve(wide, low)[len(low) // 2 :]
+    count = -(-len(x) * up // down)
+    want = np.pad(full, (0, down))[::down][:count]
+    assert np.allclose(media.resample(x, rate, to), want, atol=1e-4)
+
+
+def test_mel_and_segments_by_hand():
+    clip = (128 + 90 * np.sin(np.arange(6400) * 2 * np.pi * 1000 / media.RATE) * (np.arange(6400) // 1600 % 2)).astype(np.uint8).tobytes()
+    y = media.resample((np.frombuffer(clip, np.uint8).astype(np.float32) - 128) / 128)
+    frames = 1 + -(-(len(y) - media.FRAME) // media.HOP)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, mel(media.TO / 2), media.MEL + 2)]
+    want = np.zeros((frames, media.MEL))
+    for t in range(frames):
+        cut = np.pad(y[t * media.HOP : t * media.HOP + media.FRAME], (0, max(0, t * media.HOP + media.FRAME - len(y)))) * np.hanning(media.FRAME)
+        power = [abs(sum(cut * np.exp(-2j * np.pi * k * np.arange(media.FRAME) / media.FFT))) ** 2 / media.FFT for k in range(media.FFT // 2 + 1)]
+        for b in range(media.MEL):
+            lo, mid, hi = edges[b : b + 3]
+            want[t, b] = np.log(max(media.FLOOR, sum(p * max(0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid))) for k, p in enumerate(power) for f in [k * media.TO / media.FFT])))
+    got = np.concatenate(list(media.log_mel(clip)))
+    assert np.allclose(got, want, atol=2e-3)
+    assert media.segments(np.array([-9, -7.5, -5, -7, -9, -7, -7, -9, -5.0])) == [(1, 4), (8, 9)]
+    energy, on, spans = got.mean(axis=1), None, []
+    for t, e in enumerate([*energy, -99]):
+        if on is not None and e <= media.LOW:
+            spans += [(on, t)] if max(energy[on:t]) > media.HIGH else []
+            on = None
+        on = t if on is None and e > media.LOW else on
+    assert media.segments(energy) == spans and len(spans) == 3
+    with pytest.raises(ValueError):
+        media.wav_payload(media.wav_bytes(clip, 8000))
 
 
 @pytest.mark.parametrize("name", [n for n in Q.queries()])
