@@ -1,13 +1,14 @@
 """Layout-aware text of HTML pages: a tree builder with implied tags, visibility rules, and a renderer.
 
 All visible text comes out: blocks stand on lines of their own, paragraphs and headings with a blank line between,
-list items get a bullet or number and an indent per level, table cells are padded to aligned columns, and
-preformatted text keeps its white space. Options and SVG texts stand on lines of their own; text that only screen
-readers pass over comes out. Style sheets and labels in attributes are not read.
+list items get a bullet or number and an indent per level, table cells are padded to aligned columns (a cell over
+several columns widens the last of them), and preformatted text keeps its white space. Options, buttons and SVG texts
+stand on lines of their own; text that only screen readers pass over comes out, and so does what is made visible
+inside of something hidden by visibility. Style sheets and labels in attributes are not read.
 
 Defined cases: null and empty pages give an empty text; unclosed and misnested tags are closed by the tree
-builder; nesting deeper than DEPTH goes on flat at that depth; repeated rows give equal results; an empty table
-gives an empty table; only the named columns are carried.
+builder; nesting may be of any depth (the walk has a stack of its own); repeated rows give equal results; an empty
+table gives an empty table; only the named columns are carried.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .common import arrow_map
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style template noscript head title iframe object audio video canvas datalist defs symbol desc metadata annotation annotation-xml".split())
 #: Inline elements whose contents stand on a line of their own.
-LINE = frozenset("option text".split())
+LINE = frozenset("option text button textarea".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl table figure".split())
 #: Elements that stay in an open head; anything else ends it.
@@ -37,15 +38,21 @@ IMPLIED = {
     "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
     "tbody": ("thead tbody tfoot tr td th caption", "table"), "thead": ("tbody tr td th caption", "table"), "tfoot": ("thead tbody tr td th", "table"),
 }
-DEPTH = 200
-_invisible = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_gone = re.compile(r"display\s*:\s*none", re.I)
+_visibility = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "children", "hidden", "start")
+    """hidden: nothing below shows; shown: False if its text is invisible, True if made visible again, None as around it."""
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1):
-        self.tag, self.children, self.hidden, self.start = tag, [], hidden, start
+    __slots__ = ("tag", "children", "hidden", "shown", "start", "span")
+
+    def __init__(self, tag: str, hidden: bool = False, shown: bool | None = None, start: int | None = None, span: int = 1):
+        self.tag, self.children, self.hidden, self.shown, self.start, self.span = tag, [], hidden, shown, start, span
+
+
+def _number(text: str) -> int | None:
+    return int(text) if text.isascii() and text.isdigit() and len(text) < 9 else None
 
 
 class TreeBuilder(HTMLParser):
@@ -82,11 +89,13 @@ class TreeBuilder(HTMLParser):
             self._close(set(tags.split()), set(stops.split()))
         elif tag in BLOCK:
             self._close({"p"}, {"table", "td", "th", "li", "div", "button"})
-        hidden = tag in HIDDEN or "hidden" in values or bool(_invisible.search(values.get("style", "")))
-        start = int(values["start"]) if values.get("start", "").isascii() and values.get("start", "").isdigit() and len(values["start"]) < 9 else 1
-        node = Node(tag, hidden, start)
+        style = values.get("style", "")
+        hidden = tag in HIDDEN or "hidden" in values or bool(_gone.search(style))
+        seen = _visibility.findall(style)
+        shown = seen[-1].lower() == "visible" if seen else None
+        node = Node(tag, hidden, shown, _number(values.get("value" if tag == "li" else "start", "")), max(1, min(_number(values.get("colspan", "")) or 1, 1000)))
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEPTH:
+        if tag not in VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -105,47 +114,72 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(data)
 
 
+def walk(task) -> object:
+    """Run a generator that yields generators, each sent the result of the one it yielded: recursion without Python's limit."""
+    stack, value = [task], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+    return value
+
+
 class Renderer:
     """Lines of the visible text; ``gap`` is the number of blank lines that the next block asks for."""
 
-    def __init__(self):
+    def __init__(self, shown: bool = True):
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap = 0
         self.lead = ""
+        self.shown = shown
 
     def end_line(self) -> None:
         text = " ".join("".join(self.line).split())
         self.line = []
         if text:
-            if self.lines and self.gap:
-                self.lines.append("")
-            self.lines.append(self.lead + text)
-            self.lead, self.gap = " " * len(self.lead), 0
+            self.put([text])
+            self.gap = 0
+
+    def put(self, texts: list[str]) -> None:
+        """Lines with the lead in front; a bullet stands before the first one only."""
+        if self.lines and self.gap:
+            self.lines.append("")
+        for text in texts:
+            self.lines.append((self.lead + text).rstrip())
+            self.lead = " " * len(self.lead)
 
     def block(self, spaced: bool) -> None:
         self.end_line()
         self.gap = max(self.gap, int(spaced))
 
-    def node(self, node: Node) -> None:
-        counter = node.start
+    def node(self, node: Node):
+        counter = node.start if node.start is not None else 1
         for child in node.children:
             if isinstance(child, str):
-                self.line.append(child)
-            elif child.hidden:
+                if self.shown:
+                    self.line.append(child)
                 continue
-            elif child.tag == "br":
+            if child.hidden:
+                continue
+            around = self.shown
+            self.shown = around if child.shown is None else child.shown
+            if child.tag == "br":
                 self.end_line()
             elif child.tag == "pre":
-                self.preformatted(child)
+                yield self.preformatted(child)
             elif child.tag == "table":
-                self.table(child)
+                yield self.table(child)
             elif child.tag == "li":
                 self.end_line()
                 outer = self.lead
+                counter = child.start if child.start is not None else counter
                 self.lead = " " * len(outer) + (f"{counter}. " if node.tag == "ol" else "- ")
                 counter += 1
-                self.node(child)
+                yield self.node(child)
                 self.end_line()
                 self.lead = outer
             elif child.tag in ("ul", "ol", "menu", "blockquote", "dd"):
@@ -153,72 +187,95 @@ class Renderer:
                 self.block(child.tag in SPACED and not nested)
                 outer = self.lead
                 self.lead = " " * len(outer) + ("  " if child.tag in ("blockquote", "dd") else "")
-                self.node(child)
+                yield self.node(child)
                 self.block(child.tag in SPACED and not nested)
                 self.lead = outer
             elif child.tag in BLOCK or child.tag in LINE:
                 self.block(child.tag in SPACED)
-                self.node(child)
+                yield self.node(child)
                 self.block(child.tag in SPACED)
             else:
-                self.node(child)
+                yield self.node(child)
+            self.shown = around
 
-    def preformatted(self, node: Node) -> None:
+    def preformatted(self, node: Node):
         self.block(True)
-        lines = "".join(texts(node)).split("\n")
+        out: list[str] = []
+        yield texts(node, out, self.shown)
+        lines = "".join(out).split("\n")
         if any(x.strip() for x in lines):
-            if self.lines:
-                self.lines.append("")
-            self.lines += [self.lead + x.rstrip() for x in lines]
+            self.put([x.rstrip() for x in lines])
         self.gap = 1
 
-    def table(self, node: Node) -> None:
+    def table(self, node: Node):
         self.block(True)
         rows, rest = [], []
         todo = list(reversed(node.children))
         while todo:
             child = todo.pop()
             if isinstance(child, str):
-                rest.append(child)
+                rest.append(child if self.shown else "")
             elif child.hidden:
                 continue
             elif child.tag == "tr":
-                cells = [(x.tag, render(x)) for x in child.children if isinstance(x, Node) and not x.hidden]
-                rest += [x for x in child.children if isinstance(x, str)]
-                # what stands in a row outside of its cells is a cell, if it shows anything
-                rows.append([text.split("\n") for tag, text in cells if text or tag in ("td", "th")])
+                row = []
+                for x in child.children:
+                    if isinstance(x, str):
+                        rest.append(x if self.shown else "")
+                    elif not x.hidden:
+                        text = yield rendered(x, self.shown if child.shown is None else child.shown)
+                        # what stands in a row outside of its cells is a cell, if it shows anything
+                        if text or x.tag in ("td", "th"):
+                            row.append((text.split("\n"), x.span))
+                rows.append(row)
             elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
                 todo += reversed(child.children)
             else:
-                rows.append([render(child).split("\n")])
+                text = yield rendered(child, self.shown)
+                rows.append([(text.split("\n"), 1)])
         if "".join(rest).strip():
-            rows.insert(0, [[" ".join("".join(rest).split())]])
-        wide = max(map(len, rows), default=0)
-        width = [max((len(x) for r in rows if len(r) > k and len(r) > 1 for x in r[k]), default=0) for k in range(wide)]
+            rows.insert(0, [([" ".join("".join(rest).split())], 1)])
+        width: dict[int, int] = {}
+        for row in rows:
+            k = 0
+            for lines, span in row:
+                if span == 1 and len(row) > 1:
+                    width[k] = max(width.get(k, 0), max(map(len, lines)))
+                k += span
+        for row in rows:  # a cell over several columns widens the last of them
+            k = 0
+            for lines, span in row:
+                if span > 1 and len(row) > 1:
+                    lack = max(map(len, lines)) - sum(width.get(c, 0) for c in range(k, k + span)) - 2 * (span - 1)
+                    width[k + span - 1] = width.get(k + span - 1, 0) + max(0, lack)
+                k += span
         made = []
         for row in rows:
-            for k in range(max(map(len, row), default=0)):
-                made.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, width)).rstrip())
+            for j in range(max((len(lines) for lines, _ in row), default=0)):
+                text, k = "", 0
+                for lines, span in row:
+                    wide = sum(width.get(c, 0) for c in range(k, k + span)) + 2 * (span - 1)
+                    text += (lines[j] if j < len(lines) else "").ljust(wide) + "  "
+                    k += span
+                made.append(text.rstrip())
         if any(made):
-            if self.lines:
-                self.lines.append("")
-            self.lines += [self.lead + x for x in made if x]
+            self.put([x for x in made if x])
         self.gap = 1
 
 
-def texts(node: Node) -> Iterator[str]:
+def texts(node: Node, out: list[str], shown: bool):
     for child in node.children:
         if isinstance(child, str):
-            yield child
+            out.append(child if shown else "")
         elif child.tag == "br":
-            yield "\n"
+            out.append("\n")
         elif not child.hidden:
-            yield from texts(child)
+            yield texts(child, out, shown if child.shown is None else child.shown)
 
 
-def render(node: Node) -> str:
-    made = Renderer()
-    made.node(node)
+def rendered(node: Node, shown: bool = True):
+    made = Renderer(shown if node.shown is None else node.shown)
+    yield made.node(node)
     made.end_line()
     return "\n".join(made.lines)
 
@@ -229,7 +286,7 @@ def html_to_text(html: str | None) -> str:
     built = TreeBuilder()
     built.feed(html)
     built.close()
-    return render(built.root)
+    return walk(rendered(built.root))
 
 
 def extract(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -422,6 +422,9 @@ def test_stages_with_null_and_repeated_ids(spark, tmp_path):
     [
         ("a <span aria-hidden=true>b</span> c", "a b c"), ("<p>x <math><mi>y</mi><mo>=</mo><mn>2</mn><annotation>y = 2</annotation></math> z", "x y=2 z"),
         ("a<svg><title>t</title><defs><text>d</text></defs><path d='M0'/><text>b</text><text>c</text></svg>e", "a\nb\nc\ne"), ("<p>a<select><option>b<option selected>c</select>d", "a\nb\nc\nd"),
+        ("<div style='visibility:hidden'>x<p style='visibility: visible'>y</p>z</div>w", "y\n\nw"), ("<ol><li value=7>a<li>b</ol>", "7. a\n8. b"), ("<ul><li><pre>k\n l</pre></ul>", "- k\n   l"), ("<ul><li><table><tr><td>a<td>b<tr><td>cc<td>d</table></ul>", "- a   b\n  cc  d"),
+        ("<table><tr><td colspan=2>wide title<td>z<tr><td>a<td>b<td>c</table>", "wide title  z\na  b        c"), ("<table><tr><td colspan=2>w<td>z<tr><td>a<td>b<td>c</table>", "w     z\na  b  c"), ("<button>Go</button><textarea>t</textarea>", "Go\nt"), ("<div>" * 3000 + "<ul><li>a<li>b</ul>" + "</div>" * 3000, "- a\n- b"),
+        ("<table><tr><td>" * 2000 + "deep", "deep"),
     ],
 )
 def test_html_shows_all_that_is_visible(html, text):
