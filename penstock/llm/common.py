@@ -26,7 +26,9 @@ def work_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="penstock-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    # with the scheme that Spark would take, so that Python tasks open the same place
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
