@@ -27,7 +27,7 @@ def _scored(spark, d):
     r = _rates(spark, d)
     bill = S.comparable_bill(F.col("bill_10ccf"), F.col("bill_9ccf"), F.col("bill_12ccf"))
     r = r.withColumn("bill", bill).withColumn("vintage", F.col("vintage_date"))
-    return r.withColumn("flags", Q.record_flags(F.col("source"), F.col("top_limit"), F.col("bill"), F.col("fixed"), F.col("vintage"), suspect_limit=60_000.0, low=20.0, high=120.0, stale_year=1993))
+    return r.withColumn("flags", Q.record_flags(F.col("source"), F.col("top_limit"), F.col("bill"), F.col("fixed"), F.col("vintage"), suspect_limit=60_000.0, low=20.0, high=120.0, stale_year=1997))
 
 
 def best_estimate(spark, d):
@@ -60,7 +60,7 @@ def coverage(spark, d):
 REGISTRY = """select user_id pwsid, event_id id, 'https://' || case event_id % 5 when 0 then 'www.clearlake.ca.gov' when 1 then 'Water.Example.ORG' when 2 then 'ci.springfield.us' when 3 then 'facebook.com' else 'docs.example.com' end
   || case event_id % 4 when 0 then '/utilities/water-rates.pdf' when 1 then '/departments/' || cast(event_id % 7 as {text}) || '/Fees' when 2 then '/agenda/2019/minutes?id=' || cast(event_id % 11 as {text}) else '' end url,
   case when event_id % 3 = 0 then 'pending' when event_id % 3 = 1 then 'active' else 'dead' end status, case when event_id % 17 = 1 then 'success' when event_id % 4 = 1 then 'failed' end last_parse_result,
-  case when event_id % 3 <> 0 then ts end last_fetch_at, case when event_id % 5 > 1 then case event_id % 4 when 0 then 200 when 1 then 403 when 2 then 404 else 503 end end last_http_status, cast(event_id % 8 as int) retry_count, cast(value * 100 as int) text_length, event_type from {events}"""
+  case when event_id % 3 <> 0 then ts end last_fetch_at, case when event_id % 5 > 1 then case event_id % 4 when 0 then 200 when 1 then 403 when 2 then 404 else 503 end end last_http_status, cast(event_id % 8 as int) retry_count, cast(floor(value * 100) as int) text_length, event_type from {events}"""
 
 
 def variance(spark, d):
@@ -119,7 +119,7 @@ def record_checks(spark, d):
     s = _scored(spark, d)
     n = (F.col("id") % 4).cast("int")
     issues = Q.parse_issues([F.when(n > 0, F.col("fixed") / 4), F.when(n > 1, F.col("fixed") / 2)], F.col("fixed") * 3, F.col("confidence"))
-    shown = Q.display_flags(F.col("vintage"), F.col("bill_9ccf"), F.col("bill_12ccf"), 1997)
+    shown = Q.display_flags(F.col("vintage"), F.col("bill_9ccf"), F.col("bill_12ccf"), 1999)
     return s.select("id", F.array_join("flags", "; ").alias("flags"), F.array_join(issues, "; ").alias("issues"), Q.identical_bills(F.col("bill_10ccf"), F.col("bill_10ccf"), F.col("bill_20ccf"), F.col("structure")).alias("identical"), Q.grade(F.col("bill_10ccf"), n).alias("grade"), shown["stale"].alias("stale"), shown["high_variance"].alias("high_variance"))
 
 
@@ -128,7 +128,7 @@ def issue_audit(spark, d):
     r = _rates(spark, d)
     mean = r.groupBy("state_code").agg(F.avg("bill_10ccf").alias("m"), F.stddev_samp("bill_10ccf").alias("s"))
     r = r.join(F.broadcast(mean), "state_code")
-    return r.groupBy("state_code").agg(F.count_if(F.coalesce("bill_10ccf", F.lit(0.0)) == 0).alias("missing"), F.count_if(Q.identical_bills(F.col("bill_10ccf"), F.col("bill_10ccf"), F.col("bill_20ccf"), F.col("structure"))).alias("identical"), F.count_if(F.abs(F.col("bill_10ccf") - F.col("m")) > 1.5 * F.col("s")).alias("outliers"), F.count_if(F.year("vintage_date") < 1995).alias("stale"))
+    return r.groupBy("state_code").agg(F.count_if(F.coalesce("bill_10ccf", F.lit(0.0)) == 0).alias("missing"), F.count_if(Q.identical_bills(F.col("bill_10ccf"), F.col("bill_10ccf"), F.col("bill_20ccf"), F.col("structure"))).alias("identical"), F.count_if(F.abs(F.col("bill_10ccf") - F.col("m")) > 1.5 * F.col("s")).alias("outliers"), F.count_if(F.year("vintage_date") < 1997).alias("stale"))
 
 
 def complete_rows(spark, d):
@@ -145,7 +145,7 @@ QUERIES = {f.__name__: f for f in (best_estimate, anchored_estimate, source_tier
 _R = "with r as (" + RATES.format(text="varchar", orders="orders") + ")"
 _B = "case when bill_10ccf > 0 then bill_10ccf when bill_9ccf > 0 and bill_12ccf > 0 then round(bill_9ccf + (bill_12ccf - bill_9ccf) / 3, 2) when bill_12ccf > 0 then bill_12ccf end"
 _S = _R + f""", s as (select *, {_B} bill, vintage_date vintage from r),
-    f as (select *, source like '%ear%' and top_limit > 60000 ear, coalesce(bill > 120, false) hi, coalesce(bill < 20, false) lo, coalesce(year(vintage) < 1993, false) old, fixed > 200 fh, fixed < 0 fn from s)"""
+    f as (select *, source like '%ear%' and top_limit > 60000 ear, coalesce(bill > 120, false) hi, coalesce(bill < 20, false) lo, coalesce(year(vintage) < 1997, false) old, fixed > 200 fh, fixed < 0 fn from s)"""
 _V = _S + """, g as (select pwsid, count(*) n_records, avg(bill) mean, min(bill) lo_, max(bill) hi_, stddev_pop(bill) sd, string_agg(distinct source, ', ' order by source) sources, count(distinct source) n_sources, bool_or(ear or hi or lo or old or fh or fn) flagged,
       bool_or(ear) ear, bool_or(hi) hi, bool_or(old) old, bool_or(lo) lo, date_diff('day', min(vintage), max(vintage)) / 365.25::double yrs from f where bill is not null group by pwsid having count(distinct source) > 1),
     c as (select *, round(sd / mean * 100, 1) cv, concat_ws('; ', case when ear then 'eAR_tier_inflation' end, case when hi then 'possible_combined_charges' end, case when old then 'stale_vintage' end, case when lo then 'data_quality_low' end, case when yrs > 3 then format('vintage_gap_{:.0f}yr', yrs) end) causes from g),
@@ -190,8 +190,8 @@ ORACLE = {
         concat_ws('; ', case when id % 4 = 0 or fixed = 0 then 'no_tier_1_rate' end, case when id % 4 > 0 and fixed / 4 < 0.1 then 'tier_1_rate_too_low' end, case when id % 4 > 0 and fixed / 4 > 50 then 'tier_1_rate_too_high' end, case when id % 4 > 1 and fixed / 2 < 0.1 then 'tier_2_rate_too_low' end, case when id % 4 > 1 and fixed / 2 > 50 then 'tier_2_rate_too_high' end,
         case when fixed * 3 > 500 then 'fixed_charge_high' end, case when confidence is null or confidence = 'failed' then 'confidence_failed' end) issues,
         coalesce(abs(bill_10ccf - bill_20ccf) < 0.01 and structure <> 'flat', false) "identical", case when bill_10ccf between 10 and 200 and id % 4 >= 2 then 'high' when bill_10ccf between 5 and 500 then 'medium' else 'low' end grade,
-        coalesce(year(vintage) <= 1995, false) stale, coalesce(bill_12ccf - bill_9ccf > 20, false) high_variance from f""",
-    "issue_audit": _R + """, m as (select state_code, avg(bill_10ccf) m, stddev_samp(bill_10ccf) s from r group by 1) select state_code, count(*) filter (bill_10ccf is null) missing, count(*) filter (bill_10ccf = bill_20ccf and structure in ('uniform', 'increasing_block')) "identical", count(*) filter (abs(bill_10ccf - m) > 1.5 * s) outliers, count(*) filter (year(vintage_date) < 1995) stale from r join m using (state_code) group by 1""",
+        coalesce(year(vintage) <= 1997, false) stale, coalesce(bill_12ccf - bill_9ccf > 20, false) high_variance from f""",
+    "issue_audit": _R + """, m as (select state_code, avg(bill_10ccf) m, stddev_samp(bill_10ccf) s from r group by 1) select state_code, count(*) filter (bill_10ccf is null) missing, count(*) filter (bill_10ccf = bill_20ccf and structure in ('uniform', 'increasing_block')) "identical", count(*) filter (abs(bill_10ccf - m) > 1.5 * s) outliers, count(*) filter (year(vintage_date) < 1997) stale from r join m using (state_code) group by 1""",
     "complete_rows": _R + """, b as (select pwsid, id from r qualify row_number() over (partition by pwsid order by (bill_10ccf is not null)::int + (bill_9ccf is not null)::int + (bill_12ccf is not null)::int desc, vintage_date desc nulls last, id) = 1),
         k as (select pwsid, case when bool_or(structure = 'increasing_block') then 'increasing_block' when bool_or(structure = 'uniform') then 'uniform' when bool_or(structure = 'flat') then 'flat' end category, case when bool_or(id % 6 = 5) then 0.625::double else min(id % 6) / 8 end meter_size from r group by 1)
         select pwsid, id, category, meter_size from b join k using (pwsid)""",
