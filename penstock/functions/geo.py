@@ -1,4 +1,8 @@
-"""Spatial expressions without a geometry type: points are (lng, lat) columns, rings array<struct<x,y>>."""
+"""Spatial expressions without a geometry type.
+
+Points are (lng, lat) columns; a ring is array<struct<x,y>> that ends where it begins; a polygon is an array of rings,
+the first its outline and the others holes; a multipolygon is an array of polygons.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.readers import cut
+
 EARTH_KM = 6371.0088
-#: Kilometres of a degree of latitude; a grid cell is never narrower than the radius.
+#: Kilometres of a degree of latitude.
 DEGREE_KM = math.pi * EARTH_KM / 180
+#: Half axis of the Mercator projection in metres.
+MERCATOR_M = 6378137.0
 
 
 def haversine_km(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
@@ -17,29 +25,174 @@ def haversine_km(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+def _edges(ring: Column) -> Column:
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(ring, F.lit(1), n).alias("a"), F.slice(ring, F.lit(2), n).alias("b"))
+
+
 def in_ring(ring: Column, x: Column, y: Column) -> Column:
     """Ray casting: true inside a closed ring; points on a left or lower edge are inside."""
-    edges = F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("a"), F.slice(ring, 2, F.size(ring) - 1).alias("b"))
     crosses = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"])
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+    return F.size(F.filter(_edges(ring), crosses)) % 2 == 1
+
+
+def in_polygons(polygons: Column, x: Column, y: Column) -> Column:
+    """Whether a multipolygon has the point: inside an odd number of a polygon's rings, so that holes are outside."""
+    return F.exists(polygons, lambda p: F.size(F.filter(p, lambda r: in_ring(r, x, y))) % 2 == 1)
+
+
+def bounds(polygons: Column) -> Column:
+    """struct<x0,y0,x1,y1> of a multipolygon."""
+    points = F.flatten(F.flatten(polygons))
+    of = lambda c, pick: pick(F.transform(points, lambda p: p[c]))
+    return F.struct(of("x", F.array_min).alias("x0"), of("y", F.array_min).alias("y0"), of("x", F.array_max).alias("x1"), of("y", F.array_max).alias("y1"))
+
+
+def centroid(polygons: Column) -> Column:
+    """struct<x,y>: centroid by area of a multipolygon; holes count against it. Rings may run either way round."""
+
+    def ring(r: Column, hole: Column) -> Column:
+        cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
+        start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        step = lambda s, e: F.struct((s["a"] + cross(e)).alias("a"), (s["x"] + (e["a"]["x"] + e["b"]["x"]) * cross(e)).alias("x"), (s["y"] + (e["a"]["y"] + e["b"]["y"]) * cross(e)).alias("y"))
+        sign = lambda s: F.signum(s["a"]) * F.when(hole, -1.0).otherwise(1.0)
+        return F.aggregate(_edges(r), start, step, lambda s: F.struct((s["a"] * sign(s)).alias("a"), (s["x"] * sign(s)).alias("x"), (s["y"] * sign(s)).alias("y")))
 
+    sums = F.flatten(F.transform(polygons, lambda p: F.transform(p, lambda r, k: ring(r, k > 0))))
+    total = lambda c: F.aggregate(sums, F.lit(0.0), lambda s, v: s + v[c])
+    return F.struct((total("x") / (3 * total("a"))).alias("x"), (total("y") / (3 * total("a"))).alias("y"))
 
-def within_km(a: DataFrame, b: DataFrame, km: float, a_xy=("lng", "lat"), b_xy=("blng", "blat"), max_lat: float = 75.0) -> DataFrame:
-    """All pairs at most ``km`` apart, by a grid: b is replicated to the 9 cells around it, so no pair is missed up to ``max_lat``.
 
-    An equi-join on the cell with the distance as its condition: no cross join, and AQE splits crowded cells.
+def _cells(low: Column, high: Column, step: float) -> Column:
+    return F.sequence(F.floor(low / step).cast("long"), F.floor(high / step).cast("long"))
+
+
+def containing(points: DataFrame, shapes: DataFrame, *, xy=("lng", "lat"), geom: str = "geom", step: float = 1.0, how: str = "inner") -> DataFrame:
+    """Points with the shapes that contain them: an equi-join on grid cells of a shape's bounds, then ray casting.
+
+    A shape is replicated to the cells of its bounds; ``step`` in degrees should be near the size of a shape.
+    """
+    x, y = F.col(xy[0]), F.col(xy[1])
+    left = points.withColumn("__i", F.floor(x / step).cast("long")).withColumn("__j", F.floor(y / step).cast("long"))
+    right = shapes.withColumn("__b", bounds(F.col(geom))).withColumn("__k", F.explode(_cells(F.col("__b.x0"), F.col("__b.x1"), step))).withColumn("__l", F.explode(_cells(F.col("__b.y0"), F.col("__b.y1"), step)))
+    inside = x.between(F.col("__b.x0"), F.col("__b.x1")) & y.between(F.col("__b.y0"), F.col("__b.y1")) & in_polygons(F.col(geom), x, y)
+    return left.join(right, (F.col("__i") == F.col("__k")) & (F.col("__j") == F.col("__l")) & inside, how).drop("__i", "__j", "__k", "__l", "__b")
+
+
+#: Degrees of a latitude band: within one, longitude cells have one width.
+BAND = 5.0
+
+
+def within_km(a: DataFrame, b: DataFrame, km: float, a_xy=("lng", "lat"), b_xy=("blng", "blat")) -> DataFrame:
+    """All pairs at most ``km`` apart, anywhere on the globe: an equi-join on cells with the distance as its condition.
+
+    Rows of the grid are ``km`` high. Each row belongs to a latitude band; in it, cells are wide enough for ``km`` at
+    the band's highest latitude and the rows next to it, and wrap at 180 degrees; near a pole a row is one cell. b is
+    replicated to its cell, both neighbours, and the rows above and below: 9 times, less where cells coincide.
     """
-    lat_step, lng_step = km / DEGREE_KM, km / DEGREE_KM / math.cos(math.radians(max_lat))
-    cell = lambda c, step: F.floor(c / step)
-    left = a.withColumn("__i", cell(F.col(a_xy[0]), lng_step)).withColumn("__j", cell(F.col(a_xy[1]), lat_step))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    right = b.withColumn("__c", around).withColumn("__k", cell(F.col(b_xy[0]), lng_step) + F.col("__c.i")).withColumn("__l", cell(F.col(b_xy[1]), lat_step) + F.col("__c.j")).drop("__c")
+    lat_step = km / DEGREE_KM
+
+    def columns_of(row: Column) -> Column:
+        """Cells of a row: at most so many that none is narrower than ``km``."""
+        reach = F.abs((F.floor(row * lat_step / BAND) + F.lit(0.5)) * BAND) + BAND / 2 + 2 * lat_step
+        narrow = F.cos(F.radians(F.least(reach, F.lit(90.0))))
+        return F.greatest(F.floor(narrow * 360 / (lat_step * 1.0001)), F.lit(1)).cast("long")
+
+    row = lambda lat: F.floor(lat / lat_step).cast("long")
+    column = lambda lng, n: F.pmod(F.floor((lng + 180) / 360 * n).cast("long"), n)
+    left = a.withColumn("__i", row(F.col(a_xy[1]))).withColumn("__n", columns_of(F.col("__i"))).withColumn("__j", column(F.col(a_xy[0]), F.col("__n")))
+    right = b.withColumn("__k", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: row(F.col(b_xy[1])) + s))).withColumn("__m", columns_of(F.col("__k")))
+    at = column(F.col(b_xy[0]), F.col("__m"))
+    right = right.withColumn("__l", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: F.pmod(at + s, F.col("__m"))))))
     d = haversine_km(F.col(a_xy[0]), F.col(a_xy[1]), F.col(b_xy[0]), F.col(b_xy[1]))
     joined = left.join(right, (F.col("__i") == F.col("__k")) & (F.col("__j") == F.col("__l")) & (d <= km))
-    return joined.withColumn("distance_km", d).drop("__i", "__j", "__k", "__l")
+    return joined.withColumn("distance_km", d).drop("__i", "__j", "__k", "__l", "__n", "__m")
+
+
+def nearest(a: DataFrame, b: DataFrame, key: str, tie: str, *, km: float = 50.0, a_xy=("lng", "lat"), b_xy=("blng", "blat"), most_km: float = 20_100.0) -> DataFrame:
+    """Each row of ``a`` (by ``key``) with its nearest of ``b`` (ties by ``tie``): rings of growing radius, each only for the rows still without one."""
+    out, left = None, a
+    while True:
+        found = within_km(left, b, km, a_xy, b_xy)
+        columns = [c for c in found.columns if c != key]
+        best = found.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct("distance_km", tie)).alias("__x")).select(key, *[F.col(f"__x.{c}").alias(c) for c in columns])
+        best = cut(best)
+        out = best if out is None else out.unionByName(best)
+        left = cut(left.join(best.select(key), key, "left_anti"))
+        if km >= most_km or left.isEmpty():
+            return out
+        km = min(km * 4, most_km)
+
+
+def distance_class(km: Column) -> Column:
+    return F.when(km < 1, "high").when(km < 3, "medium").when(km < 5, "low").otherwise("candidate")
+
+
+def from_ewkt(text: Column) -> Column:
+    """struct<srid,lng,lat> of SRID=n;POINT(x y); null for other texts."""
+    number = r"(-?\d+(?:\.\d+)?)"
+    pattern = rf"^SRID=(\d+);POINT\({number} {number}\)$"
+    part = lambda k, kind: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast(kind)
+    return F.when(text.rlike(pattern), F.struct(part(1, "int").alias("srid"), part(2, "double").alias("lng"), part(3, "double").alias("lat")))
+
+
+def from_mercator(x: Column, y: Column) -> Column:
+    """struct<lng,lat> of web Mercator metres."""
+    return F.struct(F.degrees(x / MERCATOR_M).alias("lng"), F.degrees(2 * F.atan(F.exp(y / MERCATOR_M)) - math.pi / 2).alias("lat"))
+
+
+def as_multipolygon(kind: Column, polygon: Column, polygons: Column) -> Column:
+    """A polygon as a multipolygon of one; null for other kinds."""
+    return F.when(kind == "Polygon", F.array(polygon)).when(kind == "MultiPolygon", polygons)
+
+
+def simplified(ring: list, tolerance: float) -> list:
+    """Points of a line that Douglas-Peucker keeps, with a stack in place of recursion."""
+    keep, todo = {0, len(ring) - 1}, [(0, len(ring) - 1)]
+    while todo:
+        a, b = todo.pop()
+        (ax, ay), (bx, by) = ring[a], ring[b]
+        far, at = tolerance, None
+        for k in range(a + 1, b):
+            x, y = ring[k]
+            length = math.hypot(bx - ax, by - ay)
+            # to the segment, as a closed ring begins and ends in one point
+            t = 0.0 if not length else max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / length**2))
+            d = math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay))
+            if d > far:
+                far, at = d, k
+        if at is not None:
+            keep.add(at)
+            todo += [(a, at), (at, b)]
+    return [ring[k] for k in sorted(keep)]
+
+
+def simplify(df: DataFrame, ring: str, tolerance: float) -> DataFrame:
+    """``df`` with the ring column simplified; rings that would fall below four points stay. An Arrow pass, as no built-in folds a line."""
+    place, schema = df.columns.index(ring), df.schema
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = []
+            for points in batch.column(place).to_pylist():
+                line = simplified([(p["x"], p["y"]) for p in points], tolerance) if points and len(points) > 4 else None
+                made.append(points if line is None or len(line) < 4 else [{"x": x, "y": y} for x, y in line])
+            columns = list(batch.columns)
+            columns[place] = pa.array(made, batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return df.mapInArrow(run, schema)
 
 
 def feature(properties: list[str], lng: Column, lat: Column) -> Column:
     """A GeoJSON feature of a point as text."""
     shape = F.struct(F.lit("Point").alias("type"), F.array(lng, lat).alias("coordinates"))
     return F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*properties).alias("properties")))
+
+
+def shape_feature(properties: list[str], polygons: Column) -> Column:
+    """A GeoJSON feature of a multipolygon as text."""
+    rings = F.transform(polygons, lambda p: F.transform(p, lambda r: F.transform(r, lambda q: F.array(q["x"], q["y"]))))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("MultiPolygon").alias("type"), rings.alias("coordinates")).alias("geometry"), F.struct(*properties).alias("properties")))

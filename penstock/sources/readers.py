@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and checkpointed in the folder that executors share: ``spark.checkpoint.dir``, or a temporary one in local mode."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="penstock-"))
+    return df.checkpoint()
+
+
 def read_text_csv(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = ",") -> DataFrame:
     """A CSV as text columns; only ``columns`` are parsed."""
     df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, multiLine=True)
