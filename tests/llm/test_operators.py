@@ -114,6 +114,11 @@ def test_groups_encode_like_single_texts(monkeypatch):
         assert [it.ids(x).tolist() for x in it.encode(texts)] == [want.encode_ordinary(t) for t in texts]
 
     same()
+    cut, latin = __import__("regex").compile(P.PATTERN).findall, it.cut
+    assert P.PATTERN == bpe.PUBLISHED
+    for k in range(0x260):
+        for t in (f"a{chr(k)} b", f" {chr(k)}'s", f"1{chr(k)}{chr(k)}1", f"a \n{chr(k)} "):
+            assert latin(t) == cut(t), (k, t)
 
 
 def test_op3(spark, at):
