@@ -115,30 +115,44 @@ def owners_by_name(systems: DataFrame, subsidiaries: DataFrame) -> DataFrame:
 
 def municipality(name: Column) -> Column:
     """The place that a system's name names; null for companies and institutions."""
+    from .tariff import let
     from .text import place_title
 
-    upper = F.upper(F.trim(name))
-    gone = upper.rlike(PRIVATE)
-    for marker in INSTITUTIONS:
-        gone = gone | upper.contains(marker)
-    s = F.trim(F.regexp_replace(upper, r"\s*#\s*\d+\s*$", ""))
-    s = F.trim(F.regexp_replace(s, r"\s+\d+(?:\s*,\s*\d+)+\s*$", ""))
-    s = F.trim(F.regexp_replace(s, r"\s+NO\s+\d+\s*$", ""))
-    s = F.trim(F.regexp_replace(s, r"\s*\([^)]*\)\s*", " "))
     quoted = lambda words: "|".join(w.replace(".", r"\.") for w in words)
-    # alternatives at one place are tried in order, but an earlier place goes first: test each ending by itself
-    ending = F.lit("")
-    for suffix in reversed(SUFFIXES):
-        ending = F.when(s.endswith(suffix), suffix).otherwise(ending)
-    s = F.when(ending != "", F.regexp_replace(F.trim(F.left(s, F.length(s) - F.length(ending))), r"[,\-. ]+$", "")).otherwise(s)
-    s = F.trim(F.regexp_replace(s, rf"^({quoted(PREFIXES)})", ""))
-    s = F.trim(F.regexp_replace(s, r" (CITY AND COUNTY OF|CITY OF|TOWN OF|VILLAGE OF)$", ""))
-    for tail in (r" CITY$", r" VILLAGE$", r"(?<=.)\s+V$"):
-        s = F.trim(F.regexp_replace(s, tail, ""))
-    s = F.when(F.length(s) > 9, F.trim(F.regexp_replace(s, r" TOWN$", ""))).otherwise(s)
-    for word in ("JOINT", "GREATER", "CONSOLIDATED"):
-        s = F.trim(F.regexp_replace(F.trim(F.regexp_replace(s, rf" {word}$", "")), rf"^{word} ", ""))
-    s = F.trim(F.element_at(F.split(F.trim(F.regexp_replace(s, r"\s+\d+\s*$", "")), "/"), 1))
-    for short, long in (("FT", "FORT"), ("MT", "MOUNT"), ("ST", "SAINT"), ("CNTY", "COUNTY")):
-        s = F.when(s.endswith(" COUNTY"), s).otherwise(F.regexp_replace(s, rf"\b{short}\b", long))
-    return F.when(~gone & (F.length(s) >= 2), place_title(s))
+    bare = lambda s, pattern, by="": F.trim(F.regexp_replace(s, pattern, by))
+
+    def numbers(s: Column) -> Column:
+        return bare(bare(bare(bare(s, r"\s*#\s*\d+\s*$"), r"\s+\d+(?:\s*,\s*\d+)+\s*$"), r"\s+NO\s+\d+\s*$"), r"\s*\([^)]*\)\s*", " ")
+
+    def ending(s: Column) -> Column:
+        out = F.lit("")
+        for suffix in reversed(SUFFIXES):
+            out = F.when(s.endswith(suffix), suffix).otherwise(out)
+        return let(out, lambda e: F.when(e != "", F.regexp_replace(F.trim(F.left(s, F.length(s) - F.length(e))), r"[,\-. ]+$", "")).otherwise(s))
+
+    def kind(s: Column) -> Column:
+        s = bare(bare(s, rf"^({quoted(PREFIXES)})"), r" (CITY AND COUNTY OF|CITY OF|TOWN OF|VILLAGE OF)$")
+        for tail in (r" CITY$", r" VILLAGE$", r"(?<=.)\s+V$"):
+            s = bare(s, tail)
+        return s
+
+    def words(s: Column) -> Column:
+        s = bare(s, r"(?<=.{5}) TOWN$")
+        for word in ("JOINT", "GREATER", "CONSOLIDATED"):
+            s = bare(bare(s, rf" {word}$"), rf"^{word} ")
+        return F.trim(F.element_at(F.split(bare(s, r"\s+\d+\s*$"), "/"), 1))
+
+    def spelt(s: Column) -> Column:
+        out = s
+        for short, long in (("FT", "FORT"), ("MT", "MOUNT"), ("ST", "SAINT"), ("CNTY", "COUNTY")):
+            out = F.regexp_replace(out, rf"\b{short}\b", long)
+        return F.when(s.endswith(" COUNTY"), s).otherwise(out)
+
+    def place(upper: Column) -> Column:
+        gone = upper.rlike(PRIVATE)
+        for marker in INSTITUTIONS:
+            gone = gone | upper.contains(marker)
+        found = let(numbers(upper), lambda a: let(ending(a), lambda b: let(kind(b), lambda c: let(words(c), lambda d: let(spelt(d), lambda e: F.when(F.length(e) >= 2, place_title(e)))))))
+        return F.when(~gone, found)
+
+    return let(F.upper(F.trim(name)), place)
