@@ -81,4 +81,26 @@ def oracle_sql() -> dict[str, str]:
                case when payload_bytes >= 1000 and page_id < holder then 'revisit' else 'response' end record_type,
                case when payload_bytes >= 1000 and page_id < holder then holder end refers_to
         from r"""
-    return {"op8_warc": op8}
+    words = r"select *, case when text is null then [] else [x for x in regexp_split_to_array(text, '[\x20\x09-\x0D]+') if x <> ''] end w from documents"
+    op5 = f"""
+        with d as ({words}), win as (select doc_id, i, array_to_string(w[i:i + 49], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 48)) i from d)),
+        lo as (select s, min(doc_id) lo from win group by 1), lost as (select distinct doc_id, i + j p from win join lo using (s), range(50) r(j) where lo < doc_id),
+        each as (select doc_id, unnest(w) word, generate_subscripts(w, 1) p from d),
+        k as (select doc_id, count(lost.p) n_removed, string_agg(word, ' ' order by each.p) filter (lost.p is null) kept from each left join lost using (doc_id, p) group by 1)
+        select doc_id, len(w)::bigint n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join k using (doc_id)"""
+    lines = r"[x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')]"
+    fails = [f"f{k + 1}" for k in range(len(rules.RULES))]
+    strength = lambda f: f"greatest(1, case when v_{f} - m_{f} * (1 - m_{f}) * inv > 0 and m_{f} > 0 and m_{f} < 1 then least(nn, m_{f} * (1 - m_{f}) / (v_{f} - m_{f} * (1 - m_{f}) * inv) - 1) else nn end)"
+    op6 = f"""
+        with d as ({words}), win as (select doc_id, i, array_to_string(w[i:i + 7], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 6)) i from d)),
+        many as (select doc_id, s from win group by 1, 2 having count(*) > 1), r as (select doc_id, count(distinct i + j) n from win join many using (doc_id, s), range(8) q(j) group by 1),
+        c as (select doc_id, source, len(w)::bigint n_words, coalesce(list_sum([length(x) for x in w]), 0)::bigint word_chars, (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')))::bigint n_symbols,
+          (len({lines}) - len(list_distinct({lines})))::bigint n_dup_lines, len({lines}) n_lines, coalesce(n, 0) n_repeat_words from d left join r using (doc_id)),
+        f as (select *, (n_words < 20)::int f1, (100 * n_repeat_words > {rules.MOST_REPEATED} * n_words)::int f2, (100 * n_symbols > {rules.MOST_SYMBOLS} * n_words)::int f3, (100 * n_dup_lines > {rules.MOST_DUP_LINES} * n_lines)::int f4 from c),
+        h as (select source, count(*)::double n, {", ".join(f"sum({x})::double {x}" for x in fails)} from f group by 1),
+        m as (select avg(n) nn, avg(1 / n) inv, {", ".join(f"avg({x} / n) m_{x}, var_pop({x} / n) v_{x}" for x in fails)} from h),
+        p as (select h.*, {", ".join(f"m_{x}, {strength(x)} s_{x}" for x in fails)} from h, m),
+        q as (select source, n, {", ".join(f"m_{x}, s_{x}, ({x} + m_{x} * s_{x}) / (n + s_{x}) p_{x}" for x in fails)} from p),
+        g as (select source, {" or ".join(f"(p_{x} - sqrt(p_{x} * (1 - p_{x}) / (n + s_{x} + 1)) > {rules.HOST_RATE} and p_{x} > {rules.TIMES} * m_{x})" for x in fails)} bad from q)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 + f2 > 0 base_failed, f1 + f2 = 0 and not bad kept from f join g on f.source is not distinct from g.source"""
+    return {"op5_substrings": op5, "op6_quality": op6, "op8_warc": op8}
