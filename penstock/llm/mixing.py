@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, n_words_column
+from .common import discard, materialise, n_words_column
 
 #: Weights by rank of the source, repeating; share of all sizes; largest multiple of a source's size; bits a round.
 WEIGHTS, SHARE, MOST, BITS = (3, 1, 2), 1.5, 2.0, 12
@@ -60,7 +60,7 @@ def _thresholds(narrow: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken): whole documents, ``copies`` times each, 2 at most.
+    """``df`` with size, source_size, target, copies, taken: whole documents, ``copies`` times each, 2 at most. Columns of these names are replaced.
 
     Sources are a configuration of the mix: their list (names and sizes) is the only thing the driver holds.
     """
@@ -74,9 +74,14 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     keyed = narrow.join(table.select("k", "s"), narrow["source"].eqNullSafe(F.col("s"))).select("k", "h", "size").filter("size > 0")
     cuts = _thresholds(keyed, table.select("k", "budget"))
     plan = materialise(table.join(cuts.withColumnRenamed("k", "ck"), F.col("k") == F.col("ck"), "left"), "plan")
-    # no cut: the budget holds all of the source
-    head = F.expr("substring(h, 1, length(prefix))")
-    below = F.when(F.col("prefix").isNull(), F.col("budget") > 0).otherwise((head < F.col("prefix")) | ((head == F.col("prefix")) & F.col("last")))
-    out = narrow.join(plan, narrow["source"].eqNullSafe(F.col("s")))
-    copies = F.col("whole") + below.cast("int")
-    return out.select(id_col, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    # no cut: the budget holds all of the source. The plan, a row a source, goes to the documents; nothing else is joined
+    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
+    head = F.expr("substring(__h, 1, length(__prefix))")
+    below = F.when(F.col("__prefix").isNull(), F.col("__budget") > 0).otherwise((head < F.col("__prefix")) | ((head == F.col("__prefix")) & F.col("__last")))
+    copies = F.col("__whole") + below.cast("int")
+    rows = df.withColumns({"__h": hashed, "__size": n_words_column(text_col)})
+    out = rows.join(plan, rows[source_col].eqNullSafe(F.col("__s")))
+    discard(narrow)
+    result = {"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "copies": copies, "taken": (copies * F.col("__size")).cast("long")}
+    kept = [c for c in df.columns if c not in result]
+    return out.select(*[rows[c] for c in kept], *[c.alias(name) for name, c in result.items()])

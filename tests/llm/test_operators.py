@@ -358,7 +358,7 @@ def test_mel_and_segments_by_hand():
 
 @pytest.mark.parametrize("name", [n for n in Q.queries()])
 def test_empty_tables_and_clashing_columns(spark, tmp_path, name):
-    extra = "key long, fp long, n long, at int, h string, sha string, copies int"
+    extra = "key long, fp long, n long, at int, h string, sha string, copies int, prefix string, budget double, target double, k int"
     spark.createDataFrame([], SCHEMA + ", " + extra).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "page_id long, url string, html string, " + extra).write.parquet(f"{tmp_path}/pages.parquet")
     assert Q.queries()[name](spark, str(tmp_path)).count() == 0
