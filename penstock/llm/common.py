@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,19 +53,28 @@ def discard(*tables: DataFrame) -> None:
 
 
 _held: list[str] = []
+_holding = False
 
 
 def hold(table: DataFrame) -> DataFrame:
-    """A materialised table that a lazy result still reads; ``release`` deletes it once that result has been written."""
-    _held.append(table.written_to)
+    """A materialised table that a lazy result still reads; in a stage of a pipeline it is deleted when the next stage begins."""
+    if _holding:
+        _held.append(table.written_to)
     return table
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all held tables. To be called when the results that read them have been written, as between stages of a pipeline."""
+@contextmanager
+def stage_work(spark: SparkSession) -> Iterator[None]:
+    """Around a stage of a pipeline, whose result is written before the next one begins: deletes what the last stage held."""
+    global _holding
     while _held:
         delete(spark, _held.pop())
     free_shuffles(spark)
+    _holding = True
+    try:
+        yield
+    finally:
+        _holding = False
 
 
 def delete(spark: SparkSession, folder: str) -> None:
