@@ -454,6 +454,8 @@ def test_encode_gives_offsets(spark):
             split += text[begin:end].encode() != token
             at += len(token)
     assert split
+    coded = bpe.encode(df, path, P.PATTERN).unionByName(spark.createDataFrame([(9, None)], "doc_id long, ids array<int>"))
+    assert {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode_ids(coded, path, P.PATTERN).collect()} == {k: (t or "").encode() for k, t in texts.items()} | {9: b""}
 
 
 def test_op6_hosts(spark):
