@@ -31,7 +31,7 @@ def estimates(spark, d, state="CA", least_confidence="medium", low=30.0, high=12
 def latest_schedules(spark, d):
     """API-5, API-10: the latest schedule of high or medium confidence of each key."""
     r = _rates(spark, d).filter(F.col("confidence").isin(LADDER["medium"]))
-    return top_by(r, ["pwsid"], [F.desc_nulls_last("vintage_date"), F.asc("id")], 1).select("pwsid", "id", "source", "bill_10ccf", "vintage_date")
+    return top_by(r, ["pwsid"], [F.desc_nulls_last("vintage_date"), F.asc("id")], 1).select("pwsid", "id", "source", "bill_10ccf", F.col("vintage_date").cast("string").alias("vintage_date"))
 
 
 def rate_list(spark, d):
@@ -86,7 +86,7 @@ _E = "e as (" + _RATES_ORACLE["best_estimate"] + ")"
 _B = "b as (select case c_custkey % 3 when 0 then 'CA' when 1 then 'NC' else 'VA' end || lpad(c_custkey::varchar, 7, '0') pwsid, c_name pws_name, case c_custkey % 3 when 0 then 'CA' when 1 then 'NC' else 'VA' end state, floor(abs(c_acctbal))::bigint population, c_custkey % 360 - 180 lng, c_custkey % 170 - 85 lat from customer)"
 ORACLE = {
     "estimates": f"with {_E}, {_B} select pwsid, pws_name, population, bill_estimate_10ccf, confidence from e left join b using (pwsid) where state_code = 'CA' and confidence in ('high', 'medium') and bill_estimate_10ccf >= 30 and bill_estimate_10ccf <= 120 order by population desc, pwsid limit 100",
-    "latest_schedules": _R + " select pwsid, id, source, bill_10ccf, vintage_date from r where confidence in ('high', 'medium') qualify row_number() over (partition by pwsid order by vintage_date desc nulls last, id) = 1",
+    "latest_schedules": _R + " select pwsid, id, source, bill_10ccf, vintage_date::varchar vintage_date from r where confidence in ('high', 'medium') qualify row_number() over (partition by pwsid order by r.vintage_date desc nulls last, id) = 1",
     "rate_list": _R + f", {_B} select id, pwsid, pws_name, population, fixed charge, bill_10ccf from r left join b using (pwsid) where confidence = 'high' order by population desc, id limit 200",
     "bulk_download": f"""with {_E}, {_B} select pwsid, bill_estimate_10ccf, e.confidence, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || lng::double || ',' || lat::double || ']}},"properties":{{"pwsid":"' || pwsid || '","population":' || population || '}}}}' feature from b left join e using (pwsid) where population > 9000""",
     "key_quota": "select event_id, sha256('key-' || user_id) key_hash, row_number() over (partition by user_id, ts::date order by ts, event_id) <= case user_id % 3 when 0 then 2 when 1 then 3 else 5 end allowed from events",

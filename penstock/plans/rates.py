@@ -32,7 +32,7 @@ def _scored(spark, d):
 
 def best_estimate(spark, d):
     """SEL-1, SEL-2, SEL-4, AGG-14: one estimate a key."""
-    return S.best_estimate(_rates(spark, d))
+    return S.best_estimate(_rates(spark, d)).withColumn("vintage_date", F.col("vintage_date").cast("string"))
 
 
 def anchored_estimate(spark, d):
@@ -158,7 +158,7 @@ ORACLE = {
         b as (select * from s where comp is not null qualify row_number() over (partition by pwsid order by p, source, vintage_date desc nulls last, id) = 1),
         a as (select pwsid, source a_source, comp a_bill from s where comp is not null and state_code = 'CA' and source in ('swrcb_ear_2022', 'swrcb_ear_2021') qualify row_number() over (partition by pwsid order by case source when 'swrcb_ear_2022' then 0 else 1 end, id) = 1),
         k as (select pwsid, any_value(state_code) state_code, count(distinct source)::int n_sources from r group by pwsid)
-        select k.pwsid, k.state_code, b.source selected_source, round(b.comp, 2) bill_estimate_10ccf, b.bill_10ccf, b.bill_6ccf, b.bill_12ccf, b.vintage_date, n_sources, a_source anchor_source, a_bill anchor_bill,
+        select k.pwsid, k.state_code, b.source selected_source, round(b.comp, 2) bill_estimate_10ccf, b.bill_10ccf, b.bill_6ccf, b.bill_12ccf, b.vintage_date::varchar vintage_date, n_sources, a_source anchor_source, a_bill anchor_bill,
         case when b.comp is null then 'none' when b.source like 'swrcb_ear%' or b.source like 'efc_%' then 'high' when b.source = 'owrs' then 'medium' when b.confidence = 'low' then 'low' else 'medium' end confidence,
         case when b.comp is null then 'no comparable bill from any source' when b.source <> 'scraped_llm' then '' when b.confidence = 'low' then 'low_confidence' when a_bill is null then 'no_anchor_available'
         when abs(b.comp - a_bill) / a_bill <= 0.25 then 'anchor_agrees (' || format('{{:.0f}}', abs(b.comp - a_bill) / a_bill * 100) || '% diff)' else 'anchor_diverges_qa_flag (' || format('{{:.0f}}', abs(b.comp - a_bill) / a_bill * 100) || '% diff)' end selection_notes

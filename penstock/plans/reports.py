@@ -33,7 +33,7 @@ def status_report(spark, d):
 def violations(spark, d):
     """AGG-13, FLT-2: five-year rollup with the latest date of all years."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderdate").cast("date").alias("begun"), F.when(F.col("o_orderstatus").isin("F", "P"), "Y").alias("health"))
-    return Q.violation_rollup(o, as_of_year=2001, years=2)
+    return Q.violation_rollup(o, as_of_year=2001, years=2).withColumn("latest", F.col("latest").cast("string"))
 
 
 def gap_modes(spark, d):
@@ -210,7 +210,7 @@ _MODE = """case when total is null then 'scrape_failed' when with_text > 0 and r
 ORACLE = {
     "rank_success": _R + """ select id % 4 + 1 as "rank", case when text_length < 2000 then 'short' when text_length < 8000 then 'medium' else 'long' end "length", count(last_parse_result) tried, count(*) filter (last_parse_result = 'success') ok, round(100 * count(*) filter (last_parse_result = 'success') / nullif(count(last_parse_result), 0)::double, 1) pct, avg(retry_count) filter (last_parse_result is not null) mean_retries from r group by 1, 2""",
     "status_report": _R + " select count(*) n, count(distinct pwsid) n_keys, sum((status = 'pending')::int)::bigint pending, sum((last_fetch_at is null or last_fetch_at < timestamp '2024-01-15' - interval 30 day)::int)::bigint cool, array_to_string(list_sort(list(distinct event_type)), '|') kinds from r",
-    "violations": "with v as (select o_custkey \"key\", o_orderdate::date begun, o_orderstatus in ('F', 'P') h from orders), r as (select \"key\", count(*) violations, count(*) filter (h) health from v where year(begun) >= 1999 group by 1) select r.*, (select max(begun) from v where v.\"key\" = r.\"key\") latest from r",
+    "violations": "with v as (select o_custkey \"key\", o_orderdate::date begun, o_orderstatus in ('F', 'P') h from orders), r as (select \"key\", count(*) violations, count(*) filter (h) health from v where year(begun) >= 1999 group by 1) select r.*, (select max(begun)::varchar from v where v.\"key\" = r.\"key\") latest from r",
     "gap_modes": _R + f""", s as (select pwsid, count(*) total, count(*) filter (text_length >= 5000) with_text, max(text_length) longest from r group by 1), b as (select distinct on (pwsid) pwsid, last_parse_result res from r where text_length >= 5000 order by pwsid, text_length desc, id),
         m as (select {_MODE} "mode", c_acctbal pop from (select c_custkey pwsid, c_custkey % 4 k, c_acctbal from customer) left join s using (pwsid) left join b using (pwsid))
         select "mode", count(*) n, sum(pop) total, round(100 * count(*) / sum(count(*)) over ()::double, 1) pct_count, round(100 * sum(pop) / sum(sum(pop)) over (), 1) pct_total from m group by 1""",

@@ -170,7 +170,7 @@ ORACLE = {
         select k, months, coalesce(have, round(nullif(f + """ + _charge("7480") + ", 0), 2)) bill from z",
     "curve_bills": _C + f" select k, {_at(0)} bill_0, {_at(1)} bill_1, {_at(2.5)} bill_2h, {_at(24)} bill_24, {_at(24, True)} more_24 from c",
     "curve_tiers": _C + """, z as (select k, divisor, a * 1000.0::double / step ra, b * 1000.0::double / step rb, 3 * step cut from c)
-        select k, case when a = b then 1 else 2 end::int islands, a = 0 allowance, case when a <> b then cut end end_gal,
+        select k, case when a = b then 1 else 2 end::int islands, a = 0 allowance, case when a <> b then cut end::bigint end_gal,
         (case when a = b then (a > 0)::int else (a > 0)::int + (b > 0)::int end)::int n,
         case when a > 0 and a <> b then round(cut / 750.0::double / divisor, 2) end limit1,
         case when a > 0 then round(ra * 750 / 1000, 4) when b > 0 then round(rb * 750 / 1000, 4) end rate1, null::varchar note from z join c using (k, divisor)""",

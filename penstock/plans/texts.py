@@ -79,7 +79,7 @@ def date_forms(spark, d):
     """DATE-1, DATE-2, DATE-5, DATE-6, QC-7: dates of texts in many forms."""
     o = _orders(spark, d, """select o_orderkey k, o_orderdate at, case o_orderkey % 7 when 0 then date_format(o_orderdate, 'yyyy-MM-dd') when 1 then date_format(o_orderdate, 'MM/dd/yyyy') when 2 then date_format(o_orderdate, 'M/d/yy') when 3 then date_format(o_orderdate, 'MMMM d, yyyy')
         when 4 then concat('effective ', 2001 + o_orderkey % 30) when 5 then cast(1990 + o_orderkey % 50 as string) else 'soon' end a, case o_orderkey % 4 when 0 then cast(1995 + o_orderkey % 40 as string) when 1 then concat(2003 + o_orderkey % 9, '-', o_orderkey % 14) when 2 then date_format(o_orderdate, 'M/d/yyyy') else 'NA' end b from {orders}""")
-    return o.select("k", X.dated(F.col("a")).alias("a"), X.year_date(F.col("b")).alias("b"), X.newer_year(F.concat(F.lit("from 2019 to "), F.col("a"), F.lit(" or 2031")), F.lit(2030)).alias("newer"), (F.date_trunc("day", "at") == F.col("at")).alias("midnight"), F.when(F.col("k") % 3 == 0, F.lit("$1,234.50")).when(F.col("k") % 3 == 1, F.lit(" n/a ")).otherwise(F.col("k").cast("string")).alias("raw")).withColumn("number", safe_number(F.col("raw"))).drop("raw")
+    return o.select("k", X.dated(F.col("a")).cast("string").alias("a"), X.year_date(F.col("b")).cast("string").alias("b"), X.newer_year(F.concat(F.lit("from 2019 to "), F.col("a"), F.lit(" or 2031")), F.lit(2030)).alias("newer"), (F.date_trunc("day", "at") == F.col("at")).alias("midnight"), F.when(F.col("k") % 3 == 0, F.lit("$1,234.50")).when(F.col("k") % 3 == 1, F.lit(" n/a ")).otherwise(F.col("k").cast("string")).alias("raw")).withColumn("number", safe_number(F.col("raw"))).drop("raw")
 
 
 def name_forms(spark, d):
@@ -126,8 +126,8 @@ ORACLE = {
         case k % 6 when 2 then array_to_string(list_sort(list_distinct(['3.25', (regexp_extract(txt, 'tier 2 [$](\\d)', 1)) || '.50'])), ' ') when 5 then '12.00 7.50' else '' end numbers,
         (contains(txt, '3.25')::int + contains(txt, '7.50')::int + contains(txt, '12.00')::int + 5 * (contains(txt, 'tier 1')::int + contains(txt, 'agenda')::int))::int score from t""",
     "scripted_pages": "select page_id, page_id % 5 < 2 or (len(string_split(lower(html), '<script')) - 1 >= 10 and length(trim(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '<[^>]*>', '', 'g'))) < 500) or html like '%id=\"root\"%' or html like '%id=\"app\"%' or lower(html) like '%__next_data__%' scripted from pages",
-    "date_forms": """select o_orderkey k, case o_orderkey % 7 when 4 then make_date(2001 + o_orderkey % 30, 1, 1) when 5 then make_date(1990 + o_orderkey % 50, 1, 1) when 6 then null when 2 then case when year(o_orderdate) < 2000 then o_orderdate::date + interval 100 year else o_orderdate end else o_orderdate end::date a,
-        case o_orderkey % 4 when 0 then case when 1995 + o_orderkey % 40 between 2000 and 2030 then make_date(1995 + o_orderkey % 40, 1, 1) end when 1 then case when o_orderkey % 14 between 1 and 12 then make_date(2003 + o_orderkey % 9, o_orderkey % 14, 1) end when 2 then o_orderdate end::date b,
+    "date_forms": """select o_orderkey k, case o_orderkey % 7 when 4 then make_date(2001 + o_orderkey % 30, 1, 1) when 5 then make_date(1990 + o_orderkey % 50, 1, 1) when 6 then null when 2 then case when year(o_orderdate) < 2000 then o_orderdate::date + interval 100 year else o_orderdate end else o_orderdate end::date::varchar a,
+        case o_orderkey % 4 when 0 then case when 1995 + o_orderkey % 40 between 2000 and 2030 then make_date(1995 + o_orderkey % 40, 1, 1) end when 1 then case when o_orderkey % 14 between 1 and 12 then make_date(2003 + o_orderkey % 9, o_orderkey % 14, 1) end when 2 then o_orderdate end::date::varchar b,
         greatest(2031, case when o_orderkey % 7 = 5 then 1990 + o_orderkey % 50 end)::int newer, o_orderdate = o_orderdate::date midnight, case o_orderkey % 3 when 0 then 1234.5 when 1 then null else o_orderkey end::double number from orders""",
     "name_forms": """with c as (select c_custkey k, case c_custkey % 3 when 0 then 'CORNWALL-ON-HUDSON' when 1 then 'ISLE OF WIGHT' else 'ST. LOUIS WTR DIST' end nm from customer)
         select k, case k % 4 when 0 then 'CA' || lpad(k::varchar, 7, '0') when 1 then 'NC' || lpad(k::varchar, 7, '0') when 2 then 'VA' || lpad(k::varchar, 7, '0') end id, case k % 3 when 0 then 'Cornwall-On-Hudson' when 1 then 'Isle of Wight' else 'St. Louis Wtr Dist' end title,
