@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import binary, bpe, html_text, langid, media, mixing, rules, simhash, substrings, warc
+from . import binary, bpe, html_text, langid, lexical, media, mixing, rules, simhash, substrings, warc
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op10_media(spark, sf_dir):
     return media.summaries(media.write_features(media.store(docs)), docs.schema["doc_id"].dataType.simpleString())
 
 
+def op13_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -69,7 +73,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_token_ids, op3_langid, op4_mixing, op5_substrings, op6_quality, op7_simhash, op8_warc, op9_html, op10_media, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_ids, op3_langid, op4_mixing, op5_substrings, op6_quality, op7_simhash, op8_warc, op9_html, op10_media, op13_search, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -103,4 +107,13 @@ def oracle_sql() -> dict[str, str]:
         q as (select source, n, {", ".join(f"m_{x}, s_{x}, ({x} + m_{x} * s_{x}) / (n + s_{x}) p_{x}" for x in fails)} from p),
         g as (select source, {" or ".join(f"(p_{x} - sqrt(p_{x} * (1 - p_{x}) / (n + s_{x} + 1)) > {rules.HOST_RATE} and p_{x} > {rules.TIMES} * m_{x})" for x in fails)} bad from q)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 + f2 > 0 base_failed, f1 + f2 = 0 and not bad kept from f join g on f.source is not distinct from g.source"""
-    return {"op5_substrings": op5, "op6_quality": op6, "op8_warc": op8}
+    terms = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    op13 = f"""
+        with d as (select doc_id, {terms} t from documents), tf as (select doc_id, term, count(*) tf from (select doc_id, unnest(t) term from d) group by 1, 2),
+        c as (select count(*) nn, sum(len(t))::bigint ll from d where len(t) > 0), df as (select term, count(*) df from tf group by 1),
+        q as (select item_id, term, count(*) times from (select item_id, unnest({terms}) term from benchmark) group by 1, 2),
+        w as (select term, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)))::bigint w from df, c), m as (select doc_id, 75 + (25 * len(t) * nn) // ll m from d, c where len(t) > 0),
+        s as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint score from q join tf using (term) join w using (term) join m using (doc_id) group by 1, 2),
+        r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int "rank", doc_id, score from s where score > 0)
+        select * from r where "rank" <= 20"""
+    return {"op13_search": op13, "op5_substrings": op5, "op6_quality": op6, "op8_warc": op8}
