@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import binary, bpe, html_text, langid, lexical, media, mixing, rules, simhash, substrings, warc
+from . import binary, bpe, html_text, langid, lexical, media, mixing, rules, simhash, substrings, trie, warc
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op10_media(spark, sf_dir):
     return media.summaries(media.write_features(media.store(docs)), docs.schema["doc_id"].dataType.simpleString())
 
 
+def op12_trie(spark, sf_dir):
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_search(spark, sf_dir):
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,7 +77,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_token_ids, op3_langid, op4_mixing, op5_substrings, op6_quality, op7_simhash, op8_warc, op9_html, op10_media, op13_search, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_ids, op3_langid, op4_mixing, op5_substrings, op6_quality, op7_simhash, op8_warc, op9_html, op10_media, op12_trie, op13_search, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -116,4 +120,18 @@ def oracle_sql() -> dict[str, str]:
         s as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint score from q join tf using (term) join w using (term) join m using (doc_id) group by 1, 2),
         r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int "rank", doc_id, score from s where score > 0)
         select * from r where "rank" <= 20"""
-    return {"op13_search": op13, "op5_substrings": op5, "op6_quality": op6, "op8_warc": op8}
+    op12 = """
+        with tab as (select list(v order by k) t from (select k, list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) v from range(256) r(k))),
+        o as (select conv_id, md5(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) name, strlen(coalesce(text, '')) size,
+          row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) - 1 i from conversations where conv_id is not null),
+        c as (select conv_id, xor(list_reduce(list_prepend(4294967295, [ord(x)::bigint for x in string_split(conv_id::varchar, '')]), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 9 h from (select distinct conv_id from o), tab),
+        rb as (select c.conv_id, 0 part, i, name, size from c join o on o.conv_id = c.conv_id - c.conv_id % 5 and i < h union all select conv_id, 1, i, name, size from c join o using (conv_id) where i >= h),
+        seq as (select conv_id, coalesce(list(name order by part, i) filter (name is not null), []) names, list(size order by part, i) sizes from c left join rb using (conv_id) group by 1),
+        pre as (select conv_id, d, md5(array_to_string(names[1:d], ',')) || d k, case when d > 0 then md5(array_to_string(names[1:d - 1], ',')) || (d - 1) end up, case when d > 0 then sizes[d] else 0 end size, d = len(names) last
+          from (select *, unnest(range(0, len(names) + 1)) d from seq)),
+        n as (select k, d, up, min(conv_id) conv_id, count(*) n, any_value(size) size, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (last), '')) ends from pre group by 1, 2, 3),
+        ch as (select up, count(*) n_children from n where up is not null group by 1),
+        each as (select n.*, coalesce(n_children, 0) n_children from n left join ch on ch.up = n.k),
+        below as (select p.k, sum((e.n_children = 0)::int)::bigint n_leaves, sum((e.n - 1) * e.size)::bigint saved from each e join pre p on p.conv_id = e.conv_id and p.d <= e.d group by 1)
+        select e.conv_id, e.d depth, u.conv_id parent_conv_id, e.n n_convs, e.n_children, n_leaves, saved saved_tokens, e.ends ends_sha256 from each e join below using (k) left join n u on u.k = e.up"""
+    return {"op12_trie": op12, "op13_search": op13, "op5_substrings": op5, "op6_quality": op6, "op8_warc": op8}
