@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import binary, bpe, html_text, langid, lexical, media, mixing, rules, simhash, substrings, trie, warc
+from . import binary, bpe, html_text, langid, lexical, maxent, media, mixing, rules, simhash, substrings, trie, warc
 from .common import table
 
 
@@ -62,6 +62,13 @@ def op10_media(spark, sf_dir):
     return media.summaries(media.write_features(media.store(docs)), docs.schema["doc_id"].dataType.simpleString())
 
 
+def op11_maxent(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    model, counts = maxent.fit(docs.filter(~held))
+    return maxent.score(docs, model, counts, keep=["doc_id", held.alias("held_out")])
+
+
 def op12_trie(spark, sf_dir):
     return trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -77,7 +84,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_token_ids, op3_langid, op4_mixing, op5_substrings, op6_quality, op7_simhash, op8_warc, op9_html, op10_media, op12_trie, op13_search, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_ids, op3_langid, op4_mixing, op5_substrings, op6_quality, op7_simhash, op8_warc, op9_html, op10_media, op11_maxent, op12_trie, op13_search, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
