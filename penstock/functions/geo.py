@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,73 @@ def haversine_km(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+#: Half axis in metres and flattening of the spheroid.
+AXIS, FLAT = 6378137.0, 1 / 298.257223563
+#: Least and largest ratio of a distance on the spheroid and on the sphere, rounded outwards.
+STRETCH = 1.006
+
+
+def _geodesic(su, cu, sv, s, c, a0):
+    """(metres, longitude on the auxiliary sphere less that on the spheroid) of arcs with sine and cosine of their length and the sine of their azimuth at the equator."""
+    cos2 = 1 - a0 * a0
+    mid = np.where(cos2 > 1e-14, c - 2 * su * sv / np.maximum(cos2, 1e-14), 0.0)
+    arc = np.arctan2(s, c)
+    u2 = cos2 * (FLAT * (2 - FLAT) / (1 - FLAT) ** 2)
+    a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
+    b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
+    short = b * s * (mid + b / 4 * (c * (2 * mid * mid - 1) - b / 6 * mid * (4 * s * s - 3) * (4 * mid * mid - 3)))
+    k = FLAT / 16 * cos2 * (4 + FLAT * (4 - 3 * cos2))
+    return AXIS * (1 - FLAT) * a * (arc - short), (1 - k) * FLAT * a0 * (arc + k * s * (mid + k * c * (2 * mid * mid - 1)))
+
+
+def spheroid_m(lng1, lat1, lng2, lat2):
+    """Metres of the shortest lines on the spheroid, of arrays of degrees; within a millimetre, also between nearly opposite points.
+
+    The longitude on the auxiliary sphere is found in a fixed number of steps. Where these do not converge, near opposite
+    points, the azimuth is bisected: the longitude that it leads to grows with it, if a line begins at the end that is
+    farther from the equator, taken in the south.
+    """
+    u, v = (np.arctan((1 - FLAT) * np.tan(np.radians(x))) for x in (lat1, lat2))
+    l = np.radians(np.abs(np.mod(lng2 - lng1 + 180, 360.0) - 180))
+    su, cu, sv, cv = np.sin(u), np.cos(u), np.sin(v), np.cos(v)
+    lam = l
+    for _ in range(20):
+        s, c = np.hypot(cv * np.sin(lam), cu * sv - su * cv * np.cos(lam)), su * sv + cu * cv * np.cos(lam)
+        a0 = np.where(s > 0, cu * cv * np.sin(lam) / np.where(s > 0, s, 1), 0.0)
+        out, more = _geodesic(su, cu, sv, s, c, a0)
+        lam, before = l + more, lam
+    out = np.where(s > 0, out, 0.0)
+    hard = np.flatnonzero((np.abs(lam - before) > 1e-13) | (lam > np.pi) | ((l > 3) & (np.abs(u + v) < 0.02)))
+    if len(hard):
+        x, y, l = u[hard], v[hard], l[hard]
+        x, y = np.where(np.abs(x) >= np.abs(y), x, y), np.where(np.abs(x) >= np.abs(y), y, x)
+        y, x = np.where(x > 0, -y, y), np.minimum(-np.abs(x), -1e-200)
+        su, cu, sv, cv = np.sin(x), np.cos(x), np.sin(y), np.cos(y)
+        low, high = np.zeros(len(l)), np.full(len(l), np.pi)
+        for _ in range(60):
+            azimuth = (low + high) / 2
+            a0, ca = np.sin(azimuth) * cu, np.cos(azimuth)
+            cb = np.sqrt(np.maximum(ca * ca * cu * cu + (cv * cv - cu * cu), 0.0))
+            arc = np.clip(np.arctan2(sv, cb) - np.arctan2(su, ca * cu), 0, np.pi)  # rounding must not carry it beyond
+            m, more = _geodesic(su, cu, sv, np.sin(arc), np.cos(arc), a0)
+            short = np.arctan2(a0 * sv, cb) - np.arctan2(a0 * su, ca * cu) - more < l
+            low, high = np.where(short, azimuth, low), np.where(short, high, azimuth)
+        out[hard] = m
+    return out
+
+
+def spheroid_km(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
+    """Kilometres of the shortest line on the spheroid; null where a degree is null. In batches of columns, as it takes steps."""
+
+    @F.pandas_udf("double")
+    def km(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        with np.errstate(invalid="ignore"):
+            return pd.Series(spheroid_m(*(x.to_numpy(float) for x in (a, b, c, d))) / 1000)
+
+    known = lng1.isNotNull() & lat1.isNotNull() & lng2.isNotNull() & lat2.isNotNull()
+    return F.when(known, km(*[x.cast("double") for x in (lng1, lat1, lng2, lat2)]))
+
+
 def _edges(ring: Column) -> Column:
     n = F.greatest(F.size(ring) - 1, F.lit(0))
     return F.arrays_zip(F.slice(ring, F.lit(1), n).alias("a"), F.slice(ring, F.lit(2), n).alias("b"))
@@ -49,7 +118,7 @@ def bounds(polygons: Column) -> Column:
 
 
 def centroid(polygons: Column) -> Column:
-    """struct<x,y>: centroid by area of a multipolygon; holes count against it. Rings may run either way round."""
+    """struct<x,y>: centroid by area of a multipolygon; holes count against it. Rings may run either way round; without an area x and y are null."""
 
     def ring(r: Column, hole: Column) -> Column:
         cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
@@ -60,36 +129,76 @@ def centroid(polygons: Column) -> Column:
 
     sums = F.flatten(F.transform(polygons, lambda p: F.transform(p, lambda r, k: ring(r, k > 0))))
     total = lambda c: F.aggregate(sums, F.lit(0.0), lambda s, v: s + v[c])
-    return F.struct((total("x") / (3 * total("a"))).alias("x"), (total("y") / (3 * total("a"))).alias("y"))
+    return F.struct(F.try_divide(total("x"), 3 * total("a")).alias("x"), F.try_divide(total("y"), 3 * total("a")).alias("y"))
+
 
+def cells_of(shapes: DataFrame, key: str, geom: str = "geom", step: float = 1.0) -> DataFrame:
+    """(key, i, j, parts) of the grid cells that multipolygons touch or fill: a cell has its own edges only.
 
-def _cells(low: Column, high: Column, step: float) -> Column:
-    return F.sequence(F.floor(low / step).cast("long"), F.floor(high / step).cast("long"))
+    parts: struct<edges, inside> for each polygon in the cell; inside says whether the cell's middle is in the polygon.
+    Where the middle is comes from the crossings of its row, an aggregate by row; cells without an edge are all inside.
+    """
+    middle = lambda k: (k + F.lit(0.5)) * step
+    place = lambda v: F.floor(v / step).cast("long")
+    rings = shapes.select(F.col(key).alias("key"), F.posexplode(geom).alias("polygon", "p")).select("key", "polygon", F.explode("p").alias("r"))
+    e = rings.select("key", "polygon", F.explode(_edges(F.col("r"))).alias("e")).select("key", "polygon", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+    rows = e.withColumn("j", F.explode(F.sequence(place(F.least("ay", "by")), place(F.greatest("ay", "by")))))
+    # the stretch of an edge within a row: one cell or a few
+    slope = F.try_divide(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    x_at = lambda y: F.coalesce(F.col("ax") + (y - F.col("ay")) * slope, F.col("ax"))
+    clip = lambda y: F.greatest(F.least(y, F.greatest("ay", "by")), F.least("ay", "by"))
+    flat = F.col("ay") == F.col("by")
+    xs = F.array(F.when(flat, F.col("ax")).otherwise(x_at(clip(F.col("j") * step))), F.when(flat, F.col("bx")).otherwise(x_at(clip((F.col("j") + 1) * step))))
+    slack = step * 1e-9
+    within = rows.withColumn("i", F.explode(F.sequence(place(F.array_min(xs) - slack), place(F.array_max(xs) + slack))))
+    own = within.groupBy("key", "polygon", "i", "j").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("edges"))
+    # middles of a row inside: between its crossings, in pairs
+    y = middle(F.col("j"))
+    crossing = rows.filter((F.col("ay") > y) != (F.col("by") > y)).groupBy("key", "polygon", "j").agg(F.sort_array(F.collect_list((F.col("bx") - F.col("ax")) * (y - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax"))).alias("x"))
+    pair = F.transform(F.sequence(F.lit(0), (F.size("x") / 2).cast("int") - 1), lambda k: F.struct(F.get("x", 2 * k).alias("a"), F.get("x", 2 * k + 1).alias("b")))
+    # a middle m is inside if a <= m < b, as a crossing counts for what is strictly left of it
+    first, last = (lambda v: F.ceil(v / step - 0.5).cast("long")), (lambda v: F.ceil(v / step - 0.5).cast("long") - 1)
+    spans = crossing.select("key", "polygon", "j", F.explode(pair).alias("s")).filter(last(F.col("s.b")) >= first(F.col("s.a")))
+    inner = spans.select("key", "polygon", "j", F.explode(F.sequence(first(F.col("s.a")), last(F.col("s.b")))).alias("i")).withColumn("inside", F.lit(True))
+    both = own.join(inner, ["key", "polygon", "i", "j"], "full").select("key", "i", "j", F.struct(F.coalesce("edges", F.array().cast("array<struct<ax:double,ay:double,bx:double,by:double>>")).alias("edges"), F.coalesce("inside", F.lit(False)).alias("inside")).alias("part"))
+    return both.groupBy("key", "i", "j").agg(F.collect_list("part").alias("parts"))
+
+
+def in_cell(parts: Column, x: Column, y: Column, i: Column, j: Column, step: float) -> Column:
+    """Whether a point of cell (i, j) is in one of the cell's polygons: from it along x, then along y to the cell's middle, each edge crossed changes sides."""
+    mx, my = (i + F.lit(0.5)) * step, (j + F.lit(0.5)) * step
+    along_x = lambda e: ((e["ay"] > y) != (e["by"] > y)) & ((x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]) != (mx < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]))
+    along_y = lambda e: ((e["ax"] > mx) != (e["bx"] > mx)) & ((y < (e["by"] - e["ay"]) * (mx - e["ax"]) / (e["bx"] - e["ax"]) + e["ay"]) != (my < (e["by"] - e["ay"]) * (mx - e["ax"]) / (e["bx"] - e["ax"]) + e["ay"]))
+    return F.exists(parts, lambda p: ((F.size(F.filter(p["edges"], along_x)) + F.size(F.filter(p["edges"], along_y))) % 2 == 1) != p["inside"])
 
 
 def containing(points: DataFrame, shapes: DataFrame, *, xy=("lng", "lat"), geom: str = "geom", step: float = 1.0, how: str = "inner") -> DataFrame:
-    """Points with the shapes that contain them: an equi-join on grid cells of a shape's bounds, then ray casting.
+    """Points with the shapes that contain them: an equi-join on grid cells, each with its own edges of a shape, then with the shapes by id.
 
-    A shape is replicated to the cells of its bounds; ``step`` in degrees should be near the size of a shape.
+    ``step`` in degrees should be so that a cell has a few edges; shapes of any size are cut to their cells.
     """
     x, y = F.col(xy[0]), F.col(xy[1])
+    shapes = cut(shapes.withColumn("__id", F.monotonically_increasing_id()))
     left = points.withColumn("__i", F.floor(x / step).cast("long")).withColumn("__j", F.floor(y / step).cast("long"))
-    right = shapes.withColumn("__b", bounds(F.col(geom))).withColumn("__k", F.explode(_cells(F.col("__b.x0"), F.col("__b.x1"), step))).withColumn("__l", F.explode(_cells(F.col("__b.y0"), F.col("__b.y1"), step)))
-    inside = x.between(F.col("__b.x0"), F.col("__b.x1")) & y.between(F.col("__b.y0"), F.col("__b.y1")) & in_polygons(F.col(geom), x, y)
-    return left.join(right, (F.col("__i") == F.col("__k")) & (F.col("__j") == F.col("__l")) & inside, how).drop("__i", "__j", "__k", "__l", "__b")
+    right = cells_of(shapes, "__id", geom, step).withColumnsRenamed({"key": "__key", "i": "__k", "j": "__l", "parts": "__parts"})
+    met = left.join(right, (F.col("__i") == F.col("__k")) & (F.col("__j") == F.col("__l")) & in_cell(F.col("__parts"), x, y, F.col("__i"), F.col("__j"), step), how)
+    return met.drop("__i", "__j", "__k", "__l", "__parts").join(shapes, F.col("__key") == F.col("__id"), how).drop("__key", "__id")
 
 
 #: Degrees of a latitude band: within one, longitude cells have one width.
 BAND = 5.0
 
 
-def within_km(a: DataFrame, b: DataFrame, km: float, a_xy=("lng", "lat"), b_xy=("blng", "blat")) -> DataFrame:
+def within_km(a: DataFrame, b: DataFrame, km: float, a_xy=("lng", "lat"), b_xy=("blng", "blat"), *, spheroid: bool = False) -> DataFrame:
     """All pairs at most ``km`` apart, anywhere on the globe: an equi-join on cells with the distance as its condition.
 
+    With ``spheroid`` the distance is that on the spheroid: cells and the sphere's distance allow for STRETCH.
+
     Rows of the grid are ``km`` high. Each row belongs to a latitude band; in it, cells are wide enough for ``km`` at
     the band's highest latitude and the rows next to it, and wrap at 180 degrees; near a pole a row is one cell. b is
     replicated to its cell, both neighbours, and the rows above and below: 9 times, less where cells coincide.
     """
+    asked, km = km, km * STRETCH if spheroid else km
     lat_step = km / DEGREE_KM
 
     def columns_of(row: Column) -> Column:
@@ -104,24 +213,81 @@ def within_km(a: DataFrame, b: DataFrame, km: float, a_xy=("lng", "lat"), b_xy=(
     right = b.withColumn("__k", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: row(F.col(b_xy[1])) + s))).withColumn("__m", columns_of(F.col("__k")))
     at = column(F.col(b_xy[0]), F.col("__m"))
     right = right.withColumn("__l", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: F.pmod(at + s, F.col("__m"))))))
-    d = haversine_km(F.col(a_xy[0]), F.col(a_xy[1]), F.col(b_xy[0]), F.col(b_xy[1]))
-    joined = left.join(right, (F.col("__i") == F.col("__k")) & (F.col("__j") == F.col("__l")) & (d <= km))
-    return joined.withColumn("distance_km", d).drop("__i", "__j", "__k", "__l", "__n", "__m")
+    place = [F.col(a_xy[0]), F.col(a_xy[1]), F.col(b_xy[0]), F.col(b_xy[1])]
+    d = haversine_km(*place)
+    joined = left.join(right, (F.col("__i") == F.col("__k")) & (F.col("__j") == F.col("__l")) & (d <= km)).drop("__i", "__j", "__k", "__l", "__n", "__m")
+    if spheroid:  # what the sphere's distance admits is measured
+        return joined.withColumn("distance_km", spheroid_km(*place)).filter(F.col("distance_km") <= asked)
+    return joined.withColumn("distance_km", d)
+
+
+#: Points of ``b`` that a cell of the tree may have without being split, and its deepest level (0.8 m).
+LEAF, DEEPEST = 16, 24
+
 
+def _unit(lng: Column, lat: Column) -> Column:
+    """struct<x,y,z> of a place on the unit sphere."""
+    return F.struct((F.cos(F.radians(lat)) * F.cos(F.radians(lng))).alias("x"), (F.cos(F.radians(lat)) * F.sin(F.radians(lng))).alias("y"), F.sin(F.radians(lat)).alias("z"))
 
-def nearest(a: DataFrame, b: DataFrame, key: str, tie: str, *, km: float = 50.0, a_xy=("lng", "lat"), b_xy=("blng", "blat"), most_km: float = 20_100.0) -> DataFrame:
-    """Each row of ``a`` (by ``key``) with its nearest of ``b`` (ties by ``tie``): rings of growing radius, each only for the rows still without one."""
-    out, left = None, a
+
+def _tree(points: DataFrame) -> tuple[DataFrame, int]:
+    """(level, cell, up, count, box, leaf) of the cells of ``points`` (p) on the sphere, split where they have over LEAF points, and the deepest level.
+
+    A level's cells are grouped only of the points whose cell above was split.
+    """
+    code = lambda level: F.concat_ws(":", *[F.floor((F.col(f"p.{c}") + 1) * 2.0 ** (level - 1)).cast("long").cast("string") for c in "xyz"])
+    box = F.struct(*[f(f"p.{c}").alias(f"{c}{k}") for c in "xyz" for k, f in ((0, F.min), (1, F.max))])
+    left, out, level = points.withColumn("up", F.lit("")), None, 1
     while True:
-        found = within_km(left, b, km, a_xy, b_xy)
-        columns = [c for c in found.columns if c != key]
-        best = found.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct("distance_km", tie)).alias("__x")).select(key, *[F.col(f"__x.{c}").alias(c) for c in columns])
-        best = cut(best)
-        out = best if out is None else out.unionByName(best)
-        left = cut(left.join(best.select(key), key, "left_anti"))
-        if km >= most_km or left.isEmpty():
-            return out
-        km = min(km * 4, most_km)
+        cells = left.withColumn("cell", F.concat(F.lit(f"{level}/"), code(level))).groupBy("up", "cell").agg(F.count(F.lit(1)).alias("count"), box.alias("box"))
+        cells = cut(cells.withColumn("leaf", (F.col("count") <= LEAF) | F.lit(level == DEEPEST)).withColumn("level", F.lit(level)))
+        out = cells if out is None else out.unionByName(cells)
+        split = cells.filter("not leaf").select(F.col("cell").alias("up"))
+        if split.isEmpty():
+            return out, level
+        named = left.drop("up").withColumn("up", F.concat(F.lit(f"{level}/"), code(level)))
+        left, level = cut(named.join(split, "up", "left_semi")), level + 1
+
+
+def nearest(a: DataFrame, b: DataFrame, key: str, tie: str, *, a_xy=("lng", "lat"), b_xy=("blng", "blat")) -> DataFrame:
+    """Each row of ``a`` (by ``key``) with its nearest of ``b`` (equal distances by ``tie``) and distance_km; none if ``b`` is empty or a coordinate null.
+
+    ``b`` is put into a tree of cells by its density. A row of ``a`` goes down the tree with the cells that can have its
+    nearest point: those whose box is not farther than the farthest corner of another cell's box. Boxes are in three
+    dimensions, where the poles and the 180th meridian are like other places. A cell at the end has LEAF points at most,
+    as of points in one place only the first by ``tie`` takes part, so no row meets more than a few of ``b``.
+    """
+    known = lambda df, xy: df.filter(F.col(xy[0]).isNotNull() & F.col(xy[1]).isNotNull())
+    others = known(b, b_xy)
+    one = others.groupBy(F.col(b_xy[0]).alias("__x"), F.col(b_xy[1]).alias("__y")).agg(F.min_by(F.struct(*b.columns), tie).alias("__row"))
+    one = cut(one.withColumn("p", _unit(F.col("__x"), F.col("__y"))))
+    tree, deepest = _tree(one.select("p"))
+    far = lambda s, c: F.greatest(F.abs(F.col(f"q.{c}") - s[f"{c}0"]), F.abs(F.col(f"q.{c}") - s[f"{c}1"]))
+    near = lambda s, c: F.greatest(s[f"{c}0"] - F.col(f"q.{c}"), F.col(f"q.{c}") - s[f"{c}1"], F.lit(0.0))
+    square = lambda f, s: sum((f(s, c) * f(s, c) for c in "xyz"), F.lit(0.0))
+    asked = known(a, a_xy).select(key, _unit(F.col(a_xy[0]), F.col(a_xy[1])).alias("q"))
+    front, ends = asked.withColumn("cells", F.array(F.lit(""))).withColumn("best", F.lit(16.0)), None
+    for level in range(1, deepest + 1):
+        cells = tree.filter(F.col("level") == level).select("up", "cell", "leaf", "box")
+        met = front.select(key, "q", "best", F.explode("cells").alias("up")).join(cells, "up").withColumn("lo", square(near, F.col("box")))
+        met = met.withColumn("best", F.least("best", square(far, F.col("box"))))
+        # of a row the cells that its best bound leaves, a few
+        front = met.groupBy(key).agg(F.first("q").alias("q"), F.min("best").alias("best"), F.collect_list(F.struct("cell", "leaf", "lo")).alias("x"))
+        keep = lambda leaf: F.transform(F.filter("x", lambda c: (c["leaf"] == leaf) & (c["lo"] <= F.col("best") * (1 + 1e-9) + 1e-15)), lambda c: F.struct(c["cell"].alias("cell"), c["lo"].alias("lo")))
+        front = cut(front.select(key, "q", "best", keep(F.lit(True)).alias("ends"), F.transform(keep(F.lit(False)), lambda c: c["cell"]).alias("cells")))
+        found = front.select(key, F.explode("ends").alias("e"))
+        ends = found if ends is None else ends.unionByName(found)
+        bounds_now = front.select(key, F.col("best").alias("bound"))
+        final = bounds_now if level == 1 else final.unionByName(bounds_now)
+    least = final.groupBy(key).agg(F.min("bound").alias("bound"))
+    ends = ends.join(least, key).filter(F.col("e.lo") <= F.col("bound") * (1 + 1e-9) + 1e-15).select(key, F.col("e.cell").alias("cell"))
+    place = lambda level: F.concat(F.lit(f"{level}/"), F.concat_ws(":", *[F.floor((F.col(f"p.{c}") + 1) * 2.0 ** (level - 1)).cast("long").cast("string") for c in "xyz"]))
+    placed = one.withColumn("cell", F.explode(F.array(*[place(k) for k in range(1, deepest + 1)]))).join(tree.filter("leaf").select("cell"), "cell", "left_semi")
+    d = haversine_km(F.col(a_xy[0]), F.col(a_xy[1]), F.col("__x"), F.col("__y"))
+    met = ends.join(a.select(key, *a_xy), key).join(placed.select("cell", "__row", "__x", "__y"), "cell").withColumn("distance_km", d)
+    best = met.groupBy(key).agg(F.min_by(F.struct("__row", "distance_km"), F.struct("distance_km", F.col(f"__row.{tie}"))).alias("__b"))
+    best = best.select(key, *[F.col(f"__b.__row.{c}").alias(c) for c in b.columns], F.col("__b.distance_km").alias("distance_km"))
+    return a.join(best, key)
 
 
 def distance_class(km: Column) -> Column:

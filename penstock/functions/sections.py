@@ -89,7 +89,7 @@ def survey_records(text: Column, skipped: list[str], places: list[str]) -> Colum
             own = F.slice(lines, m["at"] + 1, F.length(m["hit"]))
             c = F.instr(m["hit"], "c")
             parts = F.filter(F.transform(F.slice(own, F.lit(1), c - 1), lambda x, k: F.when(F.substring(m["hit"], k + 1, F.lit(1)) == "o", x)), lambda x: x.isNotNull())
-            amount = F.when(F.right(m["hit"], F.lit(1)) == "a", F.regexp_replace(F.element_at(own, -1), "[$,]", "").cast("double"))
+            amount = F.when((F.length(m["hit"]) <= 10) & (F.right(m["hit"], F.lit(1)) == "a"), F.regexp_replace(F.element_at(own, -1), "[$,]", "").cast("double"))
             return F.struct(F.regexp_replace(F.array_join(parts, " "), r"\s+", " ").alias("name"), F.element_at(own, c).alias("place"), amount.alias("amount"))
 
         return F.transform(matches(F.array_join(F.transform(lines, kind), ""), "|".join(forms)), record)

@@ -22,7 +22,7 @@ def _ring(*points):
 
 def _shapes(spark, d):
     """A shape a supplier: a triangle with a triangular hole, and a square apart from it."""
-    s = table(spark, d, "supplier").filter("s_suppkey <= 100")
+    s = table(spark, d, "supplier")
     x, y = (F.col("s_suppkey") % 10).cast("double"), F.floor(F.col("s_suppkey") / 10).cast("double") % 10
     outline, hole = _ring((x, y), (x + 1, y), (x, y + 1), (x, y)), _ring((x + 0.1, y + 0.1), (x + 0.1, y + 0.4), (x + 0.4, y + 0.1), (x + 0.1, y + 0.1))
     square = _ring((x + 0.7, y + 0.7), (x + 0.95, y + 0.7), (x + 0.95, y + 0.95), (x + 0.7, y + 0.95), (x + 0.7, y + 0.7))
@@ -77,6 +77,12 @@ def radius_pairs(spark, d):
 _GX, _GY = "case when {0} % 3 = 0 then 179 + {0} * 37 % 200 / 100.0D - case when {0} * 37 % 200 / 100.0D >= 1 then 360 else 0 end else {0} * 7919 % 36000 / 100.0D - 180 end", "case when {0} % 4 = 0 then 86 + {0} * 41 % 400 / 100.0D when {0} % 4 = 1 then -86 - {0} * 43 % 400 / 100.0D else {0} * 104729 % 17000 / 100.0D - 85 end"
 
 
+def spheroid_pairs(spark, d):
+    """GEO-3, JOIN-13: pairs within 40 km on the spheroid, and their distance."""
+    s, c = _points(spark, d, "supplier", "s_suppkey", "blng", "blat"), _points(spark, d, "customer", "c_custkey")
+    return G.within_km(c, s, 40.0, spheroid=True).select("c_custkey", "s_suppkey", F.round(F.col("distance_km") * 1000, 1).alias("m"))
+
+
 def global_pairs(spark, d):
     """JOIN-13, GEO-3 across the 180th meridian and at the poles."""
     s = table(spark, d, "supplier").select("s_suppkey", F.expr(_GX.format("s_suppkey")).alias("blng"), F.expr(_GY.format("s_suppkey")).alias("blat"))
@@ -87,7 +93,7 @@ def global_pairs(spark, d):
 def nearest_supplier(spark, d):
     """JOIN-11, GEO-4, GEO-10: the nearest supplier of each customer, and its distance class."""
     s, c = _points(spark, d, "supplier", "s_suppkey", "blng", "blat"), _points(spark, d, "customer", "c_custkey")
-    return G.nearest(c.select("c_custkey", "lng", "lat"), s.select("s_suppkey", "blng", "blat"), "c_custkey", "s_suppkey", km=10.0).select("c_custkey", "s_suppkey", F.round("distance_km", 4).alias("km"), G.distance_class(F.col("distance_km")).alias("class"))
+    return G.nearest(c.select("c_custkey", "lng", "lat"), s.select("s_suppkey", "blng", "blat"), "c_custkey", "s_suppkey").select("c_custkey", "s_suppkey", F.round("distance_km", 4).alias("km"), G.distance_class(F.col("distance_km")).alias("class"))
 
 
 def geo_forms(spark, d):
@@ -100,20 +106,29 @@ def geo_forms(spark, d):
     return s.select("s_suppkey", G.from_ewkt(text)["lng"].alias("x"), G.from_ewkt(text)["lat"].alias("y"), G.from_ewkt(F.lit("POINT(1 2)")).isNull().alias("bad"), F.round(m["lng"], 6).alias("lng"), F.round(m["lat"], 6).alias("lat"), F.size("ring").alias("kept"), G.feature(["s_suppkey"], F.round("lng", 2), F.round("lat", 2)).alias("feature"))
 
 
-QUERIES = {f.__name__: f for f in (point_in_polygon, resolve, shape_measures, permits_near, facility_permits, radius_pairs, global_pairs, nearest_supplier, geo_forms)}
+QUERIES = {f.__name__: f for f in (point_in_polygon, resolve, shape_measures, permits_near, facility_permits, radius_pairs, spheroid_pairs, global_pairs, nearest_supplier, geo_forms)}
 
 _P = "with c as (select *, " + _X.format("c_custkey").replace("D", "::double") + " lng, " + _Y.format("c_custkey").replace("D", "::double") + " lat from customer), s as (select *, " + _X.format("s_suppkey").replace("D", "::double") + " blng, " + _Y.format("s_suppkey").replace("D", "::double") + " blat from supplier)"
 _D = "2 * " + str(G.EARTH_KM) + " * asin(sqrt(least(1, pow(sin(radians(blat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(blat)) * pow(sin(radians(blng - lng) / 2), 2))))"
-_IN = """g as (select s_suppkey, s_name, s_acctbal, s_suppkey % 10 x0, s_suppkey // 10 % 10 y0 from supplier where s_suppkey <= 100),
+_IN = """g as (select s_suppkey, s_name, s_acctbal, s_suppkey % 10 x0, s_suppkey // 10 % 10 y0 from supplier),
     m as (select c_custkey, g.* from c join g on (lng - x0 > 0 and lat - y0 > 0 and lng - x0 + lat - y0 < 1 and not (lng - x0 > 0.1 and lat - y0 > 0.1 and lng - x0 + lat - y0 < 0.5)) or (lng - x0 > 0.7 and lng - x0 < 0.95 and lat - y0 > 0.7 and lat - y0 < 0.95))"""
+_F, _AXIS = "(1 / 298.257223563::double)", "6378137.0::double"
+#: The inverse problem by five steps of the longitude, enough for points that are near to each other.
+_STEP = f"""select * exclude (lam, ss, cs), ss, cs, sa, c2, l + (1 - cc) * {_F} * sa * (atan2(ss, cs) + cc * ss * (c2 + cc * cs * (2 * c2 * c2 - 1))) lam from (select *, {_F} / 16 * (1 - sa * sa) * (4 + {_F} * (4 - 3 * (1 - sa * sa))) cc, cs - 2 * sin(u) * sin(v) / (1 - sa * sa) c2 from (select *, cos(u) * cos(v) * sin(lam) / ss sa
+    from (select *, sqrt(pow(cos(v) * sin(lam), 2) + pow(cos(u) * sin(v) - sin(u) * cos(v) * cos(lam), 2)) ss, sin(u) * sin(v) + cos(u) * cos(v) * cos(lam) cs from FROM)))"""
+_INVERSE = f"i0 as (select *, atan((1 - {_F}) * tan(radians(lat))) u, atan((1 - {_F}) * tan(radians(blat))) v, radians(abs(blng - lng)) l, radians(abs(blng - lng)) lam from q), "
+_INVERSE += "i1 as (" + _STEP.replace("FROM", "i0").replace("exclude (lam, ss, cs)", "exclude (lam, ss, cs, sa, cc, c2)") + "), " + ", ".join(f"i{k + 1} as (" + _STEP.replace("FROM", f"(select * exclude (ss, cs, sa, c2) from i{k})").replace("exclude (lam, ss, cs)", "exclude (lam, ss, cs, sa, cc, c2)") + ")" for k in range(1, 5))
+_INVERSE += f""", e as (select *, (1 - sa * sa) * {_F} * (2 - {_F}) / pow(1 - {_F}, 2) u2 from i5), g as (select *, 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2))) ga, u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2))) gb from e),
+    dist as (select c_custkey, s_suppkey, case when lng = blng and lat = blat then 0 else {_AXIS} * (1 - {_F}) * ga * (atan2(ss, cs) - gb * ss * (c2 + gb / 4 * (cs * (2 * c2 * c2 - 1) - gb / 6 * c2 * (4 * ss * ss - 3) * (4 * c2 * c2 - 3)))) end m from g)"""
 ORACLE = {
     "point_in_polygon": _P + f", {_IN} select c_custkey, s_suppkey from m",
     "resolve": _P + f", {_IN}, f as (select * from m qualify row_number() over (partition by c_custkey order by s_suppkey) = 1), l as (select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1) select c.c_custkey, s_name is not null matched, s_name, s_acctbal, o_orderkey, o_orderkey is not null has_rate from c left join f using (c_custkey) left join l on o_custkey = c.c_custkey",
-    "shape_measures": """with g as (select s_suppkey, s_suppkey % 10 x0, s_suppkey // 10 % 10 y0, 0.5::double a1, 0.045::double a2, 0.0625::double a3 from supplier where s_suppkey <= 100),
+    "shape_measures": """with g as (select s_suppkey, s_suppkey % 10 x0, s_suppkey // 10 % 10 y0, 0.5::double a1, 0.045::double a2, 0.0625::double a3 from supplier),
         z as (select s_suppkey, x0 + (a1 / 3 - a2 * 0.2 + a3 * 0.825) / (a1 - a2 + a3) x, y0 + (a1 / 3 - a2 * 0.2 + a3 * 0.825) / (a1 - a2 + a3) y from g) select s_suppkey, round(x, 6) lng, round(y, 6) lat, (floor(x / 2) + 5 * floor(y / 2))::int county from z""",
     "permits_near": _P + f", q as (select c_custkey, {_D.replace('blat', '5.0').replace('blng', '5.0')} km from c where c_mktsegment = 'BUILDING') select c_custkey, round(km, 3) km from q where km <= 200 order by q.km, c_custkey limit 40",
     "facility_permits": _P + f" select s_suppkey, c_custkey, case when c_custkey % 100 = s_suppkey then 'linked' else 'nearby' end via from c cross join s where c_custkey % 100 = s_suppkey or {_D} <= 60",
     "radius_pairs": _P + f" select c_custkey, s_suppkey from c join s on {_D} <= 50",
+    "spheroid_pairs": _P + f", q as (select c_custkey, s_suppkey, lng, lat, blng, blat from c join s on {_D} <= 41), " + _INVERSE + " select c_custkey, s_suppkey, round(m, 1) m from dist where m <= 40000",
     "global_pairs": "with c as (select c_custkey, " + _GX.format("c_custkey").replace("D", "::double") + " lng, " + _GY.format("c_custkey").replace("D", "::double") + " lat from customer), s as (select s_suppkey, " + _GX.format("s_suppkey").replace("D", "::double") + " blng, " + _GY.format("s_suppkey").replace("D", "::double") + f" blat from supplier) select c_custkey, s_suppkey from c join s on {_D} <= 150",
     "nearest_supplier": _P + f", q as (select c_custkey, s_suppkey, {_D} km from c cross join s qualify row_number() over (partition by c_custkey order by {_D}, s_suppkey) = 1) select c_custkey, s_suppkey, round(km, 4) km, case when km < 1 then 'high' when km < 3 then 'medium' when km < 5 then 'low' else 'candidate' end \"class\" from q",
     "geo_forms": _P + """ select s_suppkey, s_suppkey + 0.5::double x, -(s_suppkey % 90)::double y, true bad, round(degrees(s_suppkey * 10000 / 6378137.0::double), 6) lng, round(degrees(2 * atan(exp(s_suppkey * -20000 / 6378137.0::double)) - pi() / 2), 6) lat, 17 kept,
