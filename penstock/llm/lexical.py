@@ -198,7 +198,7 @@ def _search_block(docs: DataFrame, texts: list[str | None], k: int, id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(block, weights, kth, top, k)
-        step = max(1, BATCH_BYTES // (64 * block.items))  # cells handled at a time
+        step = max(1, BATCH_BYTES // (64 * max(1, block.items)))  # cells handled at a time
         for batch in batches:
             for begin in range(0, batch.num_rows, step):
                 search.take(batch.slice(begin, step), n, total)
