@@ -48,24 +48,55 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return weight(F.array_intersect(x, y)) / F.nullif(weight(F.array_union(x, y)), F.lit(0))
 
 
+def similar_names(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
+    """(__name, __other, score) of distinct names whose weighted Jaccard similarity is ``least`` or more, with a common word over 3 letters.
+
+    The words of a name are ordered, the rarest first. If two names are similar enough, they share a word of which no
+    more than a part of each comes before it, as the words from there on must weigh enough; names meet by that word, their weight and
+    what is left from the word on, and only where these can reach ``least``. A word that all names have comes last, where
+    only names that are hardly more than the word meet by it.
+    """
+    bag = lambda df, c: df.filter(F.length(c) > 0).select(c, F.array_distinct(F.split(c, " ")).alias("__w"))
+    a, b = bag(left, "__name"), bag(right, "__other")
+    often = a.select(F.explode("__w").alias("__g")).unionByName(b.select(F.explode("__w").alias("__g"))).groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+
+    def prefix(df: DataFrame, c: str, s: str) -> DataFrame:
+        """A row a word of the prefix: the word, the name's weight, the weight from the word on."""
+        ordered = df.select(c, F.explode("__w").alias("__g")).join(often, "__g").groupBy(c).agg(F.sort_array(F.collect_list(F.struct("__n", "__g"))).alias("__x"))
+        weight = lambda x: F.aggregate(x, F.lit(0), lambda t, w: t + F.length(w["__g"]))
+        rows = ordered.select(c, weight(F.col("__x")).alias(f"__t{s}"), F.posexplode("__x").alias("__k", "__y"), "__x")
+        rows = rows.withColumn(f"__r{s}", weight(F.slice("__x", F.col("__k") + 1, F.size("__x"))))
+        return rows.filter(F.col(f"__r{s}") >= least * F.col(f"__t{s}")).select(c, F.col("__y.__g").alias(f"__g{s}"), f"__t{s}", f"__r{s}")
+
+    x, y = prefix(a, "__name", "a"), prefix(b, "__other", "b")
+    # weights are small numbers: few kinds of each word
+    kinds = lambda df, s: df.select(f"__g{s}", f"__t{s}", f"__r{s}").distinct()
+    reach = (1 + least) * F.least("__ra", "__rb") >= least * (F.col("__ta") + F.col("__tb"))
+    may = kinds(x, "a").join(kinds(y, "b"), (F.col("__ga") == F.col("__gb")) & reach)
+    met = x.join(may, ["__ga", "__ta", "__ra"]).join(y, ["__gb", "__tb", "__rb"]).select("__name", "__other").distinct()
+    long = F.exists(F.array_intersect(F.split("__name", " "), F.split("__other", " ")), lambda w: F.length(w) > 3)
+    return met.filter(long).withColumn("score", weighted_jaccard(F.col("__name"), F.col("__other"))).filter(F.col("score") >= least)
+
+
 def match_names(left: DataFrame, right: DataFrame, *, name: str = "name", other: str = "other", order: str = "order", least: float = 0.5) -> DataFrame:
     """``left`` (id, name) with its best of ``right`` (rid, other, order): exact, else one within the other, else by common words.
 
-    Names are normalised already. Stages are equi-joins: of whole names, of the runs of 4 letters at the start of the
-    shorter one's possible places, and of words over 3 letters. Within a stage the higher score wins, then ``order``.
+    Names are normalised already. Stages are equi-joins: of whole names, of the rarest run of 4 letters of the shorter
+    one, and of words by similar_names. Within a stage the higher score wins, then ``order``.
     """
     one = right.groupBy(other).agg(F.min(F.struct(order, "rid")).alias("__o")).select(F.col(other).alias("__other"), F.col(f"__o.{order}").alias("__order"), F.col("__o.rid").alias("rid"))
     names = left.filter(F.length(name) > 0).select("id", F.col(name).alias("__name"))
     pick = lambda df, stage: df.select("id", "rid", F.lit(stage).alias("stage"), "score", "__order")
     exact = pick(names.join(one, F.col("__name") == F.col("__other")).withColumn("score", F.lit(1.0)), 1)
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda k: F.substr(c, k, F.lit(4))))
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda k: F.substr(c, k, F.lit(4))))
     a, b = names.filter("length(__name) >= 4"), one.filter("length(__other) >= 4")
-    # the shorter name begins somewhere in the longer one: its first four letters meet all runs of four of the other
-    first = a.withColumn("__g", F.left("__name", F.lit(4))).join(b.withColumn("__h", F.explode(grams(F.col("__other")))), (F.col("__g") == F.col("__h")) & F.col("__other").contains(F.col("__name")))
-    second = a.withColumn("__g", F.explode(grams(F.col("__name")))).join(b.withColumn("__h", F.left("__other", F.lit(4))), (F.col("__g") == F.col("__h")) & F.col("__name").contains(F.col("__other")))
+    # a name within another: its rarest run of four letters is one of the other's runs
+    counted = a.select(F.explode(runs(F.col("__name"))).alias("__g")).unionByName(b.select(F.explode(runs(F.col("__other"))).alias("__g"))).groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = lambda df, c: df.select(c, F.explode(runs(F.col(c))).alias("__g")).distinct().join(counted, "__g").groupBy(c).agg(F.min_by("__g", F.struct("__n", "__g")).alias("__g")).join(df, c)
+    first = rarest(a, "__name").join(b.withColumn("__h", F.explode(runs(F.col("__other")))), (F.col("__g") == F.col("__h")) & F.col("__other").contains(F.col("__name")))
+    second = a.withColumn("__h", F.explode(runs(F.col("__name")))).join(rarest(b, "__other"), (F.col("__g") == F.col("__h")) & F.col("__name").contains(F.col("__other")))
     inside = pick(first.select("id", "rid", "__order").union(second.select("id", "rid", "__order")).withColumn("score", F.lit(1.0)), 2)
-    words = lambda df, c, w: df.withColumn(w, F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda x: F.length(x) > 3))))
-    common = words(names, "__name", "__g").join(words(one, "__other", "__h"), F.col("__g") == F.col("__h")).withColumn("score", weighted_jaccard(F.col("__name"), F.col("__other"))).filter(F.col("score") >= least)
+    common = similar_names(names.select("__name").distinct(), one.select("__other"), least).join(names, "__name").join(one, "__other")
     found = exact.unionByName(inside).unionByName(pick(common, 3))
     best = found.groupBy("id").agg(F.min_by(F.struct("rid", "stage", "score"), F.struct("stage", -F.col("score"), "__order")).alias("__b"))
     method = F.when(F.col("__b").isNull(), "no_match").when(F.col("__b.stage") == 1, "exact").when(F.col("__b.stage") == 2, "substring").otherwise(F.concat(F.lit("word_overlap("), F.format_string("%.2f", F.col("__b.score")), F.lit(")")))
