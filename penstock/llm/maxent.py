@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, hold, materialise
 
-#: Classes and tokens of one, hashed rows (a power of two) of either softmax, rounds, step size, tokens of a gradient step.
+#: Classes and tokens of one, hashed rows (a power of two, 2**15 at most) of either softmax, rounds, step size, tokens of a gradient step.
 CLASSES, WIDTH, ROWS, ROUNDS, RATE, STEP = 32, 32, 1 << 14, 3, 0.3, 1 << 13
 #: Frequent tokens whose counts tasks hold; of these so many are told apart in a context.
 HELD, CONTEXT = 1 << 18, 1 << 14
 #: Bytes and tokens handled at a time; a unit of a summed change.
-PIECE, PART, UNIT = 1 << 20, 1 << 15, 1 << 16
+PIECE, PART, UNIT = 1 << 20, 1 << 13, 1 << 16
 END = 1
 _SPACE = np.isin(np.arange(256), (32, *range(9, 14)))
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64) + np.uint64(1)
@@ -115,12 +115,13 @@ class Vocabulary:
     rest_v: int
 
     def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks (number of held tokens: not held) and counts."""
+        """Ranks and counts; a token that is not held ranks behind all that are and all of the classes."""
+        behind = max(len(self.names), (CLASSES - 1) * WIDTH)
         if not len(self.names):
-            return np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+            return np.full(len(names), behind), np.zeros(len(names), np.int64)
         at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
         held = self.names[at] == names
-        return np.where(held, self.ranks[at], len(self.names)), np.where(held, self.counts[at], 0)
+        return np.where(held, self.ranks[at], behind), np.where(held, self.counts[at], 0)
 
 
 def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -178,25 +179,30 @@ class Model:
             return (features % np.uint64(ROWS)).astype(np.int64)
         return ROWS + (_mixed(features + classes.astype(np.uint64) * _M2) % np.uint64(ROWS)).astype(np.int64)
 
-    def logits(self, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """Log probabilities by column."""
-        z = self.weights[rows[0]]
+    def sums(self, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Sums of the weights by column, less the largest of a token."""
+        z = self.weights.take(rows[0], 0)
         for r in rows[1:]:
-            z += self.weights[r]
+            z += self.weights.take(r, 0)
         z += bias
         z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
         return z
 
+    def log_of(self, rows: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log probabilities of the given columns."""
+        z = self.sums(rows, bias)
+        out = z[np.arange(len(target)), target].astype(np.float64)
+        return out - np.log(np.exp(z, out=z).sum(1))
+
     def score(self, ranks: np.ndarray, features: np.ndarray) -> np.ndarray:
         """Natural log probability of each token; for one outside the classes, of their last class alone."""
         out = np.empty(len(ranks))
         for a in range(0, len(ranks), PART):
             f, r = features[:, a : a + PART], ranks[a : a + PART]
             c = np.minimum(r // WIDTH, CLASSES - 1)
-            z = self.logits(self.rows(f), self.class_bias)[np.arange(len(r)), c].astype(np.float64)
+            z = self.log_of(self.rows(f), self.class_bias, c)
             own = np.flatnonzero(c < CLASSES - 1)
-            z[own] += self.logits(self.rows(f[:, own], c[own]), self.inner_bias[c[own]])[np.arange(len(own)), r[own] % WIDTH]
+            z[own] += self.log_of(self.rows(f[:, own], c[own]), self.inner_bias[c[own]], r[own] % WIDTH)
             out[a : a + PART] = z
         return out
 
@@ -211,13 +217,15 @@ class Model:
                 self._step(self.rows(f[:, own], c[own]), self.inner_bias[c[own]], r[own] % WIDTH, squares, used)
 
     def _step(self, rows: np.ndarray, bias: np.ndarray, target: np.ndarray, squares: np.ndarray, used: np.ndarray) -> None:
-        g = np.exp(self.logits(rows, bias))
+        g = self.sums(rows, bias)
+        np.exp(g, out=g)
+        g /= g.sum(1, keepdims=True)
         g[np.arange(len(target)), target] -= 1
         for r in rows:
-            order = np.argsort(r, kind="stable")
+            order = np.argsort(r.astype(np.uint16), kind="stable")  # 2 * ROWS fit 16 bits, which are sorted by digits
             at = r[order]
             begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            change, where = np.add.reduceat(g[order], begin), at[begin]
+            change, where = np.add.reduceat(g.take(order, 0), begin), at[begin]
             squares[where] += np.square(change).sum(1)
             used[where] += np.diff(np.r_[begin, len(at)])
             self.weights[where] -= RATE * change / np.sqrt(squares[where] + 1e-6)[:, None]
