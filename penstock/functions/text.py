@@ -7,15 +7,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sections import let
+
 #: Postal codes and names of the states.
-STATES = dict(
-    pair.split("=")
-    for pair in (
-        "AL=alabama AK=alaska AZ=arizona AR=arkansas CA=california CO=colorado CT=connecticut DE=delaware FL=florida GA=georgia HI=hawaii ID=idaho IL=illinois IN=indiana IA=iowa KS=kansas KY=kentucky LA=louisiana ME=maine MD=maryland MA=massachusetts "
-        "MI=michigan MN=minnesota MS=mississippi MO=missouri MT=montana NE=nebraska NV=nevada NH=new_hampshire NJ=new_jersey NM=new_mexico NY=new_york NC=north_carolina ND=north_dakota OH=ohio OK=oklahoma OR=oregon PA=pennsylvania RI=rhode_island "
-        "SC=south_carolina SD=south_dakota TN=tennessee TX=texas UT=utah VT=vermont VA=virginia WA=washington WV=west_virginia WI=wisconsin WY=wyoming DC=district_of_columbia"
-    ).split()
-)
+STATES = {
+    "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado", "CT": "Connecticut", "DE": "Delaware", "FL": "Florida", "GA": "Georgia", "HI": "Hawaii", "ID": "Idaho", "IL": "Illinois", "IN": "Indiana", "IA": "Iowa", "KS": "Kansas",
+    "KY": "Kentucky", "LA": "Louisiana", "ME": "Maine", "MD": "Maryland", "MA": "Massachusetts", "MI": "Michigan", "MN": "Minnesota", "MS": "Mississippi", "MO": "Missouri", "MT": "Montana", "NE": "Nebraska", "NV": "Nevada", "NH": "New Hampshire", "NJ": "New Jersey", "NM": "New Mexico",
+    "NY": "New York", "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio", "OK": "Oklahoma", "OR": "Oregon", "PA": "Pennsylvania", "RI": "Rhode Island", "SC": "South Carolina", "SD": "South Dakota", "TN": "Tennessee", "TX": "Texas", "UT": "Utah", "VT": "Vermont", "VA": "Virginia",
+    "WA": "Washington", "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming", "DC": "District of Columbia",
+}
 #: Words of the URL and content scores.
 RATE_WORDS = ["rate", "schedule", "tariff", "water bill", "fee schedule", "rate structure", "charges", "pricing", "rate study"]
 BAD_WORDS = ["meeting", "agenda", "minutes", "news", "press release", "election", "job", "career", "bid", "rfp"]
@@ -78,7 +78,7 @@ def state_of_host(name: Column) -> Column:
     """The state that a .gov or .us host names before its last label, by code or (gov) in full."""
     parts = F.split(F.lower(name), r"\.")
     label, last = F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1))
-    full = F.create_map(*[F.lit(x) for k, v in STATES.items() for x in (v, k)])
+    full = F.create_map(*[F.lit(x) for k, v in STATES.items() for x in (v.lower(), k)])
     code = F.when(F.upper(label).isin(*STATES), F.upper(label))
     return F.when((F.size(parts) >= 3) & (last == "gov"), F.coalesce(code, F.try_element_at(full, label))).when((F.size(parts) >= 3) & (last == "us"), code)
 
@@ -99,7 +99,10 @@ def freshness_points(text: Column, year: int) -> Column:
 
 def url_score(url: Column, title: Column, snippet: Column, name: Column, city: Column, state: Column, *, year: int, aggregators: list[str]) -> Column:
     """Relevance 0 to 100: words, domain, names in the host, file type, path, freshness, bad words, another state's host."""
-    text, h = F.lower(F.concat_ws(" ", url, title, snippet)), host(url)
+    return let(F.lower(F.concat_ws(" ", url, title, snippet)), lambda text: let(host(url), lambda h: _url_score(text, h, url, name, city, state, year, aggregators)))
+
+
+def _url_score(text: Column, h: Column, url: Column, name: Column, city: Column, state: Column, year: int, aggregators: list[str]) -> Column:
     whole = slug(name)
     bare = F.regexp_replace(F.replace(h, F.lit("www."), F.lit("")), "[^a-z0-9]", "")
     words = F.filter(F.split(F.lower(name), " +"), lambda w: (F.length(w) > 4) & ~w.isin(GENERIC))
@@ -120,68 +123,63 @@ def url_score(url: Column, title: Column, snippet: Column, name: Column, city: C
 def content_boost(text: Column) -> Column:
     """-15 to 20 by signs of a rate table in the first and last 5000 characters; 0 for texts under 200."""
     sample = F.lower(F.when(F.length(text) > 10_000, F.concat(F.left(text, F.lit(5000)), F.right(text, F.lit(5000)))).otherwise(text))
-    has = lambda w: sample.contains(w)
-    boost = points(
-        (has("per 1,000") | has("per thousand"), 8), (has("ccf"), 6), (has("/1000 gal") | has("per 1000 gal"), 6), (has("residential") & (has("rate") | has("charge")), 4), (count_of(sample, TIER_SIGNS) >= 2, 5),
-        (has("sewer") & ~has("water rate"), -10), (has("meeting") & has("agenda"), -10), (has("404") & has("not found"), -15),
-    )
-    return F.when(F.coalesce(F.length(text), F.lit(0)) < 200, 0).otherwise(between(boost, -15, 20)).cast("int")
 
+    def of(t: Column) -> Column:
+        has = t.contains
+        return points(
+            (has("per 1,000") | has("per thousand"), 8), (has("ccf"), 6), (has("/1000 gal") | has("per 1000 gal"), 6), (has("residential") & (has("rate") | has("charge")), 4), (count_of(t, TIER_SIGNS) >= 2, 5),
+            (has("sewer") & ~has("water rate"), -10), (has("meeting") & has("agenda"), -10), (has("404") & has("not found"), -15),
+        )
 
-def older_url_score(url: Column, words: list[str], bad: list[str]) -> Column:
-    """2 a keyword, 3 for .gov, 1.5 for .org, -10 for a bad domain, 2 for a path of rates, 1.5 for a PDF."""
-    u = F.lower(url)
-    return (2 * count_of(u, words) + points((host(url).contains(".gov"), 3.0), (host(url).contains(".org"), 1.5), (has_any(host(url), bad), -10.0), (path(u).rlike("rate|fee|tariff"), 2.0), (u.endswith(".pdf"), 1.5))).cast("double")
+    boost = let(sample, of)
+    return F.when(F.coalesce(F.length(text), F.lit(0)) < 200, 0).otherwise(between(boost, -15, 20)).cast("int")
 
 
-def link_score(text: Column, url: Column, *, strong: str, moderate: str, negative: str, centre: str) -> Column:
-    """3 a strong pattern, 1 a moderate one, -2 a negative one, 1 for a document centre, 0.5 for a PDF."""
-    t = F.lower(F.concat_ws(" ", text, url))
-    return points((t.rlike(strong), 3.0), (t.rlike(moderate), 1.0), (t.rlike(negative), -2.0), (F.lower(url).rlike(centre), 1.0), (F.lower(url).endswith(".pdf"), 0.5)).cast("double")
+def thin(text: Column, words: list[str]) -> Column:
+    """Under 2000 characters, fewer than two keywords and no amount of dollars."""
+    return (F.length(text) < 2000) & let(F.lower(text), lambda t: count_of(t, words) < 2) & ~text.rlike(DOLLARS)
 
 
-def level_score(text: Column, levels: dict[int, dict[str, int]], level: Column) -> Column:
-    """Points of the keywords of a crawl level that stand in the text."""
-    out = F.lit(0)
-    for n, words in levels.items():
-        out = F.when(level == n, points(*[(F.lower(text).contains(w), p) for w, p in words.items()])).otherwise(out)
-    return out
+#: Signs of a parked or default page, words of a utility, words of rates.
+PARKED = ["domain is for sale", "buy this domain", "this domain may be for sale", "parked domain", "coming soon", "under construction", "website coming soon", "page not found", "this site is temporarily unavailable", "default web page", "welcome to nginx", "apache2 default page", "it works!", "index of /", "godaddy", "parking page"]
+UTILITY_WORDS = ["water", "utility", "sewer", "rate", "fee", "billing", "customer", "service"]
+MONEY_WORDS = ["rate", "tariff", "fee schedule", "water charge", "service charge", "per 1,000", "per thousand", "ccf", "hcf", "kgal", "gallons", "volumetric", "tier", "base charge", "fixed charge", "monthly charge", "billing", "usage charge"]
 
 
-def locality_score(score: Column, url: Column, city: Column, contaminated: Column) -> Column:
-    """A URL score with 20 for the place's name in the domain and -15 for a URL seen under many keys."""
-    return between(score + points((slug(base_domain(url)).contains(slug(city)) & (F.length(slug(city)) > 3), 20), (contaminated, -15)), 0, 100)
+def skip_reason(text: Column) -> Column:
+    """Why a text isn't worth parsing, null if it may be: empty, under 100 characters, parked, short without a word of utilities, without an amount and a word of rates."""
+    size = lambda t: F.length(t).cast("string")
 
+    def of(t: Column) -> Column:
+        sign = F.coalesce(*[F.when(t.contains(w), F.lit(w)) for w in PARKED])
+        return (
+            F.when(F.length(t) < 100, F.concat(F.lit("too_short ("), size(t), F.lit(" chars)"))).when(sign.isNotNull(), F.concat(F.lit("parked_domain ("), sign, F.lit(")")))
+            .when((F.length(t) < 500) & ~has_any(t, UTILITY_WORDS), F.concat(F.lit("short_no_water_keywords ("), size(t), F.lit(" chars)"))).when(~text.rlike(r"\$\d") & ~has_any(t, MONEY_WORDS), "no_financial_or_rate_content")
+        )
 
-def thin(text: Column, words: list[str]) -> Column:
-    """Under 2000 characters, fewer than two keywords and no amount of dollars."""
-    return (F.length(text) < 2000) & (count_of(F.lower(text), words) < 2) & ~text.rlike(DOLLARS)
-
-
-def skip_reason(text: Column, *, least: int = 100) -> Column:
-    """Why a text isn't worth parsing; null if it is."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return (
-        F.when(F.trim(t) == "", "empty").when(F.length(t) < least, "too_short").when(has_any(t, ["domain is for sale", "parked", "buy this domain"]), "parked_domain")
-        .when(~has_any(t, ["water", "utility", "sewer"]), "no_water_words").when(~t.contains("$"), "no_dollars")
-    )
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return let(bare, lambda t: F.when(t == "", "empty_content").otherwise(let(F.lower(t), of)))
 
 
 def model_route(text: Column, large: str = "large", small: str = "small") -> Column:
     """The larger model for long texts, many tier words or signs of complexity."""
-    t = F.lower(text)
-    return F.when((F.length(text) > 10_000) | (count_of(t, ROUTE_WORDS) > 6) | has_any(t, ROUTE_SIGNS), large).otherwise(small)
+    return let(F.lower(text), lambda t: F.when((F.length(text) > 10_000) | (count_of(t, ROUTE_WORDS) > 6) | has_any(t, ROUTE_SIGNS), large).otherwise(small))
+
+
+#: Marks of frameworks that fill pages by script, and signs of a rate table.
+FRAMEWORKS = ["__NEXT_DATA__", "react-root", "ng-app", "vue-app", "#app"]
+TABLE_SIGNS = r"(?i)(water\s+volume|per\s+1,?000|tier\s+\d|rate\s+schedule|monthly\s+base|service\s+charge|meter\s+size)"
 
 
-def looks_scripted(html: Column) -> Column:
-    """Ten script tags or more around little text, or the root of a script framework."""
-    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>", ""), r"<[^>]*>", "")
-    return ((F.size(F.split(F.lower(html), "<script")) - 1 >= 10) & (F.length(F.trim(body)) < 500)) | has_any(F.lower(html), ['id="root"', 'id="app"', "__next_data__"])
+def looks_scripted(html: Column, text: Column) -> Column:
+    """Whether a page of under 200 characters of text has over five script tags or a framework's mark."""
+    return (F.length(text) < 200) & ((F.size(F.split(html, "<script")) - 1 > 5) | has_any(html, FRAMEWORKS))
 
 
-def empty_table(text: Column) -> Column:
-    """rendered_empty where tables are announced and fewer than three amounts stand, thin under 500 characters."""
-    return F.when(text.rlike(r"(?i)(rate schedule|tier|per 1,?000)") & (F.regexp_count(text, F.lit(DOLLARS)) < 3), "rendered_empty").when(F.length(text) < 500, "thin").otherwise("ok")
+def empty_table(text: Column, length: Column) -> Column:
+    """js_table_empty where a rate table is announced and fewer than three amounts stand, else thin_page where a page had under 500 characters; null for others."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(t.rlike(TABLE_SIGNS) & (F.regexp_count(t, F.lit(r"\$\d+\.\d{2}")) < 3), "js_table_empty").when(length < 500, "thin_page")
 
 
 def rate_pages(pages: Column, words: list[str], most: int = 30) -> Column:
@@ -191,30 +189,26 @@ def rate_pages(pages: Column, words: list[str], most: int = 30) -> Column:
     return F.array_join(F.transform(F.concat(F.slice(numbered, 1, 2), good), lambda x: x["p"]), "\n\n")
 
 
-def section(text: Column, header: str, terms: list[str], least: int = 2, length: int = 3000) -> Column:
-    """The text from the first header on, if enough terms stand in it; else null."""
-    part = F.regexp_extract(text, rf"(?is)({header}.{{0,{length}}})", 1)
-    return F.when((part != "") & (count_of(F.lower(part), terms) >= least), part)
-
-
-def number_tokens(text: Column) -> Column:
-    """Distinct amounts of a text with two decimals, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\$\s*(\d+\.\d{1,4})"), F.lit(1)), lambda x: F.format_string("%.2f", x.cast("double")))))
-
-
-def fingerprint_score(text: Column, numbers: Column, phrases: Column) -> Column:
-    """Numbers that stand in the text, plus 5 for each phrase."""
-    return F.size(F.filter(numbers, lambda n: text.contains(n))) + 5 * F.size(F.filter(phrases, lambda p: F.lower(text).contains(p)))
-
-
 def dated(text: Column) -> Column:
-    """A date of one of the usual forms, else January 1 of a year 20xx in the text, else null."""
+    """A date of one of the usual forms, with months and days of one digit or two, else January 1 of a year 20xx in the text, else null.
+
+    Years of two digits from 69 on are of the last century. Months are named in full or by three letters.
+    """
     t = F.trim(text)
-    formats = ["yyyy-MM-dd", "M/d/yyyy", "M/d/yy", "MMMM d, yyyy", "MMM d, yyyy"]
-    shapes = [r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{1,2}/\d{1,2}/\d{2}$", r"^[A-Za-z]{4,} \d{1,2}, \d{4}$", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"]
-    tries = [F.when(t.rlike(s), F.try_to_date(t, f)) for s, f in zip(shapes, formats)]
+    part = lambda p, k: F.regexp_extract(t, p, k).try_cast("int")
+    day = lambda y, m, d: F.when((y >= 1) & m.between(1, 12) & (d >= 1) & (d <= F.dayofmonth(F.last_day(F.make_date(y, m, F.lit(1))))), F.make_date(y, m, d))
+    months = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+    iso, us, short, named = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", r"^(\d{1,2})/(\d{1,2})/(\d{2})$", r"^([A-Za-z]{3,9})\s+(\d{1,2}),\s*(\d{4})$"
+    word = F.lower(F.regexp_extract(t, named, 1))
+    number = F.coalesce(*[F.when(word.isin(m, m[:3]), F.lit(k)) for k, m in enumerate(months, 1)])
+    two = part(short, 3)
+    known = (
+        F.when(t.rlike(iso), day(part(iso, 1), part(iso, 2), part(iso, 3))).when(t.rlike(us), day(part(us, 3), part(us, 1), part(us, 2))).when(t.rlike(short), day(F.when(two >= 69, two + 1900).otherwise(two + 2000), part(short, 1), part(short, 2)))
+        .when(t.rlike(named), day(part(named, 3), number, part(named, 2))).when(t.rlike(r"^\d{4}$"), day(t.try_cast("int"), F.lit(1), F.lit(1)))
+    )
     year = F.regexp_extract(t, r"(20\d{2})", 1)
-    return F.coalesce(*tries, F.when(t.rlike(r"^\d{4}$"), F.make_date(t.try_cast("int"), F.lit(1), F.lit(1))), F.when(year != "", F.make_date(year.try_cast("int"), F.lit(1), F.lit(1))))
+    # what isn't a digit or a letter first has no form but may name a year
+    return F.coalesce(F.when(t.rlike(r"^[0-9A-Za-z]"), known), F.when(year != "", F.make_date(year.try_cast("int"), F.lit(1), F.lit(1))))
 
 
 def year_date(text: Column) -> Column:
@@ -231,32 +225,73 @@ def newer_year(text: Column, known: Column) -> Column:
 
 
 def identifier(text: Column, state: Column) -> Column:
-    """A system id of two letters and seven digits, from bare digits, dashed and spaced forms; null for other texts."""
-    t = F.upper(F.regexp_replace(text, r"[\s-]", ""))
-    return F.when(t.rlike(r"^[A-Z]{2}\d{7}$"), t).when(t.rlike(r"^[A-Z]{2}\d{1,6}$"), F.concat(F.left(t, F.lit(2)), F.lpad(F.substring(t, 3, 9), 7, "0"))).when(t.rlike(r"^\d{1,7}$"), F.concat(F.upper(state), F.lpad(t, 7, "0")))
+    """A system id: with its state's letters, without dashes and blanks; digits get the state's letters, other texts are upper case; null for NA, None and empty texts."""
+    t, st = F.trim(text), F.upper(state)
+    bare = F.regexp_replace(t, "[- ]", "")
+    return F.when((t == "") | t.isin("NA", "None"), None).when(F.startswith(F.upper(t), st), F.upper(bare)).when(bare.rlike(r"^\d+$"), F.concat(st, bare)).otherwise(F.upper(t))
+
+
+#: Words that stay small behind the first of a part.
+SMALL = ["on", "of", "the", "in", "at", "de", "du", "le", "la"]
 
 
 def place_title(text: Column) -> Column:
-    """Title case by word and hyphen part; small words after the first stay small."""
-    words = F.split(F.lower(F.trim(text)), " +")
-    small = ["of", "the", "and", "in", "on", "at", "de", "la", "du"]
-    caps = lambda w: F.array_join(F.transform(F.split(w, "-"), lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.substring(p, 2, 1000))), "-")
-    part = lambda w: F.array_join(F.transform(F.split(w, "-"), lambda p: F.when(p.isin(small), p).otherwise(F.concat(F.upper(F.left(p, F.lit(1))), F.substring(p, 2, 1000)))), "-")
-    return F.array_join(F.transform(words, lambda w, k: F.when((k > 0) & ~w.contains("-"), part(w)).otherwise(caps(w))), " ")
+    """Title case by hyphenated part: words have a capital, but the small ones behind a part's first word."""
+    capital = lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1000)))
+    words = lambda p: F.filter(F.split(p, r"\s+"), lambda w: w != "")
+    part = lambda p: F.array_join(F.transform(words(p), lambda w, k: F.when((k > 0) & F.lower(w).isin(SMALL), F.lower(w)).otherwise(capital(w))), " ")
+    return F.array_join(F.transform(F.split(text, "-"), lambda p: part(p)), "-")
+
+
+#: Abbreviations in upper case and what they stand for, in order.
+ABBREVIATIONS = [
+    (r"\bCO\b", "County"), (r"\bCTY\b", "County"), (r"\bUTIL(?:S)?\b", "Utilities"), (r"\bSVC\b", "Service"), (r"\bAUTH\b", "Authority"), (r"\bDEPT\b", "Department"), (r"\bDIST\b", "District"), (r"\bWTR\b", "Water"), (r"\bW/S\b", "Water and Sewer"),
+    (r"\bCOMM\b", "Commission"), (r"\bTWP\b", "Township"), (r"\bBORO\b", "Borough"), (r"\bMUN\b", "Municipal"), (r"\bPSA\b", "Public Service Authority"), (r"\bWSA\b", "Water and Sewer Authority"),
+]
+
 
+def expand(name: Column, county: Column) -> Column:
+    """A system's name as it may be searched for: without a direction behind a dash, abbreviations written out, an acronym of up to five letters in a name of up to three words replaced by what its ending says of the county."""
+    clean = F.trim(F.regexp_replace(name, r"(?i)\s*[-–]\s*(EAST|WEST|NORTH|SOUTH|CENTRAL|MAIN|PRIMARY)\s*$", ""))
 
-def expand(text: Column, table: dict[str, str]) -> Column:
-    """Whole words that are abbreviations written out."""
-    for short, long in table.items():
-        text = F.regexp_replace(text, rf"(?i)\b{short}\b\.?", long)
-    return text
+    def of(c: Column) -> Column:
+        long = c
+        for pattern, words in ABBREVIATIONS:
+            long = F.regexp_replace(long, pattern, words)
+        first = F.regexp_extract(F.split(c, "-")[0], r"^\s*(\S+)", 1)
+        ends = lambda *x: F.lit(False) if not x else first.endswith(x[0]) | ends(*x[1:])
+        short = (F.length(first) <= 5) & (F.upper(first) == first) & first.rlike("[A-Z]") & (F.length(county) > 0) & (F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")) <= 3)
+        of_county = F.when(ends("SA", "CA"), F.concat(county, F.lit(" County Service Authority"))).when(ends("SD", "WD"), F.concat(county, F.lit(" Water District"))).otherwise(F.concat(county, F.lit(" County Water")))
+        return F.when(F.coalesce(short, F.lit(False)), of_county).otherwise(long)
 
+    return let(clean, of)
 
-def queries_of(name: Column, city: Column, state: Column, owner: Column) -> Column:
-    """Search texts of a system, by its owner."""
-    base = [F.format_string("%s %s water rates", name, state), F.when(city.isNotNull(), F.format_string("%s %s water rate schedule", city, state))]
-    kind = F.when(owner == "L", F.format_string("city of %s utility rates fee schedule", F.coalesce(city, name))).when(owner == "P", F.format_string("%s tariff public service commission", name))
-    return F.array_distinct(F.array_compact(F.array(*base, kind)))
+
+def city_of(name: Column) -> Column:
+    """The place of "CITY OF x" and "x CITY OF" (also town, village) in title case, in the second form with Fort, Mount and Saint written out; else null."""
+    before, after = F.regexp_extract(name, r"(?i)^(?:CITY|TOWN|VILLAGE)\s+OF\s+(.+?)(?:\s*[-,]|$)", 1), F.regexp_extract(name, r"(?i)^(.+?)\s+(?:CITY|TOWN|VILLAGE)\s+OF\s*$", 1)
+    title = lambda x: F.initcap(F.trim(x))
+    long = title(after)
+    for short, word in (("Ft", "Fort"), ("Mt", "Mount"), ("St", "Saint")):
+        long = F.regexp_replace(long, rf"\b{short}\b", word)
+    return F.when(before != "", title(before)).when(after != "", long)
+
+
+def queries_of(name: Column, state: Column, county: Column, owner: Column) -> Column:
+    """Four search texts of a system: by its full name, by its place, by its company, and by its owner's kind (P: private)."""
+    full = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv]), F.upper(state)), state)
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    county = F.nullif(county, F.lit(""))
+
+    def of(best: Column) -> Column:
+        area = F.when(F.contains(name, F.lit(" - ")), F.trim(F.regexp_extract(name, r"(?s)^.*? - (.*)$", 1)))
+        area = F.nullif(area, F.lit(""))
+        whole = F.when(area.isNotNull(), name).otherwise(best)
+        where = F.coalesce(area, city_of(name), text(county, " County"))
+        last = F.when(owner == "P", text('"', whole, '" tariff rate schedule ', full, " filetype:pdf")).when(area.isNotNull(), text(best, ' "', area, '" water rates ', full)).when(county.isNotNull(), text(county, " county ", full, " water rates")).otherwise(text(best, " water department rates ", full))
+        return F.array_compact(F.array(text('"', whole, '" water rates ', full), text(where, " ", full, " water rate schedule"), text(best, " water utility rates fees ", full), last))
+
+    return let(expand(name, county), of)
 
 
 def candidate_urls(domain: Column, suffixes: list[str]) -> Column:
@@ -264,15 +299,21 @@ def candidate_urls(domain: Column, suffixes: list[str]) -> Column:
     return F.transform(F.array(*[F.lit(s) for s in suffixes]), lambda s: F.concat(F.lit("https://"), domain, s))
 
 
-def normal_category(text: Column, table: dict[str, str], *, failed: list[str], other: list[str], signals: dict[str, str], most: int = 30) -> Column:
-    """A category: itself if it is one, null for signs of failure and of another utility, then by signals within and the map; else cut."""
-    t = F.regexp_replace(F.lower(F.trim(text)), r"[\s-]+", "_")
-    inside = F.lit(None).cast("string")
-    for word, value in reversed(signals.items()):
-        inside = F.when(t.contains(word), value).otherwise(inside)
-    mapped = F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), t)
-    canonical = sorted(set(table.values()))
-    return F.when(t.isin(canonical), t).when((t == "") | has_any(t, failed) | has_any(t, other), None).otherwise(F.coalesce(inside, mapped, F.left(t, F.lit(most))))
+#: The six categories; texts that say that none was found, whole and within; texts of other services.
+CATEGORIES = ["flat", "uniform", "increasing_block", "decreasing_block", "budget_based", "seasonal"]
+FAILED = ["failed", "unknown", "unable_to_determine", "unable to determine", "insufficient_data", "not_applicable", "not_available", "unavailable", "n/a", "not found", "failed to parse", "failed_to_determine", "uncertain"]
+FAILED_WITHIN = ["unable to determine", "failed to determine", "multiple utilities", "not water", "no residential"]
+OTHER_SERVICE = ["sewer", "stormwater_fee_not_water_rate", "n/a - stormwater rates only", "this is a sewer utility, not a water utility", "wholesale", "wholesale_supply", "surcharge", "tap_fees_only"]
+
+
+def normal_category(text: Column, table: dict[str, str], most: int = 30) -> Column:
+    """One of the six categories: the text itself, else by ``table`` (lower-case variants), also by its first ``most`` characters; null for signs of failure, other services and what the table lacks."""
+    found = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+
+    def of(t: Column) -> Column:
+        return F.when(t.isin(CATEGORIES), t).when(t.isin(FAILED + OTHER_SERVICE) | has_any(t, FAILED_WITHIN), None).otherwise(F.coalesce(F.try_element_at(found, t), F.when(F.length(t) > most, F.try_element_at(found, F.left(t, F.lit(most))))))
+
+    return F.when(F.length(text) > 0, let(F.lower(F.trim(text)), of))
 
 
 def money(value: Column) -> Column:

@@ -5,30 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import numbers
+
 
 def flag_list(*flags: tuple[Column, Column | str]) -> Column:
     """array<string>: the labels whose condition holds, in order."""
     return F.array_compact(F.array(*[F.when(when, label if isinstance(label, Column) else F.lit(label)) for when, label in flags]))
 
 
-def record_flags(source: Column, top_limit: Column, bill: Column, fixed: Column, vintage: Column, *, suspect_limit: float, low: float, high: float, stale_year: int = 2015) -> Column:
-    """Flags of a schedule: inflated tiers, low and high bills, odd fixed charges, stale vintage."""
+def record_flags(source: Column, limits: dict[str, Column], bill: Column, fixed: Column, vintage: Column, *, suspect_limit: float = 500.0, low: float = 2.0, high: float = 500.0, stale_year: int = 2015) -> Column:
+    """Flags of a schedule with their values: the first of the tier limits (by name) that is inflated, low and high bills, odd fixed charges, stale vintage."""
+    whole = lambda v: F.format_string("%.0f", F.bround(v.cast("double"), 0))
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    inflated = F.coalesce(*[F.when(v > suspect_limit, text(name, "=", whole(v))) for name, v in limits.items()])
     return flag_list(
-        (source.contains("ear") & (top_limit > suspect_limit), "ear_tier_limit_inflated"),
-        (bill < low, "bill_suspiciously_low"),
-        (bill > high, "bill_suspiciously_high"),
-        (fixed > 200, "fixed_charge_high"),
+        (source.contains("ear") & inflated.isNotNull(), text("ear_tier_limit_inflated (", inflated, ")")),
+        (bill < low, text("bill_suspiciously_low ($", numbers.fixed(bill), ")")),
+        (bill > high, text("bill_suspiciously_high ($", whole(bill), ")")),
+        (fixed > 200, text("fixed_charge_high ($", whole(fixed), ")")),
         (fixed < 0, "fixed_charge_negative"),
-        (F.year(vintage) < stale_year, F.concat(F.lit("stale_vintage ("), F.year(vintage).cast("string"), F.lit(")"))),
+        (F.year(vintage) < stale_year, text("stale_vintage (", F.year(vintage).cast("string"), ")")),
     )
 
 
 def parse_issues(rates: list[Column], fixed: Column, confidence: Column) -> Column:
-    """Issues of a parsed schedule; none means valid."""
+    """Issues of a parsed schedule with their values; none means valid."""
+    text = lambda label, v: F.concat(F.lit(f"{label}:"), v.cast("double").cast("string"))
     flags: list[tuple[Column, Column | str]] = [(F.coalesce(rates[0], F.lit(0.0)) == 0, "no_tier_1_rate")]
     for k, rate in enumerate(rates, 1):
-        flags += [(rate < 0.1, f"tier_{k}_rate_too_low"), (rate > 50, f"tier_{k}_rate_too_high")]
-    return flag_list(*flags, (fixed > 500, "fixed_charge_high"), (F.coalesce(confidence, F.lit("failed")) == "failed", "confidence_failed"))
+        flags += [(rate < 0.1, text(f"tier_{k}_rate_too_low", rate)), (rate > 50, text(f"tier_{k}_rate_too_high", rate))]
+    return flag_list(*flags, (fixed > 500, text("fixed_charge_high", fixed)), (F.coalesce(confidence, F.lit("failed")) == "failed", "confidence_failed"))
 
 
 def identical_bills(b5: Column, b10: Column, b20: Column, structure: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .selection import top_by
+from .selection import best_by, top_by
 
 
 def first_match(text: Column, rules: list[tuple[list[str], str]], otherwise: Column | str | None = None) -> Column:
@@ -73,13 +73,39 @@ def retry_state(status: Column, http: Column, retries: Column, at: Column) -> tu
     return F.when(F.coalesce(dead, F.lit(False)), "dead").otherwise("pending_retry"), F.when(~F.coalesce(dead, F.lit(False)), after)
 
 
-def best_candidates(df: DataFrame, key: str, score: Column, *, least: float, strategy: str = "shotgun", n: int = 3, then: list[Column] | None = None) -> DataFrame:
-    """Scored candidates at ``least`` or more, ranked by key: all of them (shotgun), the first ``n`` (cascade) or the first (rank1)."""
+def best_candidates(df: DataFrame, key: str, score: Column, *, least: float = 30, strategy: str = "shotgun", then: list[Column] | None = None) -> DataFrame:
+    """Scored candidates at ``least`` or more, ranked by key: all of them (shotgun), or the best one (cascade, rank1)."""
     scored = df.withColumn("score", score).filter(F.col("score") >= least)
-    return top_by(scored, [key], [F.desc("score"), *(then or [])], {"shotgun": 1 << 30, "cascade": n, "rank1": 1}[strategy])
+    order = [F.desc("score"), *(then or [])]
+    if strategy == "shotgun":
+        return top_by(scored, [key], order, 1 << 30)
+    return best_by(scored, [key], [-F.col("score"), *(then or [])]).withColumn("rank", F.lit(1))
 
 
-def funnel(df: DataFrame, key: str, url: str, score: Column, *, threshold: float = 50.0, near: float = 15.0, k: int = 3) -> DataFrame:
+#: Least length of a text, portals of one state.
+TEXT_LEAST, PORTALS, PORTAL_STATE = 200, ["www.ny.gov", "www.nyc.gov"], "NY"
+
+
+def gap_triage(gaps: DataFrame, registry: DataFrame, blacklist: list[str], length: Column | None = None) -> DataFrame:
+    """(pwsid, class, reason, id, url) of keys without an estimate (pwsid, state_code): what can still be parsed of them.
+
+    Of a key's URLs with a text of TEXT_LEAST or more that aren't dead: submittable with the longest one that was never
+    parsed and whose host isn't on the blacklist; else blacklisted_only if all hosts are; else, in PORTAL_STATE,
+    ny_portal_only if all are portals; else exhausted, also without any URL. An unknown length goes before the longest, equal ones by id.
+    """
+    name = F.regexp_extract(F.lower("url"), r"^[a-z]+://(?:[^/@]*@)?([^/:?#]*)", 1)
+    size = F.length("scraped_text") if length is None else length
+    r = registry.filter((size >= TEXT_LEAST) & (F.col("status") != "dead")).select(F.col("pwsid").alias("__key"), "id", "url", "last_content_length", "last_parse_result", name.isin(blacklist).alias("__bad"), name.isin(PORTALS).alias("__portal"))
+    good = F.col("last_parse_result").isNull() & ~F.col("__bad")
+    of = r.groupBy("__key").agg(F.min_by(F.when(good, F.struct("id", "url")), F.when(good, F.struct(F.col("last_content_length").isNotNull().alias("known"), (-F.col("last_content_length")).alias("n"), "id"))).alias("__u"), F.bool_and("__bad").alias("__all"), F.bool_and("__portal").alias("__portals"))
+    j = gaps.join(of, F.col("pwsid") == F.col("__key"), "left")
+    portal = (F.col("state_code") == PORTAL_STATE) & F.col("__portals")
+    kind = F.when(F.col("__key").isNull(), "exhausted").when(F.col("__u").isNotNull(), "submittable").when(F.col("__all"), "blacklisted_only").when(F.coalesce(portal, F.lit(False)), "ny_portal_only").otherwise("exhausted")
+    reason = F.when(F.col("__key").isNull(), "no_text_available").when(kind == "blacklisted_only", "all_urls_blacklisted").when(kind == "ny_portal_only", "ny_portal_only").when(kind == "exhausted", "all_ranks_tried")
+    return j.select("pwsid", kind.alias("class"), reason.alias("reason"), "__u.id", "__u.url")
+
+
+def funnel(df: DataFrame, key: str, url: str, score: Column, *, threshold: float = 30.0, near: float = 15.0, k: int = 5) -> DataFrame:
     """Distinct (key, url) with score, class (kept, near_miss, below) and, of those kept, the rank from 1; later ranks than k are dropped."""
     rows = df.groupBy(key, url).agg(F.max(score).alias("score"))
     rows = rows.withColumn("class", F.when(F.col("score") > threshold, "kept").when(F.col("score") >= near, "near_miss").otherwise("below"))

@@ -79,12 +79,15 @@ def agreement_report(pairs: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def compare_runs(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, outcome): recovered, improved, degraded or unchanged values from one run to the next."""
-    b, a = before.select(key, F.col(value).alias("__old")), after.select(key, F.col(value).alias("__new"))
-    old, new = F.col("__old"), F.col("__new")
-    outcome = F.when(old.isNull() & new.isNotNull(), "recovered").when(new > old, "improved").when((new < old) | (old.isNotNull() & new.isNull()), "degraded").otherwise("unchanged")
-    return b.join(a, key).select(key, outcome.alias("outcome"))
+def compare_runs(before: DataFrame, after: DataFrame, key: str, length: str) -> DataFrame:
+    """(key, old, new, outcome) of texts' lengths from one run to the next; a missing length is 0, keys of the second run count.
+
+    recovered: from under 200 to 500 or more; improved: more than doubled, but still under 500; degraded: shorter.
+    """
+    b, a = before.select(key, F.col(length).alias("__old")), after.select(key, F.col(length).alias("__new"))
+    old, new = F.coalesce("__old", F.lit(0)), F.coalesce("__new", F.lit(0))
+    outcome = F.when((old < 200) & (new >= 500), "recovered").when((new > 2 * old) & (new < 500), "improved").when((new < old) & (old > 0), "degraded").otherwise("unchanged")
+    return a.join(b, key, "left").select(key, old.alias("old"), new.alias("new"), outcome.alias("outcome"))
 
 
 def parity(a: DataFrame, b: DataFrame, by: str, key: str) -> DataFrame:
@@ -95,9 +98,19 @@ def parity(a: DataFrame, b: DataFrame, by: str, key: str) -> DataFrame:
 
 
 def error_classes(pairs: DataFrame) -> DataFrame:
-    """One row: how many pairs (a, b, b20, structure) fall into each class of disagreement."""
-    a, b, diff = F.col("a"), F.col("b"), F.abs(F.col("b") - F.col("a")) / F.nullif(F.col("a"), F.lit(0.0)) * 100
+    """One row: how many pairs fall into each class of gross errors of the first side (a), the second (b, b5, b20) being the yardstick.
+
+    factor: differs by 400 % or more, of these higher and lower; missing: none or 0 where the yardstick is over 5;
+    high_low: over 500 against under 100; steep: said to be flat or uniform, but the yardstick's bill at 20 CCF is over
+    2.5 times that at 5 (1 at least); large: over 200, of these agreeing (under 25 %) and not (50 % or more). Only
+    missing counts pairs without both bills.
+    """
+    a, b = F.col("a"), F.col("b")
+    valid = (a > 0) & (b > 0)
+    diff = (a - b) / F.nullif(b, F.lit(0.0)) * 100
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     return pairs.agg(
-        F.count_if(diff >= 400).alias("factor"), F.count_if(F.coalesce(a, F.lit(0.0)).eqNullSafe(0.0) & (b > 5)).alias("missing"), F.count_if((a > 500) & (b < 100)).alias("high_low"),
-        F.count_if(F.col("structure").isin("flat", "uniform") & (F.col("b20") / F.nullif(b, F.lit(0.0)) > 2.5)).alias("steep"), F.count_if(b > 200).alias("large"),
+        count(valid & (F.abs(diff) >= 400)).alias("factor"), count(valid & (diff >= 400)).alias("higher"), count(valid & (diff <= -400)).alias("lower"), count((a.isNull() | (a == 0)) & (b > 5)).alias("missing"), count(valid & (a > 500) & (b < 100)).alias("high_low"),
+        count(valid & F.col("structure").isin("flat", "uniform") & (F.col("b20") / F.greatest(F.col("b5"), F.lit(1.0)) > 2.5) & F.col("b5").isNotNull()).alias("steep"),
+        count(valid & (a > 200)).alias("large"), count(valid & (a > 200) & (F.abs(diff) < 25)).alias("large_agreed"), count(valid & (a > 200) & (F.abs(diff) >= 50)).alias("large_apart"),
     )

@@ -21,14 +21,20 @@ class Priorities:
     anchors: dict[str, tuple[tuple[str, ...], float]] = field(default_factory=dict)
 
 
-#: The published configuration, in short.
+#: The published configuration.
 PUBLISHED = Priorities(
-    exact={"scraped_llm": 1, "swrcb_ear_2022": 3, "swrcb_ear_2021": 4, "swrcb_ear_2020": 6, "efc_nc_2025": 3, "duke_nieps_10state": 8},
+    exact={
+        "scraped_llm": 1, "swrcb_ear_2022": 3, "swrcb_ear_2021": 4, "swrcb_ear_2020": 6, "efc_nc_2025": 3, "efc_ar_2020": 5, "efc_ia_2023": 5, "efc_wi_2016": 5, "efc_ga_2019": 5, "efc_oh_2019": 5, "efc_ms_2022": 5, "efc_az_2014": 5, "efc_al_2018": 5, "efc_fl_2020": 5, "efc_ma_2017": 5,
+        "efc_il_2018": 5, "efc_vt_2021": 5, "efc_nh_2016": 5, "efc_ct_2018": 5, "efc_me_2018": 5, "efc_mo_2015": 5, "efc_hi_2020": 5, "efc_de_2018": 5, "efc_sc_2014": 5, "owrs": 5, "wv_psc_2026": 5, "nm_nmed_rate_survey_2025": 5, "in_iurc_water_billing_2024": 5, "ky_psc_water_tariffs_2025": 5,
+        "tx_tml_2023": 8, "duke_nieps_10state": 8,
+    },
     prefixes=(("efc_", 3), ("swrcb_", 3)),
+    fallback=5,
     tiers={"scraped_llm": "premium", "duke_nieps_10state": "reference"},
     prefix_tiers=(("efc_", "free"), ("swrcb_", "free")),
+    fallback_tier="free",
     anchors={"CA": (("swrcb_ear_2022", "swrcb_ear_2021"), 0.25)},
-)
+)
 
 
 def resolve(source: Column, exact: dict, prefixes, fallback) -> Column:

@@ -27,7 +27,11 @@ def _scored(spark, d):
     r = _rates(spark, d)
     bill = S.comparable_bill(F.col("bill_10ccf"), F.col("bill_9ccf"), F.col("bill_12ccf"))
     r = r.withColumn("bill", bill).withColumn("vintage", F.col("vintage_date"))
-    return r.withColumn("flags", Q.record_flags(F.col("source"), F.col("top_limit"), F.col("bill"), F.col("fixed"), F.col("vintage"), suspect_limit=60_000.0, low=20.0, high=120.0, stale_year=1997))
+    return r.withColumn("flags", Q.record_flags(F.col("source"), {"tier_1_limit_ccf": F.col("top_limit") / 3, "tier_2_limit_ccf": F.col("top_limit")}, F.col("bill"), F.col("fixed"), F.col("vintage"), suspect_limit=60_000.0, low=20.0, high=120.0, stale_year=1997))
+
+
+#: Published sources, and some that only a prefix or nothing fits.
+SOURCES = [*S.PUBLISHED.exact, "efc_zz_2030", "swrcb_x", "tx_other", "efcx"]
 
 
 def best_estimate(spark, d):
@@ -41,9 +45,11 @@ def anchored_estimate(spark, d):
 
 
 def source_tiers(spark, d):
-    """SEL-2, SEL-3, SEL-4: priority, display tier and method of each schedule."""
+    """SEL-2, SEL-3: priority and tier of every published source and of others, and the way to its comparable bill."""
     c = S.PUBLISHED
-    return _rates(spark, d).select("id", S.priority_of(F.col("source"), c.exact, c.prefixes, c.fallback).alias("priority"), S.resolve(F.col("source"), c.tiers, c.prefix_tiers, c.fallback_tier).alias("tier"), S.comparable_method(F.col("bill_10ccf"), F.col("bill_9ccf"), F.col("bill_12ccf")).alias("way"))
+    names = F.array(*[F.lit(n) for n in SOURCES])
+    r = _rates(spark, d).withColumn("source", F.get(names, (F.col("id") % len(SOURCES)).cast("int")))
+    return r.select("id", "source", S.priority_of(F.col("source"), c.exact, c.prefixes, c.fallback).alias("priority"), S.resolve(F.col("source"), c.tiers, c.prefix_tiers, c.fallback_tier).alias("tier"), S.comparable_method(F.col("bill_10ccf"), F.col("bill_9ccf"), F.col("bill_12ccf")).alias("way"))
 
 
 def coverage(spark, d):
@@ -96,10 +102,10 @@ def year_gaps(spark, d):
 
 
 def runs_compared(spark, d):
-    """AGG-31: outcomes of a second run."""
-    r = _rates(spark, d).select("id", F.col("bill_10ccf").alias("bill"))
-    after = r.select("id", F.when(F.col("id") % 9 == 0, None).when(F.col("id") % 4 == 0, F.coalesce("bill", F.lit(0.0)) + 1).otherwise(F.col("bill")).alias("bill"))
-    return R.compare_runs(r, after, "id", "bill").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    """AGG-31: lengths of texts before and after a second run."""
+    r = _rates(spark, d).select("id", F.when(F.col("id") % 9 > 0, F.col("id") % 700).alias("length"))
+    after = r.filter("id % 7 > 0").select("id", F.when(F.col("id") % 4 == 0, F.col("length") * 3).when(F.col("id") % 4 == 1, F.col("length") + 400).when(F.col("id") % 4 == 2, F.col("length") - 5).alias("length"))
+    return R.compare_runs(r, after, "id", "length")
 
 
 def source_parity(spark, d):
@@ -109,9 +115,10 @@ def source_parity(spark, d):
 
 
 def disagreements(spark, d):
-    """AGG-33: classes of gross errors."""
-    r = _rates(spark, d).withColumn("a", F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 13 == 0, F.lit(600.0)).otherwise(F.col("bill_20ccf") / 4))
-    return R.error_classes(r.select("a", F.col("bill_10ccf").alias("b"), F.col("bill_20ccf").alias("b20"), "structure"))
+    """AGG-33: classes of gross errors of one side against the other."""
+    i = F.col("id")
+    a = F.when(i % 11 == 0, None).when(i % 13 == 0, F.lit(0.0)).when(i % 17 == 0, F.lit(600.0)).when(i % 5 == 2, F.col("bill_10ccf") * 6).otherwise(F.col("bill_20ccf"))
+    return R.error_classes(_rates(spark, d).select(a.alias("a"), F.col("bill_10ccf").alias("b"), F.when(i % 3 > 0, F.col("bill_10ccf") / 2).alias("b5"), F.col("bill_20ccf").alias("b20"), "structure"))
 
 
 def record_checks(spark, d):
@@ -127,7 +134,7 @@ def issue_audit(spark, d):
     """QC-5: issues by state: missing and identical bills, outliers by the deviation from the state's mean, stale vintages."""
     r = _rates(spark, d)
     mean = r.groupBy("state_code").agg(F.avg("bill_10ccf").alias("m"), F.stddev_samp("bill_10ccf").alias("s"))
-    r = r.join(F.broadcast(mean), "state_code")
+    r = r.join(mean, "state_code")
     return r.groupBy("state_code").agg(F.count_if(F.coalesce("bill_10ccf", F.lit(0.0)) == 0).alias("missing"), F.count_if(Q.identical_bills(F.col("bill_10ccf"), F.col("bill_10ccf"), F.col("bill_20ccf"), F.col("structure"))).alias("identical"), F.count_if(F.abs(F.col("bill_10ccf") - F.col("m")) > 1.5 * F.col("s")).alias("outliers"), F.count_if(F.year("vintage_date") < 1997).alias("stale"))
 
 
@@ -165,7 +172,9 @@ ORACLE = {
         from k left join b using (pwsid) left join a using (pwsid)""",
     "anchored_estimate": _R + f""", s as (select *, coalesce({_B}, case when bill_6ccf > 0 then bill_6ccf end) comp from r), c as (select pwsid, arg_min(comp, id) b from s where comp is not null and source = 'scraped_llm' group by 1), a as (select pwsid, arg_min(comp, id) b from s where comp is not null and source = 'swrcb_ear_2022' group by 1)
         select pwsid, case when c.b is not null and (a.b is null or abs(c.b - a.b) / a.b <= 0.25) then 'scraped_llm' else 'swrcb_ear_2022' end source, case when c.b is not null and (a.b is null or abs(c.b - a.b) / a.b <= 0.25) then c.b else a.b end bill from c full join a using (pwsid)""",
-    "source_tiers": _R + f"""select id, {_P} priority, case source when 'scraped_llm' then 'premium' else 'free' end tier, case when bill_10ccf is not null then '10ccf' when bill_9ccf is not null and bill_12ccf is not null then 'interp_10' when bill_12ccf is not null then '12ccf' end way from r""",
+    "source_tiers": _R + f""", q as (select *, {SOURCES}[id % {len(SOURCES)} + 1] src from r), c as (select * from (values {", ".join(f"('{k}', {v})" for k, v in S.PUBLISHED.exact.items())}) t(name, p))
+        select id, src source, coalesce(p, case when src like 'efc!_%' escape '!' or src like 'swrcb!_%' escape '!' then 3 else 5 end)::int priority, case src when 'scraped_llm' then 'premium' when 'duke_nieps_10state' then 'reference' else 'free' end tier,
+        case when bill_10ccf is not null then '10ccf' when bill_9ccf is not null and bill_12ccf is not null then 'interp_10' when bill_12ccf is not null then '12ccf' end way from q left join c on name = src""",
     "coverage": "with g as (" + REGISTRY.format(text="varchar", events="events") + """), c as (select c_custkey pwsid, case when c_custkey % 3 = 0 then 'succeeded' else 'not_attempted' end old from customer)
         select pwsid, case when not exists (select 1 from g where g.pwsid = c.pwsid) then 'not_attempted'
         when exists (select 1 from g where g.pwsid = c.pwsid and g.status = 'pending') and not exists (select 1 from g where g.pwsid = c.pwsid and last_fetch_at is not null) then 'url_discovered'
@@ -180,15 +189,16 @@ ORACLE = {
         select pwsid[:2] state, count(*) n, median(d) median_diff, count(*) filter (abs(d) < 10) lt10, count(*) filter (abs(d) >= 10 and abs(d) < 25) b10_25, count(*) filter (abs(d) >= 25 and abs(d) < 50) b25_50, count(*) filter (abs(d) >= 50) gt50, count(*) filter (abs(d) >= 50 and d > 0) higher, avg(a) avg_a, avg(b) avg_b from p group by 1""",
     "year_gaps": _S + """, x as (select * from s where bill is not null and vintage is not null), a as (select pwsid, bill, vintage from x where source = 'efc_nc_2025' qualify row_number() over (partition by pwsid order by id) = 1), b as (select pwsid, bill, vintage from x where source = 'scraped_llm' qualify row_number() over (partition by pwsid order by id) = 1),
         p as (select (year(b.vintage) - year(a.vintage))::int gap, abs((b.bill - a.bill) / a.bill * 100) d from a join b using (pwsid)) select gap, count(*) n, quantile_cont(d, 0.25) p25, quantile_cont(d, 0.5) p50, quantile_cont(d, 0.9) p90, stddev_samp(d) sd from p group by 1 having count(*) >= 2""",
-    "runs_compared": _R + """, a as (select id, bill_10ccf o, case when id % 9 = 0 then null when id % 4 = 0 then coalesce(bill_10ccf, 0) + 1 else bill_10ccf end n from r)
-        select case when o is null and n is not null then 'recovered' when n > o then 'improved' when n < o or (o is not null and n is null) then 'degraded' else 'unchanged' end outcome, count(*) n from a group by 1""",
+    "runs_compared": """with a as (select o_orderkey id, case when o_orderkey % 9 > 0 then o_orderkey % 700 end o from orders), n as (select id, coalesce(o, 0) o, coalesce(case id % 4 when 0 then o * 3 when 1 then o + 400 when 2 then o - 5 end, 0) n from a where id % 7 > 0)
+        select id, o "old", n "new", case when o < 200 and n >= 500 then 'recovered' when n > 2 * o and n < 500 then 'improved' when n < o and o > 0 then 'degraded' else 'unchanged' end outcome from n""",
     "source_parity": _R + """, z as (select source, count(*) filter (source <> 'owrs') rows_a, count(distinct pwsid) filter (source <> 'owrs') keys_a, count(*) filter (id % 3 > 0 and source <> 'other') rows_b, count(distinct pwsid) filter (id % 3 > 0 and source <> 'other') keys_b from r group by 1)
         select *, rows_a - rows_b gap from z""",
-    "disagreements": _R + """, p as (select case when id % 11 = 0 then null when id % 13 = 0 then 600 else bill_20ccf / 4 end a, bill_10ccf b, bill_20ccf b20, structure from r)
-        select count(*) filter (a > 0 and abs(b - a) / a * 100 >= 400) factor, count(*) filter (coalesce(a, 0) = 0 and b > 5) missing, count(*) filter (a > 500 and b < 100) high_low, count(*) filter (structure in ('flat', 'uniform') and b20 / b > 2.5) steep, count(*) filter (b > 200) "large" from p""",
-    "record_checks": _S + """ select id, concat_ws('; ', case when ear then 'ear_tier_limit_inflated' end, case when lo then 'bill_suspiciously_low' end, case when hi then 'bill_suspiciously_high' end, case when fh then 'fixed_charge_high' end, case when fn then 'fixed_charge_negative' end, case when old then 'stale_vintage (' || year(vintage) || ')' end) flags,
-        concat_ws('; ', case when id % 4 = 0 or fixed = 0 then 'no_tier_1_rate' end, case when id % 4 > 0 and fixed / 4 < 0.1 then 'tier_1_rate_too_low' end, case when id % 4 > 0 and fixed / 4 > 50 then 'tier_1_rate_too_high' end, case when id % 4 > 1 and fixed / 2 < 0.1 then 'tier_2_rate_too_low' end, case when id % 4 > 1 and fixed / 2 > 50 then 'tier_2_rate_too_high' end,
-        case when fixed * 3 > 500 then 'fixed_charge_high' end, case when confidence is null or confidence = 'failed' then 'confidence_failed' end) issues,
+    "disagreements": _R + """, p as (select case when id % 11 = 0 then null when id % 13 = 0 then 0 when id % 17 = 0 then 600 when id % 5 = 2 then bill_10ccf * 6 else bill_20ccf end a, bill_10ccf b, case when id % 3 > 0 then bill_10ccf / 2 end b5, bill_20ccf b20, structure from r),
+        v as (select *, (a - b) / b * 100 d from p where a > 0 and b > 0) select count(*) filter (abs(d) >= 400) factor, count(*) filter (d >= 400) higher, count(*) filter (d <= -400) lower, (select count(*) from p where (a is null or a = 0) and b > 5) missing, count(*) filter (a > 500 and b < 100) high_low,
+        count(*) filter (structure in ('flat', 'uniform') and b20 / greatest(b5, 1) > 2.5 and b5 is not null) steep, count(*) filter (a > 200) "large", count(*) filter (a > 200 and abs(d) < 25) large_agreed, count(*) filter (a > 200 and abs(d) >= 50) large_apart from v""",
+    "record_checks": _S + """ select id, concat_ws('; ', case when ear then 'ear_tier_limit_inflated (' || case when top_limit / 3 > 60000 then 'tier_1_limit_ccf=' || format('{:.0f}', top_limit / 3) else 'tier_2_limit_ccf=' || format('{:.0f}', top_limit) end || ')' end, case when lo then 'bill_suspiciously_low ($' || format('{:.2f}', bill) || ')' end, case when hi then 'bill_suspiciously_high ($' || format('{:.0f}', bill) || ')' end, case when fh then 'fixed_charge_high ($' || format('{:.0f}', fixed) || ')' end, case when fn then 'fixed_charge_negative' end, case when old then 'stale_vintage (' || year(vintage) || ')' end) flags,
+        concat_ws('; ', case when id % 4 = 0 or fixed = 0 then 'no_tier_1_rate' end, case when id % 4 > 0 and fixed / 4 < 0.1 then 'tier_1_rate_too_low:' || (fixed / 4)::varchar end, case when id % 4 > 0 and fixed / 4 > 50 then 'tier_1_rate_too_high:' || (fixed / 4)::varchar end, case when id % 4 > 1 and fixed / 2 < 0.1 then 'tier_2_rate_too_low:' || (fixed / 2)::varchar end, case when id % 4 > 1 and fixed / 2 > 50 then 'tier_2_rate_too_high:' || (fixed / 2)::varchar end,
+        case when fixed * 3 > 500 then 'fixed_charge_high:' || (fixed * 3)::varchar end, case when confidence is null or confidence = 'failed' then 'confidence_failed' end) issues,
         coalesce(abs(bill_10ccf - bill_20ccf) < 0.01 and structure <> 'flat', false) "identical", case when bill_10ccf between 10 and 200 and id % 4 >= 2 then 'high' when bill_10ccf between 5 and 500 then 'medium' else 'low' end grade,
         coalesce(year(vintage) <= 1997, false) stale, coalesce(bill_12ccf - bill_9ccf > 20, false) high_variance from f""",
     "issue_audit": _R + """, m as (select state_code, avg(bill_10ccf) m, stddev_samp(bill_10ccf) s from r group by 1) select state_code, count(*) filter (bill_10ccf is null) missing, count(*) filter (bill_10ccf = bill_20ccf and structure in ('uniform', 'increasing_block')) "identical", count(*) filter (abs(bill_10ccf - m) > 1.5 * s) outliers, count(*) filter (year(vintage_date) < 1997) stale from r join m using (state_code) group by 1""",

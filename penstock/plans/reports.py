@@ -92,9 +92,9 @@ def work_queue(spark, d):
 
 
 def ranked_candidates(spark, d):
-    """SEL-12, SEL-19, SORT-3: candidates a key by score, the first three."""
+    """SEL-12, SORT-3: the best candidate of a key by score."""
     r = _registry(spark, d)
-    return Q.best_candidates(r, "pwsid", F.col("text_length") / 100, least=30, strategy="cascade", n=3, then=[F.col("last_parse_result").isNotNull(), F.col("id")]).select("pwsid", "id", "score", "rank")
+    return Q.best_candidates(r, "pwsid", F.col("text_length") / 100, least=30, strategy="cascade", then=[F.col("last_parse_result").isNotNull(), F.col("id")]).select("pwsid", "id", "score", "rank")
 
 
 def discovery_funnel(spark, d):
@@ -104,22 +104,22 @@ def discovery_funnel(spark, d):
 
 
 def gap_triage(spark, d):
-    """SEL-13, AGG-4: keys in four classes, with the best URL that was not tried."""
-    r = _registry(spark, d)
-    untried = F.col("last_fetch_at").isNull()
-    g = r.groupBy("pwsid").agg(F.count(F.lit(1)).alias("n"), F.count_if(untried).alias("untried"), F.bool_and(F.coalesce(F.col("last_parse_result") == "failed", F.lit(False))).alias("all_failed"), F.max_by("url", F.when(untried, F.struct("text_length", "id"))).alias("best_url"))
-    return g.select("pwsid", F.when(F.col("all_failed"), "exhausted").when(F.col("untried") == F.col("n"), "fresh").when(F.col("untried") > 0, "partial").otherwise("parsed").alias("class"), "best_url")
+    """SEL-13, AGG-4: keys without an estimate in four classes, with the best URL that was not tried."""
+    c = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("pwsid"), F.when(F.col("c_nationkey") % 2 == 0, "NY").otherwise("CO").alias("state_code"))
+    r = _registry(spark, d).withColumn("url", F.when(F.col("pwsid") % 5 == 0, F.concat(F.lit("https://www.ny.gov/"), F.col("id"))).otherwise(F.col("url"))).withColumn("last_parse_result", F.when(F.col("pwsid") % 10 == 0, "failed").otherwise(F.col("last_parse_result")))
+    return Q.gap_triage(c, r.withColumn("last_content_length", F.col("text_length")), ["facebook.com", "docs.example.com"], F.col("text_length"))
 
 
 def parse_queue(spark, d):
     """SEL-18, TXT-15, FLT-14, FLT-8: unparsed texts of keys without an urgent order, longest first, with positional quantiles."""
     r = _registry(spark, d).filter("text_length between 3000 and 9000 and (last_parse_result is null or last_parse_result = 'failed')")
     r = r.join(table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("pwsid")), "pwsid", "left_anti")
-    order, whole = Window.partitionBy("event_type").orderBy("text_length", "id"), Window.partitionBy("event_type")
-    place, n = F.row_number().over(order) - 1, F.count(F.lit(1)).over(whole)
-    r = r.withColumn("place", place).withColumn("size", n)
-    at = lambda share: F.max(F.when(F.col("place") == F.floor(F.col("size") * share), F.col("text_length")))
-    return r.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    # positions in the running counts of lengths: a window over the distinct lengths only
+    counts = r.groupBy("event_type", "text_length").agg(F.count(F.lit(1)).alias("k"))
+    by = Window.partitionBy("event_type")
+    counts = counts.withColumn("upto", F.sum("k").over(by.orderBy("text_length"))).withColumn("size", F.sum("k").over(by))
+    at = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("size") * share), F.col("text_length")))
+    return counts.groupBy("event_type").agg(F.sum("k").alias("n"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
 
 
 def retry_targets(spark, d):
@@ -164,16 +164,18 @@ def one_row_report(spark, d):
 
 
 def either_place(spark, d):
-    """JOIN-16, SORT-4: rows that fit by one of two keys, as a union of equi-joins; the nearest of each key first."""
+    """JOIN-16, SORT-4: rows that fit by one of two keys; of those by nation only the nearest balances below and above are candidates."""
     s, c = table(spark, d, "supplier"), table(spark, d, "customer")
-    a = s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).filter("c_mktsegment = 'BUILDING' and c_acctbal > 8000")
-    b = s.join(c, F.col("s_suppkey") == F.col("c_custkey"))
-    both = a.select("s_suppkey", "c_custkey", "s_acctbal", "c_acctbal", "c_mktsegment").union(b.select("s_suppkey", "c_custkey", "s_acctbal", "c_acctbal", "c_mktsegment")).distinct()
-    order = [(F.col("c_mktsegment") == "BUILDING").desc(), F.abs(F.col("s_acctbal") - F.col("c_acctbal")), F.col("c_custkey")]
-    return top_by(both, ["s_suppkey"], order, 1).select("s_suppkey", "c_custkey")
+    rich = c.filter("c_mktsegment = 'BUILDING' and c_acctbal > 8000").groupBy(F.col("c_nationkey").alias("n"), F.col("c_acctbal").alias("bal")).agg(F.min("c_custkey").alias("c"))
+    rows = rich.select("n", "bal", F.struct("c", "bal").alias("x"), F.lit(None).cast("long").alias("s")).unionByName(s.select(F.col("s_nationkey").alias("n"), F.col("s_acctbal").alias("bal"), F.lit(None).cast("struct<c:bigint,bal:double>").alias("x"), F.col("s_suppkey").alias("s")))
+    by = Window.partitionBy("n")
+    below, above = F.last("x", ignorenulls=True).over(by.orderBy("bal", F.asc_nulls_first("s"))), F.last("x", ignorenulls=True).over(by.orderBy(F.desc("bal"), F.asc_nulls_first("s")))
+    near = rows.withColumn("y", F.array_compact(F.array(below, above))).filter("s is not null").select(F.col("s").alias("s_suppkey"), F.explode("y").alias("z"), "bal").select("s_suppkey", F.col("z.c").alias("c_custkey"), F.lit(0).alias("later"), F.abs(F.col("bal") - F.col("z.bal")).alias("apart"))
+    own = s.join(c, F.col("s_suppkey") == F.col("c_custkey")).select("s_suppkey", "c_custkey", (F.col("c_mktsegment") != "BUILDING").cast("int").alias("later"), F.abs(F.col("s_acctbal") - F.col("c_acctbal")).alias("apart"))
+    return best_by(near.unionByName(own), ["s_suppkey"], [F.col("later"), F.col("apart"), F.col("c_custkey")]).select("s_suppkey", "c_custkey")
 
 
-def filtered_list(spark, d, segment=None, least=None, confidence="medium"):
+def filtered_list(spark, d, segment="O", least=100_000.0, confidence="medium"):
     """FLT-3, FLT-4, FLT-5, FLT-10, SEL-17: optional conjuncts, a ladder of confidence, the largest first."""
     o = table(spark, d, "orders")
     ladder = {"high": ["1-URGENT"], "medium": ["1-URGENT", "2-HIGH"], "low": ["1-URGENT", "2-HIGH", "3-MEDIUM"]}[confidence]
@@ -224,11 +226,12 @@ ORACLE = {
         b as (select 'discover', 10, id, pwsid from r where status = 'pending' and pwsid in (select c_custkey from customer where c_acctbal > 5000) order by (retry_count > 0)::int, pwsid, id limit 50),
         c as (select 'retry', 30, id, pwsid from r where last_http_status >= 500 order by retry_count, id limit 20), e as (select 'change', 50, id, pwsid from r where status = 'active' order by last_fetch_at, id limit 30)
         select * from a union all select * from b union all select * from c union all select * from e""",
-    "ranked_candidates": _R + " select pwsid, id, text_length / 100::double score, row_number() over (partition by pwsid order by text_length desc, last_parse_result is not null, id)::int \"rank\" from r where text_length >= 3000 qualify \"rank\" <= 3",
-    "discovery_funnel": _R + """, u as (select pwsid, url, max(text_length) / 100::double score from r group by 1, 2), k as (select *, case when score > 50 then 'kept' when score >= 15 then 'near_miss' else 'below' end "class" from u)
-        select *, row_number() over (partition by pwsid order by score desc, url)::int "rank" from k where "class" = 'kept' qualify "rank" <= 3 union all select *, null from k where "class" <> 'kept'""",
-    "gap_triage": _R + """, g as (select pwsid, count(*) n, count(*) filter (last_fetch_at is null) u, bool_and(coalesce(last_parse_result = 'failed', false)) f from r group by 1), b as (select pwsid, url from r where last_fetch_at is null qualify row_number() over (partition by pwsid order by text_length desc, id desc) = 1)
-        select pwsid, case when f then 'exhausted' when u = n then 'fresh' when u > 0 then 'partial' else 'parsed' end "class", url best_url from g left join b using (pwsid)""",
+    "ranked_candidates": _R + " select pwsid, id, text_length / 100::double score, row_number() over (partition by pwsid order by text_length desc, last_parse_result is not null, id)::int \"rank\" from r where text_length >= 3000 qualify \"rank\" <= 1",
+    "discovery_funnel": _R + """, u as (select pwsid, url, max(text_length) / 100::double score from r group by 1, 2), k as (select *, case when score > 30 then 'kept' when score >= 15 then 'near_miss' else 'below' end "class" from u)
+        select *, row_number() over (partition by pwsid order by score desc, url)::int "rank" from k where "class" = 'kept' qualify "rank" <= 5 union all select *, null from k where "class" <> 'kept'""",
+    "gap_triage": _R + """, g as (select c_custkey pwsid, case when c_nationkey % 2 = 0 then 'NY' else 'CO' end state from customer where c_acctbal > 0), q as (select pwsid, id, case when pwsid % 5 = 0 then 'https://www.ny.gov/' || id else url end url, case when pwsid % 10 = 0 then 'failed' else last_parse_result end res, text_length n from r where text_length >= 200 and status <> 'dead'),
+        h as (select *, url like 'https://facebook.com%' or url like 'https://docs.example.com%' bad from q), k as (select pwsid, bool_and(bad) allbad, bool_and(url like 'https://www.ny.gov/%') portal from h group by 1), b as (select pwsid, id, url from h where res is null and not bad qualify row_number() over (partition by pwsid order by n desc, id) = 1)
+        select pwsid, case when k.pwsid is null then 'exhausted' when b.id is not null then 'submittable' when allbad then 'blacklisted_only' when state = 'NY' and portal then 'ny_portal_only' else 'exhausted' end "class", case when k.pwsid is null then 'no_text_available' when b.id is not null then null when allbad then 'all_urls_blacklisted' when state = 'NY' and portal then 'ny_portal_only' else 'all_ranks_tried' end reason, b.id, b.url from g left join k using (pwsid) left join b using (pwsid)""",
     "parse_queue": _R + """, q as (select * from r where text_length between 3000 and 9000 and coalesce(last_parse_result, 'failed') = 'failed' and not exists (select 1 from orders where o_custkey = pwsid and o_orderpriority = '1-URGENT')), l as (select event_type, list(text_length order by text_length) x from q group by 1)
         select event_type, len(x) n, x[len(x) // 4 + 1] q1, x[len(x) // 2 + 1] q2, x[(3 * len(x)) // 4 + 1] q3 from l""",
     "retry_targets": _R + ", g as (select distinct pwsid from r where status = 'pending' and text_length > 9000) select pwsid, 'gap' reason from g union all select pwsid, 'retry' from r where last_http_status = 403 and text_length > 9000 and pwsid not in (select pwsid from g)",
@@ -237,7 +240,7 @@ ORACLE = {
     "latest_with_flags": "select c_custkey, l.o_orderkey, exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P') has_pending from customer left join lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_orderdate desc, o_orderkey limit 1) l on true",
     "one_row_report": "with r as (select c_custkey from customer order by c_acctbal desc, c_custkey limit 1) select (select c_custkey from r) richest, (select count(*) from orders where o_custkey = (select c_custkey from r)) n_orders, (select max(o_totalprice) from orders where o_custkey = (select c_custkey from r)) largest, null::varchar nobody",
     "either_place": "select s_suppkey, c_custkey from supplier join customer on (s_nationkey = c_nationkey and c_mktsegment = 'BUILDING' and c_acctbal > 8000) or s_suppkey = c_custkey qualify row_number() over (partition by s_suppkey order by (c_mktsegment = 'BUILDING') desc, abs(s_acctbal - c_acctbal), c_custkey) = 1",
-    "filtered_list": "select o_orderkey, o_totalprice, o_orderpriority from orders where o_orderpriority in ('1-URGENT', '2-HIGH') order by o_totalprice desc, o_orderkey limit 50",
+    "filtered_list": "select o_orderkey, o_totalprice, o_orderpriority from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus = 'O' and o_totalprice >= 100000 order by o_totalprice desc, o_orderkey limit 50",
     "sharded_rows": "select o_orderkey % 4 shard, count(*) filter (exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity >= 50)) with_big, count(*) filter (o_totalprice < 400000) n_price, count(*) unreviewed from orders group by 1",
     "retry_states": _R + """ select id, case when last_http_status = 404 or (last_http_status = 403 and retry_count >= 5) then 'dead' else 'pending_retry' end status,
         case when last_http_status = 404 or (last_http_status = 403 and retry_count >= 5) then null when last_http_status = 403 then date_trunc('second', last_fetch_at) + to_days(least(2 ** (retry_count + 1), 30)::int) else date_trunc('second', last_fetch_at) + interval 6 hour end retry_after from r where last_http_status >= 400""",
