@@ -177,13 +177,17 @@ def municipality(name: Column) -> Column:
         out = s
         for short, long in (("FT", "FORT"), ("MT", "MOUNT"), ("ST", "SAINT"), ("CNTY", "COUNTY")):
             out = F.regexp_replace(out, rf"\b{short}\b", long)
-        return F.when(s.endswith(" COUNTY"), s).otherwise(out)
+        return out
+
+    def capitals(s: Column) -> Column:
+        """A capital for each run of letters, also behind an apostrophe or hyphen."""
+        return F.array_join(F.transform(F.regexp_extract_all(s, F.lit("[A-Z]+|[^A-Z]+"), F.lit(0)), lambda w: F.initcap(w)), "")
 
     def place(upper: Column) -> Column:
         gone = upper.rlike(PRIVATE)
         for marker in INSTITUTIONS:
             gone = gone | upper.contains(marker)
-        found = let(numbers(upper), lambda a: let(ending(a), lambda b: let(kind(b), lambda c: let(words(c), lambda d: let(spelt(d), lambda e: F.when(F.length(e) >= 2, place_title(e)))))))
+        found = let(numbers(upper), lambda a: let(ending(a), lambda b: let(kind(b), lambda c: let(words(c), lambda d: F.when(d.endswith(" COUNTY"), capitals(d)).otherwise(let(spelt(d), lambda e: F.when(F.length(e) >= 2, place_title(e))))))))
         return F.when(~gone, found)
 
     return let(F.upper(F.trim(name)), place)

@@ -39,7 +39,7 @@ def test_literal_curves(spark):
         ("SCHENECTADY CITY WATER WORKS", "Schenectady"), ("SUFFOLK COUNTY WATER AUTHORITY", "Suffolk County"), ("TROY CITY PWS", "Troy"), ("NEW WINDSOR CONSOLIDATED WD", "New Windsor"), ("VEOLIA WATER NEW YORK, INC. RD-2", None), ("CLIFTON PARK WATER AUTHORITY", "Clifton Park"),
         ("YORKTOWN CONSOLD. WATER DIST.#1", "Yorktown"), ("SLEEPY HOLLOW (VILLAGE)", "Sleepy Hollow"), ("FORT DRUM", None), ("CORNELL UNIVERSITY", None), ("BROOKHAVEN NATIONAL LABORATORY", None), ("WESTCHESTER JOINT WATER WORKS", "Westchester"), ("SARANAC LAKE V", "Saranac Lake"),
         ("LIBERTY VILLAGE", "Liberty"), ("LERAY TOWN WD 1, 2, 4", "Leray"), ("SODUS-HURON-WOLCOTT-BUTLER CSA", "Sodus-Huron-Wolcott-Butler"), ("NEW CASTLE/STANWOOD W.D.", "New Castle"), ("WATERFORD WATER WORKS (PURCHASE TROY)", "Waterford"), ("STILLWATER TOWN (SCWA)", "Stillwater"),
-        ("GREATER PLATTSBURGH WATER DISTRICT", "Plattsburgh"), ("AURORA CITY OF", "Aurora"), ("FT COLLINS CITY OF", "Fort Collins"), ("SUPERIOR MD NO 1", "Superior"),
+        ("GREATER PLATTSBURGH WATER DISTRICT", "Plattsburgh"), ("AURORA CITY OF", "Aurora"), ("FT COLLINS CITY OF", "Fort Collins"), ("SUPERIOR MD NO 1", "Superior"), ("ISLE OF WIGHT COUNTY", "Isle Of Wight County"), ("ST. MARY'S COUNTY", "St. Mary'S County"), ("TOWN AND COUNTRY", "Town And Country"), ("SAULT LE POINT", "Sault le Point"),
     ],
 )
 def test_municipality(spark, name, place):
