@@ -83,7 +83,7 @@ def tokenizer_of_ranks(path: str):
 
 
 def tokenizer_of_json(path: str):
-    """The tokenizer of a JSON file, made to take single pieces; strings of special tokens are ordinary text."""
+    """The tokenizer of a JSON file, made to take single pieces."""
     from tokenizers import Tokenizer, pre_tokenizers
 
     made = Tokenizer.from_file(path)
@@ -105,6 +105,13 @@ class Codec:
         self.tokenizer = tokenizer_of_json(path) if path.endswith(".json") else tokenizer_of_ranks(path)
         whole = regex.compile(pattern).findall
         self.cut = (lambda text: whole(text) if _beyond(text) else _latin(text)) if pattern == PUBLISHED else whole
+        # added tokens of the file are found in a text before it is cut, as the library does
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized and self.tokenizer.normalizer for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that depend on what is around them are not supported")
+        if added:
+            ordinary, found = self.cut, re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+            self.cut = lambda text: [p for k, part in enumerate(found.split(text)) for p in ([part] if k % 2 else ordinary(part) if part else ())] if any(t in text for t in added) else ordinary(text)
         self.known: dict[str, bytes] = {}
         back = {c: b for b, c in enumerate(byte_characters())}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -112,6 +119,8 @@ class Codec:
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.kind = np.dtype("<u2" if len(self.bytes_of) <= 1 << 16 else "<u4")
+        self.added = {t: np.array([i], self.kind).tobytes() for t, i in added.items()}
+        self.known.update(self.added)
 
     def _learn(self, pieces: set[str]) -> None:
         """Encode the pieces in one call and remember the packed ids of each."""
@@ -127,7 +136,8 @@ class Codec:
         if new:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-                new = set(chain.from_iterable(cuts))
+                self.known.update(self.added)
+                new = set(chain.from_iterable(cuts)).difference(self.added)
             self._learn(new)
         for cut in cuts:
             yield b"".join(map(self.known.__getitem__, cut))

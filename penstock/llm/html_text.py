@@ -1,9 +1,10 @@
 """Layout-aware text of HTML pages: a tree builder with implied tags, visibility rules, and a renderer.
 
 All visible text comes out: blocks stand on lines of their own, paragraphs and headings with a blank line between,
-list items get a bullet or number and an indent per level, table cells are padded to aligned columns (a cell over
-several columns widens the last of them), and preformatted text keeps its white space. Options, buttons and SVG texts
-stand on lines of their own; text that only screen readers pass over comes out, and so does what is made visible
+list items get a bullet, number or letter (also counted down) and an indent per level, table cells are padded to aligned
+columns (a cell over several columns widens the last of them, one over several rows keeps its columns free below; wide
+characters take two cells), and preformatted text and text areas keep their white space. Options, buttons, values of
+fields that show them and SVG texts stand on lines of their own; text that only screen readers pass over comes out, and so does what is made visible
 inside of something hidden by visibility. Style sheets and labels in attributes are not read.
 
 Defined cases: null and empty pages give an empty text; unclosed and misnested tags are closed by the tree
@@ -14,6 +15,7 @@ table gives an empty table; only the named columns are carried.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -38,6 +40,8 @@ IMPLIED = {
     "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
     "tbody": ("thead tbody tfoot tr td th caption", "table"), "thead": ("tbody tr td th caption", "table"), "tfoot": ("thead tbody tr td th", "table"),
 }
+#: Kinds of fields that show their value.
+FIELDS = frozenset("text search email tel url number date time submit reset button".split()) | {""}
 _gone = re.compile(r"display\s*:\s*none", re.I)
 _visibility = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
@@ -45,16 +49,38 @@ _visibility = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 class Node:
     """hidden: nothing below shows; shown: False if its text is invisible, True if made visible again, None as around it."""
 
-    __slots__ = ("tag", "children", "hidden", "shown", "start", "span")
+    __slots__ = ("tag", "children", "hidden", "shown", "start", "span", "down", "kind", "back")
 
-    def __init__(self, tag: str, hidden: bool = False, shown: bool | None = None, start: int | None = None, span: int = 1):
-        self.tag, self.children, self.hidden, self.shown, self.start, self.span = tag, [], hidden, shown, start, span
+    def __init__(self, tag: str, hidden: bool = False, shown: bool | None = None, start: int | None = None, span: int = 1, down: int = 1, kind: str = "", back: bool = False):
+        self.tag, self.children, self.hidden, self.shown, self.start, self.span, self.down, self.kind, self.back = tag, [], hidden, shown, start, span, down, kind, back
 
 
 def _number(text: str) -> int | None:
     return int(text) if text.isascii() and text.isdigit() and len(text) < 9 else None
 
 
+def ordinal(k: int, kind: str) -> str:
+    """The mark of an ordered list's item: a number, letters (a, A) or a Roman number (i, I); what these lack is a number."""
+    if kind in ("a", "A") and k > 0:
+        out = ""
+        while k:
+            k, r = divmod(k - 1, 26)
+            out = chr(97 + r) + out
+    elif kind in ("i", "I") and 0 < k < 4000:
+        out = ""
+        for value, letters in zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), "m cm d cd c xc l xl x ix v iv i".split()):
+            out += letters * (k // value)
+            k %= value
+    else:
+        return str(k)
+    return out.upper() if kind.isupper() else out
+
+
+def cells(text: str) -> int:
+    """Columns that a text takes: two a wide character, none a combining one."""
+    return len(text) if text.isascii() else sum(0 if unicodedata.category(c) in ("Mn", "Me", "Cf") else 1 + (unicodedata.east_asian_width(c) in "WF") for c in text)
+
+
 class TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -94,7 +120,13 @@ class TreeBuilder(HTMLParser):
         seen = _visibility.findall(style)
         shown = seen[-1].lower() == "visible" if seen else None
         node = Node(tag, hidden, shown, _number(values.get("value" if tag == "li" else "start", "")), max(1, min(_number(values.get("colspan", "")) or 1, 1000)))
+        down = _number(values.get("rowspan", ""))
+        node.down = 1 if down is None else min(down, 65_534) or 65_534  # 0: to the end
+        node.kind, node.back = values.get("type", ""), tag == "ol" and "reversed" in values
         self.open[-1].children.append(node)
+        if tag == "input" and node.kind.lower() in FIELDS and values.get("value", "").strip() and not hidden:
+            node.tag = "button"
+            node.children.append(values["value"])
         if tag not in VOID:
             self.open.append(node)
 
@@ -111,6 +143,8 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data):
         if data.strip():
             self._leave_head()
+        if self.open[-1].tag in ("pre", "textarea", "listing") and not self.open[-1].children:
+            data = data.removeprefix("\n")  # the first line end is not part of the text
         self.open[-1].children.append(data)
 
 
@@ -157,7 +191,7 @@ class Renderer:
         self.gap = max(self.gap, int(spaced))
 
     def node(self, node: Node):
-        counter = node.start if node.start is not None else 1
+        counter = node.start if node.start is not None else sum(not isinstance(x, str) and x.tag == "li" and not x.hidden for x in node.children) if node.back else 1
         for child in node.children:
             if isinstance(child, str):
                 if self.shown:
@@ -169,16 +203,16 @@ class Renderer:
             self.shown = around if child.shown is None else child.shown
             if child.tag == "br":
                 self.end_line()
-            elif child.tag == "pre":
-                yield self.preformatted(child)
+            elif child.tag in ("pre", "listing", "textarea"):
+                yield self.preformatted(child, child.tag != "textarea")
             elif child.tag == "table":
                 yield self.table(child)
             elif child.tag == "li":
                 self.end_line()
                 outer = self.lead
                 counter = child.start if child.start is not None else counter
-                self.lead = " " * len(outer) + (f"{counter}. " if node.tag == "ol" else "- ")
-                counter += 1
+                self.lead = " " * len(outer) + (f"{ordinal(counter, child.kind or node.kind)}. " if node.tag == "ol" else "- ")
+                counter += -1 if node.back else 1
                 yield self.node(child)
                 self.end_line()
                 self.lead = outer
@@ -198,14 +232,15 @@ class Renderer:
                 yield self.node(child)
             self.shown = around
 
-    def preformatted(self, node: Node):
-        self.block(True)
+    def preformatted(self, node: Node, spaced: bool):
+        self.block(spaced)
         out: list[str] = []
         yield texts(node, out, self.shown)
         lines = "".join(out).split("\n")
         if any(x.strip() for x in lines):
             self.put([x.rstrip() for x in lines])
-        self.gap = 1
+            self.gap = 0
+        self.gap = max(self.gap, int(spaced))
 
     def table(self, node: Node):
         self.block(True)
@@ -226,37 +261,47 @@ class Renderer:
                         text = yield rendered(x, self.shown if child.shown is None else child.shown)
                         # what stands in a row outside of its cells is a cell, if it shows anything
                         if text or x.tag in ("td", "th"):
-                            row.append((text.split("\n"), x.span))
+                            row.append((text.split("\n"), x.span, x.down))
                 rows.append(row)
             elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
                 todo += reversed(child.children)
             else:
                 text = yield rendered(child, self.shown)
-                rows.append([(text.split("\n"), 1)])
+                rows.append([(text.split("\n"), 1, 1)])
         if "".join(rest).strip():
-            rows.insert(0, [([" ".join("".join(rest).split())], 1)])
-        width: dict[int, int] = {}
+            rows.insert(0, [([" ".join("".join(rest).split())], 1, 1)])
+        # cells by their columns: a cell over several rows keeps its columns free in the rows below
+        placed, busy = [], {}
         for row in rows:
-            k = 0
-            for lines, span in row:
-                if span == 1 and len(row) > 1:
-                    width[k] = max(width.get(k, 0), max(map(len, lines)))
+            k, here, taken = 0, [], {}
+            for lines, span, down in row:
+                while k in busy:
+                    k += 1
+                here.append((k, lines, span))
+                if down > 1:
+                    taken |= dict.fromkeys(range(k, k + span), down)
                 k += span
-        for row in rows:  # a cell over several columns widens the last of them
-            k = 0
-            for lines, span in row:
-                if span > 1 and len(row) > 1:
-                    lack = max(map(len, lines)) - sum(width.get(c, 0) for c in range(k, k + span)) - 2 * (span - 1)
+            placed.append((here, len(row) < 2 and not busy))
+            busy = {c: n - 1 for c, n in (busy | taken).items() if n > 1}
+        width: dict[int, int] = {}
+        for here, alone in placed:
+            for k, lines, span in here:
+                if span == 1 and not alone:
+                    width[k] = max(width.get(k, 0), max(map(cells, lines)))
+        for here, alone in placed:  # a cell over several columns widens the last of them
+            for k, lines, span in here:
+                if span > 1 and not alone:
+                    lack = max(map(cells, lines)) - sum(width.get(c, 0) for c in range(k, k + span)) - 2 * (span - 1)
                     width[k + span - 1] = width.get(k + span - 1, 0) + max(0, lack)
-                k += span
+        begins = [0]
+        for c in range(max((k for here, _ in placed for k, _, _ in here), default=0)):
+            begins.append(begins[-1] + width.get(c, 0) + 2)
         made = []
-        for row in rows:
-            for j in range(max((len(lines) for lines, _ in row), default=0)):
-                text, k = "", 0
-                for lines, span in row:
-                    wide = sum(width.get(c, 0) for c in range(k, k + span)) + 2 * (span - 1)
-                    text += (lines[j] if j < len(lines) else "").ljust(wide) + "  "
-                    k += span
+        for here, _ in placed:
+            for j in range(max((len(lines) for _, lines, _ in here), default=0)):
+                text = ""
+                for k, lines, _ in here:
+                    text += " " * (begins[k] - cells(text)) + (lines[j] if j < len(lines) else "")
                 made.append(text.rstrip())
         if any(made):
             self.put([x for x in made if x])
@@ -284,7 +329,7 @@ def html_to_text(html: str | None) -> str:
     if not html:
         return ""
     built = TreeBuilder()
-    built.feed(html)
+    built.feed(html.replace("\r\n", "\n").replace("\r", "\n"))
     built.close()
     return walk(rendered(built.root))
 

@@ -58,7 +58,6 @@ def test_op2(spark, at):
     from tokenizers import Tokenizer
 
     it, start = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0
-    it.encode_special_tokens = True
     got = {r["doc_id"]: r for r in Q.op2_token_ids(spark, at).collect()}
     rows = docs(spark, at)
     assert len(got) == len(rows)
@@ -361,6 +360,8 @@ def test_empty_tables_and_clashing_columns(spark, tmp_path, name):
     extra = "key long, fp long, n long, at int, h string, sha string, copies int, prefix string, budget double, target double, k int"
     spark.createDataFrame([], SCHEMA + ", " + extra).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "page_id long, url string, html string, " + extra).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "conv_id long, turn int, role string, text string, conv long, i long, name string, size long, seq string, " + extra).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([], "item_id long, text string, item long, rank int, score long, term string, " + extra).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert Q.queries()[name](spark, str(tmp_path)).count() == 0
 
 
@@ -436,6 +437,29 @@ def test_html_shows_all_that_is_visible(html, text):
     assert html_text.html_to_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c<td>dd<tr><td>e<td>f<td>g</table>", "A  b\n   c  dd\ne  f  g"), ("<table><tr><td rowspan=0>A<td>b<tr><td>c<tr><td>d</table>", "A  b\n   c\n   d"), ("<form><input type=submit value='Send now'><input type=hidden value=x><input value=typed><input type=checkbox value=y>", "Send now\ntyped"),
+        ("<ol type=a start=26><li>x<li>y</ol>", "z. x\naa. y"), ("<ol reversed><li>x<li>y<li value=7>z<li>w</ol>", "4. x\n3. y\n7. z\n6. w"), ("<ol type=I start=9><li>x<li>y</ol>", "IX. x\nX. y"), ("<pre>\n\none\r\n  two</pre>", "\none\n  two"),
+        ("a<textarea>\nfirst\n  second</textarea>b", "a\nfirst\n  second\nb"), ("<table><tr><td>日本<td>x<tr><td>abcde<td>y<tr><td>e\u0301<td>z</table>", "日本   x\nabcde  y\ne\u0301      z"),
+    ],
+)
+def test_marks_fields_and_cells(html, text):
+    assert html_text.html_to_text(html) == text
+
+
+def test_long_and_deep_pages():
+    import time
+
+    began = time.time()
+    deep = "<div><b><table><tr><td><ul><li>" * 3000 + "x" + "</li></b>" * 3000
+    assert html_text.html_to_text(deep).strip().endswith("x")
+    rows = "".join(f"<tr><td rowspan={k % 4}>{k}<td colspan={k % 3}>v{k}" for k in range(20_000))
+    out = html_text.html_to_text(f"<p>begin<table>{rows}</table><p>" + "word " * 400_000)
+    assert out.startswith("begin") and "v19999" in out and out.endswith("word word") and time.time() - began < 60
+
+
 def test_encode_gives_offsets(spark):
     import public_tokenizers as P
 
