@@ -1,8 +1,8 @@
 """Language identification by n-gram filters with a language bitmask.
 
-An n-gram belongs to a language if its share of that language's n-grams reaches a floor and half of its largest
-share in any language; shares sum to one, so a language has at most 1 / FLOOR n-grams whatever the corpus. The
-bit-sliced Bloom filter is one array of bitmasks: k positions of an n-gram, ANDed, give all the languages that have
+A language's filter has all its n-grams whose share of them reaches a floor; shares sum to one, so these are at most
+1 / FLOOR whatever the corpus. With a floor of 0 a filter has each n-gram that the language ever had: Spark makes the
+positions, and the driver gets the filter alone, never the n-grams. The bit-sliced Bloom filter is one array of bitmasks: k positions of an n-gram, ANDed, give all the languages that have
 it; more than 64 languages take several words a position. A document's count of each language is corrected for that
 language's rate of false positives.
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, discard, materialise
 
-#: Least share of an n-gram in its language, share of its largest share, characters of an n-gram, filter positions.
-FLOOR, RELATIVE, GRAM, PROBES = 5e-5, 0.5, 3, 4
+#: Least share of an n-gram in its language, characters of an n-gram, filter positions.
+FLOOR, GRAM, PROBES = 5e-5, 3, 4
 #: Characters handled at a time, and languages of a mask's word.
 BLOCK, WORD = 1 << 18, 64
 _letter = regex.compile(r"\p{L}")
@@ -78,18 +78,27 @@ class Filters:
         return self.languages[best], float(share[best] / share.sum()) if share.sum() > 0 else 0.0
 
 
-def build(languages: list[str], keys: np.ndarray, lang: np.ndarray) -> Filters:
-    """Filters of (key, place of its language) pairs: 12 positions or more for each n-gram of the largest language."""
-    size = 1 << max(10, (12 * int(np.bincount(lang).max())).bit_length()) if len(keys) else 1024
-    words = max(1, -(-len(languages) // WORD))
-    bits = np.zeros((size, words), np.uint64)
-    for place in places(keys, size):
-        np.bitwise_or.at(bits, (place, lang // WORD), np.uint64(1) << (lang % WORD).astype(np.uint64))
+def size_for(n: int) -> int:
+    """Positions of filters whose largest has ``n`` n-grams: 12 or more for each."""
+    return 1 << max(10, (12 * n).bit_length()) if n else 1024
+
+
+def filters_of(languages: list[str], size: int, place: np.ndarray, word: np.ndarray, mask: np.ndarray) -> Filters:
+    """Filters of masks by position and word of the mask."""
+    bits = np.zeros((size, max(1, -(-len(languages) // WORD))), np.uint64)
+    np.bitwise_or.at(bits, (place, word), mask)
     made = Filters(languages, bits, np.zeros(len(languages)))
     made.rates = np.array([np.count_nonzero(made.has(bits, k)) / size for k in range(len(languages))]) ** PROBES
     return made
 
 
+def build(languages: list[str], keys: np.ndarray, lang: np.ndarray) -> Filters:
+    """Filters of (key, place of its language) pairs."""
+    size = size_for(int(np.bincount(lang).max()) if len(keys) else 0)
+    place = np.concatenate([*places(keys, size)]) if len(keys) else np.zeros(0, np.int64)
+    return filters_of(languages, size, place.astype(np.int64), np.tile(lang // WORD, PROBES), np.tile(np.uint64(1) << (lang % WORD).astype(np.uint64), PROBES))
+
+
 def places(keys: np.ndarray, size: int) -> Iterator[np.ndarray]:
     mixed = (keys ^ (keys >> np.uint64(31))) * _A
     step = ((mixed ^ (mixed >> np.uint64(29))) * _B) | np.uint64(1)
@@ -119,19 +128,26 @@ def count_grams(df: DataFrame, *, text_col: str, lang_col: str) -> DataFrame:
     return arrow_map(rows, run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", floor: float = FLOOR, relative: float = RELATIVE) -> Filters:
-    """Filters of all rows of ``df``. The driver gets at most 1 / ``floor`` n-grams of each language."""
+def fit(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", floor: float = FLOOR) -> Filters:
+    """Filters of all rows of ``df``; the driver gets their positions, at most 24 times the n-grams of the largest language."""
     counts = materialise(count_grams(df, text_col=text_col, lang_col=lang_col), "grams")
     sums = materialise(counts.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    shares = counts.join(sums.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l")).select("lang", "key", (F.col("n") / F.col("total")).alias("share")).filter(F.col("share") >= floor)
-    best = shares.groupBy("key").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "share")).alias("all"))
-    kept = best.select("key", F.explode(F.transform(F.filter("all", lambda x: x["share"] >= relative * F.col("most")), lambda x: x["lang"])).alias("lang"))
-    languages = sorted(r["lang"] for r in sums.select("lang").collect())
-    pairs = kept.toArrow()
-    place = {x: k for k, x in enumerate(languages)}
-    keys, lang = pairs["key"].to_numpy().view(np.uint64), np.array([place[x] for x in pairs["lang"].to_pylist()], np.int64)
-    discard(counts)
-    return build(languages, keys, lang)
+    languages = sorted(r["lang"] for r in sums.select("lang").collect())  # a row a language
+    kept = counts.join(sums.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l")).filter(F.col("n") >= floor * F.col("total")).select("lang", "key")
+    kept = materialise(kept, "kept")
+    size = size_for(kept.groupBy("lang").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
+    at = {x: k for k, x in enumerate(languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, keys = np.array([at[x] for x in batch.column(0).to_pylist()], np.int64), batch.column(1).to_numpy().view(np.uint64)
+            for place in places(keys, size):
+                mask = (np.uint64(1) << (lang % WORD).astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(lang // WORD), pa.array(mask)], names=["place", "word", "mask"])
+
+    masks = arrow_map(kept, run, "place long, word long, mask long").groupBy("place", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    discard(counts, sums, kept)
+    return filters_of(languages, size, masks["place"].to_numpy(), masks["word"].to_numpy(), masks["mask"].to_numpy().view(np.uint64))
 
 
 def identify(df: DataFrame, filters: Filters, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
