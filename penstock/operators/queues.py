@@ -138,3 +138,8 @@ def violation_rollup(df: DataFrame, *, key: str = "key", as_of_year: int, years:
     recent = F.year("begun") >= as_of_year - years
     out = df.groupBy(key).agg(F.count_if(recent).alias("violations"), F.count_if(recent & (F.col("health") == "Y")).alias("health"), F.max("begun").alias("latest"))
     return out.filter("violations > 0")
+
+
+def joined(left: DataFrame, right: DataFrame, on: str, *, only_matched: bool) -> DataFrame:
+    """``left`` with the rows of ``right``: an inner join if only matched rows are asked for, else a left one."""
+    return left.join(right, on, "inner" if only_matched else "left")

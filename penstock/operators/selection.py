@@ -74,13 +74,19 @@ def top_by(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: st
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
 
 
+#: Columns of the chosen row that an estimate keeps.
+PASSED = ("utility_name", "bill_5ccf", "fixed_charge_monthly", "rate_structure_type", "source_url")
+
+
 def best_estimate(rates: DataFrame, config: Priorities = PUBLISHED) -> DataFrame:
     """One row per pwsid: the comparable bill of the source of the best priority, with anchor, confidence and notes.
 
     ``rates`` has id, pwsid, state_code, source, bill_6ccf, bill_9ccf, bill_10ccf, bill_12ccf, confidence and
     vintage_date. Equal priorities go by source, then the later vintage, then id. One aggregate, one shuffle; keys
-    without a comparable bill keep a row of confidence ``none``.
+    without a comparable bill keep a row of confidence ``none``. Of the columns PASSED those that ``rates`` has come along
+    with the chosen row, its own confidence as parse_confidence.
     """
+    passed = [c for c in PASSED if c in rates.columns]
     bill = comparable_bill(F.col("bill_10ccf"), F.col("bill_9ccf"), F.col("bill_12ccf"), F.col("bill_6ccf"))
     low = (F.col("source") == "scraped_llm") & (F.col("confidence") == "low")
     base = resolve(F.col("source"), config.exact, config.prefixes, config.fallback)
@@ -91,7 +97,7 @@ def best_estimate(rates: DataFrame, config: Priorities = PUBLISHED) -> DataFrame
         tolerance = F.when(F.col("state_code") == state, most).otherwise(tolerance)
     rows = rates.withColumn("comp", bill).withColumn("priority", F.when(low, F.greatest(base, F.lit(6))).otherwise(base)).withColumn("anchor_rank", F.when(F.col("comp").isNotNull(), rank))
     order = F.struct("priority", "source", F.coalesce(F.datediff(F.lit("9999-12-31"), "vintage_date"), F.lit(1 << 30)), "id")
-    best = F.struct("source", "comp", "priority", "confidence", "vintage_date", "bill_10ccf", "bill_6ccf", "bill_12ccf")
+    best = F.struct("source", "comp", "priority", "confidence", "vintage_date", "bill_10ccf", "bill_6ccf", "bill_12ccf", *passed)
     out = rows.groupBy("pwsid").agg(
         F.min_by("state_code", "id").alias("state_code"),
         F.min_by(best, F.when(F.col("comp").isNotNull(), order)).alias("best"),
@@ -119,9 +125,61 @@ def best_estimate(rates: DataFrame, config: Priorities = PUBLISHED) -> DataFrame
     return out.select(
         "pwsid", "state_code", source.alias("selected_source"), F.round("best.comp", 2).alias("bill_estimate_10ccf"), F.col("best.bill_10ccf").alias("bill_10ccf"), F.col("best.bill_6ccf").alias("bill_6ccf"), F.col("best.bill_12ccf").alias("bill_12ccf"),
         F.col("best.vintage_date").alias("vintage_date"), "n_sources", F.col("anchor.source").alias("anchor_source"), F.col("anchor.comp").alias("anchor_bill"), confidence.alias("confidence"), notes.alias("selection_notes"),
+        F.col("best.confidence").alias("parse_confidence"), *[F.col(f"best.{c}").alias(c) for c in passed],
     )
 
 
+#: Priorities and anchors of the older selector, and the share by which a scraped bill may differ from its anchor.
+OLDER_PRIORITIES = {"swrcb_ear_2022": 1, "swrcb_ear_2021": 2, "scraped_llm": 3, "owrs": 4, "swrcb_ear_2020": 5}
+OLDER_ANCHORS, OLDER_TOLERANCE = ("swrcb_ear_2022", "swrcb_ear_2021"), 0.25
+
+
+def older_estimate(rates: DataFrame) -> DataFrame:
+    """One row per pwsid by the older selector: a scraped bill goes before all if it agrees with the government's, behind it if not; others by priority.
+
+    ``rates`` as for best_estimate. Equal priorities go by source and id. Keys without a comparable bill keep a row of
+    confidence ``none``.
+    """
+    rows = rates.withColumn("comp", comparable_bill(F.col("bill_10ccf"), F.col("bill_9ccf"), F.col("bill_12ccf"), F.col("bill_6ccf")))
+    place = F.coalesce(*[F.when((F.col("source") == s) & F.col("comp").isNotNull(), F.lit(k)) for k, s in enumerate(OLDER_ANCHORS)])
+    anchors = rows.groupBy(F.col("pwsid").alias("__key")).agg(F.min_by(F.struct("source", "comp"), F.when(place.isNotNull(), F.struct(place.alias("k"), "id"))).alias("anchor"), F.count_distinct("source").alias("n_sources"))
+    rows = rows.join(anchors, F.col("pwsid") == F.col("__key"))
+    diff = F.abs(F.col("comp") - F.col("anchor.comp")) / F.col("anchor.comp")
+    scraped, low = F.col("source") == "scraped_llm", F.coalesce(F.col("confidence"), F.lit("medium")) == "low"
+    share = F.concat(F.lit(" ("), F.bround(diff * 100, 0).cast("int").cast("string"), F.lit("% diff)"))
+    priority = F.when(~scraped, resolve(F.col("source"), OLDER_PRIORITIES, (), 99)).when(low, 6).when(F.col("anchor").isNull(), 3).when(diff <= OLDER_TOLERANCE, 0).otherwise(5)
+    notes = F.when(~scraped, "").when(low, "low_confidence").when(F.col("anchor").isNull(), "no_ear_anchor").when(diff <= OLDER_TOLERANCE, F.concat(F.lit("scraped_agrees_with_ear"), share)).otherwise(F.concat(F.lit("scraped_diverges_from_ear"), share))
+    rows = rows.withColumn("priority", priority).withColumn("notes", notes)
+    best = F.min_by(F.struct("source", "comp", "priority", "confidence", "notes", "vintage_date"), F.when(F.col("comp").isNotNull(), F.struct("priority", "source", "id")))
+    out = rows.groupBy("pwsid").agg(best.alias("b"), F.first("anchor").alias("anchor"), F.first("n_sources").alias("n_sources"))
+    source = F.col("b.source")
+    confidence = F.when(F.col("b").isNull(), "none").when((F.col("b.priority") == 0) | source.startswith("swrcb_ear"), "high").when(source == "owrs", "medium").when(F.col("b.confidence") == "low", "low").otherwise("medium")
+    return out.select(
+        "pwsid", source.alias("selected_source"), F.col("b.comp").alias("bill"), F.col("b.vintage_date").alias("vintage_date"), "n_sources", F.col("anchor.source").alias("anchor_source"), F.col("anchor.comp").alias("anchor_bill"), confidence.alias("confidence"),
+        F.when(F.col("b").isNull(), "no comparable bill from any source").otherwise(F.col("b.notes")).alias("selection_notes"),
+    )
+
+
+#: Labels of a host that say nothing of whose it is.
+COMMON_LABELS = ["com", "org", "net", "gov", "us", "www"]
+
+
+def best_guess(guesses: DataFrame, host) -> DataFrame:
+    """(pwsid, url) of guessed addresses (id, pwsid, guessed_url, final_url, domain, confidence_tier, confidence_score): the best one where it leads.
+
+    A guess that leads to a host which shares no telling label with it is left out, as is one without a URL. Domains of
+    water come first, then the higher score, then (for the others) .gov, then id. ``host`` gives a URL's host.
+    """
+    final = F.coalesce(F.nullif("final_url", F.lit("")), F.col("guessed_url"))
+    bare = lambda u: F.replace(host(u), F.lit("www."), F.lit(""))
+    labels = lambda h: F.array_except(F.split(h, r"\."), F.array(*[F.lit(x) for x in COMMON_LABELS]))
+    rows = guesses.filter("guessed_url <> ''").withColumn("__final", final).withColumn("__a", bare(F.col("guessed_url"))).withColumn("__b", bare(final))
+    related = (F.col("__a") == F.col("__b")) | (F.col("__a") == "") | (F.col("__b") == "") | F.arrays_overlap(labels(F.col("__a")), labels(F.col("__b")))
+    water = (F.coalesce(F.col("confidence_tier"), F.lit("")) == "name_water") | F.lower(F.coalesce("domain", F.lit(""))).contains("water")
+    order = F.struct((~water).alias("w"), (-F.coalesce("confidence_score", F.lit(0))).alias("s"), (~water & ~F.col("__final").contains(".gov")).alias("g"), "id")
+    return rows.filter(related).groupBy("pwsid").agg(F.min_by("__final", order).alias("url"))
+
+
 def anchored_estimate(rates: DataFrame, anchor: str, candidate: str, tolerance: float = 0.25) -> DataFrame:
     """The older rule: a candidate source wins where it agrees with its key's anchor, or there is no anchor; else the anchor wins."""
     bill = comparable_bill(F.col("bill_10ccf"), F.col("bill_9ccf"), F.col("bill_12ccf"), F.col("bill_6ccf"))

@@ -25,7 +25,7 @@ def name_match(spark, d):
 
 
 def city_match(spark, d):
-    """ER-3, ER-4: places matched by name, then by city, then without an ending."""
+    """ER-3: places matched by name, then by city, then without an ending."""
     s = table(spark, d, "customer").select(F.col("c_custkey").alias("rid"), F.concat(F.lit("PLACE "), F.col("c_custkey") % 60).alias("name"), F.concat(F.lit("TOWN "), F.col("c_custkey") % 90).alias("place"), F.floor(F.abs("c_acctbal")).alias("pop2"), F.when(F.col("c_custkey") % 4 == 0, "M").otherwise("P").alias("owner"))
     k = F.col("s_suppkey")
     c = table(spark, d, "supplier").select(k.alias("id"), F.when(k % 3 == 0, F.concat(F.lit("PLACE "), k)).when(k % 3 == 1, F.concat(F.lit("TOWN "), k)).otherwise(F.concat(F.lit("TOWN "), k, F.lit(" TWP"))).alias("city"), F.when(k % 2 == 0, F.lit(3000)).otherwise(0).alias("pop"))

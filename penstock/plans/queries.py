@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import tariff
 from ..operators import reconcile, tables
 from ..sources.readers import table
-from . import api, documents, entities, rates, reports, spatial, tariffs, texts
+from . import api, documents, entities, files, rates, reports, spatial, tariffs, texts
 
 best_estimate = rates.best_estimate
 
@@ -71,7 +71,7 @@ def props_extract(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k_sum"), F.count(F.lit(1)).alias("n"))
 
 
-MODULES = (rates, tariffs, reports, texts, spatial, entities, api, documents)
+MODULES = (rates, tariffs, reports, texts, spatial, entities, api, documents, files)
 QUERIES = {f.__name__: f for f in (tiered_bill, agreement, upsert_rows, insert_if_absent, never_ordered, star_join, medians, freshness, props_extract)}
 for _m in MODULES:
     QUERIES = _m.QUERIES | QUERIES

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import quality as Q
 from ..operators import reconcile as R
 from ..operators import selection as S
@@ -36,14 +37,25 @@ SOURCES = [*S.PUBLISHED.exact, "efc_zz_2030", "swrcb_x", "tx_other", "efcx"]
 
 def best_estimate(spark, d):
     """SEL-1, SEL-2, SEL-4, AGG-14: one estimate a key."""
-    return S.best_estimate(_rates(spark, d)).withColumn("vintage_date", F.col("vintage_date").cast("string"))
+    r = _rates(spark, d).withColumnsRenamed({"structure": "rate_structure_type", "fixed": "fixed_charge_monthly"}).withColumn("utility_name", F.concat(F.lit("Works "), F.col("pwsid")))
+    return S.best_estimate(r).withColumn("vintage_date", F.col("vintage_date").cast("string"))
 
 
 def anchored_estimate(spark, d):
-    """SEL-5: the older selector by an anchor."""
+    """A candidate against an anchor."""
     return S.anchored_estimate(_rates(spark, d), "swrcb_ear_2022", "scraped_llm")
 
 
+def older_estimate(spark, d):
+    """SEL-5: the older selector, with priorities, anchor, confidence and notes."""
+    return S.older_estimate(_rates(spark, d)).withColumn("vintage_date", F.col("vintage_date").cast("string"))
+
+
+def guessed_urls(spark, d):
+    """SEL-21: the best guessed address of a key, without those that lead elsewhere."""
+    return S.best_guess(spark.sql(GUESSES.replace("{text}", "string"), events=table(spark, d, "events")).withColumnRenamed("dom", "domain"), X.host)
+
+
 def source_tiers(spark, d):
     """SEL-2, SEL-3: priority and tier of every published source and of others, and the way to its comparable bill."""
     c = S.PUBLISHED
@@ -147,7 +159,10 @@ def complete_rows(spark, d):
     return best.join(kinds, "pwsid").select("pwsid", "id", S.highest_category(F.col("kinds"), ["increasing_block", "uniform", "flat"]).alias("category"), F.col("meter.size").alias("meter_size"))
 
 
-QUERIES = {f.__name__: f for f in (best_estimate, anchored_estimate, source_tiers, coverage, variance, cause_counts, combined_suspects, overlap_by_state, year_gaps, runs_compared, source_parity, disagreements, record_checks, issue_audit, complete_rows)}
+#: Guessed addresses: a user's, with the place that they lead to.
+GUESSES = """select event_id id, user_id pwsid, case when event_id % 9 = 0 then '' else 'https://www.' || g || '/' || cast(event_id % 3 as {text}) end guessed_url, case event_id % 4 when 0 then null when 1 then 'https://' || g || '/rates' when 2 then 'https://www.parked.com/x' else 'https://utility.clearlake.ca.gov/w' end final_url,
+  g dom, case when event_id % 50 = 7 then 'name_water' when event_id % 3 = 0 then 'gov' end confidence_tier, cast(event_id % 13 as int) confidence_score from (select *, case event_id % 5 when 0 then 'clearlake.gov' when 1 then 'clearlake.com' when 2 then 'oz.org' when 3 then 'parked.org' else 'lake.us' end g from {events}) t"""
+QUERIES = {f.__name__: f for f in (best_estimate, older_estimate, guessed_urls, anchored_estimate, source_tiers, coverage, variance, cause_counts, combined_suspects, overlap_by_state, year_gaps, runs_compared, source_parity, disagreements, record_checks, issue_audit, complete_rows)}
 
 _R = "with r as (" + RATES.format(text="varchar", orders="orders") + ")"
 _B = "case when bill_10ccf > 0 then bill_10ccf when bill_9ccf > 0 and bill_12ccf > 0 then round(bill_9ccf + (bill_12ccf - bill_9ccf) / 3, 2) when bill_12ccf > 0 then bill_12ccf end"
@@ -168,8 +183,16 @@ ORACLE = {
         select k.pwsid, k.state_code, b.source selected_source, round(b.comp, 2) bill_estimate_10ccf, b.bill_10ccf, b.bill_6ccf, b.bill_12ccf, b.vintage_date::varchar vintage_date, n_sources, a_source anchor_source, a_bill anchor_bill,
         case when b.comp is null then 'none' when b.source like 'swrcb_ear%' or b.source like 'efc_%' then 'high' when b.source = 'owrs' then 'medium' when b.confidence = 'low' then 'low' else 'medium' end confidence,
         case when b.comp is null then 'no comparable bill from any source' when b.source <> 'scraped_llm' then '' when b.confidence = 'low' then 'low_confidence' when a_bill is null then 'no_anchor_available'
-        when abs(b.comp - a_bill) / a_bill <= 0.25 then 'anchor_agrees (' || format('{{:.0f}}', abs(b.comp - a_bill) / a_bill * 100) || '% diff)' else 'anchor_diverges_qa_flag (' || format('{{:.0f}}', abs(b.comp - a_bill) / a_bill * 100) || '% diff)' end selection_notes
+        when abs(b.comp - a_bill) / a_bill <= 0.25 then 'anchor_agrees (' || format('{{:.0f}}', abs(b.comp - a_bill) / a_bill * 100) || '% diff)' else 'anchor_diverges_qa_flag (' || format('{{:.0f}}', abs(b.comp - a_bill) / a_bill * 100) || '% diff)' end selection_notes, b.confidence parse_confidence, b.structure rate_structure_type, b.fixed fixed_charge_monthly, 'Works ' || b.pwsid utility_name
         from k left join b using (pwsid) left join a using (pwsid)""",
+    "older_estimate": _R + f""", s as (select *, coalesce({_B}, case when bill_6ccf > 0 then bill_6ccf end) comp from r), a as (select pwsid, source a_source, comp a_bill from s where comp is not null and source in ('swrcb_ear_2022', 'swrcb_ear_2021') qualify row_number() over (partition by pwsid order by case source when 'swrcb_ear_2022' then 0 else 1 end, id) = 1),
+        q as (select s.*, a_source, a_bill, abs(comp - a_bill) / a_bill df from s left join a using (pwsid)), p as (select *, case when source <> 'scraped_llm' then case source when 'swrcb_ear_2022' then 1 when 'swrcb_ear_2021' then 2 when 'owrs' then 4 when 'swrcb_ear_2020' then 5 else 99 end when confidence = 'low' then 6 when a_bill is null then 3 when df <= 0.25 then 0 else 5 end pr from q),
+        b as (select * from p where comp is not null qualify row_number() over (partition by pwsid order by pr, source, id) = 1), k as (select pwsid, count(distinct source) n_sources from r group by 1)
+        select k.pwsid, source selected_source, comp bill, vintage_date::varchar vintage_date, n_sources, a.a_source anchor_source, a.a_bill anchor_bill, case when comp is null then 'none' when pr = 0 or source like 'swrcb!_ear%' escape '!' then 'high' when source = 'owrs' then 'medium' when confidence = 'low' then 'low' else 'medium' end confidence,
+        case when comp is null then 'no comparable bill from any source' when source <> 'scraped_llm' then '' when confidence = 'low' then 'low_confidence' when a.a_bill is null then 'no_ear_anchor' else case when df <= 0.25 then 'scraped_agrees_with_ear' else 'scraped_diverges_from_ear' end || ' (' || format('{{:.0f}}', df * 100) || '% diff)' end selection_notes from k left join b using (pwsid) left join a using (pwsid)""",
+    "guessed_urls": "with g as (" + GUESSES.format(text="varchar", events="events") + """), h as (select *, coalesce(nullif(final_url, ''), guessed_url) f, replace(regexp_extract(lower(guessed_url), 'https://([^/]+)', 1), 'www.', '') ha, replace(regexp_extract(lower(coalesce(nullif(final_url, ''), guessed_url)), 'https://([^/]+)', 1), 'www.', '') hb from g where guessed_url <> ''),
+        k as (select *, (confidence_tier = 'name_water') is true or contains(dom, 'water') w from h where ha = hb or len([x for x in list_intersect(string_split(ha, '.'), string_split(hb, '.')) if x not in ('com', 'org', 'net', 'gov', 'us', 'www')]) > 0)
+        select pwsid, f url from k qualify row_number() over (partition by pwsid order by not w, confidence_score desc, not w and not contains(f, '.gov'), id) = 1""",
     "anchored_estimate": _R + f""", s as (select *, coalesce({_B}, case when bill_6ccf > 0 then bill_6ccf end) comp from r), c as (select pwsid, arg_min(comp, id) b from s where comp is not null and source = 'scraped_llm' group by 1), a as (select pwsid, arg_min(comp, id) b from s where comp is not null and source = 'swrcb_ear_2022' group by 1)
         select pwsid, case when c.b is not null and (a.b is null or abs(c.b - a.b) / a.b <= 0.25) then 'scraped_llm' else 'swrcb_ear_2022' end source, case when c.b is not null and (a.b is null or abs(c.b - a.b) / a.b <= 0.25) then c.b else a.b end bill from c full join a using (pwsid)""",
     "source_tiers": _R + f""", q as (select *, {SOURCES}[id % {len(SOURCES)} + 1] src from r), c as (select * from (values {", ".join(f"('{k}', {v})" for k, v in S.PUBLISHED.exact.items())}) t(name, p))

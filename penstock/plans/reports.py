@@ -146,13 +146,21 @@ def year_chain(spark, d):
 
 
 def latest_with_flags(spark, d):
-    """JOIN-8, JOIN-10, JOIN-3: the latest schedule of a key and whether it has others."""
+    """JOIN-8, JOIN-10: the latest schedule of a key and whether it has others."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer").select("c_custkey", "c_nationkey")
     latest = top_by(o.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate"), ["c_custkey"], [F.desc_nulls_last("o_orderdate"), F.asc("o_orderkey")], 1)
     flag = o.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("__p")).distinct()
     return c.join(latest.drop("rank"), "c_custkey", "left").join(flag, "c_custkey", "left").select("c_custkey", "o_orderkey", F.col("__p").isNotNull().alias("has_pending"))
 
 
+def flagged_join(spark, d):
+    """JOIN-3: customers with their largest order, all of them or, as a flag asks, those that have one."""
+    c = table(spark, d, "customer").select("c_custkey")
+    top = best_by(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice"), ["c_custkey"], [-F.col("o_totalprice"), F.col("o_orderkey")])
+    part = lambda flag: Q.joined(c, top, "c_custkey", only_matched=flag).select(F.lit(flag).alias("only_matched"), "c_custkey", "o_orderkey")
+    return part(True).unionByName(part(False))
+
+
 def one_row_report(spark, d):
     """JOIN-14, JOIN-15, SORT-5: optional parts on one row; a part without rows is null."""
     one = spark.range(1).drop("id")
@@ -203,7 +211,7 @@ def retry_states(spark, d):
     return r.select("id", status.alias("status"), after.alias("retry_after"))
 
 
-QUERIES = {f.__name__: f for f in (rank_success, status_report, violations, gap_modes, status_crosstab, amount_pivot, state_coverage, latest_steps, contaminated_urls, work_queue, ranked_candidates, discovery_funnel, gap_triage, parse_queue, retry_targets, labelled_union, year_chain, latest_with_flags, one_row_report, either_place, filtered_list, sharded_rows, retry_states)}
+QUERIES = {f.__name__: f for f in (rank_success, status_report, violations, gap_modes, status_crosstab, amount_pivot, state_coverage, latest_steps, contaminated_urls, work_queue, ranked_candidates, discovery_funnel, gap_triage, parse_queue, retry_targets, labelled_union, year_chain, latest_with_flags, flagged_join, one_row_report, either_place, filtered_list, sharded_rows, retry_states)}
 
 _R = "with r as (" + REGISTRY.format(text="varchar", events="events") + ")"
 _ROLL = "count(*) n, count(*) filter (has) n_covered, sum(p) pop, coalesce(sum(p) filter (has), 0) pop_covered, round(100 * count(*) filter (has) / count(*)::double, 1) pct, round(100 * coalesce(sum(p) filter (has), 0) / sum(p)::double, 1) pop_pct"
@@ -238,6 +246,8 @@ ORACLE = {
     "labelled_union": _R + " select pwsid, url, 'rates' label from r where url like '%water-rates%' union select pwsid, url, 'fees' from r where url like '%/Fees' and url like 'https://w%' union select pwsid, url, 'docs' from r where lower(url) not like '%rates%' and lower(url) not like '%fees%' and lower(url) not like '%minutes%' and url like 'https://docs%'",
     "year_chain": "with y as (select o_custkey, round(sum(o_totalprice) filter (year(o_orderdate) = 1997), 2) v1997, round(sum(o_totalprice) filter (year(o_orderdate) = 1998), 2) v1998, round(sum(o_totalprice) filter (year(o_orderdate) = 1999), 2) v1999 from orders group by 1) select *, round((v1999 - v1997) / v1997 * 100, 1) \"change\" from y where v1998 is not null and abs((v1999 - v1997) / v1997 * 100) <= 50",
     "latest_with_flags": "select c_custkey, l.o_orderkey, exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P') has_pending from customer left join lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_orderdate desc, o_orderkey limit 1) l on true",
+    "flagged_join": """with t as (select c_custkey, o_orderkey from customer left join orders on o_custkey = c_custkey qualify row_number() over (partition by c_custkey order by o_totalprice desc, o_orderkey) = 1)
+        select true only_matched, * from t where o_orderkey is not null union all select false, * from t""",
     "one_row_report": "with r as (select c_custkey from customer order by c_acctbal desc, c_custkey limit 1) select (select c_custkey from r) richest, (select count(*) from orders where o_custkey = (select c_custkey from r)) n_orders, (select max(o_totalprice) from orders where o_custkey = (select c_custkey from r)) largest, null::varchar nobody",
     "either_place": "select s_suppkey, c_custkey from supplier join customer on (s_nationkey = c_nationkey and c_mktsegment = 'BUILDING' and c_acctbal > 8000) or s_suppkey = c_custkey qualify row_number() over (partition by s_suppkey order by (c_mktsegment = 'BUILDING') desc, abs(s_acctbal - c_acctbal), c_custkey) = 1",
     "filtered_list": "select o_orderkey, o_totalprice, o_orderpriority from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus = 'O' and o_totalprice >= 100000 order by o_totalprice desc, o_orderkey limit 50",

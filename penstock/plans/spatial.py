@@ -54,16 +54,18 @@ def shape_measures(spark, d):
 
 def permits_near(spark, d):
     """API-2, GEO-3, SORT-3: points within a radius of a place, filtered, nearest first."""
-    p = _points(spark, d, "customer", "c_custkey").withColumn("km", G.haversine_km(F.col("lng"), F.col("lat"), F.lit(5.0), F.lit(5.0)))
-    box = F.col("lng").between(5 - 2.0, 5 + 2.0) & F.col("lat").between(5 - 1.9, 5 + 1.9)
-    return p.filter(box & (F.col("km") <= 200) & (F.col("c_mktsegment") == "BUILDING")).orderBy("km", "c_custkey").limit(40).select("c_custkey", F.round("km", 3).alias("km"))
+    p = _points(spark, d, "customer", "c_custkey")
+    # a box and the sphere's distance leave few rows to be measured on the spheroid
+    box = F.col("lng").between(5 - 2.0, 5 + 2.0) & F.col("lat").between(5 - 1.9, 5 + 1.9) & (G.haversine_km(F.col("lng"), F.col("lat"), F.lit(5.0), F.lit(5.0)) <= 200 * G.STRETCH)
+    p = p.filter(box & (F.col("c_mktsegment") == "BUILDING")).withColumn("km", G.spheroid_km(F.col("lng"), F.col("lat"), F.lit(5.0), F.lit(5.0)))
+    return p.filter(F.col("km") <= 200).orderBy("km", "c_custkey").limit(40).select("c_custkey", F.round("km", 3).alias("km"))
 
 
 def facility_permits(spark, d):
     """API-3, JOIN-1, JOIN-13, JOIN-20: points linked to a supplier, and those near it that aren't."""
     c, s = _points(spark, d, "customer", "c_custkey"), _points(spark, d, "supplier", "s_suppkey", "blng", "blat")
     linked = c.join(s, F.col("c_custkey") % 100 == F.col("s_suppkey")).select("s_suppkey", "c_custkey", F.lit("linked").alias("via"))
-    near = G.within_km(c, s, 60.0).select("s_suppkey", "c_custkey").join(linked.select("s_suppkey", "c_custkey"), ["s_suppkey", "c_custkey"], "left_anti")
+    near = G.within_km(c, s, 60.0, spheroid=True).select("s_suppkey", "c_custkey").join(linked.select("s_suppkey", "c_custkey"), ["s_suppkey", "c_custkey"], "left_anti")
     return linked.unionByName(near.withColumn("via", F.lit("nearby")))
 
 
@@ -125,8 +127,8 @@ ORACLE = {
     "resolve": _P + f", {_IN}, f as (select * from m qualify row_number() over (partition by c_custkey order by s_suppkey) = 1), l as (select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1) select c.c_custkey, s_name is not null matched, s_name, s_acctbal, o_orderkey, o_orderkey is not null has_rate from c left join f using (c_custkey) left join l on o_custkey = c.c_custkey",
     "shape_measures": """with g as (select s_suppkey, s_suppkey % 10 x0, s_suppkey // 10 % 10 y0, 0.5::double a1, 0.045::double a2, 0.0625::double a3 from supplier),
         z as (select s_suppkey, x0 + (a1 / 3 - a2 * 0.2 + a3 * 0.825) / (a1 - a2 + a3) x, y0 + (a1 / 3 - a2 * 0.2 + a3 * 0.825) / (a1 - a2 + a3) y from g) select s_suppkey, round(x, 6) lng, round(y, 6) lat, (floor(x / 2) + 5 * floor(y / 2))::int county from z""",
-    "permits_near": _P + f", q as (select c_custkey, {_D.replace('blat', '5.0').replace('blng', '5.0')} km from c where c_mktsegment = 'BUILDING') select c_custkey, round(km, 3) km from q where km <= 200 order by q.km, c_custkey limit 40",
-    "facility_permits": _P + f" select s_suppkey, c_custkey, case when c_custkey % 100 = s_suppkey then 'linked' else 'nearby' end via from c cross join s where c_custkey % 100 = s_suppkey or {_D} <= 60",
+    "permits_near": _P + ", q as (select c_custkey, 0 s_suppkey, lng, lat, 5.0::double blng, 5.0::double blat from c where c_mktsegment = 'BUILDING' and lng between 3 and 7 and lat between 3.1 and 6.9), " + _INVERSE + " select c_custkey, round(m / 1000, 3) km from dist where m <= 200000 order by m, c_custkey limit 40",
+    "facility_permits": _P + f", q as (select c_custkey, s_suppkey, lng, lat, blng, blat from c cross join s where {_D} <= 61), " + _INVERSE + " select s_suppkey, c_custkey, 'linked' via from c join s on c_custkey % 100 = s_suppkey union all select s_suppkey, c_custkey, 'nearby' from dist where m <= 60000 and c_custkey % 100 <> s_suppkey",
     "radius_pairs": _P + f" select c_custkey, s_suppkey from c join s on {_D} <= 50",
     "spheroid_pairs": _P + f", q as (select c_custkey, s_suppkey, lng, lat, blng, blat from c join s on {_D} <= 41), " + _INVERSE + " select c_custkey, s_suppkey, round(m, 1) m from dist where m <= 40000",
     "global_pairs": "with c as (select c_custkey, " + _GX.format("c_custkey").replace("D", "::double") + " lng, " + _GY.format("c_custkey").replace("D", "::double") + " lat from customer), s as (select s_suppkey, " + _GX.format("s_suppkey").replace("D", "::double") + " blng, " + _GY.format("s_suppkey").replace("D", "::double") + f" blat from supplier) select c_custkey, s_suppkey from c join s on {_D} <= 150",
