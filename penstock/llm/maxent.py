@@ -14,7 +14,8 @@ it.
 3. Scoring: sums per document from numpy batches. Tokens outside the bounded table are looked up by a join with the
    counts, and their part is added.
 
-Tokens are named by 64-bit polynomial hashes of their bytes, computed over whole batches.
+Tokens are named by 64-bit polynomial hashes of their bytes, computed over whole batches. The table of weights has a
+fixed size, whatever the corpus, so it can be sent to every task; the counts are joined.
 
 Defined cases: null and empty texts have one token, the end; a null id is not held out; rows are scored each for
 itself; with no document to learn from the model knows the unknown token alone and scores 0; an empty table gives an
