@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import exact_round
+
 #: Gallons of a hundred cubic feet and of a cubic foot. Sources differ, so it is always a parameter.
 CCF_GALLONS, CCF_GALLONS_FINE, CUBIC_FOOT_GALLONS = 748.0, 748.052, 7.48052
 #: Months of a billing period.
@@ -28,11 +30,11 @@ def fold(items: Column, start: Column, step: Callable[[Column, Column], Column],
 
 
 def ccf_to_gal(ccf: Column, per_ccf: float = CCF_GALLONS) -> Column:
-    return F.round(ccf * per_ccf, 0)
+    return exact_round(ccf * per_ccf, 0)
 
 
 def rate_per_kgal(rate_per_ccf: Column, per_ccf: float = CCF_GALLONS) -> Column:
-    return F.round(rate_per_ccf * (1000.0 / per_ccf), 4)
+    return exact_round(rate_per_ccf * (1000.0 / per_ccf), 4)
 
 
 def tier(number: Column, low: Column, high: Column, rate: Column) -> Column:
@@ -56,7 +58,7 @@ def tiers_from_wide(limits: list[Column], rates: list[Column], *, per_ccf: float
 
 def fixed_charges(amount: Column, meter: Column) -> Column:
     """The service charge as an array; null for a null or zero amount."""
-    one = F.struct(F.lit("Service Charge").alias("name"), F.round(amount.cast("double"), 2).alias("amount"), meter.cast("string").alias("meter_size"))
+    one = F.struct(F.lit("Service Charge").alias("name"), exact_round(amount.cast("double"), 2).alias("amount"), meter.cast("string").alias("meter_size"))
     return F.when(amount != 0, F.array(one))
 
 
@@ -85,7 +87,7 @@ def bill(fixed: Column, tiers: Column, gallons: Column, *, mode: str = "schedule
     empty = tiers.isNull() | (F.size(tiers) == 0)
     total = F.coalesce(fixed, F.lit(0.0)) + volumetric_charge(tiers, gallons, extend_last=mode == "extend")
     total = F.when(total > 0, total) if mode == "schedule" else F.when(~empty, total) if mode == "strict" else total
-    return F.round(total, 2)
+    return exact_round(total, 2)
 
 
 def bill_by_limits(fixed: Column, pairs: Column, ccf: Column) -> Column:
@@ -99,13 +101,13 @@ def bill_by_limits(fixed: Column, pairs: Column, ccf: Column) -> Column:
         return F.struct((s["sum"] + used * p["rate"]).alias("sum"), (s["left"] - used).alias("left"), low.alias("low"), p["rate"].alias("rate"))
 
     total = F.aggregate(valid, start, step, lambda s: s["sum"] + F.greatest(s["left"], F.lit(0.0)) * s["rate"])
-    return F.when(F.size(valid) > 0, F.round(total, 2))
+    return F.when(F.size(valid) > 0, exact_round(total, 2))
 
 
 def conservation_signal(tiers: Column, digits: int = 2) -> Column:
     """Highest over lowest rate of the tiers with one; null for fewer than two or a lowest that isn't positive."""
     rates = F.transform(F.filter(tiers, lambda t: F.coalesce(t["rate_per_1000_gal"], F.lit(0.0)) != 0), lambda t: t["rate_per_1000_gal"])
-    return F.when((F.size(rates) >= 2) & (F.array_min(rates) > 0), F.round(F.array_max(rates) / F.array_min(rates), digits))
+    return F.when((F.size(rates) >= 2) & (F.array_min(rates) > 0), exact_round(F.array_max(rates) / F.array_min(rates), digits))
 
 
 def structure_type(rates: Column, *, decreasing_first: bool = False) -> Column:
@@ -154,8 +156,8 @@ def four_tiers(tiers: Column, divisor: Column, per_ccf: float = CCF_GALLONS_FINE
         over = F.size(v) > 4
         rows = F.transform(
             F.slice(v, 1, 4),
-            lambda t, k: F.when(over & (k == 3), F.struct(F.lit(None).cast("double").alias("limit_ccf"), F.round(F.element_at(v, -1)["rate_per_kgal"] * per_ccf / 1000, 4).alias("rate"))).otherwise(
-                F.struct(F.round(t["end_gal"] / per_ccf / divisor, 2).alias("limit_ccf"), F.round(t["rate_per_kgal"] * per_ccf / 1000, 4).alias("rate"))
+            lambda t, k: F.when(over & (k == 3), F.struct(F.lit(None).cast("double").alias("limit_ccf"), exact_round(F.element_at(v, -1)["rate_per_kgal"] * per_ccf / 1000, 4).alias("rate"))).otherwise(
+                F.struct(exact_round(t["end_gal"] / per_ccf / divisor, 2).alias("limit_ccf"), exact_round(t["rate_per_kgal"] * per_ccf / 1000, 4).alias("rate"))
             ),
         )
         note = F.when(over, F.format_string("EFC bill curve shows %d volumetric tiers; tiers 4+ collapsed into tier 4", F.size(v)))
@@ -182,7 +184,7 @@ def bill_from_curve(curve: Column, ccf: Column, divisor: Column, *, per_ccf: flo
         last, before = F.try_element_at(c, F.lit(-1)), F.try_element_at(c, F.lit(-2))
         beyond = last["bill"] + (last["bill"] - before["bill"]) / (last["gal"] - before["gal"]) * (gal - last["gal"]) if extrapolate else F.lit(None).cast("double")
         value = F.when(F.size(c) <= 0, None).when(above.isNull(), beyond).when(below.isNull(), above["bill"]).otherwise(inside)
-        return F.round(value / divisor, 2)
+        return exact_round(value / divisor, 2)
 
     return let(curve, made)
 
@@ -211,18 +213,18 @@ def two_point_model(minimum: Column, low: Column, high: Column, *, low_gal: floa
     """
     slope, mean = (high - low) / (high_gal - low_gal), high / high_gal
     intercept = high - slope * high_gal
-    fixed = F.when(intercept >= 0, F.round(intercept, 2)).otherwise(minimum)
-    at = lambda n: F.round(F.coalesce(fixed, F.lit(0.0)) + slope * n * per_ccf, 2)
-    share = lambda n: F.round(high * (n * per_ccf / high_gal), 2)
+    fixed = F.when(intercept >= 0, exact_round(intercept, 2)).otherwise(minimum)
+    at = lambda n: exact_round(F.coalesce(fixed, F.lit(0.0)) + slope * n * per_ccf, 2)
+    share = lambda n: exact_round(high * (n * per_ccf / high_gal), 2)
 
     def row(kind: str, rate: Column, fix: Column, five: Column, ten: Column) -> Column:
         return F.struct(F.lit(kind).alias("structure_type"), rate.alias("rate_per_kgal"), fix.cast("double").alias("fixed"), five.alias("bill_5ccf"), ten.alias("bill_10ccf"))
 
     none, both = F.lit(None).cast("double"), low.isNotNull() & high.isNotNull()
     return (
-        F.when(both & (slope < 0), row("decreasing_block", F.round(mean * 1000, 2), F.coalesce(minimum, F.lit(0.0)), share(5), share(10)))
-        .when(both & (F.abs(slope) < 0.0001), row("flat", none, F.round(high, 2), F.round(high, 2), F.round(high, 2)))
-        .when(both, row("uniform", F.round(slope * 1000, 2), fixed, at(5), at(10)))
+        F.when(both & (slope < 0), row("decreasing_block", exact_round(mean * 1000, 2), F.coalesce(minimum, F.lit(0.0)), share(5), share(10)))
+        .when(both & (F.abs(slope) < 0.0001), row("flat", none, exact_round(high, 2), exact_round(high, 2), exact_round(high, 2)))
+        .when(both, row("uniform", exact_round(slope * 1000, 2), fixed, at(5), at(10)))
         .when(high.isNotNull(), row("uniform", none, minimum, share(5), share(10)))
     )
 
@@ -232,14 +234,14 @@ def bills_from_5k_10k(b5k: Column, b10k: Column, per_ccf: float = CCF_GALLONS) -
     slope, fixed = (b10k - b5k) / 5000.0, 2 * b5k - b10k
     one = b5k * (5 * per_ccf / 5000.0)
     both = b5k.isNotNull() & b10k.isNotNull()
-    pick = lambda n: F.round(F.when(both, fixed + slope * n * per_ccf).when(b10k.isNull() & (n <= 10), one * (n / 5)), 2)
+    pick = lambda n: exact_round(F.when(both, fixed + slope * n * per_ccf).when(b10k.isNull() & (n <= 10), one * (n / 5)), 2)
     method = F.when(both, "interpolated_2pt_linear").when(b5k.isNotNull(), "extrapolated_1pt")
     return F.struct(pick(5).alias("bill_5ccf"), pick(10).alias("bill_10ccf"), pick(20).alias("bill_20ccf"), method.alias("method"))
 
 
 def proportional_20ccf(b10: Column, b20: Column) -> Column:
     """The bill at 20 CCF, or twice that at 10 where it is missing."""
-    return F.coalesce(b20, F.round(2 * b10, 2))
+    return F.coalesce(b20, exact_round(2 * b10, 2))
 
 
 def bill_outliers(b10: Column, low: float = 5.0, high: float = 200.0) -> Column:
@@ -252,8 +254,8 @@ def cubic_tier(low: Column, high: Column, base: Column, cost: Column, adjustment
     """struct<min_gal,max_gal,rate_per_1000_gal> of a row in cubic feet or gallons, ``cost`` per ``base`` units; null without cost or base."""
     unit = F.when(cubic, F.lit(per_foot)).otherwise(F.lit(1.0))
     adj = F.when(F.coalesce(adjustment, F.lit(0.0)) == 0, 1.0).otherwise(adjustment)
-    top = F.when((high != 0) & (high < unlimited), F.round(high * unit, 0))
-    return F.when((base > 0) & cost.isNotNull(), F.struct(F.round(F.coalesce(low, F.lit(0.0)) * unit, 0).alias("min_gal"), top.alias("max_gal"), F.round(cost * adj / (base * unit / 1000.0), 4).alias("rate_per_1000_gal")))
+    top = F.when((high != 0) & (high < unlimited), exact_round(high * unit, 0))
+    return F.when((base > 0) & cost.isNotNull(), F.struct(exact_round(F.coalesce(low, F.lit(0.0)) * unit, 0).alias("min_gal"), top.alias("max_gal"), exact_round(cost * adj / (base * unit / 1000.0), 4).alias("rate_per_1000_gal")))
 
 
 def numbered(rows: Column) -> Column:
@@ -272,7 +274,7 @@ def tiers_from_parsed(tiers: Column, ccf_unit: Column, per_ccf: float = CCF_GALL
     """Tiers of array<struct<from_gal,to_gal,rate>> with a rate per gallon, or per CCF with bounds in CCF; unpriced ones are left out."""
     unit = F.when(ccf_unit, F.lit(per_ccf)).otherwise(F.lit(1.0))
     priced = F.filter(tiers, lambda t: t["rate"].isNotNull())
-    rows = F.transform(priced, lambda t, k: tier(k + 1, F.round(F.coalesce(t["from_gal"], F.lit(0.0)) * unit, 0), F.when(t["to_gal"] != 0, F.round(t["to_gal"] * unit, 0)), F.round(t["rate"] / unit * 1000, 4)))
+    rows = F.transform(priced, lambda t, k: tier(k + 1, exact_round(F.coalesce(t["from_gal"], F.lit(0.0)) * unit, 0), F.when(t["to_gal"] != 0, exact_round(t["to_gal"] * unit, 0)), exact_round(t["rate"] / unit * 1000, 4)))
     return let(rows, lambda a: close_gaps(a))
 
 
@@ -286,8 +288,8 @@ def tiers_from_lines(starts: Column, prices: Column, kgal: Column, per_ccf: floa
     def made(both: Column) -> Column:
         a, p = both["starts"], both["prices"]
         count = F.when(F.exists(a, lambda x: x.isNull()), F.size(p)).otherwise(F.least(F.size(a), F.size(p)))
-        top = lambda k: F.when(~F.exists(a, lambda x: x.isNull()) & (k + 1 < count), F.round(F.get(a, k + 1) * limit_unit, 2))
-        rows = F.transform(F.slice(p, F.lit(1), count), lambda x, k: F.struct(top(k).alias("limit_ccf"), F.round(x * price_unit, 4).alias("rate_ccf")))
+        top = lambda k: F.when(~F.exists(a, lambda x: x.isNull()) & (k + 1 < count), exact_round(F.get(a, k + 1) * limit_unit, 2))
+        rows = F.transform(F.slice(p, F.lit(1), count), lambda x, k: F.struct(top(k).alias("limit_ccf"), exact_round(x * price_unit, 4).alias("rate_ccf")))
         return F.when((starts == "") | (prices == "") | F.exists(p, lambda x: x.isNull()), F.slice(rows, 1, 0)).otherwise(rows)
 
     return F.when(starts.isNull() | prices.isNull(), F.from_json(F.lit("[]"), "array<struct<limit_ccf:double,rate_ccf:double>>")).otherwise(let(F.struct(numbers(starts).alias("starts"), numbers(prices).alias("prices")), made))

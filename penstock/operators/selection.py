@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import exact_round
+
 
 @dataclass(frozen=True)
 class Priorities:
@@ -54,7 +56,7 @@ def priority_of(source: Column, exact: dict[str, int], prefixes, fallback: int =
 def comparable_bill(b10: Column, b9: Column, b12: Column, b6: Column | None = None) -> Column:
     """The bill at 10 CCF, else between 9 and 12, else at 12, else (where given) at 6; only positive bills count."""
     good = lambda b: F.when((b > 0) & ~F.isnan(b), b)
-    steps = [good(b10), F.round(good(b9) + (good(b12) - good(b9)) / 3.0, 2), good(b12)]
+    steps = [good(b10), exact_round(good(b9) + (good(b12) - good(b9)) / 3.0, 2), good(b12)]
     return F.coalesce(*steps, *([good(b6)] if b6 is not None else []))
 
 
@@ -123,7 +125,7 @@ def best_estimate(rates: DataFrame, config: Priorities = PUBLISHED) -> DataFrame
         .otherwise("medium")
     )
     return out.select(
-        "pwsid", "state_code", source.alias("selected_source"), F.round("best.comp", 2).alias("bill_estimate_10ccf"), F.col("best.bill_10ccf").alias("bill_10ccf"), F.col("best.bill_6ccf").alias("bill_6ccf"), F.col("best.bill_12ccf").alias("bill_12ccf"),
+        "pwsid", "state_code", source.alias("selected_source"), exact_round(F.col("best.comp"), 2).alias("bill_estimate_10ccf"), F.col("best.bill_10ccf").alias("bill_10ccf"), F.col("best.bill_6ccf").alias("bill_6ccf"), F.col("best.bill_12ccf").alias("bill_12ccf"),
         F.col("best.vintage_date").alias("vintage_date"), "n_sources", F.col("anchor.source").alias("anchor_source"), F.col("anchor.comp").alias("anchor_bill"), confidence.alias("confidence"), notes.alias("selection_notes"),
         F.col("best.confidence").alias("parse_confidence"), *[F.col(f"best.{c}").alias(c) for c in passed],
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tariff
+from ..functions.numbers import exact_round
 from ..operators import reconcile, tables
 from ..sources.readers import table
 from . import api, documents, entities, files, rates, reports, spatial, tariffs, texts
@@ -16,7 +17,7 @@ def tiered_bill(spark, d):
     """MATH-2 on fixed tiers, written out as plain arithmetic: generated code, no fold."""
     gal = F.col("l_quantity") * tariff.CCF_GALLONS
     part = lambda low, high, rate: F.greatest((F.least(gal, F.lit(high)) if high else gal) - low, F.lit(0.0)) * rate / 1000
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(20.5 + part(0.0, 5000.0, 3.0) + part(5000.0, 20000.0, 5.5) + part(20000.0, None, 7.25), 2).alias("bill"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", exact_round(20.5 + part(0.0, 5000.0, 3.0) + part(5000.0, 20000.0, 5.5) + part(20000.0, None, 7.25), 2).alias("bill"))
 
 
 def agreement(spark, d):
@@ -92,5 +93,6 @@ ORACLE = {
     "freshness": """select case when a <= 365 then 'fresh' when a <= 1460 then 'aging' else 'stale' end bucket, count(*) n from (select date_diff('day', o_orderdate::date, date '1998-12-31') a from orders) group by 1""",
     "props_extract": "select event_type, sum(json_extract_string(props, '$.k')::bigint)::bigint k_sum, count(*) n from events group by 1",
 }
+ORACLE["tiered_bill"] = tariffs.exact_sql(ORACLE["tiered_bill"])
 for _m in MODULES:
     ORACLE = _m.ORACLE | ORACLE

@@ -195,3 +195,24 @@ ORACLE = {
         case when o is not null and bad then o || '; TRIAGE ' || k when bad then 'TRIAGE ' || k else o end notes, f + case when starts_with(coalesce(o, ''), 'n2') then 0 else 5 end charged,
         case when k * 10 <= 500 then k * 10 when k * 10 / 100.0 > 10 and k * 10 / 100.0 < 500 then k * 10 / 100.0 end::double repaired, round(case when fixed > 0 then (k - fixed) / fixed * 100 end, 1) change from o""",
 }
+
+
+def exact_sql(sql: str) -> str:
+    """SQL with round(x, digits) as printing the exact binary value rounds."""
+    out, at = "", 0
+    while (k := sql.find("round(", at)) >= 0:
+        depth, j, comma = 1, k + 6, -1
+        while depth:
+            c = sql[j]
+            depth += (c in "([{") - (c in ")]}")
+            comma = j if c == "," and depth == 1 else comma
+            j += 1
+        if comma < 0 or not sql[comma + 1 : j - 1].strip().isdigit():
+            out, at = out + sql[at : k + 6], k + 6
+            continue
+        out += sql[at:k] + f"format('{{:.{sql[comma + 1 : j - 1].strip()}f}}', ({exact_sql(sql[k + 6 : comma])})::double)::double"
+        at = j
+    return out + sql[at:]
+
+
+ORACLE = {k: exact_sql(v) for k, v in ORACLE.items()}
