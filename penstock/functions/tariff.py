@@ -339,3 +339,9 @@ def percent_change(old: Column, new: Column) -> Column:
 def decimal_repair(value: Column, most: float = 500.0, least: float = 10.0) -> Column:
     """A value above ``most`` divided by 100 if that is plausible, else null."""
     return F.when(value <= most, value).when((value / 100 > least) & (value / 100 < most), value / 100).when(value.isNull(), value)
+
+
+def curve_of_columns(bills: dict[int, Column]) -> Column:
+    """A bill curve (array<struct<gal,bill>>) of wide columns by their gallons, up to the first that is no number."""
+    points = F.array(*[F.struct(F.lit(gal).cast("long").alias("gal"), bill.try_cast("double").alias("bill")) for gal, bill in sorted(bills.items())])
+    return let(points, lambda p: F.slice(p, F.lit(1), F.coalesce(F.nullif(F.array_position(F.transform(p, lambda x: x["bill"].isNull()), True), F.lit(0)) - 1, F.size(p).cast("long")).cast("int")))

@@ -143,3 +143,45 @@ def violation_rollup(df: DataFrame, *, key: str = "key", as_of_year: int, years:
 def joined(left: DataFrame, right: DataFrame, on: str, *, only_matched: bool) -> DataFrame:
     """``left`` with the rows of ``right``: an inner join if only matched rows are asked for, else a left one."""
     return left.join(right, on, "inner" if only_matched else "left")
+
+
+#: Share of a state's keys with rates below which it is a gap, in percent; days between searches; people from which a system is searched for; retries of one queue.
+GAP_PERCENT, SEARCH_DAYS, SEARCHED_FROM, RETRIES = 20, 30, 3000, 20
+
+
+def coverage_gaps(coverage: DataFrame, as_of: Column, *, state: str | None = None) -> DataFrame:
+    """Keys worth a search, with priority and place: no rates, not attempted or with an address, a tier, not searched for SEARCH_DAYS, large or with an address, and in a gap state (any state if one is asked for) or with an address.
+
+    ``coverage``: pwsid, state_code, has_rate_data, scrape_status, priority_tier, search_attempted_at, population_served.
+    """
+    found = F.col("scrape_status") == "url_discovered"
+    gaps = coverage.groupBy(F.col("state_code").alias("__s")).agg((F.round(100 * F.count_if("has_rate_data") / F.count(F.lit(1)), 1) < GAP_PERCENT).alias("__gap"))
+    rows = coverage.filter(~F.col("has_rate_data") & F.col("scrape_status").isin("not_attempted", "url_discovered") & F.col("priority_tier").isNotNull())
+    rows = rows.filter(F.col("search_attempted_at").isNull() | (F.col("search_attempted_at") < as_of - F.make_interval(days=F.lit(SEARCH_DAYS)))).filter((F.col("population_served") > SEARCHED_FROM) | found)
+    if state is None:
+        rows = rows.join(gaps, F.col("state_code") == F.col("__s"), "left").filter(F.coalesce("__gap", F.lit(False)) | found).drop("__s", "__gap")
+    else:
+        rows = rows.filter(F.col("state_code") == state.upper())
+    return rows.select("pwsid", (F.col("priority_tier") * 10).alias("priority"), F.struct((~found).alias("a"), F.col("priority_tier").alias("b"), (-F.coalesce("population_served", F.lit(-1))).alias("c"), F.col("pwsid").alias("d")).alias("place"))
+
+
+def agent_queue(catalog: DataFrame, coverage: DataFrame, registry: DataFrame, as_of: Column, *, batch: int, days: int, changes: int, state: str | None = None) -> DataFrame:
+    """(task, priority, key) of the four queues: sources that are due, gaps (``batch``), failures that may be retried (RETRIES), addresses not fetched for ``days`` (``changes``).
+
+    ``catalog``: source_key, next_check_date; ``registry``: id, status, retry_after, retry_count, last_fetch_at. The first
+    queue goes before the gaps of tier 0, each queue is in its own order; equal places go by id.
+    """
+    task = lambda df, name, priority, key: df.select(F.lit(name).alias("task"), priority.cast("int").alias("priority"), F.col(key).cast("string").alias("key"))
+    due = catalog.filter(F.col("next_check_date") <= as_of.cast("date"))
+    gaps = coverage_gaps(coverage, as_of, state=state).orderBy("place").limit(batch)
+    retries = registry.filter((F.col("status") == "pending_retry") & (F.col("retry_after") <= as_of)).orderBy("retry_count", "id").limit(RETRIES)
+    stale = registry.filter((F.col("status") == "active") & (F.col("last_fetch_at") < as_of - F.make_interval(days=F.lit(days)))).orderBy("last_fetch_at", "id").limit(changes)
+    return task(due, "check_bulk_source", F.lit(0), "source_key").unionByName(task(gaps, "discover_and_scrape", F.col("priority"), "pwsid")).unionByName(task(retries, "retry_scrape", F.lit(30), "id")).unionByName(task(stale, "change_detection", F.lit(50), "id"))
+
+
+def best_texts(candidates: DataFrame, wrong: list[str]) -> DataFrame:
+    """One of ``candidates`` (id, pwsid, url, last_parse_result, content_len) a key: none of another entity's (``wrong``: parts of URLs), the never parsed ones first, then the longest, then by id."""
+    rows = candidates
+    for part in wrong:
+        rows = rows.filter(~F.lower("url").contains(part))
+    return best_by(rows, ["pwsid"], [F.col("last_parse_result").isNotNull(), -F.coalesce("content_len", F.lit(0)), F.col("id")])

@@ -114,3 +114,18 @@ def error_classes(pairs: DataFrame) -> DataFrame:
         count(valid & F.col("structure").isin("flat", "uniform") & (F.col("b20") / F.greatest(F.col("b5"), F.lit(1.0)) > 2.5) & F.col("b5").isNotNull()).alias("steep"),
         count(valid & (a > 200)).alias("large"), count(valid & (a > 200) & (F.abs(diff) < 25)).alias("large_agreed"), count(valid & (a > 200) & (F.abs(diff) >= 50)).alias("large_apart"),
     )
+
+
+#: Least pairs of a group, and the median and shares from which its differences are systematic.
+BIAS_PAIRS, BIAS_MEDIAN, BIAS_SHARES = 5, 20, (30, 70)
+
+
+def group_bias(pairs: DataFrame, by: str) -> DataFrame:
+    """(by, n, median_diff, higher, systematic) of paired bills by group: whether the second side (b) differs from the first (a) in one direction.
+
+    Groups of under BIAS_PAIRS are left out, as are pairs without two positive bills.
+    """
+    diff = (F.col("b") - F.col("a")) / F.col("a") * 100
+    out = pairs.filter("a > 0 and b > 0").groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.percentile(diff, F.lit(0.5)).alias("median_diff"), (100 * F.count_if(diff > 0) / F.count(F.lit(1))).alias("__up")).filter(F.col("n") >= BIAS_PAIRS)
+    systematic = (F.abs("median_diff") > BIAS_MEDIAN) & ((F.col("__up") > BIAS_SHARES[1]) | (F.col("__up") < BIAS_SHARES[0]))
+    return out.select(by, "n", "median_diff", F.when(F.col("median_diff") > 0, "b").otherwise("a").alias("higher"), systematic.alias("systematic"))

@@ -142,6 +142,14 @@ def record_checks(spark, d):
     return s.select("id", F.array_join("flags", "; ").alias("flags"), F.array_join(issues, "; ").alias("issues"), Q.identical_bills(F.col("bill_10ccf"), F.col("bill_10ccf"), F.col("bill_20ccf"), F.col("structure")).alias("identical"), Q.grade(F.col("bill_10ccf"), n).alias("grade"), shown["stale"].alias("stale"), shown["high_variance"].alias("high_variance"))
 
 
+def bias_by_group(spark, d):
+    """QC-5: groups in which scraped bills differ from a survey's in one direction."""
+    r = _scored(spark, d).filter("bill is not null")
+    side = lambda c, n: r.filter(c).groupBy("pwsid").agg(F.min_by("bill", "id").alias(n))
+    pairs = side("source like 'efc_%'", "a").join(side("source = 'scraped_llm'", "b"), "pwsid")
+    return R.group_bias(pairs.withColumn("grp", F.substring("pwsid", 8, 2)), "grp")
+
+
 def issue_audit(spark, d):
     """QC-5: issues by state: missing and identical bills, outliers by the deviation from the state's mean, stale vintages."""
     r = _rates(spark, d)
@@ -162,7 +170,7 @@ def complete_rows(spark, d):
 #: Guessed addresses: a user's, with the place that they lead to.
 GUESSES = """select event_id id, user_id pwsid, case when event_id % 9 = 0 then '' else 'https://www.' || g || '/' || cast(event_id % 3 as {text}) end guessed_url, case event_id % 4 when 0 then null when 1 then 'https://' || g || '/rates' when 2 then 'https://www.parked.com/x' else 'https://utility.clearlake.ca.gov/w' end final_url,
   g dom, case when event_id % 50 = 7 then 'name_water' when event_id % 3 = 0 then 'gov' end confidence_tier, cast(event_id % 13 as int) confidence_score from (select *, case event_id % 5 when 0 then 'clearlake.gov' when 1 then 'clearlake.com' when 2 then 'oz.org' when 3 then 'parked.org' else 'lake.us' end g from {events}) t"""
-QUERIES = {f.__name__: f for f in (best_estimate, older_estimate, guessed_urls, anchored_estimate, source_tiers, coverage, variance, cause_counts, combined_suspects, overlap_by_state, year_gaps, runs_compared, source_parity, disagreements, record_checks, issue_audit, complete_rows)}
+QUERIES = {f.__name__: f for f in (best_estimate, older_estimate, guessed_urls, anchored_estimate, source_tiers, coverage, variance, cause_counts, combined_suspects, overlap_by_state, year_gaps, runs_compared, source_parity, disagreements, record_checks, bias_by_group, issue_audit, complete_rows)}
 
 _R = "with r as (" + RATES.format(text="varchar", orders="orders") + ")"
 _B = "case when bill_10ccf > 0 then bill_10ccf when bill_9ccf > 0 and bill_12ccf > 0 then round(bill_9ccf + (bill_12ccf - bill_9ccf) / 3, 2) when bill_12ccf > 0 then bill_12ccf end"
@@ -224,6 +232,9 @@ ORACLE = {
         case when fixed * 3 > 500 then 'fixed_charge_high:' || (fixed * 3)::varchar end, case when confidence is null or confidence = 'failed' then 'confidence_failed' end) issues,
         coalesce(abs(bill_10ccf - bill_20ccf) < 0.01 and structure <> 'flat', false) "identical", case when bill_10ccf between 10 and 200 and id % 4 >= 2 then 'high' when bill_10ccf between 5 and 500 then 'medium' else 'low' end grade,
         coalesce(year(vintage) <= 1997, false) stale, coalesce(bill_12ccf - bill_9ccf > 20, false) high_variance from f""",
+    "bias_by_group": _S + """, a as (select pwsid, arg_min(bill, id) a from s where source like 'efc!_%' escape '!' and bill is not null group by 1), b as (select pwsid, arg_min(bill, id) b from s where source = 'scraped_llm' and bill is not null group by 1),
+        p as (select substring(pwsid, 8, 2) grp, (b - a) / a * 100 d from a join b using (pwsid)), g as (select grp, count(*) n, median(d) median_diff, 100.0 * count(*) filter (d > 0) / count(*) up from p group by 1 having count(*) >= 5)
+        select grp, n, median_diff, case when median_diff > 0 then 'b' else 'a' end higher, abs(median_diff) > 20 and (up > 70 or up < 30) systematic from g""",
     "issue_audit": _R + """, m as (select state_code, avg(bill_10ccf) m, stddev_samp(bill_10ccf) s from r group by 1) select state_code, count(*) filter (bill_10ccf is null) missing, count(*) filter (bill_10ccf = bill_20ccf and structure in ('uniform', 'increasing_block')) "identical", count(*) filter (abs(bill_10ccf - m) > 1.5 * s) outliers, count(*) filter (year(vintage_date) < 1997) stale from r join m using (state_code) group by 1""",
     "complete_rows": _R + """, b as (select pwsid, id from r qualify row_number() over (partition by pwsid order by (bill_10ccf is not null)::int + (bill_9ccf is not null)::int + (bill_12ccf is not null)::int desc, vintage_date desc nulls last, id) = 1),
         k as (select pwsid, case when bool_or(structure = 'increasing_block') then 'increasing_block' when bool_or(structure = 'uniform') then 'uniform' when bool_or(structure = 'flat') then 'flat' end category, case when bool_or(id % 6 = 5) then 0.625::double else min(id % 6) / 8 end meter_size from r group by 1)

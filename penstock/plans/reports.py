@@ -81,7 +81,7 @@ def contaminated_urls(spark, d):
 
 
 def work_queue(spark, d):
-    """SEL-11, SORT-2, FLT-13, JOIN-4: four queues with their own limits, by priority."""
+    """SORT-2, FLT-13, JOIN-4: four queues with their own limits, by priority."""
     r = _registry(spark, d)
     row = lambda df, kind, priority: df.select(F.lit(kind).alias("task"), F.lit(priority).alias("priority"), "id", "pwsid")
     checks = r.filter("status = 'dead' and coalesce(last_parse_result, 'unknown') not in ('failed', 'success')").orderBy("id")
@@ -91,6 +91,27 @@ def work_queue(spark, d):
     return Q.task_queue([(row(checks, "check", 0), 10), (row(gaps, "discover", 10), 50), (row(retries, "retry", 30), 20), (row(changes, "change", 50), 30)])
 
 
+#: Coverage of customers for the agents' queue.
+COVERAGE = """select c_custkey pwsid, c_nationkey state_code, c_custkey % 3 = 0 or c_nationkey % 2 = 0 has_rate_data, case c_custkey % 4 when 0 then 'url_discovered' when 1 then 'succeeded' else 'not_attempted' end scrape_status, case when c_custkey % 7 > 0 then cast(c_custkey % 5 as int) end priority_tier,
+  case when c_custkey % 6 > 0 then cast('1998-06-01' as timestamp) - {days} end search_attempted_at, case when c_custkey % 11 > 0 then cast(floor(c_acctbal) as int) end population_served from {customer}"""
+
+
+def agent_queue(spark, d):
+    """SEL-11: what is to be done next: due sources, gaps, retries, addresses to be looked at again."""
+    as_of = F.lit(AS_OF).cast("timestamp")
+    catalog = table(spark, d, "nation").select(F.col("n_name").alias("source_key"), F.date_add(F.lit(AS_OF).cast("date"), (F.col("n_nationkey") - 12).cast("int")).alias("next_check_date"))
+    coverage = spark.sql(COVERAGE.replace("{days}", "make_interval(0, 0, 0, cast(c_custkey % 60 as int))"), customer=table(spark, d, "customer"))
+    r = _registry(spark, d)
+    r = r.withColumn("retry_after", F.when(F.col("id") % 2 == 0, as_of - F.make_interval(days=(F.col("id") % 5).cast("int"))).otherwise(as_of + F.make_interval(days=F.lit(1)))).withColumn("status", F.when(F.col("id") % 6 == 2, "pending_retry").otherwise(F.col("status"))).withColumn("last_fetch_at", as_of - F.make_interval(days=(F.col("id") % 200).cast("int")))
+    return Q.agent_queue(catalog, coverage, r, as_of, batch=60, days=90, changes=40)
+
+
+def best_texts(spark, d):
+    """SEL-19: the best text of a key that is its own, never parsed ones first."""
+    r = _registry(spark, d).withColumn("content_len", F.when(F.col("id") % 9 > 0, F.col("text_length")))
+    return Q.best_texts(r.select("id", "pwsid", "url", "last_parse_result", "content_len"), ["facebook.com", "/agenda/"])
+
+
 def ranked_candidates(spark, d):
     """SEL-12, SORT-3: the best candidate of a key by score."""
     r = _registry(spark, d)
@@ -211,7 +232,7 @@ def retry_states(spark, d):
     return r.select("id", status.alias("status"), after.alias("retry_after"))
 
 
-QUERIES = {f.__name__: f for f in (rank_success, status_report, violations, gap_modes, status_crosstab, amount_pivot, state_coverage, latest_steps, contaminated_urls, work_queue, ranked_candidates, discovery_funnel, gap_triage, parse_queue, retry_targets, labelled_union, year_chain, latest_with_flags, flagged_join, one_row_report, either_place, filtered_list, sharded_rows, retry_states)}
+QUERIES = {f.__name__: f for f in (rank_success, status_report, violations, gap_modes, status_crosstab, amount_pivot, state_coverage, latest_steps, contaminated_urls, work_queue, agent_queue, best_texts, ranked_candidates, discovery_funnel, gap_triage, parse_queue, retry_targets, labelled_union, year_chain, latest_with_flags, flagged_join, one_row_report, either_place, filtered_list, sharded_rows, retry_states)}
 
 _R = "with r as (" + REGISTRY.format(text="varchar", events="events") + ")"
 _ROLL = "count(*) n, count(*) filter (has) n_covered, sum(p) pop, coalesce(sum(p) filter (has), 0) pop_covered, round(100 * count(*) filter (has) / count(*)::double, 1) pct, round(100 * coalesce(sum(p) filter (has), 0) / sum(p)::double, 1) pop_pct"
@@ -234,6 +255,15 @@ ORACLE = {
         b as (select 'discover', 10, id, pwsid from r where status = 'pending' and pwsid in (select c_custkey from customer where c_acctbal > 5000) order by (retry_count > 0)::int, pwsid, id limit 50),
         c as (select 'retry', 30, id, pwsid from r where last_http_status >= 500 order by retry_count, id limit 20), e as (select 'change', 50, id, pwsid from r where status = 'active' order by last_fetch_at, id limit 30)
         select * from a union all select * from b union all select * from c union all select * from e""",
+    "agent_queue": "with v as (" + COVERAGE.format(days="interval (c_custkey % 60) day", customer="customer") + "), r as (" + REGISTRY.format(text="varchar", events="events") + """), q as (select id, case when id % 6 = 2 then 'pending_retry' else status end status, case when id % 2 = 0 then timestamp '1998-06-01' - interval (id % 5) day else timestamp '1998-06-02' end retry_after, retry_count, timestamp '1998-06-01' - interval (id % 200) day last_fetch_at from r),
+        gs as (select state_code from v group by 1 having round(100.0 * count(*) filter (has_rate_data) / count(*), 1) < 20),
+        a as (select 'check_bulk_source' task, 0 priority, n_name \"key\" from nation where n_nationkey <= 12),
+        b as (select 'discover_and_scrape', priority_tier * 10, pwsid::varchar from v where not has_rate_data and scrape_status in ('not_attempted', 'url_discovered') and priority_tier is not null and (search_attempted_at is null or search_attempted_at < timestamp '1998-06-01' - interval 30 day)
+          and (population_served > 3000 or scrape_status = 'url_discovered') and (state_code in (from gs) or scrape_status = 'url_discovered') order by scrape_status <> 'url_discovered', priority_tier, population_served desc nulls last, pwsid limit 60),
+        c as (select 'retry_scrape', 30, id::varchar from q where status = 'pending_retry' and retry_after <= timestamp '1998-06-01' order by retry_count, id limit 20), e as (select 'change_detection', 50, id::varchar from q where status = 'active' and last_fetch_at < timestamp '1998-06-01' - interval 90 day order by last_fetch_at, id limit 40)
+        select * from a union all select * from b union all select * from c union all select * from e""".replace('\\"', '"'),
+    "best_texts": _R + """ select pwsid, id, url, last_parse_result, case when id % 9 > 0 then text_length end content_len from r where lower(url) not like '%facebook.com%' and lower(url) not like '%/agenda/%'
+        qualify row_number() over (partition by pwsid order by last_parse_result is not null, coalesce(case when id % 9 > 0 then text_length end, 0) desc, id) = 1""",
     "ranked_candidates": _R + " select pwsid, id, text_length / 100::double score, row_number() over (partition by pwsid order by text_length desc, last_parse_result is not null, id)::int \"rank\" from r where text_length >= 3000 qualify \"rank\" <= 1",
     "discovery_funnel": _R + """, u as (select pwsid, url, max(text_length) / 100::double score from r group by 1, 2), k as (select *, case when score > 30 then 'kept' when score >= 15 then 'near_miss' else 'below' end "class" from u)
         select *, row_number() over (partition by pwsid order by score desc, url)::int "rank" from k where "class" = 'kept' qualify "rank" <= 5 union all select *, null from k where "class" <> 'kept'""",

@@ -126,7 +126,14 @@ def repairs(spark, d):
     return w.select("k", F.size(fixed["volumetric_tiers"]).alias("n_tiers"), fixed["bill_12ccf"].alias("bill_12ccf"), fixed["bill_24ccf"].alias("bill_24ccf"), fixed["confidence"].alias("confidence"), F.nullif(F.concat_ws("; ", old, note), F.lit("")).alias("notes"), T.fixed_monthly(more).alias("charged"), T.decimal_repair(F.col("b12") * 10).alias("repaired"), F.round(T.percent_change(F.col("fixed"), F.col("b12")), 1).alias("change"))
 
 
-QUERIES = {f.__name__: f for f in (wide_tiers, schedule_bills, limit_bills, tier_shapes, period_bills, curve_bills, curve_tiers, two_point_bills, line_tiers, parsed_tiers, cubic_tiers, repairs)}
+def wide_curves(spark, d):
+    """SRC-14: bill curves of wide columns, up to the first that is empty."""
+    c = table(spark, d, "customer").select("c_custkey", *[F.when(F.col("c_custkey") % 11 != k, F.concat(F.col("c_custkey") % 9 + k * 3, F.lit(".5"))).otherwise("NA").alias(f"total_bill_{k * 500}") for k in range(8)])
+    curve = T.curve_of_columns({k * 500: F.col(f"total_bill_{k * 500}") for k in range(8)})
+    return c.select("c_custkey", F.size(curve).alias("n"), F.aggregate(curve, F.lit(0.0), lambda s, x: s + x["bill"]).alias("total"), F.try_element_at(curve, F.lit(-1))["gal"].alias("last"))
+
+
+QUERIES = {f.__name__: f for f in (wide_tiers, schedule_bills, limit_bills, tier_shapes, period_bills, curve_bills, curve_tiers, two_point_bills, line_tiers, parsed_tiers, cubic_tiers, repairs, wide_curves)}
 
 _W = f"with w as ({WIDE.format(part='part')}), "
 #: Gallon bounds and rates per 1000 gallons of the schedules, written out.
@@ -215,4 +222,5 @@ def exact_sql(sql: str) -> str:
     return out + sql[at:]
 
 
+ORACLE["wide_curves"] = "with n as (select c_custkey, (case when c_custkey % 11 < 8 then c_custkey % 11 else 8 end)::int n from customer) select c_custkey, n, coalesce(list_sum([c_custkey % 9 + k * 3 + 0.5 for k in range(n)]), 0)::double total, case when n > 0 then (n - 1) * 500 end::bigint \"last\" from n"
 ORACLE = {k: exact_sql(v) for k, v in ORACLE.items()}
