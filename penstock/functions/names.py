@@ -12,8 +12,11 @@ COMMISSION_REMOVALS = [
 ]
 #: Patterns and what owners' names get in their place, in order.
 OWNER_REPLACEMENTS = [(r"\bCO\.?\b", "COMPANY"), (r"\bCORP\.?\b", "CORPORATION"), (r"\bWTR\b", "WATER"), (r"\bSVC\b", "SERVICE"), (r"\bUTIL(?:S)?\b", "UTILITIES"), (r"\bINC\.?\b", ""), (r"\bLLC\b", ""), (r"\bLTD\b", ""), (r"\s+", " ")]
-#: Names of companies and of institutions, which are no municipality.
-PRIVATE = r"(?i)\bVEOLIA\b|\bAQUA\s+(AMERICA|UTILITIES|NY|PA|NJ|OH|IL|TX)\b|\bLIBERTY\s+UTILITIES\b|\bSUEZ\b|\bAMERICAN WATER\b|\bCAL[- ]AM\b|\bCONNECTICUT WATER\b|\bSJW\b|\bESSENTIAL UTILITIES\b|\bUTILITY,?\s+INC\b|\bCORP(ORATION)?\b|,?\s+INC\.?\s*$|,?\s+LLC\.?\s*$"
+#: Patterns of companies' names and names of institutions, which are no municipality.
+PRIVATE = [
+    r"\bVEOLIA\b", r"\bAQUA\s+(AMERICA|UTILITIES|NY|PA|NJ|OH|IL|TX)\b", r"\bLIBERTY\s+UTILITIES\b", r"\bSUEZ\b", r"\bAMERICAN WATER\b", r"\bCAL[- ]AM\b", r"\bCONNECTICUT WATER\b", r"\bSJW\b", r"\bESSENTIAL UTILITIES\b", r"\bUTILITY,?\s+INC\b",
+    r"\bCORP(ORATION)?\b", r",?\s+INC\.?\s*$", r",?\s+LLC\.?\s*$",
+]
 INSTITUTIONS = ["UNIVERSITY", "COLLEGE", "NATIONAL LABORATORY", "NATIONAL LAB", "CORRECTIONAL", "PRISON", "MILITARY", "AIR FORCE", "NAVAL", "U.S.M.A.", "USMA", "FORT DRUM", "WEST POINT", "CAMP ", "BASE ", "CSU MAIN", "CSU CAMPUS", "YMCA ", "HOUSING CAMPUS"]
 #: Endings of a system's name, the first that fits goes.
 SUFFIXES = [
@@ -21,6 +24,7 @@ SUFFIXES = [
     "WATER SERVICE", "WATER DIST", "CONSOLIDATED WATER DISTRICT", "CONSOLIDATED WD", "CONSOLIDATEDWD", "CONSOLD. WATER DIST.", "CONSOLIDATED W.D.", "CONSOLIDATED W.D", "CONS. W.D.", "CONS. WD", "CONS WD", "CONS. WATER DIST.", "UTILITY DISTRICT", "PUBLIC WATER SUPPLY",
     "CITY WATER WORKS", "CITY PWS", "CITY WATER", "TOWN CONS. WD", "TOWN WD", "PWS", "WSD", "CSA", "WD", "W.D.", "W.D", "CWS", "WSA", "WWWA", "WWSA", "MD NO", "MD",
 ]
+#: Beginnings of a system's name that go.
 PREFIXES = ["CITY OF", "TOWN OF", "VILLAGE OF", "BOROUGH OF", "HAMLET OF"]
 
 
@@ -184,7 +188,7 @@ def municipality(name: Column) -> Column:
         return F.array_join(F.transform(F.regexp_extract_all(s, F.lit("[A-Z]+|[^A-Z]+"), F.lit(0)), lambda w: F.initcap(w)), "")
 
     def place(upper: Column) -> Column:
-        gone = upper.rlike(PRIVATE)
+        gone = upper.rlike("(?i)" + "|".join(PRIVATE))
         for marker in INSTITUTIONS:
             gone = gone | upper.contains(marker)
         found = let(numbers(upper), lambda a: let(ending(a), lambda b: let(kind(b), lambda c: let(words(c), lambda d: F.when(d.endswith(" COUNTY"), capitals(d)).otherwise(let(spelt(d), lambda e: F.when(F.length(e) >= 2, place_title(e))))))))

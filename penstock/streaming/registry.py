@@ -24,13 +24,14 @@ def rolling_counts(events: DataFrame, *, span: str = "7 days", step: str = "1 da
 
 
 def changed(pages: DataFrame, *, late: str = "30 days") -> DataFrame:
-    """The first row of each (url, content hash) within the watermark: pages whose content is new."""
+    """The first row of each (url, content hash) within the watermark: contents that were not there before. state.content_changes also gives returns to an earlier content."""
     return pages.withColumn("hash", F.sha2("content", 256)).withWatermark("ts", late).dropDuplicatesWithinWatermark(["url", "hash"])
 
 
 def keep_registry(attempts: DataFrame, path: str) -> DataStreamWriter:
     """A writer that keeps a registry table (url, status, retry_after, retry_count) by upserts of each batch of fetch attempts.
 
+    A small registry as a plain table; state.registry_states keeps one of any size in the state store, with timers.
     ``attempts``: url, http, retry_count, at. Versions of the table alternate between two folders named by the
     batch's parity, so a batch that is run again reads what it read before and writes the same.
     """
