@@ -103,3 +103,20 @@ def test_centroid_of_no_area(spark):
     flat = [[[{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 1.0}, {"x": 0.0, "y": 0.0}]]]
     got = spark.createDataFrame([(flat,), ([],)], "g array<array<array<struct<x:double,y:double>>>>").select(geo.centroid(F.col("g")).alias("c")).collect()
     assert [tuple(r["c"]) for r in got] == [(None, None)] * 2
+
+
+def test_copies_of_places_and_shapes_are_measured_once(spark, monkeypatch):
+    # lists of three rows; the distance is rounded between two places, then both places' rows are put in
+    monkeypatch.setattr(geo, "LISTED", 3)
+    a = [(k, 0.1 * (k % 2), 0.0) for k in range(20)] + [(90, None, 0.0)]
+    b = [(k, 0.1 * (k % 3), 0.0) for k in range(30)] + [(91, 0.0, None)]
+    got = geo.within_km(spark.createDataFrame(a, "id int, lng double, lat double"), spark.createDataFrame(b, "oid int, blng double, blat double"), 12.0, spheroid=True, measure=lambda km: F.round(km, 1))
+    assert got.columns == ["id", "lng", "lat", "oid", "blng", "blat", "distance_km"]
+    want = [(x[0], y[0], 11.1 * abs(x[0] % 2 - y[0] % 3)) for x in a[:-1] for y in b[:-1] if abs(x[0] % 2 - y[0] % 3) < 2]
+    assert sorted((r.id, r.oid, r.distance_km) for r in got.collect()) == sorted(want)
+    # 9 million pairs of 30,000 points and 300 copies of one shape
+    square = [[[{"x": 0.25, "y": 0.25}, {"x": 0.75, "y": 0.25}, {"x": 0.75, "y": 0.75}, {"x": 0.25, "y": 0.75}, {"x": 0.25, "y": 0.25}]]]
+    shapes = spark.createDataFrame([(square,)], "geom array<array<array<struct<x:double,y:double>>>>").crossJoin(spark.range(300).withColumnRenamed("id", "sid"))
+    points = spark.range(30_000).select("id", F.lit(0.5).alias("lng"), F.lit(0.5).alias("lat"))
+    met = geo.containing(points, shapes)
+    assert met.select("id", "sid").count() == 9_000_000
