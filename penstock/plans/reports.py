@@ -113,9 +113,9 @@ def best_texts(spark, d):
 
 
 def ranked_candidates(spark, d):
-    """SEL-12, SORT-3: the best candidate of a key by score."""
+    """SEL-12, SORT-3: all candidates of a key, ranked by score."""
     r = _registry(spark, d)
-    return Q.best_candidates(r, "pwsid", F.col("text_length") / 100, least=30, strategy="cascade", then=[F.col("last_parse_result").isNotNull(), F.col("id")]).select("pwsid", "id", "score", "rank")
+    return Q.best_candidates(r, "pwsid", F.col("text_length") / 100, least=30, strategy="shotgun", then=[F.col("last_parse_result").isNotNull(), F.col("id")]).select("pwsid", "id", "score", "rank")
 
 
 def discovery_funnel(spark, d):
@@ -264,7 +264,7 @@ ORACLE = {
         select * from a union all select * from b union all select * from c union all select * from e""".replace('\\"', '"'),
     "best_texts": _R + """ select pwsid, id, url, last_parse_result, case when id % 9 > 0 then text_length end content_len from r where lower(url) not like '%facebook.com%' and lower(url) not like '%/agenda/%'
         qualify row_number() over (partition by pwsid order by last_parse_result is not null, coalesce(case when id % 9 > 0 then text_length end, 0) desc, id) = 1""",
-    "ranked_candidates": _R + " select pwsid, id, text_length / 100::double score, row_number() over (partition by pwsid order by text_length desc, last_parse_result is not null, id)::int \"rank\" from r where text_length >= 3000 qualify \"rank\" <= 1",
+    "ranked_candidates": _R + " select pwsid, id, text_length / 100::double score, row_number() over (partition by pwsid order by text_length desc, last_parse_result is not null, id)::int \"rank\" from r where text_length >= 3000",
     "discovery_funnel": _R + """, u as (select pwsid, url, max(text_length) / 100::double score from r group by 1, 2), k as (select *, case when score > 30 then 'kept' when score >= 15 then 'near_miss' else 'below' end "class" from u)
         select *, row_number() over (partition by pwsid order by score desc, url)::int "rank" from k where "class" = 'kept' qualify "rank" <= 5 union all select *, null from k where "class" <> 'kept'""",
     "gap_triage": _R + """, g as (select c_custkey pwsid, case when c_nationkey % 2 = 0 then 'NY' else 'CO' end state from customer where c_acctbal > 0), q as (select pwsid, id, case when pwsid % 5 = 0 then 'https://www.ny.gov/' || id else url end url, case when pwsid % 10 = 0 then 'failed' else last_parse_result end res, text_length n from r where text_length >= 200 and status <> 'dead'),

@@ -138,3 +138,12 @@ def test_names_with_a_word_in_common_stay_apart(spark):
     size = lambda s: sum(map(len, s))
     want = {(x, y) for x in a for y in b if size(set(x.split()) & set(y.split())) * 2 >= size(set(x.split()) | set(y.split())) and any(len(w) > 3 for w in set(x.split()) & set(y.split()))}
     assert got == want and len(want) > 150
+
+
+def test_all_candidates_of_a_key_are_ranked(spark, tmp_path):
+    from penstock.plans import reports
+
+    at = "timestamp'2024-01-01'"
+    spark.sql(f"select id event_id, {at} ts, 7L user_id, 'click' event_type, 29.0D + id value, '' props from range(8)").write.parquet(f"{tmp_path}/events.parquet")
+    got = reports.ranked_candidates(spark, str(tmp_path)).orderBy("rank").collect()
+    assert [(r.rank, r.id, r.score) for r in got] == [(k, 8 - k, 37.0 - k) for k in range(1, 8)]
