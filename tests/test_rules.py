@@ -147,3 +147,11 @@ def test_all_candidates_of_a_key_are_ranked(spark, tmp_path):
     spark.sql(f"select id event_id, {at} ts, 7L user_id, 'click' event_type, 29.0D + id value, '' props from range(8)").write.parquet(f"{tmp_path}/events.parquet")
     got = reports.ranked_candidates(spark, str(tmp_path)).orderBy("rank").collect()
     assert [(r.rank, r.id, r.score) for r in got] == [(k, 8 - k, 37.0 - k) for k in range(1, 8)]
+
+
+def test_list_has_every_status_and_price_unless_asked(spark, tmp_path):
+    from penstock.plans import reports
+
+    spark.sql("select id o_orderkey, 10.0D * id o_totalprice, if(id % 2 = 0, 'O', 'F') o_orderstatus, '1-URGENT' o_orderpriority from range(1, 7)").write.parquet(f"{tmp_path}/orders.parquet")
+    of = lambda **by: [r.o_orderkey for r in reports.filtered_list(spark, str(tmp_path), **by).collect()]
+    assert of() == [6, 5, 4, 3, 2, 1] and of(segment="O", least=40.0) == [6, 4]
