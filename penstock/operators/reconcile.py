@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import product_round
+
 
 def bucket_right(value: Column, edges: list[float], labels: list[str]) -> Column:
     """Classes (edge, next edge]; the last is open. A value at or below the first edge is in none."""
@@ -45,8 +47,8 @@ def variance(df: DataFrame, *, key: str = "pwsid", threshold: float = 25.0) -> D
     causes = F.concat_ws("; ", *found)
     causes = F.when(causes != "", causes).when(F.col("cv") > threshold, "unexplained").otherwise("within_tolerance")
     return out.select(
-        key, F.size("names").alias("n_sources"), F.array_join("names", ", ").alias("sources"), "n_records", F.round("mean", 2).alias("mean_bill"), F.round("low", 2).alias("min_bill"), F.round("high", 2).alias("max_bill"), F.round(F.col("high") - F.col("low"), 2).alias("spread"),
-        F.round("cv", 1).alias("cv_pct"), "has_quality_flags", causes.alias("divergence_causes"),
+        key, F.size("names").alias("n_sources"), F.array_join("names", ", ").alias("sources"), "n_records", product_round(F.col("mean"), 2).alias("mean_bill"), product_round(F.col("low"), 2).alias("min_bill"), product_round(F.col("high"), 2).alias("max_bill"), product_round(F.col("high") - F.col("low"), 2).alias("spread"),
+        product_round(F.col("cv"), 1).alias("cv_pct"), "has_quality_flags", causes.alias("divergence_causes"),
     ).withColumn("class", bucket_right(F.col("cv_pct"), CV_EDGES, CV_LABELS))
 
 

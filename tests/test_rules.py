@@ -155,3 +155,21 @@ def test_list_has_every_status_and_price_unless_asked(spark, tmp_path):
     spark.sql("select id o_orderkey, 10.0D * id o_totalprice, if(id % 2 = 0, 'O', 'F') o_orderstatus, '1-URGENT' o_orderpriority from range(1, 7)").write.parquet(f"{tmp_path}/orders.parquet")
     of = lambda **by: [r.o_orderkey for r in reports.filtered_list(spark, str(tmp_path), **by).collect()]
     assert of() == [6, 5, 4, 3, 2, 1] and of(segment="O", least=40.0) == [6, 4]
+
+
+def test_spread_that_rounds_to_nothing_agrees(spark, tmp_path):
+    import duckdb
+
+    from penstock.plans import queries
+
+    spark.sql("select k o_orderkey, 1L o_custkey, 100.0D o_totalprice, string(k) o_orderpriority, timestamp'1998-01-01' o_orderdate from range(2) t(k)").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view orders as from '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE["agreement"]).fetchall()
+    assert [tuple(r) for r in queries.agreement(spark, str(tmp_path)).collect()] == want == [(1, 2, 2, 100.0, 100.0, "<10% agree")]
+
+
+def test_means_are_rounded_by_their_product(spark):
+    rows = [("a", s, b, dt.date(2020, 1, 1), []) for s, b in (("x", 1.0), ("y", 1.01))]
+    got = reconcile.variance(spark.createDataFrame(rows, "pwsid string, source string, bill double, vintage date, flags array<string>")).first()
+    assert got.mean_bill == 1.0  # 1.005 times 100 is below 100.5
