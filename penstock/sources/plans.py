@@ -245,12 +245,12 @@ def reprojected(geom: Column, shift: Callable[[Column, Column], Column] = shifte
     return F.transform(geom, lambda p: F.transform(p, lambda r: F.transform(r, lambda q: shift(q["x"], q["y"]))))
 
 
-#: Rows of a sheet that one task hands on.
-SHEET_ROWS = 5000
+#: Least rows of a sheet that one task hands on, and most windows of a sheet.
+SHEET_ROWS, WINDOWS = 5000, 4
 
 
 def read_sheets(spark: SparkSession, path: str, *, sheets: list[str] | None = None, rows: int = SHEET_ROWS) -> DataFrame:
-    """(file, sheet, row, cells: column letters to text) of the sheets of .xlsx files, a window of ``rows`` rows a partition.
+    """(file, sheet, row, cells: column letters to text) of the sheets of .xlsx files, a window of ``rows`` rows or more a partition, WINDOWS of a sheet at most.
 
     The driver reads of each file the archive's directory, the names of the sheets and the extent that a sheet states at
     its head (without one a sheet is one partition). A task streams one sheet and hands on its window; the table of
@@ -288,7 +288,8 @@ def read_sheets(spark: SparkSession, path: str, *, sheets: list[str] | None = No
                         with book.open(target) as part:
                             head = part.read(4096).decode("utf-8", "replace")
                         last = head.partition("<dimension ref=\"")[2].partition('"')[0].rpartition(":")[2].lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-                        cuts = [*range(1, int(last) + 1, rows)] if last.isdigit() else [1]
+                        # a task streams what is before its window too: so few windows that a sheet is read a bounded number of times
+                        cuts = [*range(1, int(last) + 1, max(rows, -(-int(last) // WINDOWS)))] if last.isdigit() else [1]
                         # the last window is open: an extent may be stated too small
                         out += [Window(file, target, sheet.get("name"), a, b) for a, b in zip(cuts, [*cuts[1:], 1 << 40])]
             return out or [Window(None, None, None, 0, 0)]

@@ -128,6 +128,13 @@ def test_workbook_by_windows(spark, tmp_path):
     assert sorted(made) == ["0", "1", "2", "3"] and [x["row"] for x in made["1"]["rows"]] == list(range(5, 34, 4)) and made["2"]["head"]["row"] == 2
 
 
+def test_long_sheets_have_few_windows(spark, tmp_path):
+    data = [(1, [("A", 't="s"', 0)])] + [(i, [("A", "", i)]) for i in range(2, 402)]
+    workbook(f"{tmp_path}/w.xlsx", {"Rates": (401, data)})
+    df = P.read_sheets(spark, f"{tmp_path}/w.xlsx", rows=10)
+    assert df.rdd.getNumPartitions() == 4 and sorted(r["row"] for r in df.collect()) == list(range(1, 402))
+
+
 def test_sections_of_service_areas(spark):
     name, pad = "NJ AMERICAN WATER - SHORT HILLS", "Charges per thousand gallons.\n" * 100
     general, other, own = f"RATE SCHEDULE A-1\n{pad}", f"\n  Rate Schedule B-2  \nCoastal North\n{pad}", f"RATE SCHEDULE C-3\nShort Hills service\n{pad}as shown on Rate Schedule A-1 above\n"
