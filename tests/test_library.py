@@ -142,3 +142,10 @@ def test_sinks(spark, tmp_path):
     tables.append_run(df, f"{tmp_path}/runs", "load", "2024-01-01")
     tables.append_run(df, f"{tmp_path}/runs", "load", "2024-01-02")
     assert [r["n_rows"] for r in spark.read.parquet(f"{tmp_path}/runs").collect()] == [2, 2]
+
+
+def test_bills_are_dealt_over_all_cores(spark):
+    from penstock.plans import tariffs
+
+    df = tariffs.schedule_bills(spark, "/root/testdata/sf0.01")
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
