@@ -95,7 +95,8 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     near = near.filter(((F.col("s") == 0) & (F.col("i") == 0)) | ((F.col("s") != 0) & (F.col("i") < other)))
     near = near.select(F.col("half").alias("h2"), F.col("fp").alias("b"), _flip(_flip(F.col("point"), F.col("i")), other).alias("at"))
     close = (F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= threshold)
-    found = home.join(near, (F.col("half") == F.col("h2")) & (F.col("anchor") == F.col("at")) & close)
+    # sort-merge at every size: Spark takes the exploded replicas, 16 a half, for a table as small as fps and would broadcast them
+    found = home.join(near.hint("merge"), (F.col("half") == F.col("h2")) & (F.col("anchor") == F.col("at")) & close)
     return found.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b"))
 
 

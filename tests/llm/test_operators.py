@@ -223,6 +223,15 @@ def test_links_are_all_found(spark):
     assert {tuple(r) for r in simhash.links(spark.createDataFrame([(signed(x),) for x in made], "fp long")).collect()} == want
 
 
+def test_links_broadcast_no_replicas(spark, tmp_path):
+    # the estimate of the written table is far below Spark's default limit, its replicas are not
+    spark.range(50_000).selectExpr("xxhash64(id) as fp").write.parquet(f"{tmp_path}/fps")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    made = simhash.links(spark.read.parquet(f"{tmp_path}/fps"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_op8(spark, at):
     rows = {r["page_id"]: (r["html"] or "").encode() for r in spark.read.parquet(f"{at}/pages.parquet").collect()}
     holder = defaultdict(int)
