@@ -232,6 +232,15 @@ def test_links_broadcast_no_replicas(spark, tmp_path):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_near_candidates_broadcast_no_replicas(spark, tmp_path):
+    from penstock.llm import shingles
+
+    spark.range(50_000).selectExpr("xxhash64(id) as node", "xxhash64(id, 1) as fp").write.parquet(f"{tmp_path}/distinct")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    plan = shingles._near(spark.read.parquet(f"{tmp_path}/distinct"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [half" in plan and "BroadcastHashJoin [half" not in plan
+
+
 def test_op8(spark, at):
     rows = {r["page_id"]: (r["html"] or "").encode() for r in spark.read.parquet(f"{at}/pages.parquet").collect()}
     holder = defaultdict(int)
