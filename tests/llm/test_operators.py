@@ -426,6 +426,34 @@ def test_near_duplicate_stage(spark, at):
     assert missed and sorted(got) == [k for k in keys if find(k) == k]
 
 
+def test_long_sets_that_meet_late(spark, tmp_path):
+    """Of two long texts the 25 least shingles of each are its own, and their fingerprints are far apart: a link all the same."""
+    import corpus_pipeline as P
+    from penstock.llm import shingles
+
+    base, pool, spots = [f"w{k}" for k in range(1500)], [f"c{k}" for k in range(60_000)], list(range(20, 1480, 60))
+    names, new = shingles.names_of(base), shingles.names_of(pool)
+    clear = [" ".join(base[b + 1 : e]) for b, e in zip([-1, *spots], [*spots, 1500])]
+    least = min(int(shingles.shingle_set(t)[0]) for t in clear)
+    texts = [base.copy(), base.copy()]
+    for p in spots:
+        made = []
+        for j in range(5):
+            h = np.full(len(pool), np.uint64(5))
+            for k in range(p - j, p - j + 5):
+                h = shingles.joint(h, new if k == p else names[k : k + 1])
+            made.append(h)
+        hits = np.flatnonzero(np.min(made, axis=0) < least)
+        for t, hit in zip(texts, hits):
+            t[p] = pool[hit]
+    a, b = (shingles.shingle_set(" ".join(t)) for t in texts)
+    both = len(np.intersect1d(a, b))
+    assert not len(np.intersect1d(a[:24], b[:24])) and 5 * both >= 4 * (len(a) + len(b) - both)
+    assert (shingles.majority(a) ^ shingles.majority(b)).bit_count() > 3
+    d = spark.createDataFrame([(k, " ".join(t), "en", "a", 1) for k, t in enumerate([*texts, base[:700], base[800:]])], SCHEMA)
+    assert sorted(r["doc_id"] for r in P.near_duplicate_stage(spark, d, str(tmp_path)).collect()) == [0, 2, 3]
+
+
 def test_stages_with_null_and_repeated_ids(spark, tmp_path):
     import corpus_pipeline as P
 
