@@ -30,12 +30,8 @@ from .common import BATCH_BYTES, arrow_map
 REMEMBERED, LONGEST = 400_000, 40
 #: Fixed value: the pattern of the published 50k vocabularies.
 PUBLISHED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Its letters, numbers and white space below code point 0x250, for the quicker of two matchers.
-_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
-_latin = re.compile(rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
-_beyond = re.compile("[^\x00-\u024f]").search
-#: Characters of texts whose new pieces are encoded together.
-GROUP = 1 << 20
+#: Characters of texts that are cut, and whose new pieces are encoded, together.
+GROUP = 4 << 20
 
 
 @lru_cache(maxsize=1)
@@ -47,6 +43,39 @@ def byte_characters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """What the published pattern takes each code point for: 1 letter, 2 number, 3 white space, 0 other."""
+    out, every = np.zeros(0x110000, np.uint8), "".join(map(chr, range(0x110000)))
+    for k, runs in enumerate((r"\p{L}+", r"\p{N}+", r"\s+"), 1):
+        for m in regex.finditer(runs, every):
+            out[m.start() : m.end()] = k
+    return out
+
+
+def piece_begins(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether a piece of the published pattern begins at each code point; ``bounds``: places that no piece and no look-ahead crosses."""
+    n = len(points)
+    first = np.zeros(n + 3, bool)  # three more than the points: the look-ahead needs no check of its own
+    first[bounds], first[:1], first[n:] = True, True, True
+    kind = _classes()[points]
+    space, begins = kind == 3, first[:n].copy()
+    # a class ends a piece, but a letter, number or other sign takes one blank before it along
+    begins[1:] |= kind[1:] != kind[:-1]
+    begins[1:] &= first[1:n] | space[1:] | (points[:-1] != 32)
+    # of white space before something else, the last one stands alone or goes along
+    begins[:-1] |= space[:-1] & ~space[1:] & ~first[1:n]
+    # a sign that begins a piece and is an apostrophe takes s, t, m, d, re, ve or ll
+    at = np.flatnonzero((points == 39) & begins)
+    at = at[~first[at + 1]]
+    one, two = points[at + 1], np.where(first[at + 2], 0, points[np.minimum(at + 2, n - 1)])
+    size = np.where(np.isin(one, [115, 116, 109, 100]), 2, np.where(np.isin(one, [114, 118]) & (two == 101) | (one == 108) & (two == 108), 3, 0))
+    at, size = at[size > 0], size[size > 0]
+    begins[at + 1] = False
+    begins[(at + size)[at + size < n]] = True
+    return begins
+
+
 def _halves(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
     """The last merge that builds a token from lower-ranked ones; None if merging does not reach it."""
     parts, limit = [token[k : k + 1] for k in range(len(token))], ranks[token]
@@ -95,6 +124,8 @@ def tokenizer_of_json(path: str):
 class Codec:
     """Encoder and decoder of one vocabulary: texts are cut by ``pattern``, each distinct piece is encoded once.
 
+    The published pattern cuts by the class of each character, for many texts at a time; any other is matched.
+
     Ids are handled packed, little-endian, in 2 bytes where the vocabulary allows and else 4.
     """
 
@@ -103,16 +134,15 @@ class Codec:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = tokenizer_of_json(path) if path.endswith(".json") else tokenizer_of_ranks(path)
-        whole = regex.compile(pattern).findall
-        self.cut = (lambda text: whole(text) if _beyond(text) else _latin(text)) if pattern == PUBLISHED else whole
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.findall = None if pattern == PUBLISHED else regex.compile(pattern).findall
         # added tokens of the file are found in a text before it is cut, as the library does
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized and self.tokenizer.normalizer for t in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("added tokens that depend on what is around them are not supported")
-        if added:
-            ordinary, found = self.cut, re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
-            self.cut = lambda text: [p for k, part in enumerate(found.split(text)) for p in ([part] if k % 2 else ordinary(part) if part else ())] if any(t in text for t in added) else ordinary(text)
+        self.found = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))).finditer
         self.known: dict[str, bytes] = {}
+        self.letters = np.array(list(map(ord, byte_characters())), "<u4")
         back = {c: b for b, c in enumerate(byte_characters())}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
@@ -122,31 +152,70 @@ class Codec:
         self.added = {t: np.array([i], self.kind).tobytes() for t, i in added.items()}
         self.known.update(self.added)
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode the pieces in one call and remember the packed ids of each."""
-        new = list(pieces)
-        made = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        packed, size = np.array(made.ids, self.kind).tobytes(), self.kind.itemsize
-        ends = (np.cumsum(np.bincount(made.word_ids, minlength=len(new))) * size).tolist()
-        self.known.update((p, packed[a:b]) for p, a, b in zip(new, [0, *ends], ends))
+    def _added(self, text: str) -> list[tuple[int, int]]:
+        return [m.span() for m in self.found(text)] if any(t in text for t in self.added) else []
+
+    def _pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of the texts, one text after the other, and the number of pieces up to the end of each text."""
+        ends = np.cumsum([len(t) for t in texts])
+        spans = [(e - len(t) + a, e - len(t) + b) for t, e in zip(texts, ends.tolist()) for a, b in self._added(t)]
+        whole = "".join(texts)
+        if self.findall:
+            bounds = sorted({0, *ends.tolist(), *chain.from_iterable(spans)})
+            apart = set(spans)
+            cuts = [[whole[a:b]] if (a, b) in apart else self.findall(whole[a:b]) for a, b in zip(bounds, bounds[1:])]
+            counts = np.cumsum([0, *map(len, cuts)])
+            return pa.array(list(chain.from_iterable(cuts)), pa.large_string()), counts[np.searchsorted(bounds, ends)]
+        data = whole.encode()
+        points = np.frombuffer(data, np.uint8) if whole.isascii() else np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        begins = piece_begins(points, np.array([*ends, *chain.from_iterable(spans)], np.int64))
+        for a, b in spans:
+            begins[a + 1 : b] = False
+        at = np.append(np.flatnonzero(begins), len(points))
+        place = at
+        if not whole.isascii():
+            size = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+            place = np.concatenate([[0], np.cumsum(size)])[at]
+        return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(place), pa.py_buffer(data)), np.searchsorted(at, ends)
+
+    def cut(self, text: str) -> list[str]:
+        return self._pieces([text])[0].to_pylist()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode the pieces and remember the packed ids of each."""
+        data = [x.encode() for x in (map(self.normalizer.normalize_str, pieces) if self.normalizer else pieces)]
+        written, begin, ids, ends = self.letters[np.frombuffer(b"".join(data), np.uint8)].tobytes().decode("utf-32-le"), 0, [], []
+        for end in np.cumsum([len(x) for x in data]).tolist():
+            ids += [t.id for t in self.model.tokenize(written[begin:end])]
+            ends.append(len(ids) * self.kind.itemsize)
+            begin = end
+        packed = np.array(ids, self.kind).tobytes()
+        self.known.update((p, packed[a:b]) for p, a, b in zip(pieces, [0, *ends], ends))
 
     def _group(self, texts: list[str | None]) -> Iterator[bytes]:
-        cuts = [self.cut(t) if t else () for t in texts]
-        new = set(chain.from_iterable(cuts)).difference(self.known)  # looks up the pieces; difference_update would walk all that is known
+        pieces, ends = self._pieces([t or "" for t in texts])
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        made = list(map(self.known.get, names))
+        new = [p for p, ids in zip(names, made) if ids is None]
         if new:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
                 self.known.update(self.added)
-                new = set(chain.from_iterable(cuts)).difference(self.added)
+                new = [p for p in names if p not in self.added]
             self._learn(new)
-        for cut in cuts:
-            yield b"".join(map(self.known.__getitem__, cut))
+            made = list(map(self.known.__getitem__, names))
+        packed = pa.array(made, pa.large_binary()).take(coded.indices)
         for p in new:
             if len(p) > LONGEST:
                 del self.known[p]
+        data, places = packed.buffers()[2] or b"", np.frombuffer(packed.buffers()[1], np.int64)
+        stops = places[ends].tolist() if len(pieces) else [0] * len(texts)
+        for a, b in zip([0, *stops], stops):
+            yield bytes(data[a:b])
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The packed ids of each text; new pieces are encoded in groups of about GROUP characters of text."""
+        """The packed ids of each text; they are cut in groups of about GROUP characters."""
         begin, size = 0, 0
         for k, text in enumerate(texts):
             size += len(text or "")

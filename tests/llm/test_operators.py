@@ -120,6 +120,52 @@ def test_groups_encode_like_single_texts(monkeypatch):
             assert latin(t) == cut(t), (k, t)
 
 
+def test_many_texts_are_cut_as_the_patterns_cut_one(monkeypatch):
+    import public_tokenizers as P
+    import tiktoken
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    path, whole = str(P.path("byte_bpe_50k.json")), __import__("regex").compile(P.PATTERN).findall
+    it, plain = bpe.Codec(path, P.PATTERN), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [f"{a}{chr(k)}{b}" for k in range(0x110000) if not 0xD800 <= k < 0xE000 for a, b in ((" '", "s"), ("a  ", "1"))[k % 2 :][:1]]
+    pieces, ends = it._pieces(texts)
+    cuts = [whole(t) for t in texts]
+    assert pieces.to_pylist() == [p for cut in cuts for p in cut] and ends.tolist() == np.cumsum([len(cut) for cut in cuts]).tolist()
+    parts = ["a", "s", "re", "ve", "ll", "'", "'s", "'l", " ", "  ", "\n", "7", "!", "é", "\u3000", "\u0664", "🙂", "<|endoftext|>", "<|endof", "text|>"]
+    other = r"[a-z]+|\p{N}|[^a-z\p{N}]+"
+    ranks = str(P.path("byte_bpe_50k.tiktoken"))
+    second, want = bpe.Codec(ranks, other), tiktoken.Encoding("t", pat_str=other, mergeable_ranks=bpe.read_ranks(ranks), special_tokens={})
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.lists(st.sampled_from(parts), max_size=12).map("".join), max_size=5))
+    def same(texts):
+        assert [it.ids(x).tolist() for x in it.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [second.ids(x).tolist() for x in second.encode(texts)] == [want.encode_ordinary(t) for t in texts]
+
+    same()
+
+
+def test_a_group_looks_up_each_distinct_piece_once():
+    import public_tokenizers as P
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    it = bpe.Codec(str(P.path("byte_bpe_50k.json")), P.PATTERN)
+    it.known = Counted(it.known)
+    assert [len(x) for x in it.encode(["the cat sat on it. " * 2000] * 5)] == [2 * (6 * 2000 + 1)] * 5 and it.known.asked < 50
+
+
 def test_op3(spark, at):
     got = {r["doc_id"]: r for r in Q.op3_langid(spark, at).collect()}
     rows = docs(spark, at)
