@@ -120,3 +120,33 @@ def test_copies_of_places_and_shapes_are_measured_once(spark, monkeypatch):
     points = spark.range(30_000).select("id", F.lit(0.5).alias("lng"), F.lit(0.5).alias("lat"))
     met = geo.containing(points, shapes)
     assert met.select("id", "sid").count() == 9_000_000
+
+
+def test_pairs_of_rows_are_not_shuffled(spark):
+    """Rows are shuffled, with their replicas, before places meet; what comes out of the join goes to no other task, also where places are many."""
+    a = spark.range(5000).select("id", (F.col("id") / 50_000).alias("lng"), F.lit(88.0).alias("lat"))
+    b = spark.range(4000).select(F.col("id").alias("oid"), (F.col("id") / 50_000).alias("blng"), F.lit(88.0).alias("blat"))
+    met = geo.within_km(a, b, 50.0).select("id", "oid")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    # the join whose condition has the places' chord
+    assert "Exchange" not in plan[: plan.index("__p#")]
+    # one cell has all pairs: its lists are dealt to several tasks
+    parts = met.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert sum(r["count"] for r in parts) == 5000 * 4000 and len(parts) > 1
+
+
+def test_pairs_of_dealt_cells_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(geo, "LISTED", 2)
+    rng = random.Random(5)
+    place = lambda k: (k, rng.choice([179.9, -179.9, 10.0]) + rng.choice([-0.2, 0.0, 0.2]), rng.choice([89.6, 0.0, -60.0]) + rng.choice([-0.3, 0.0, 0.3]))
+    a, b = [place(k) for k in range(200)], [place(k) for k in range(150)]
+    d = haversine(np.array(a)[:, 1:], np.array(b)[:, 1:])
+    want = sorted(zip(*map(list, np.nonzero(d <= 40.0))))
+    # both sides have a column of one name
+    frames = spark.createDataFrame([*a, (900, None, 0.0)], "id int, lng double, lat double"), spark.createDataFrame([*b, (901, 0.0, None)], "id int, blng double, blat double")
+    for parts in (1, 3, 1000):
+        monkeypatch.setattr(geo, "PARTS", parts)
+        got = geo.within_km(*frames, 40.0)
+        assert got.columns == ["id", "lng", "lat", "id", "blng", "blat", "distance_km"]
+        rows = sorted((r[0], r[3]) for r in got.collect())
+        assert rows == want and len(rows) > 1000
