@@ -515,6 +515,23 @@ def test_stages_with_null_and_repeated_ids(spark, tmp_path):
     assert Counter(map(tuple, P.mixing_stage(spark, d, str(tmp_path)).collect())) == +want and any(k[0] is None for k in +want) and any(k[0] == 7 for k in +want)
 
 
+def test_rows_with_null_ids_are_compared(spark, tmp_path):
+    import corpus_pipeline as P
+
+    text = lambda name, *changed: " ".join(f"{'x' if j in changed else ''}{name}{j}" for j in range(100))
+    rows = [(5, text("a"), "en", "a", 1), (None, text("a"), "en", "a", 1), (None, text("a"), "en", "a", 1), (None, text("a", 50), "en", "b", 1)]
+    # 9 and 11 are near copies of a row with a null id, not of each other
+    rows += [(9, text("c"), "en", "a", 1), (None, text("c", 20, 40), "en", "a", 1), (11, text("c", 20, 40, 60, 80), "en", "a", 1)]
+    # null ids alone, and a row that differs from a copy of 20 by the place of its null
+    alone = [(None, text("b"), "en", "a", 1), (None, text("b"), "en", "a", 1), (None, text("b", 50), "en", "a", 1), (None, None, text("d"), "a", 1)]
+    rows += [*alone, (20, text("d"), None, "a", 1), (None, text("d"), None, "a", 1)]
+    got = Counter(map(tuple, P.near_duplicate_stage(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()))
+    assert got == Counter([rows[0], rows[4], (20, text("d"), None, "a", 1), *alone])
+    # no row has an id: all stay
+    nobody = [(None, *r[1:]) for r in rows]
+    assert Counter(map(tuple, P.near_duplicate_stage(spark, spark.createDataFrame(nobody, SCHEMA), str(tmp_path)).collect())) == Counter(nobody)
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
